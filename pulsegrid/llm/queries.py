@@ -7,20 +7,33 @@ the whole table and returns the digest columns of its contract.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import mixing, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables name no repository, so each document stands for one, and its
+    source for the owner."""
+    return secrets.secret_report(_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("source"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op6_mixing": op6_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
