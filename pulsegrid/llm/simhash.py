@@ -1,9 +1,9 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 Fingerprint: XXH64 (seed 42) of every word shingle, majority per bit. Distinct
-fingerprints are bucketed by every pair of six bit blocks: fingerprints within
-four bits leave at least two of six blocks untouched, so each linked pair meets
-in some bucket and no link is lost. Inside a bucket the bit planes are stored
+fingerprints are bucketed by every pair of r + 2 bit blocks: fingerprints within
+r bits leave at least two of the blocks untouched, so each linked pair meets in
+some bucket and no link is lost. Inside a bucket the bit planes are stored
 vertically, one machine word per 64 fingerprints; distances of 64 lanes are
 added at once by carry-save counters, and blocks whose lanes have all passed the
 radius are abandoned.
@@ -16,6 +16,7 @@ so copies cost nothing beyond their fingerprint.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +33,6 @@ SHINGLE = 4
 SEED = 42
 #: Rows of a bucket that meet in one task; larger buckets are dealt to cells.
 CELL = 2048
-_BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -49,7 +49,7 @@ def simhash(data: bytes, words: int = SHINGLE) -> int:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         end = np.cumsum(sizes + 1) - 1
         start = end - sizes
-        h = [digest(joined[a:b], SEED) for a, b in zip(start[: 1 - words].tolist(), end[words - 1 :].tolist(), strict=True)]
+        h = [digest(joined[a:b], SEED) for a, b in zip(start.tolist(), end[words - 1 :].tolist())]
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 4096):
         bits = np.unpackbits(np.array(h[k : k + 4096], "<u8").view(np.uint8), bitorder="little")
@@ -87,10 +87,12 @@ def planes(fp: np.ndarray) -> np.ndarray:
 
 
 class _Counter:
-    """Vertical carry-save counters of up to 7 with a sticky overflow."""
+    """Vertical carry-save counters with a sticky overflow, as wide as the radius
+    needs."""
 
-    def __init__(self, shape: tuple[int, ...]):
-        self.c = [np.zeros(shape, np.uint64) for _ in range(3)]
+    def __init__(self, shape: tuple[int, ...], radius: int):
+        self.radius = radius
+        self.c = [np.zeros(shape, np.uint64) for _ in range(radius.bit_length())]
         self.over = np.zeros(shape, np.uint64)
 
     def add(self, bit: np.ndarray) -> None:
@@ -100,12 +102,12 @@ class _Counter:
             bit = carry
         self.over |= bit
 
-    def beyond(self, radius: int) -> np.ndarray:
+    def beyond(self) -> np.ndarray:
         """Lanes that have passed the radius."""
         more = np.zeros_like(self.over)
         equal = np.full_like(self.over, _ONES)
-        for k in (2, 1, 0):
-            if radius >> k & 1:
+        for k in reversed(range(len(self.c))):
+            if self.radius >> k & 1:
                 equal &= self.c[k]
             else:
                 more |= equal & self.c[k]
@@ -125,25 +127,25 @@ def _lanes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def near_within(fp: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j), i < j, of one bucket that differ in at most ``radius``
-    (up to 6) bits: 256 queries at a time against all words of the planes."""
+    bits: 256 queries at a time against all words of the planes."""
     stored = planes(fp)
     for q in range(0, len(fp), 256):
         asked = fp[q : q + 256]
         first = q // 64
         rows, word = (x.ravel() for x in np.meshgrid(np.arange(len(asked)), np.arange(first, stored.shape[1]), indexing="ij"))
-        count = _Counter(rows.shape)
+        count = _Counter(rows.shape, radius)
         for p in range(64):
             flip = np.where(asked >> np.uint64(p) & np.uint64(1), _ONES, np.uint64(0))
             count.add(stored[p][word] ^ flip[rows])
             if p % 8 == 7 and p < 63:
-                left = np.nonzero(count.beyond(radius) != _ONES)[0]
+                left = np.nonzero(count.beyond() != _ONES)[0]
                 if len(left) < 0.75 * len(rows):
                     rows, word = rows[left], word[left]
                     count.take(left)
                 if not len(rows):
                     break
         if len(rows):
-            at, lane = _lanes(~count.beyond(radius))
+            at, lane = _lanes(~count.beyond())
             i, j = rows[at] + q, word[at] * 64 + lane
             ok = (i < j) & (j < len(fp))
             yield i[ok], j[ok]
@@ -162,20 +164,20 @@ def near_shifted(fp: np.ndarray, group: np.ndarray, most: int, radius: int = RAD
         word = np.nonzero(valid)[0]
         if not len(word):
             return
-        count = _Counter(word.shape)
+        count = _Counter(word.shape, radius)
         for p in range(64):
             a, b = stored[p][word], stored[p][word + 1]
             moved = b if d == 64 else (a >> np.uint64(d)) | (b << np.uint64(64 - d))
             count.add(a ^ moved)
             if p % 8 == 7 and p < 63:
-                left = np.nonzero(valid[word] & ~count.beyond(radius))[0]
+                left = np.nonzero(valid[word] & ~count.beyond())[0]
                 if len(left) < 0.75 * len(word):
                     word = word[left]
                     count.take(left)
                 if not len(word):
                     break
         if len(word):
-            at, lane = _lanes(valid[word] & ~count.beyond(radius))
+            at, lane = _lanes(valid[word] & ~count.beyond())
             i = word[at] * 64 + lane
             yield i, i + d
 
@@ -220,12 +222,12 @@ def bucket_links(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tup
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
-def _link_partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_partition(radius: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, cell, fp) sorted by key and cell: bounded runs of whole groups."""
     held: tuple[np.ndarray, np.ndarray] | None = None
 
     def links(fp: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
-        a, b = bucket_links(fp.view(np.uint64), group)
+        a, b = bucket_links(fp.view(np.uint64), group, radius)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     last = 0
@@ -247,16 +249,21 @@ def _link_partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(*held)
 
 
-def link_forest(distinct: DataFrame) -> DataFrame:
+def blocks(radius: int) -> list[tuple[int, int]]:
+    """(start, width) of radius + 2 bit blocks."""
+    cut = [round(64 * k / (radius + 2)) for k in range(radius + 3)]
+    return [(a, b - a) for a, b in zip(cut, cut[1:])]
+
+
+def link_forest(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) whose components
-    are those of all pairs within RADIUS bits."""
+    are those of all pairs within ``radius`` bits."""
 
-    def block(k: int) -> Column:
-        at, width = _BLOCKS[k]
+    def block(at: int, width: int) -> Column:
         return F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
 
     keys = [
-        F.lit(t << 32) + F.shiftleft(block(x), 16) + block(y) for t, (x, y) in enumerate(combinations(range(len(_BLOCKS)), 2))
+        F.lit(t << 32) + F.shiftleft(block(*x), 16) + block(*y) for t, (x, y) in enumerate(combinations(blocks(radius), 2))
     ]
     met = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     size = keep(met.groupBy("key").count().filter(F.col("count") > 1), "buckets", "lz4_raw")
@@ -278,7 +285,7 @@ def link_forest(distinct: DataFrame) -> DataFrame:
         )
     )
     dealt = few.unionByName(many).repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return dealt.mapInArrow(_link_partition, "a long, b long").distinct()
+    return dealt.mapInArrow(partial(_link_partition, radius), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -300,3 +307,116 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return join_counted(fps, known, "fp", "n").select("doc_id", "fp", "component_id")
 
 
+
+
+# --- near-duplicate removal -----------------------------------------------
+
+#: For removal: fingerprints of distinct words propose, word 5-shingles decide.
+PROPOSE_RADIUS = 8
+DECIDE_WORDS = 5
+SIMILARITY = 0.8
+SKETCH = 256
+ROUNDS = 4
+
+
+def word_set_simhash(data: bytes) -> int:
+    """The fingerprint of a text's distinct words."""
+    return simhash(b" ".join(sorted(set(data.lower().split()))), 1)
+
+
+def sketch(data: bytes) -> bytes:
+    """The SKETCH smallest distinct hashes of the word 5-shingles, ascending: the
+    whole set of a shorter text, a uniform sample of a longer one."""
+    parts = data.lower().split()
+    digest, n = xxhash.xxh64_intdigest, max(1, len(parts) - DECIDE_WORDS + 1)
+    h = np.array([digest(b" ".join(parts[k : k + DECIDE_WORDS]), SEED) for k in range(n)], "<u8")
+    return np.unique(h)[:SKETCH].tobytes()
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets from their sketches; exact up to
+    SKETCH shingles in union."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = np.union1d(x, y)[:SKETCH]
+    return float(np.isin(both, x).astype(int) @ np.isin(both, y).astype(int)) / max(1, len(both))
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    ship(docs.sparkSession)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = as_bytes(b.column(1))
+            columns = [
+                b.column(0).cast(pa.int64()),
+                pa.array(np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], np.uint64).view(np.int64)),
+                pa.array(np.array([word_set_simhash(t) for t in texts], np.uint64).view(np.int64)),
+                pa.array([sketch(t) for t in texts], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "sketch"])
+
+    return columns_only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, node long, fp long, sketch binary")
+
+
+def _like(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        like = [resemblance(x, y) >= SIMILARITY for x, y in zip(b.column("sketch").to_pylist(), b.column("theirs").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(like)], [*b.schema.names[:-1], "like"])
+
+
+def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): rows are (doc_id, node) of every document, node standing
+    for its text; groups are (node, kept) of the texts that give way to the text
+    ``kept``, to which they are at least SIMILARITY alike.
+
+    In each component of proposals the text with the most copies is kept, and
+    those unlike it stay for the next round; what is left after ROUNDS is kept.
+    """
+    seen = keep(_described(docs), "described")
+    nodes = keep(
+        seen.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")),
+        "nodes",
+    )
+    fps = keep(nodes.groupBy("fp").agg(F.count("*").alias("m")), "fps", "lz4_raw")
+    roots = connected_components(link_forest(fps.select("fp"), PROPOSE_RADIUS)).select(F.col("node").alias("fp"), "root")
+    placed = keep(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed", "lz4_raw")
+    sized = keep(placed.groupBy("root").agg(F.sum("m").alias("size")).filter("size > 1"), "sized", "lz4_raw")
+    within = keep(join_counted(placed.select("fp", "root", "m"), sized, "root", "size", "inner").select("fp", "root", "m"), "within", "lz4_raw")
+    active = keep(join_counted(nodes, within, "fp", "m", "inner").select("node", "n", "least_id", "sketch", "root"), "active")
+    groups: list[DataFrame] = []
+    for _ in range(ROUNDS):
+        lead = F.max(F.struct("n", (-F.col("node")).alias("o"), "node", "sketch"))
+        leads = keep(
+            active.groupBy("root").agg(lead.alias("l"), F.count("*").alias("size")).filter("size > 1")
+            .select("root", "size", F.col("l.node").alias("kept"), F.col("l.sketch").alias("theirs")),
+            "leads",
+        )
+        if leads.isEmpty():
+            break
+        met = join_counted(active, leads, "root", "size", "inner").filter("node <> kept")
+        schema = "node long, n long, least_id long, sketch binary, root long, kept long, like boolean"
+        judged = keep(met.select("node", "n", "least_id", "sketch", "root", "kept", "theirs").mapInArrow(_like, schema), "judged")
+        groups.append(judged.filter("like").select("node", "kept"))
+        active = judged.filter("not like").select("node", "n", "least_id", "sketch", "root")
+    none = docs.sparkSession.createDataFrame([], "node long, kept long")
+    out = none
+    for g in groups:
+        out = out.unionByName(g)
+    return seen.select("doc_id", "node"), out
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of exact and near copies: of the
+    kept text the row with the smallest doc_id. Columns are unchanged. Null and
+    empty texts are copies of each other; of rows that repeat in doc_id and text
+    one stays; a null doc_id is kept only where no other row has the text."""
+    rows, groups = near_copies(docs)
+    gone = keep(groups.select("node"), "gone", "lz4_raw")
+    stay = rows.groupBy("node").agg(F.min("doc_id").alias("_id"), F.count("*").alias("rows")).join(gone, "node", "left_anti")
+    stay = keep(stay.select(F.col("node").alias("_node"), "_id", (F.col("rows") > 1).alias("_more")), "stay", "lz4_raw")
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    kept = docs.join(stay, (text == stay["_node"]) & docs["doc_id"].cast("long").eqNullSafe(stay["_id"]))
+    single = kept.filter("not _more").select(*docs.columns)
+    # the same doc_id and text may still stand on several rows
+    several = kept.filter("_more").dropDuplicates(["_node"]).select(*docs.columns)
+    return single.unionByName(several)
