@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, secrets, sharding, simhash, toxicity
+from . import decontaminate, mixing, secrets, sharding, simhash, tokens, toxicity
+from .shared import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    return tokens.token_report(_table(spark, sf_dir, "documents"), str(tokenizer_path), new_path(spark, "tokens"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -50,6 +59,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
+    "op7_token_files": op7_token_files,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
