@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,10 @@ from .shared import as_text, columns_only, ship
 END_ID = 2
 #: Ids of a block, unless one document alone has more.
 BLOCK_IDS = 1 << 16
-CACHE = 400_000
+#: Pieces that a Python worker remembers.
+CACHE = 800_000
+#: Code points that are tokenised at a time.
+CHUNK = 1 << 21
 BLOCK_TYPE = "part int, block int, first_id long, first_word long, n_ids long, doc_ids binary, sizes binary, words binary, escapes binary"
 
 #: Fixed: (ids a word, bits an id) by selector; selector 0 is the escape, and
@@ -40,24 +43,27 @@ SELECTORS = ((1, 60), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, escapes) of unsigned 64-bit values: each word takes as many of the
     values ahead as any selector can."""
-    v = values.astype(np.uint64)
+    v = values.astype(np.uint64, copy=False)
     n = len(v)
     if not n:
         return v, v
     take = np.ones(n, np.uint8)
     chosen = np.full(n, 15, np.uint8)
+    narrow = values if values.dtype == np.uint16 else v
     for s in range(14, 0, -1):
         count, bits = SELECTORS[s]
         if count > n:
             continue
-        misfit = v >> np.uint64(bits) != 0
-        if n - np.count_nonzero(misfit) < count:
+        # where the next ``count`` values that fit are neighbours
+        fits = np.flatnonzero(narrow < 1 << bits if bits < 16 or narrow is v else np.ones(n, bool))
+        if len(fits) < count:
             continue
-        seen = np.concatenate([[0], np.cumsum(misfit, dtype=np.int32)])
-        at = np.nonzero(seen[count:] == seen[: n - count + 1])[0]
+        head = fits[: len(fits) - count + 1]
+        at = head[fits[count - 1 :] - head == count - 1]
         chosen[at], take[at] = s, count
-    large = v >> np.uint64(60) != 0
-    chosen[large], take[large] = 0, 1
+    if narrow is v:
+        large = v >> np.uint64(60) != 0
+        chosen[large], take[large] = 0, 1
     step, starts, p = take.tolist(), [], 0
     while p < n:
         starts.append(p)
@@ -98,7 +104,7 @@ def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
 
 
 class TextEncoder:
-    """``Tokenizer.encode(text, add_special_tokens=False).ids``, faster.
+    """``Tokenizer.encode(text, add_special_tokens=False).ids`` of many texts.
 
     For texts of ASCII and precomposed Latin-1 letters, the tokenizer's own
     normaliser and splitter come down to lower-casing and the pattern below; the
@@ -120,17 +126,33 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.pieces = _Pieces(self.model)
+        self.pieces = _Pieces(self.tokenizer.model)
         made = json.loads(self.tokenizer.to_str())
         steps = [x.get("type") for x in (made["normalizer"] or {}).get("normalizers", [])]
         splits = [x.get("pattern", {}).get("Regex") for x in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.fast = steps == ["NFC", "Replace", "Lowercase"] and splits == [self._PATTERN, None]
 
-    def ids(self, text: str) -> list[int]:
-        if not self.fast or self._OTHER.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self._PIECE.findall(text.lower()))))
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and their number by text."""
+        pieces: list[str] = []
+        count = np.zeros(len(texts), np.int64)
+        whole: dict[int, list[int]] = {}
+        for k, t in enumerate(texts):
+            if not self.fast or self._OTHER.search(t):
+                whole[k] = self.tokenizer.encode(t, add_special_tokens=False).ids
+            else:
+                found = self._PIECE.findall(t.lower())
+                count[k] = len(found)
+                pieces += found
+        ids, size = self.pieces.look_up(pieces)
+        end = np.concatenate([[0], np.cumsum(size)])
+        last = np.cumsum(count)
+        out_size = end[last] - end[last - count]
+        if whole:
+            cut = np.concatenate([[0], np.cumsum(out_size)])
+            runs = [np.array(whole[k], np.uint32) if k in whole else ids[cut[k] : cut[k + 1]] for k in range(len(texts))]
+            return np.concatenate(runs), np.array([len(r) for r in runs], np.int64)
+        return ids, out_size
 
 
 def _byte_letters() -> dict[int, str]:
@@ -142,15 +164,29 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Pieces(dict):
+    """piece -> its number; the ids of all pieces lie one after another."""
+
     def __init__(self, model):
         self.model, self.letters = model, _byte_letters()
+        self.flat, self.ends = array("I"), array("I", [0])
+
+    def __missing__(self, piece: str) -> int:
+        self.flat.extend([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))])
+        self.ends.append(len(self.flat))
+        n = self[piece] = len(self)
+        return n
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def look_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces, one after another, and their number by piece."""
         if len(self) > CACHE:
             self.clear()
-        ids = tuple(t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode()))))
-        self[piece] = ids
-        return ids
+            self.flat, self.ends = array("I"), array("I", [0])
+        at = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        ends, flat = np.frombuffer(self.ends, np.uint32), np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
+        start = ends[at].astype(np.int64)
+        size = ends[at + 1] - start
+        last = np.cumsum(size)
+        return flat[np.arange(last[-1] if len(last) else 0) + np.repeat(start - (last - size), size)], size
 
 
 _encoders: dict[str, TextEncoder] = {}
@@ -188,10 +224,22 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, parts: in
     def tokenise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer_path)
         for b in it:
-            ids = []
-            for t in as_text(b.column(1)):
-                x = np.array([*made.ids(t), END_ID], np.int64)
-                ids.append(x.astype("<u2" if x.max() < 65536 else "<u8").tobytes() + (b"\0" if x.max() < 65536 else b"\1"))
+            texts = as_text(b.column(1))
+            ids: list[bytes] = []
+            a, size = 0, np.cumsum([len(t) for t in texts])
+            while a < len(texts):
+                e = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + CHUNK)))
+                x, n = made.batch(texts[a:e])
+                # two bytes an id where that is enough; the last byte says so
+                wide = bool(len(x)) and int(x.max()) > 65535
+                last = np.cumsum(n) + np.arange(1, len(n) + 1)
+                ended = np.full(len(x) + len(n), END_ID, "<u8" if wide else "<u2")
+                keep = np.ones(len(ended), bool)
+                keep[last - 1] = False
+                ended[keep] = x
+                data, step = ended.tobytes(), ended.itemsize
+                ids += [data[step * f : step * l] + bytes([wide]) for f, l in zip((last - n - 1).tolist(), last.tolist(), strict=True)]
+                a = e
             key = b.column(0).to_numpy(zero_copy_only=False)
             known = ~np.asarray(b.column(0).is_null())
             part = np.where(known, np.searchsorted(first, np.where(known, key, 0), "right"), len(first))
