@@ -116,26 +116,36 @@ def fit_ordinal(
 
 
 def fit(features: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray) -> Ordinal:
-    """The model of a labelled sample: per text its feature ids and their counts. Without both classes, a model that calls nothing toxic."""
+    """The model of a labelled sample: per text its feature ids and their counts.
+    Without both classes, a model that calls nothing toxic. Beside the sample,
+    memory holds one count per class and hash, and the screened features."""
     toxic = toxic.astype(bool)
+    nothing = Ordinal({}, np.arange(GRADES - 1) + 20.0)
     if toxic.all() or not toxic.any():
-        return Ordinal({}, np.arange(GRADES - 1) + 20.0)
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    col = np.concatenate(features) if len(row) else np.zeros(0, np.int64)
-    has = np.bincount(col[toxic[row]], minlength=_MASK + 1), np.bincount(col[~toxic[row]], minlength=_MASK + 1)
-    n = toxic.sum(), (~toxic).sum()
-    p = (has[0] + 0.5) / (n[0] + 1), (has[1] + 0.5) / (n[1] + 1)
-    z = (np.log(p[0]) - np.log(p[1])) / np.sqrt(1 / (has[0] + 0.5) + 1 / (has[1] + 0.5))
-    chosen = np.nonzero((has[0] >= 3) & (z > 3.0))[0]
+        return nothing
+    has = np.zeros((2, _MASK + 1), np.int32)
+    for f, y in zip(features, toxic, strict=True):
+        has[int(not y), f] += 1  # a text names a feature once
+    often = np.nonzero(has[0] >= 3)[0]
+    seen, n = has[:, often].astype(float), np.array([[toxic.sum()], [(~toxic).sum()]])
+    odds = np.log((seen + 0.5) / (n + 1))
+    z = (odds[0] - odds[1]) / np.sqrt((1 / (seen + 0.5)).sum(axis=0))
+    chosen, z = often[z > 3.0], z[z > 3.0]
     if not len(chosen):
-        return Ordinal({}, np.arange(GRADES - 1) + 20.0)
-    at = np.searchsorted(chosen, col)
-    ok = chosen[np.minimum(at, len(chosen) - 1)] == col
-    row, col, tf = row[ok], at[ok], np.concatenate(counts)[ok]
-    evidence = np.bincount(row, np.log1p(tf) * z[chosen][col], len(features))
+        return nothing
+    number = np.full(_MASK + 1, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    rows, cols, tfs = [], [], []
+    for k, (f, c) in enumerate(zip(features, counts, strict=True)):
+        at = number[f]
+        cols.append(at[at >= 0])
+        tfs.append(np.log1p(c[at >= 0].astype(float)))
+        rows.append(np.full(len(cols[-1]), k))
+    row, col, tf = map(np.concatenate, (rows, cols, tfs))
+    evidence = np.bincount(row, tf * z[col], len(features))
     cuts = np.quantile(evidence[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(toxic, 1 + np.searchsorted(cuts, evidence), 0)
-    w, theta = fit_ordinal(row, col, np.log1p(tf), grade, len(chosen))
+    w, theta = fit_ordinal(row, col, tf, grade, len(chosen))
     return Ordinal({int(f): float(x) for f, x in zip(chosen, w, strict=True)}, theta)
 
 
@@ -161,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, cl
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known()
         for b in it:
-            counts = [text_features(t, known) for t in as_text(b.column(1))]
+            counts = [dict(sorted(text_features(t, known).items())) for t in as_text(b.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).cast(pa.int32()),
@@ -173,13 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, cl
 
     got = sample(docs, labels, toxic_rows, clean_rows).mapInArrow(run, "toxic int, ids binary, counts binary").toArrow()
     # one order whatever the partitioning, so that the fit is the same
-    rows = sorted(zip(*(got.column(k).to_pylist() for k in range(3)), strict=True), key=lambda r: (r[0], xxhash.xxh64_intdigest(r[1]), r[1]))
-    order = [np.argsort(np.frombuffer(ids, "<u4"), kind="stable") for _, ids, _ in rows]
-    return fit(
-        [np.frombuffer(ids, "<u4").astype(np.int64)[o] for (_, ids, _), o in zip(rows, order, strict=True)],
-        [np.frombuffer(n, "<u2").astype(float)[o] for (_, _, n), o in zip(rows, order, strict=True)],
-        np.array([t > 0 for t, _, _ in rows], bool),
-    )
+    toxic = got.column(0).to_numpy() > 0
+    ids, counts = ([np.frombuffer(x.as_buffer(), kind) for x in got.column(k)] for k, kind in ((1, "<u4"), (2, "<u2")))
+    order = sorted(range(len(ids)), key=lambda k: (toxic[k], xxhash.xxh64_intdigest(ids[k]), len(ids[k])))
+    return fit([ids[k] for k in order], [counts[k] for k in order], toxic[order])
 
 
 def scored(docs: DataFrame, model: Ordinal) -> DataFrame:
