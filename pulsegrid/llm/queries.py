@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_labeller, mixing, secrets, sharding, simhash, tokens, toxicity, winnow
+from . import decontaminate, html_labeller, line_dedup, mixing, secrets, sharding, simhash, tokens, toxicity, winnow
 from .shared import new_path
 
 
@@ -23,6 +23,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("source"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated_lines(_table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_report(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_line_dedup": op2_line_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
