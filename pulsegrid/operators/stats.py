@@ -65,17 +65,17 @@ def confusion(frame: DataFrame, score: str, target: str, threshold: float) -> Da
 def roc_auc(frame: DataFrame, score: str, target: str) -> DataFrame:
     """Mann-Whitney form; ties count half. Scores are counted first, so the one
     window runs over distinct scores."""
-    t = frame.groupBy(score).agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) != 1).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.select("p", "n", below.alias("below"))
-    return t.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)), F.sum("p") * F.sum("n")).alias("auc"))
+    t = frame.groupBy(score).agg(F.count_if(F.col(target) == 1).alias("_p"), F.count_if(F.col(target) != 1).alias("_n"))
+    below = F.coalesce(F.sum("_n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = t.select("_p", "_n", below.alias("_below"))
+    return t.agg(F.try_divide(F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2.0)), F.sum("_p") * F.sum("_n")).alias("auc"))
 
 
 def roc_curve(frame: DataFrame, score: str, target: str) -> DataFrame:
     w = Window.orderBy(F.desc(score))
-    t = frame.groupBy(score).agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) != 1).alias("n"))
+    t = frame.groupBy(score).agg(F.count_if(F.col(target) == 1).alias("_p"), F.count_if(F.col(target) != 1).alias("_n"))
     every = Window.partitionBy(F.lit(0))
-    return t.select(F.col(score).alias("threshold"), F.try_divide(F.sum("p").over(w), F.sum("p").over(every)).alias("tpr"), F.try_divide(F.sum("n").over(w), F.sum("n").over(every)).alias("fpr"))
+    return t.select(F.col(score).alias("threshold"), F.try_divide(F.sum("_p").over(w), F.sum("_p").over(every)).alias("tpr"), F.try_divide(F.sum("_n").over(w), F.sum("_n").over(every)).alias("fpr"))
 
 
 def _pairs(c: Column) -> Column:

@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+from pyspark.sql.types import StructField, StructType
 
 _DDL = {
     "runs": "run_id string, team string, suite_name string, job_name string, build_no int, timestamp timestamp, duration_s double, "
@@ -24,7 +25,11 @@ _DDL = {
     "date_within_window int, confirmed int, mapped_at timestamp",
     "jira_sync_log": "mapping_id string, defect_id string, run_id string, status string, error_msg string, dry_run int, written_at timestamp",
 }
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType()),
+}
+SCHEMAS = {table: StructType([StructField(*[f(x) for f, x in zip((str, _TYPES.get), c.split(" "), strict=True)]) for c in ddl.split(", ")]) for table, ddl in _DDL.items()}
 
 
 @dataclass(frozen=True)
