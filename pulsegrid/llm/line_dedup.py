@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import as_text, batches, columns_only, join_counted, keep, ship
+from .shared import as_text, batches, columns_only, hash_bitmap, in_bitmap, join_counted, keep, ship
 from .simhash import CELL, near_shifted, near_within
 
 TAU = 2
@@ -32,7 +32,6 @@ LEAST = (16, 32)
 SEED = 42
 #: One edit changes the parity of at most this many letter pairs.
 PARITIES = 4
-FILTER_BITS = 1 << 26
 
 
 def tau(length: int) -> int:
@@ -296,11 +295,7 @@ def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line, text) of the lines in ``wanted``: a bitmap of fixed size keeps most
     other lines from being dealt out at all."""
-    word = F.shiftright(F.col("line").bitwiseAND(F.lit(FILTER_BITS - 1)), 5)
-    bits = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(line & 31 as int))")).alias("mask")).toArrow()
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
-    table[bits.column(0).to_numpy()] = bits.column(1).to_numpy().astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(np.zeros(8, np.uint8)) if not len(bits) else table)
+    shared = docs.sparkSession.sparkContext.broadcast(hash_bitmap(wanted, "line"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, set()
@@ -308,10 +303,9 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             found: dict[int, str] = {}
             for text in as_text(b.column(0)):
                 for x in text.split("\n"):
-                    if len(x) >= LEAST[0] and len(table) > 1:
+                    if len(x) >= LEAST[0]:
                         h = xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), SEED)
-                        low = h & FILTER_BITS - 1
-                        if int(table[low >> 5]) >> (low & 31) & 1 and h not in seen:
+                        if in_bitmap(table, h) and h not in seen:
                             found[h] = x
             seen = seen | found.keys() if len(seen) < 1_000_000 else set(found)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.string())], ["line", "text"])

@@ -9,18 +9,17 @@ re-computation of the lineage.
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship  # noqa: F401  for the operators
+
 #: A key is hot when it holds more than one row in HOT_SHARE; there can be at
 #: most HOT_SHARE such keys, which is what bounds their broadcast.
 HOT_SHARE = 1000
@@ -98,9 +97,25 @@ def join_counted(rows: DataFrame, stats: DataFrame, key: str, count: str, how: s
     )
 
 
-def row_key(*cols: str) -> Column:
-    """Equal for equal rows only: the identity used where doc_id may repeat."""
-    return F.xxhash64(*cols)
+#: Bits of a bitmap over hashes: its size does not grow with what it holds.
+FILTER_BITS = 1 << 26
+
+
+def hash_bitmap(wanted: DataFrame, column: str) -> np.ndarray:
+    """Bitmap of a column of 64-bit hashes, put together on the executors; at most
+    FILTER_BITS / 32 words reach the driver."""
+    h = F.col(column)
+    word = F.shiftright(h.bitwiseAND(F.lit(FILTER_BITS - 1)), 5).alias("word")
+    bit = F.expr(f"shiftleft(1L, cast({column} & 31 as int))")
+    found = wanted.groupBy(word).agg(F.bit_or(bit).alias("mask")).toArrow()
+    table = np.zeros(FILTER_BITS // 32, np.uint32)
+    table[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint32)
+    return table
+
+
+def in_bitmap(table: np.ndarray, h: int) -> bool:
+    low = h & FILTER_BITS - 1
+    return bool(int(table[low >> 5]) >> (low & 31) & 1)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -129,27 +144,3 @@ def batches(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
             held, n = [], 0
     if held:
         yield pa.Table.from_batches(held)
-
-
-def flat(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return column.to_numpy()
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package's sources to the Python workers of the session, once,
-    so that no executor needs it installed."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    folder = tempfile.mkdtemp(prefix="pulsegrid-code-")  # served from here until the driver ends
-    atexit.register(shutil.rmtree, folder, True)
-    at = f"{folder}/{package.name}.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    spark.sparkContext.addPyFile(at)
-    _shipped.add(app)

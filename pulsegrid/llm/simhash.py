@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import as_bytes, batches, columns_only, join_counted, keep, ship
+from .shared import as_bytes, batches, columns_only, hash_bitmap, in_bitmap, join_counted, keep, ship
 
 RADIUS = 4
 SHINGLE = 4
@@ -342,6 +342,7 @@ def resemblance(a: bytes, b: bytes) -> float:
 
 
 def _described(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, fp): the text's hash and the fingerprint of its words."""
     ship(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,11 +352,30 @@ def _described(docs: DataFrame) -> DataFrame:
                 b.column(0).cast(pa.int64()),
                 pa.array(np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], np.uint64).view(np.int64)),
                 pa.array(np.array([word_set_simhash(t) for t in texts], np.uint64).view(np.int64)),
-                pa.array([sketch(t) for t in texts], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp"])
 
-    return columns_only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, node long, fp long, sketch binary")
+    return columns_only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, node long, fp long")
+
+
+def _sketches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, sketch) of the texts in ``wanted``; a bitmap of fixed size keeps
+    most other texts from being sketched."""
+    ship(docs.sparkSession)
+    table = hash_bitmap(wanted, "node")
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found: dict[int, bytes] = {}
+            for t in as_bytes(b.column(0)):
+                h = xxhash.xxh64_intdigest(t, SEED)
+                if h not in found and in_bitmap(shared.value, h):
+                    found[h] = sketch(t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.binary())], ["node", "sketch"])
+
+    made = columns_only(docs, "text").mapInArrow(run, "node long, sketch binary")
+    return made.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
 
 
 def _like(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,16 +393,14 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     those unlike it stay for the next round; what is left after ROUNDS is kept.
     """
     seen = keep(_described(docs), "described")
-    nodes = keep(
-        seen.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")),
-        "nodes",
-    )
+    nodes = keep(seen.groupBy("node").agg(F.count("*").alias("n"), F.first("fp").alias("fp")), "nodes", "lz4_raw")
     fps = keep(nodes.groupBy("fp").agg(F.count("*").alias("m")), "fps", "lz4_raw")
     roots = connected_components(link_forest(fps.select("fp"), PROPOSE_RADIUS)).select(F.col("node").alias("fp"), "root")
     placed = keep(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed", "lz4_raw")
     sized = keep(placed.groupBy("root").agg(F.sum("m").alias("size")).filter("size > 1"), "sized", "lz4_raw")
     within = keep(join_counted(placed.select("fp", "root", "m"), sized, "root", "size", "inner").select("fp", "root", "m"), "within", "lz4_raw")
-    active = keep(join_counted(nodes, within, "fp", "m", "inner").select("node", "n", "least_id", "sketch", "root"), "active")
+    several = keep(join_counted(nodes, within, "fp", "m", "inner").select("node", "n", "root"), "several", "lz4_raw")
+    active = keep(several.join(_sketches(docs, several.select("node")), "node").select("node", "n", "sketch", "root"), "active")
     groups: list[DataFrame] = []
     for _ in range(ROUNDS):
         lead = F.max(F.struct("n", (-F.col("node")).alias("o"), "node", "sketch"))
@@ -394,10 +412,10 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if leads.isEmpty():
             break
         met = join_counted(active, leads, "root", "size", "inner").filter("node <> kept")
-        schema = "node long, n long, least_id long, sketch binary, root long, kept long, like boolean"
-        judged = keep(met.select("node", "n", "least_id", "sketch", "root", "kept", "theirs").mapInArrow(_like, schema), "judged")
+        schema = "node long, n long, sketch binary, root long, kept long, like boolean"
+        judged = keep(met.select("node", "n", "sketch", "root", "kept", "theirs").mapInArrow(_like, schema), "judged")
         groups.append(judged.filter("like").select("node", "kept"))
-        active = judged.filter("not like").select("node", "n", "least_id", "sketch", "root")
+        active = judged.filter("not like").select("node", "n", "sketch", "root")
     none = docs.sparkSession.createDataFrame([], "node long, kept long")
     out = none
     for g in groups:
@@ -412,11 +430,17 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     one stays; a null doc_id is kept only where no other row has the text."""
     rows, groups = near_copies(docs)
     gone = keep(groups.select("node"), "gone", "lz4_raw")
-    stay = rows.groupBy("node").agg(F.min("doc_id").alias("_id"), F.count("*").alias("rows")).join(gone, "node", "left_anti")
-    stay = keep(stay.select(F.col("node").alias("_node"), "_id", (F.col("rows") > 1).alias("_more")), "stay", "lz4_raw")
+    ids = rows.groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
+    first = F.min_by(F.struct("doc_id", "rows"), F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    stay = ids.groupBy("node").agg(first.alias("f")).join(gone, "node", "left_anti")
+    stay = keep(stay.select(F.col("node").alias("_node"), F.col("f.doc_id").alias("_id"), (F.col("f.rows") > 1).alias("_more")), "stay", "lz4_raw")
     text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    kept = docs.join(stay, (text == stay["_node"]) & docs["doc_id"].cast("long").eqNullSafe(stay["_id"]))
-    single = kept.filter("not _more").select(*docs.columns)
-    # the same doc_id and text may still stand on several rows
-    several = kept.filter("_more").dropDuplicates(["_node"]).select(*docs.columns)
-    return single.unionByName(several)
+
+    def kept(some: DataFrame) -> DataFrame:
+        return docs.join(some, (text == some["_node"]) & docs["doc_id"].cast("long").eqNullSafe(some["_id"]))
+
+    again = stay.filter("_more")
+    if again.isEmpty():
+        return kept(stay).select(*docs.columns)
+    # a doc_id and text that stand on several rows
+    return kept(stay.filter("not _more")).select(*docs.columns).unionByName(kept(again).dropDuplicates(["_node"]).select(*docs.columns))
