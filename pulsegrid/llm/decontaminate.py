@@ -14,6 +14,7 @@ joined by shuffle.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,24 +56,45 @@ _NUMBER, _NAME, _UNIT = (_digest(f"<{k}>") for k in ("number", "name", "unit"))
 
 
 class _Tokens(dict):
-    """raw token -> (template hash, value hash, is it a slot)."""
+    """raw token -> its number; the template hash, value hash and slot flag of all
+    tokens lie in arrays."""
 
-    def __missing__(self, raw: str) -> tuple[int, int, bool]:
-        if len(self) > CACHE:
-            self.clear()
+    def __init__(self):
+        self._reset()
+
+    def _reset(self) -> None:
+        self.clear()
+        self.template, self.value, self.slot = array("Q"), array("Q"), array("b")
+
+    def __missing__(self, raw: str) -> int:
         word = _WORD.search(raw)[0]
         low = word.lower()
         value = _digest(low)
         if any(map(str.isdigit, word)) or low in NUMBER_WORDS:
-            found = (_NUMBER, value, True)
+            kind = _NUMBER
         elif low in UNITS:
-            found = (_UNIT, value, True)
+            kind = _UNIT
         elif raw is word and word[0].isupper() and word[1:].islower():
-            found = (_NAME, value, True)
+            kind = _NAME
         else:
-            found = (value, value, False)
-        self[raw] = found
-        return found
+            kind = value
+        self.template.append(kind)
+        self.value.append(value)
+        self.slot.append(kind is not value)
+        n = self[raw] = len(self)
+        return n
+
+    def look_up(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self) > CACHE:
+            self._reset()
+        if not raw:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+        return (
+            np.frombuffer(self.template, np.uint64)[at],
+            np.frombuffer(self.value, np.uint64)[at],
+            np.frombuffer(self.slot, np.bool_)[at],
+        )
 
 
 def template(text: str, known: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,10 +102,7 @@ def template(text: str, known: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndar
     raw = _TOKEN.findall(text)
     if raw and raw[0][0] not in ".!?\n":
         raw[0] = "." + raw[0]  # a text begins like a sentence
-    if not raw:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    t, v, s = zip(*map(known.__getitem__, raw), strict=True)
-    return np.array(t, np.uint64), np.array(v, np.uint64), np.array(s, bool)
+    return known.look_up(raw)
 
 
 def windows(t: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
