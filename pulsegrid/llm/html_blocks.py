@@ -116,7 +116,7 @@ def blocks(page: str) -> list[Block]:
                         break
         else:
             inline += 1
-        if tag not in VOID and not m[4].endswith("/"):
+        if tag not in VOID:  # a slash closes nothing in HTML
             stack.append((tag, _step(tag, m[4])))
             links += tag == "a"
     text(page[at:])
