@@ -122,11 +122,18 @@ def issue_url(base: str, key: Column | str) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/browse/"), _col(key))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two vectors, 0 where a norm is 0."""
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
 
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def unit(v: Column) -> Column:
+    """The vector at length 1; zeros stay zeros. Once per row, so that a pair's
+    cosine is one product."""
+    made = F.transform(F.array(F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("n"))), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] == 0, 0.0).otherwise(x.cast("double") / s["n"])))
+    return F.get(made, 0)
 
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine similarity of two vectors, 0 where a norm is 0."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)

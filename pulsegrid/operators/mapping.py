@@ -25,11 +25,11 @@ def band_join(left: DataFrame, right: DataFrame, left_time: Column, right_time:
 
 
 def candidates(defects: DataFrame, results: DataFrame, days: float | None = 7.0) -> DataFrame:
-    """Pairs of a defect and a failing result within the window; no window pairs
-    all of them (a broadcast loop over the defects)."""
-    d = defects.select("defect_id", "project", "summary", "description", "reporter_email", F.col("status").alias("defect_status"), "priority", "created", *[c for c in ("vector",) if c in defects.columns])
+    """Pairs of a defect and a failing result within the window, vectors at unit
+    length; no window pairs all of them (a broadcast loop over the defects)."""
+    d = defects.select("defect_id", "project", "summary", "description", "reporter_email", F.col("status").alias("defect_status"), "priority", "created", *[text.unit(F.col(c)).alias(c) for c in ("vector",) if c in defects.columns])
     r = results.filter("status = 'FAIL'").select(
-        "result_id", "run_id", "test_name", "failure_msg", "failure_kw", "run_timestamp", *[F.col(c).alias("result_vector") for c in ("vector",) if c in results.columns]
+        "result_id", "run_id", "test_name", "failure_msg", "failure_kw", "run_timestamp", *[text.unit(F.col(c)).alias("result_vector") for c in ("vector",) if c in results.columns]
     )
     if not days or days <= 0:
         return d.crossJoin(r).withColumn("date_diff_days", text.days_between(F.col("created"), F.col("run_timestamp")))
@@ -76,7 +76,7 @@ def with_hybrid_score(scored: DataFrame) -> DataFrame:
     vectors are there, else the rule alone."""
     if "vector" in scored.columns and "result_vector" in scored.columns:
         both = F.col("vector").isNotNull() & F.col("result_vector").isNotNull()
-        semantic = F.greatest(F.lit(0.0), text.cosine(F.col("vector"), F.col("result_vector")))
+        semantic = F.greatest(F.lit(0.0), text.dot(F.col("vector"), F.col("result_vector")))
     else:
         both, semantic = F.lit(False), F.lit(0.0)
     t = scored.withColumn("semantic_score", F.when(both, semantic))
@@ -113,8 +113,8 @@ def max_similarity(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Per row of ``vectors`` (id, vector) its largest cosine to any of
     ``queries`` (vector): a stated query set against all rows, the smaller side
     broadcast within Spark's size limit."""
-    q = queries.select(F.col("vector").alias("q"))
-    t = vectors.crossJoin(q).withColumn("s", text.cosine(F.col("vector"), F.col("q")))
+    q = queries.select(text.unit(F.col("vector")).alias("q"))
+    t = vectors.select("id", text.unit(F.col("vector")).alias("v")).crossJoin(q).withColumn("s", text.dot(F.col("v"), F.col("q")))
     return t.groupBy("id").agg(F.max("s").alias("max_similarity"))
 
 
@@ -123,7 +123,7 @@ def duplicates(defects: DataFrame, days: float = 14.0, least: float = 0.90) -> D
     alike: cosine where both have vectors, else Jaccard of their words. Pairs meet
     on the shared test name, an equi-join."""
     t = defects.withColumn("_text", F.concat_ws(" ", F.coalesce("summary", F.lit("")), F.coalesce("description", F.lit(""))))
-    t = t.select("defect_id", "created", *[c for c in ("vector",) if c in defects.columns], text.test_case_names("_text").alias("names"), text.tokens("_text").alias("words"))
+    t = t.select("defect_id", "created", *[text.unit(F.col(c)).alias(c) for c in ("vector",) if c in defects.columns], text.test_case_names("_text").alias("names"), text.tokens("_text").alias("words"))
     a = t.select(*[F.col(c).alias(f"a_{c}") for c in t.columns], F.explode("names").alias("_name"))
     b = t.select(*[F.col(c).alias(f"b_{c}") for c in t.columns], F.explode("names").alias("_name"))
     shared = F.array_intersect("a_names", "b_names")
@@ -134,7 +134,7 @@ def duplicates(defects: DataFrame, days: float = 14.0, least: float = 0.90) -> D
     jaccard = F.coalesce(F.size(F.array_intersect("a_words", "b_words")) / F.nullif(union, F.lit(0)), F.lit(0.0))
     if "vector" in defects.columns:
         both = F.col("a_vector").isNotNull() & F.col("b_vector").isNotNull()
-        met = met.withColumns({"sim": F.when(both, text.cosine(F.col("a_vector"), F.col("b_vector"))).otherwise(jaccard), "method": F.when(both, "cosine").otherwise("jaccard")})
+        met = met.withColumns({"sim": F.when(both, text.dot(F.col("a_vector"), F.col("b_vector"))).otherwise(jaccard), "method": F.when(both, "cosine").otherwise("jaccard")})
     else:
         met = met.withColumns({"sim": jaccard, "method": F.lit("jaccard")})
     return met.filter(F.col("sim") >= least).select(

@@ -8,6 +8,7 @@ on bounded samples and sent to the executors, where rows are scored by batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
@@ -107,39 +108,97 @@ def validated_forest(results: DataFrame, seed: int = 42) -> dict[str, DataFrame]
 # --- failure clusters ----------------------------------------------------------
 
 
-def failure_clusters(results: DataFrame, k: int = 5, starts: int = 10, seed: int = 42) -> DataFrame:
-    """K-means on TF-IDF of distinct messages, best of ``starts`` runs; clusters
-    are named by their top terms, the environment keyword overrides, confidence
-    falls with the distance to the centre."""
+@dataclass
+class ClusterModel:
+    """Vocabulary with idf, and per cluster its centre, category, top terms and
+    the 95th percentile of its members' distances. At most max_features terms."""
+
+    terms: list[str]
+    idf: list[float]
+    centres: list[list[float]]
+    categories: list[str]
+    top: list[list[str]]
+    far: list[float]
+
+    def save(self, spark, path: str) -> None:
+        row = (self.terms, self.idf, self.centres, self.categories, self.top, self.far)
+        spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> ClusterModel:
+        return cls(*map(list, spark.read.schema(cls.SCHEMA).parquet(path).first()))
+
+
+ClusterModel.SCHEMA = "terms array<string>, idf array<double>, centres array<array<double>>, categories array<string>, top array<array<string>>, far array<double>"
+
+
+def _literal(values: list) -> Column:
+    return F.array(*[_literal(v) if isinstance(v, list) else F.lit(v) for v in values])
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x))
+
+
+def _vectors(texts: DataFrame, vocabulary: list[str], idf: list[float]) -> DataFrame:
+    """``texts`` (clean) with v: unit TF-IDF vectors over a fixed vocabulary."""
+    words = F.filter(F.regexp_extract_all(F.lower("clean"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~F.array_contains(_literal(terms.english_stop_words()), w))
+    t = texts.withColumn("w", words)
+    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(F.col("w"), i + 1)))
+    t = t.withColumn("w", F.concat("w", pairs))
+    known = _literal(vocabulary) if vocabulary else F.array().cast("array<string>")
+    count = F.transform(known, lambda term: F.size(F.filter("w", lambda x: x == term)))
+    raw = F.zip_with(count, _literal(idf) if idf else F.array().cast("array<double>"), lambda n, i: F.when(n > 0, (F.lit(1.0) + F.ln(n)) * i).otherwise(0.0))
+    return t.withColumn("raw", raw).withColumn("v", text.unit(F.col("raw"))).drop("w", "raw")
+
+
+def fit_clusters(results: DataFrame, k: int = 5, starts: int = 10, seed: int = 42) -> ClusterModel | None:
+    """K-means on TF-IDF, the best of ``starts`` runs; clusters are named by their
+    ten top terms. Equal messages have equal vectors, so distinct ones are fitted
+    with their counts as weights. None without any term."""
     rows = flow.with_message(results).withColumn("clean", text.preprocess_message("failure_msg"))
-    w = terms.tfidf(rows.select(F.col("result_id").alias("doc"), F.lower("clean").alias("text")))
-    vocabulary = sorted(r[0] for r in w.select("term").distinct().collect())  # at most max_features terms
-    size = len(vocabulary)
-    number = F.create_map(*[x for k_, t in enumerate(vocabulary) for x in (F.lit(t), F.lit(k_))]) if size else None
-    if not size:
-        return rows.select("result_id", "run_id", "test_name", "failure_msg", F.lit(0).alias("cluster_label"), F.lit("unknown").alias("cluster_category"), F.lit(0.0).alias("confidence"))
-    pairs = w.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct(number[F.col("term")].alias("i"), "weight"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    data = rows.join(pairs, rows["result_id"] == pairs["doc"], "left").withColumn("v", F.coalesce(dense, F.array_repeat(F.lit(0.0), size)))
-    data = data.withColumn("features", array_to_vector("v")).persist()
-    n = data.select("clean").distinct().count()
-    models = [KMeans(k=min(k, max(2, n)), seed=seed + s, maxIter=50).fit(data) for s in range(starts)]
+    found = terms.vocabulary(rows.select(F.col("result_id").alias("doc"), F.col("clean").alias("text"))).orderBy("term").collect()  # at most max_features
+    if not found:
+        return None
+    words, idf = [r["term"] for r in found], [r["idf"] for r in found]
+    data = _vectors(rows.groupBy("clean").agg(F.count("*").cast("double").alias("weight")), words, idf)
+    data = data.withColumn("features", array_to_vector("v")).coalesce(1).persist()
+    n = data.count()
+    models = [KMeans(k=min(k, max(2, n)), seed=seed + s, maxIter=50, weightCol="weight").fit(data) for s in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     centres = [list(map(float, c)) for c in best.clusterCenters()]
-    top = [[vocabulary[i] for i in sorted(range(size), key=lambda i: (-c[i], vocabulary[i]))[:10]] for c in centres]
-    at = F.col("prediction")
-    centre = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in centres]), at + 1)
-    named = F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in top]), at + 1)
-    distance = F.sqrt(F.aggregate(F.zip_with("v", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    out = best.transform(data).withColumns({"distance": distance, "top": named})
-    far = out.groupBy("prediction").agg(F.percentile("distance", F.lit(0.95)).alias("p95"))
-    out = out.join(F.broadcast(far), "prediction")  # one row per cluster
-    plain = F.bround(F.greatest(F.lit(0.0), 1 - F.least(F.col("distance") / F.greatest("p95", F.lit(1e-9)), F.lit(1.0))), 2)
+    top = [[words[i] for i in sorted(range(len(words)), key=lambda i: (-c[i], words[i]))[:10]] for c in centres]
+    placed = best.transform(data).withColumn("distance", _distance(F.col("v"), F.element_at(_literal(centres), F.col("prediction") + 1)))
+    far = {r[0]: r[1] for r in placed.groupBy("prediction").agg(F.percentile("distance", F.lit(0.95), F.col("weight").cast("long"))).collect()}  # k rows
+    names = [r[0] for r in placed.sparkSession.createDataFrame([(i, t) for i, t in enumerate(top)], "i int, t array<string>").orderBy("i").select(rules.classify_terms(F.col("t"))).collect()]
+    data.unpersist()
+    return ClusterModel(words, idf, centres, names, top, [float(far.get(i, 0.0)) for i in range(len(centres))])
+
+
+def assign_clusters(failed: DataFrame, model: ClusterModel) -> DataFrame:
+    """``failed`` (failure_msg, failure_kw and more) with cluster_label,
+    cluster_category and confidence: the nearest centre; confidence falls with the
+    distance to it, and the environment keyword overrides both. Each distinct
+    message is placed once."""
+    rows = failed.withColumn("clean", text.preprocess_message("failure_msg"))
+    each = _vectors(rows.select("clean").distinct(), model.terms, model.idf)
+    away = F.array(*[F.struct(_distance(F.col("v"), _literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(model.centres)])
+    each = each.select("clean", F.array_min(away).alias("n"))
+    far = F.element_at(_literal(model.far), F.col("n.i") + 1)
+    near = F.greatest(F.lit(0.0), 1 - F.least(F.col("n.d") / F.greatest(far, F.lit(1e-9)), F.lit(1.0)))
+    each = each.select("clean", F.col("n.i").alias("cluster_label"), F.element_at(_literal(model.categories), F.col("n.i") + 1).alias("_category"), F.bround(near, 2).alias("_confidence"))
     env = F.coalesce(F.col("failure_kw") == rules.ENVIRONMENT_KEYWORD, F.lit(False))
-    return out.select(
-        "result_id", "run_id", "test_name", "build_no", "failure_msg", at.alias("cluster_label"),
-        F.when(env, "environment").otherwise(rules.classify_terms(F.col("top"))).alias("cluster_category"), F.when(env, 1.0).otherwise(plain).alias("confidence"),
-    )
+    out = rows.join(each, "clean").withColumns({"cluster_category": F.when(env, "environment").otherwise(F.col("_category")), "confidence": F.when(env, 1.0).otherwise(F.col("_confidence"))})
+    return out.drop("clean", "_category", "_confidence")
+
+
+def failure_clusters(results: DataFrame, k: int = 5, starts: int = 10, seed: int = 42) -> DataFrame:
+    """Every failure with a message and its cluster."""
+    rows = flow.with_message(results).select("result_id", "run_id", "test_name", "build_no", "failure_msg", "failure_kw")
+    model = fit_clusters(results, k, starts, seed)
+    if model is None:
+        return rows.drop("failure_kw").withColumns({"cluster_label": F.lit(0), "cluster_category": F.lit("unknown"), "confidence": F.lit(0.0)})
+    return assign_clusters(rows, model).drop("failure_kw")
 
 
 def silhouette(points: DataFrame, vector: str, cluster: str) -> DataFrame:

@@ -13,21 +13,38 @@ def english_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def tfidf(docs: DataFrame, max_features: int = 500, min_df: int = 2, sublinear: bool = True, stop_words: list[str] | None = None) -> DataFrame:
-    """``docs`` (doc, text) to (doc, term, weight): words of two or more letters
-    without stop words, one- and two-word terms, the ``max_features`` most frequent
-    (ties by term) of at least ``min_df`` documents, idf ln((1+n)/(1+df))+1, rows
-    of unit length."""
-    stop = F.array(*map(F.lit, english_stop_words() if stop_words is None else stop_words)) if stop_words != [] else F.array().cast("array<string>")
+def _counts(docs: DataFrame, stop_words: list[str] | None) -> DataFrame:
+    """(doc, term, tf) of words of two or more letters without stop words, and of
+    their neighbouring pairs."""
+    stop = english_stop_words() if stop_words is None else stop_words
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    t = docs.select("doc", F.filter(words, lambda w: ~F.array_contains(stop, w)).alias("w"))
+    if stop:
+        words = F.filter(words, lambda w: ~F.array_contains(F.array(*map(F.lit, stop)), w))
+    t = docs.select("doc", words.alias("w"))
     pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(F.col("w"), i + 1)))
-    tf = t.select("doc", F.explode(F.concat("w", pairs)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    return t.select("doc", F.explode(F.concat("w", pairs)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+
+
+def _idf(docs: DataFrame, tf: DataFrame, max_features: int, min_df: int) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
-    vocabulary = F.broadcast(df.orderBy(F.desc("total"), "term").limit(max_features))  # a bound by construction
     n = F.broadcast(docs.agg(F.countDistinct("doc").alias("n")))
+    chosen = df.orderBy(F.desc("total"), "term").limit(max_features).crossJoin(n)  # n is one row
+    return chosen.select("term", (F.ln((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+
+
+def vocabulary(docs: DataFrame, max_features: int = 500, min_df: int = 2, stop_words: list[str] | None = None) -> DataFrame:
+    """(term, idf): the ``max_features`` most frequent terms (ties by term) of at
+    least ``min_df`` documents, idf ln((1+n)/(1+df))+1."""
+    return _idf(docs, _counts(docs, stop_words), max_features, min_df)
+
+
+def tfidf(docs: DataFrame, max_features: int = 500, min_df: int = 2, sublinear: bool = True, stop_words: list[str] | None = None) -> DataFrame:
+    """``docs`` (doc, text) to (doc, term, weight) over :func:`vocabulary`; rows
+    have unit length."""
+    tf = _counts(docs, stop_words)
+    known = F.broadcast(_idf(docs, tf, max_features, min_df))  # a bound by construction
     count = (F.lit(1.0) + F.ln("tf")) if sublinear else F.col("tf").cast("double")
-    raw = tf.join(vocabulary, "term").crossJoin(n).select("doc", "term", (count * (F.ln((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0)).alias("raw"))
+    raw = tf.join(known, "term").select("doc", "term", (count * F.col("idf")).alias("raw"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))
     return raw.select("doc", "term", (F.col("raw") / length).alias("weight"))
 

@@ -160,7 +160,7 @@ def test_write_back_is_idempotent(spark, tmp_path):
     assert mapping.pending_sync(maps, log.read()).count() == 1  # the skipped one is no success
 
 
-def test_planted_effects_are_found(spark):
+def test_planted_effects_are_found(spark, tmp_path):
     run, result = (t.persist() for t in synth.history(spark))
     drift = {r.test_name for r in tests.drift_report(result).collect()}
     assert {"TC_Dashboard_ExportChart", "TC_User_BulkImport"} <= drift <= {"TC_Dashboard_ExportChart", "TC_User_BulkImport", "TC_Login_ValidCredentials"}
@@ -175,5 +175,12 @@ def test_planted_effects_are_found(spark):
 
     t = clusters.select(rules.classify_labels(F.col("failure_msg")).alias("a"), F.col("cluster_label").alias("b"))
     assert stats.adjusted_rand(t, "a", "b").first().ari >= 0.9
+    model = models.fit_clusters(result)
+    path = str(tmp_path / "clusters")
+    model.save(spark, path)
+    assert models.ClusterModel.load(spark, path) == model
+    new = spark.createDataFrame([("CSV export contained 5 rows — expected at least 100 records", "Export_Csv"), ("anything", "Environment_Setup")], "failure_msg string, failure_kw string")
+    got = models.assign_clusters(new, model).orderBy("failure_kw").collect()
+    assert [r.cluster_category for r in got] == ["environment", "data"] and got[0].confidence == 1.0
     scored = models.validated_forest(result)
     assert scored["test_auc"].first().auc > 0.75
