@@ -40,16 +40,16 @@ def quality(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """``docs`` with columns _src (never null), _size, _key and _tie."""
+    """Rows of ``docs``, whole in _row, with _src (never null), _size, _key and
+    _tie; no column of ``docs`` can clash with these."""
     size = words(F.col("text"))
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.length("text")), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    return docs.withColumns(
-        {
-            "_src": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")),
-            "_size": size,
-            "_key": -F.ln(u) / quality(F.col("text")),
-            "_tie": F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long"),
-        }
+    return docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_src"),
+        size.alias("_size"),
+        (-F.ln(u) / quality(F.col("text"))).alias("_key"),
+        F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("_tie"),
     )
 
 
@@ -102,7 +102,7 @@ class Mix:
 
 
 def plan_mix(docs: DataFrame, seed: int = SEED) -> Mix:
-    rows = keep(keyed(docs, seed).select("doc_id", "_src", "_size", "_key", "_tie"), "mix", "lz4_raw")
+    rows = keep(keyed(docs, seed).select(F.col("_row.doc_id").alias("doc_id"), "_src", "_size", "_key", "_tie"), "mix", "lz4_raw")
     per_source = keep(rows.groupBy("_src").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n")), "sources", "lz4_raw")
     buckets = max(64, -(-(per_source.agg(F.max("n")).first()[0] or 0) // BUCKET_ROWS))
     epochs = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long")
@@ -159,4 +159,4 @@ def mixed(docs: DataFrame) -> DataFrame:
     the columns of ``docs``. Texts stay where they are read."""
     mix = plan_mix(docs)
     out = mix.apply(keyed(docs)).filter("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[out[c] for c in docs.columns])
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")

@@ -189,16 +189,16 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, cl
     return fit([ids[k] for k in order], [counts[k] for k in order], toxic[order])
 
 
-def scored(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """``docs`` with severity (expected grade, 0 to GRADES - 1) and p_toxic
-    (probability of a grade above 0) of every whole text. Null and empty texts
-    score as no features at all; repeated rows score alike; an empty table stays
-    empty; further columns are kept as they are, except that columns named
-    severity or p_toxic are replaced."""
+def scored(docs: DataFrame, model: Ordinal, severity: str = "severity", p_toxic: str = "p_toxic") -> DataFrame:
+    """``docs`` with two columns for every whole text, by the names given: the
+    expected grade, 0 to GRADES - 1, and the probability of a grade above 0. Null
+    and empty texts score as no features at all; repeated rows score alike; an
+    empty table stays empty; further columns are kept as they are, but columns of
+    those two names give way."""
     ship(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if f.name not in ("severity", "p_toxic")]
+    kept = [f for f in docs.schema.fields if f.name not in (severity, p_toxic)]
     names = [f.name for f in kept]
-    schema = type(docs.schema)(kept).add("severity", "double").add("p_toxic", "double")
+    schema = type(docs.schema)(kept).add(severity, "double").add(p_toxic, "double")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, known = model.weights, _Known(frozenset(model.weights))
@@ -208,7 +208,7 @@ def scored(docs: DataFrame, model: Ordinal) -> DataFrame:
                 [sum(weights[f] * np.log1p(n) for f, n in sorted(text_features(t, known).items())) for t in as_text(b.column(at))], float
             )
             p = model.above(score)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p.sum(axis=1)), pa.array(p[:, 0])], [*names, "severity", "p_toxic"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p.sum(axis=1)), pa.array(p[:, 0])], [*names, severity, p_toxic])
 
     return docs.select(*[docs[n] for n in names]).mapInArrow(run, schema)
 
@@ -221,5 +221,5 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not toxic, columns unchanged."""
-    out = scored(docs, train(docs, labels)).filter(F.col("p_toxic") < TOXIC_AT)
+    out = scored(docs, train(docs, labels), "_severity_", "_p_toxic_").filter(F.col("_p_toxic_") < TOXIC_AT)
     return out.select(*docs.columns)
