@@ -18,7 +18,7 @@ MARK = "[automation-analytics]"
 
 def comment_lines(dashboard_url: str | None = None) -> Column:
     lines = [
-        F.lit(f"{MARK} Linked by Automation Test Stability Analytics"),
+        F.lit(f"{MARK} Linked by pulsegrid"),
         F.concat(F.lit("CI Run     : "), "run_id"),
         F.concat(F.lit("Test       : "), "test_name"),
         F.format_string("Score      : %.3f", "confidence_score"),
