@@ -27,7 +27,7 @@ END_ID = 2
 #: Ids of a block, unless one document alone has more.
 BLOCK_IDS = 1 << 16
 #: Pieces that a Python worker remembers.
-CACHE = 800_000
+CACHE = 1_200_000
 #: Code points that are tokenised at a time.
 CHUNK = 1 << 21
 BLOCK_TYPE = "part int, block int, first_id long, first_word long, n_ids long, doc_ids binary, sizes binary, words binary, escapes binary"
@@ -113,8 +113,8 @@ class TextEncoder:
     """
 
     _LETTERS = "a-zß-öø-ÿ"
-    _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
-    _OTHER = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]|<\|")
+    _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t-\r{_LETTERS}0-9]+")
+    _OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
     #: Fixed: the splitter that the fast way stands for.
     _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -138,7 +138,7 @@ class TextEncoder:
         count = np.zeros(len(texts), np.int64)
         whole: dict[int, list[int]] = {}
         for k, t in enumerate(texts):
-            if not self.fast or self._OTHER.search(t):
+            if not self.fast or "<|" in t or not t.isascii() and self._OTHER.search(t):
                 whole[k] = self.tokenizer.encode(t, add_special_tokens=False).ids
             else:
                 found = self._PIECE.findall(t.lower())
@@ -171,7 +171,8 @@ class _Pieces(dict):
         self.flat, self.ends = array("I"), array("I", [0])
 
     def __missing__(self, piece: str) -> int:
-        self.flat.extend([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))])
+        plain = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
+        self.flat.extend([t.id for t in self.model.tokenize(plain)])
         self.ends.append(len(self.flat))
         n = self[piece] = len(self)
         return n
