@@ -15,11 +15,13 @@ so copies cost nothing beyond their fingerprint.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -316,7 +318,10 @@ PROPOSE_RADIUS = 8
 DECIDE_WORDS = 5
 SIMILARITY = 0.8
 SKETCH = 256
-ROUNDS = 4
+#: Texts of a component that one task settles; larger components first lose what
+#: is like their most copied text, round by round.
+SETTLE = 256
+ROUNDS = 64
 
 
 def word_set_simhash(data: bytes) -> int:
@@ -384,13 +389,35 @@ def _like(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(like)], [*b.schema.names[:-1], "like"])
 
 
+def _settle(group: pd.DataFrame) -> pd.DataFrame:
+    """One component: texts by falling number of copies go if they are like one
+    that stays. An index of the kept sketches' hashes finds whom to compare."""
+    order = group.sort_values(["n", "node"], ascending=[False, True])
+    at: dict[bytes, list[int]] = {}
+    kept: list[tuple[int, bytes]] = []
+    gone = []
+    for node, held in zip(order["node"], order["sketch"], strict=True):
+        hashes = [held[k : k + 8] for k in range(0, len(held), 8)]
+        shared = Counter(x for h in hashes for x in at.get(h, ()))
+        same = next((kept[k][0] for k, _ in shared.most_common() if resemblance(kept[k][1], held) >= SIMILARITY), None)
+        if same is None:
+            for h in hashes:
+                at.setdefault(h, []).append(len(kept))
+            kept.append((node, held))
+        else:
+            gone.append((node, same))
+    return pd.DataFrame(gone, columns=["node", "kept"]).astype("int64")
+
+
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows are (doc_id, node) of every document, node standing
     for its text; groups are (node, kept) of the texts that give way to the text
     ``kept``, to which they are at least SIMILARITY alike.
 
-    In each component of proposals the text with the most copies is kept, and
-    those unlike it stay for the next round; what is left after ROUNDS is kept.
+    In each component of proposals the text with the most copies is kept and
+    those like it go; the same again with the rest. Components of up to SETTLE
+    texts are settled at once in one task, larger ones by rounds of a join; what a
+    component above SETTLE still holds after ROUNDS stays.
     """
     seen = keep(_described(docs), "described")
     nodes = keep(seen.groupBy("node").agg(F.count("*").alias("n"), F.first("fp").alias("fp")), "nodes", "lz4_raw")
@@ -401,25 +428,25 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     within = keep(join_counted(placed.select("fp", "root", "m"), sized, "root", "size", "inner").select("fp", "root", "m"), "within", "lz4_raw")
     several = keep(join_counted(nodes, within, "fp", "m", "inner").select("node", "n", "root"), "several", "lz4_raw")
     active = keep(several.join(_sketches(docs, several.select("node")), "node").select("node", "n", "sketch", "root"), "active")
-    groups: list[DataFrame] = []
-    for _ in range(ROUNDS):
+    found: list[DataFrame] = []
+    columns = ["node", "n", "sketch", "root"]
+    for turn in range(ROUNDS + 1):
         lead = F.max(F.struct("n", (-F.col("node")).alias("o"), "node", "sketch"))
         leads = keep(
             active.groupBy("root").agg(lead.alias("l"), F.count("*").alias("size")).filter("size > 1")
             .select("root", "size", F.col("l.node").alias("kept"), F.col("l.sketch").alias("theirs")),
             "leads",
         )
-        if leads.isEmpty():
+        small = leads.filter(F.col("size") <= SETTLE).select("root")
+        found.append(active.join(small, "root", "left_semi").select(*columns).groupBy("root").applyInPandas(_settle, "node long, kept long"))
+        large = leads.filter(F.col("size") > SETTLE)
+        if turn == ROUNDS or large.isEmpty():
             break
-        met = join_counted(active, leads, "root", "size", "inner").filter("node <> kept")
-        schema = "node long, n long, sketch binary, root long, kept long, like boolean"
-        judged = keep(met.select("node", "n", "sketch", "root", "kept", "theirs").mapInArrow(_like, schema), "judged")
-        groups.append(judged.filter("like").select("node", "kept"))
-        active = judged.filter("not like").select("node", "n", "sketch", "root")
-    none = docs.sparkSession.createDataFrame([], "node long, kept long")
-    out = none
-    for g in groups:
-        out = out.unionByName(g)
+        met = join_counted(active, large, "root", "size", "inner").filter("node <> kept")
+        judged = keep(met.select(*columns, "kept", "theirs").mapInArrow(_like, "node long, n long, sketch binary, root long, kept long, like boolean"), "judged")
+        found.append(judged.filter("like").select("node", "kept"))
+        active = judged.filter("not like").select(*columns)
+    out = reduce(DataFrame.unionByName, found)
     return seen.select("doc_id", "node"), out
 
 
