@@ -492,7 +492,9 @@ def test_simhash_edges(edge, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_near_copies_go(spark, empty):
+@pytest.mark.parametrize("settle", [simhash.SETTLE, 1])
+def test_near_copies_go(spark, empty, monkeypatch, settle):
+    monkeypatch.setattr(simhash, "SETTLE", settle)  # 1: by rounds alone
     r = random.Random(5)
     words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(900)]
     texts = [" ".join(r.choice(words) for _ in range(200)) for _ in range(30)]
