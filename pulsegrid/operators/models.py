@@ -8,6 +8,7 @@ on bounded samples and sent to the executors, where rows are scored by batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,7 @@ NUMERIC = (
     "consecutive_passes", "avg_dur_pass_5", "avg_dur_fail_5", "duration_last", "time_since_last",
 )
 LEAST_ROWS = 20
+PARALLEL_FITS = 5
 
 
 # --- flakiness forest ----------------------------------------------------------
@@ -164,7 +166,8 @@ def fit_clusters(results: DataFrame, k: int = 5, starts: int = 10, seed: int = 4
     data = _vectors(rows.groupBy("clean").agg(F.count("*").cast("double").alias("weight")), words, idf)
     data = data.withColumn("features", array_to_vector("v")).coalesce(1).persist()
     n = data.count()
-    models = [KMeans(k=min(k, max(2, n)), seed=seed + s, maxIter=50, weightCol="weight").fit(data) for s in range(starts)]
+    with ThreadPoolExecutor(min(starts, PARALLEL_FITS)) as pool:  # small jobs, side by side
+        models = list(pool.map(lambda s: KMeans(k=min(k, max(2, n)), seed=seed + s, maxIter=50, weightCol="weight").fit(data), range(starts)))
     best = min(models, key=lambda m: m.summary.trainingCost)
     centres = [list(map(float, c)) for c in best.clusterCenters()]
     top = [[words[i] for i in sorted(range(len(words)), key=lambda i: (-c[i], words[i]))[:10]] for c in centres]
