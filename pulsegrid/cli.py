@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import functions as F
 
-from .operators import mapping, models, tests
+from .operators import mapping, models, tests, writeback
 from .session import build
 from .sources import jira, synth
 from .streaming.ingest import Store, ingest
@@ -22,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--out", required=True)
     g.add_argument("--runs", type=int, default=100)
     g.add_argument("--seed", type=int, default=42)
+    g.add_argument("--demo", action="store_true")
     i = c.add_parser("ingest", help="load run folders")
     i.add_argument("--runs-dir", required=True)
     i.add_argument("--force", action="store_true")
@@ -36,12 +38,27 @@ def parser() -> argparse.ArgumentParser:
     u = c.add_parser("duplicates", help="list duplicate defects")
     u.add_argument("--window-days", type=float, default=14.0)
     u.add_argument("--threshold", type=float, default=0.90)
+    f = c.add_parser("fetch", help="load issues over REST (JIRA_BASE_URL, JIRA_EMAIL, JIRA_TOKEN)")
+    f.add_argument("--project", action="append", required=True)
+    f.add_argument("--extra-jql", default=None)
+    f.add_argument("--since-days", type=int, default=None)
+    f.add_argument("--test-connection", action="store_true")
+    w = c.add_parser("sync", help="write confirmed mappings back")
+    w.add_argument("--dry-run", action="store_true")
+    w.add_argument("--force", action="store_true")
+    w.add_argument("--field", default="", help="field that gets the run id")
+    w.add_argument("--field-kind", default="")
+    w.add_argument("--dashboard-url", default=None)
     r = c.add_parser("report", help="print a report")
     r.add_argument("name", choices=["coverage", "anomalies", "flaky", "predictions", "drift", "clusters"])
     r.add_argument("--rows", type=int, default=20)
     return p
 
 
+def _transport() -> jira.Transport:
+    return jira.http_transport(os.environ["JIRA_BASE_URL"], os.environ["JIRA_EMAIL"], os.environ["JIRA_TOKEN"])
+
+
 def frames(store: Store):
     """The stored tables in the shape that the operators take."""
     run = store.table("runs").read().withColumn("_source_db", F.lit("store"))
@@ -53,7 +70,7 @@ def frames(store: Store):
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command == "generate":
-        print(len(synth.write_folders(a.out, synth.Plan(a.runs, a.seed))), "run folders")
+        print(len(synth.write_folders(a.out, synth.Plan(a.runs, a.seed, demo=a.demo))), "run folders")
         return 0
     spark = build(a.master)
     store = Store(spark, a.store)
@@ -66,6 +83,19 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps({"stored": table.replace(rows).count()}))
         else:
             print(json.dumps(table.ignore(rows)))
+    elif a.command == "fetch":
+        client = jira.Client(_transport())
+        if a.test_connection:
+            return 0 if client.test_connection() else 1
+        rows = jira.fetch(spark, client, jira.jql(a.project, a.extra_jql, a.since_days)).withColumn("ingested_at", F.current_timestamp())
+        print(json.dumps({"stored": store.table("jira_defects").replace(rows).count()}))
+    elif a.command == "sync":
+        maps = store.table("defect_test_mappings").read()
+        comments = jira.comment_texts(store.table("jira_defects").read().select("raw_json"))
+        out = writeback.write_back(
+            maps, store.table("jira_sync_log"), comments, writeback.to_tracker(_transport, a.field), a.field_kind, a.dry_run, a.force, a.dashboard_url
+        )
+        (out if a.dry_run else mapping.sync_stats(out)).show(50, False)
     elif a.command == "map":
         _, result = frames(store)
         found = mapping.mappings(store.table("jira_defects").read(), result, a.tester_email, a.window_days, a.min_confidence).withColumn("mapped_at", F.current_timestamp())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..sources.jira import Client
 from . import mapping, state
 
 #: Fixed: the mark and line by which a posted comment is known again.
@@ -57,6 +59,28 @@ def with_field(maps: DataFrame, kind: Column) -> DataFrame:
 Deliver = Callable[[str, str, str | None], None]
 
 
+def to_tracker(transport: Callable[[], Callable], field: str = "") -> Callable[[], Deliver]:
+    """A ``connect`` for :func:`deliver` over the tracker's REST interface;
+    ``transport`` makes a transport in each task, ``field`` names the field that
+    gets the run id, if any."""
+
+    def connect() -> Deliver:
+        client = Client(transport())
+
+        def send(issue: str, comment: str, value: str | None) -> None:
+            status = client.comment(issue, json.loads(comment))
+            if status not in (200, 201):
+                raise RuntimeError(f"comment: status {status}")
+            if field and value is not None:
+                status = client.set_field(issue, field, json.loads(value))
+                if status not in (200, 204):
+                    raise RuntimeError(f"field: status {status}")
+
+        return send
+
+    return connect
+
+
 def deliver(payload: DataFrame, connect: Callable[[], Deliver], pause: float = 0.3) -> DataFrame:
     """Rows of jira_sync_log: one delivery per row, errors recorded as errors.
     ``connect`` is called once per task. A retried task delivers again, which the

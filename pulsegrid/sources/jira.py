@@ -137,6 +137,27 @@ def comment_texts(raw: DataFrame) -> DataFrame:
 Transport = Callable[[str, str, dict, dict | None], tuple[int, dict]]
 
 
+def http_transport(base_url: str, email: str, token: str, timeout: float = 30.0) -> Transport:
+    """JSON over HTTP with basic authentication, from the standard library."""
+    import base64
+    from urllib import error, parse, request
+
+    secret = base64.b64encode(f"{email}:{token}".encode()).decode()
+
+    def send(method: str, path: str, query: dict, body: dict | None) -> tuple[int, dict]:
+        url = base_url.rstrip("/") + path + ("?" + parse.urlencode(query) if query else "")
+        head = {"Authorization": f"Basic {secret}", "Accept": "application/json", "Content-Type": "application/json"}
+        asked = request.Request(url, json.dumps(body).encode() if body is not None else None, head, method=method)
+        try:
+            with request.urlopen(asked, timeout=timeout) as r:
+                text_ = r.read().decode()
+                return r.status, json.loads(text_) if text_ else {}
+        except error.HTTPError as e:
+            return e.code, {}
+
+    return send
+
+
 def jql(projects: list[str], extra: str | None = None, since_days: int | None = None) -> str:
     """Bugs of the projects, newest first; ``since_days`` is honoured if given."""
     parts = ["project IN (" + ", ".join(f'"{p}"' for p in projects) + ")", "issuetype = Bug"]

@@ -79,12 +79,30 @@ TEXTS = {
 }
 
 
+#: Fixed: the demo's messages as (form, choices, keyword), its pressure on flaky
+#: tests by last build, and the least failure odds of its anomalous runs.
+DEMO_TEXTS = {
+    "timeout": ("Element '{}' still visible after {}s timeout", (("loading-spinner", "overlay-modal", "auth-redirect", "session-token"), (15, 20, 30, 45)), "Wait Until Element Is Visible"),
+    "element": ("Element with locator '{}' not found after {} retries", (("id=widget-container", "id=submit-btn", "css=.data-grid", "id=modal-confirm"), (3, 5, 7)), "Click Element"),
+    "assertion": ("Expected HTTP status {}", (("'200' but got '500' — Internal Server Error", "'200' but got '404' — Not Found", "'201' but got '400' — Bad Request"),), "Should Be Equal As Numbers"),
+    "data": ("CSV export contained {} rows — expected at least {} records for {}", ((0, 1, 2), (50, 100, 200), ("Oct 2026", "last 30 days", "Q4 2026")), "Verify Row Count"),
+}
+DEMO_PRESSURE = ((25, 0.65), (35, 0.60), (45, 0.55), (75, 0.35), (10**9, 0.15))
+DEMO_ANOMALY = 0.80
+
+
 @dataclass(frozen=True)
 class Plan:
+    """``demo`` draws the demo data set: its own failure odds, messages and ids."""
+
     runs: int = 100
     seed: int = 42
     start: str = "2026-01-01"
     hours: int = 24
+    demo: bool = False
+
+
+DEMO = Plan(start="2026-10-01", demo=True)
 
 
 def program(n: int, runs: int) -> str:
@@ -139,27 +157,44 @@ def _outcomes(n: int, rng: np.random.Generator) -> list[bool]:
     return ok
 
 
+def _demo_outcomes(n: int, rng: np.random.Generator) -> list[bool]:
+    pressure = next(x for last, x in DEMO_PRESSURE if n <= last)
+    odds = [max(t[4], DEMO_ANOMALY) if n in ANOMALOUS else min(0.95, t[4] * (1 + pressure)) for t in TESTS]
+    return [rng.random() >= p for p in odds]
+
+
+def _message(test: tuple, n: int, plan: Plan, rng: np.random.Generator) -> tuple[str | None, str | None]:
+    if not plan.demo:
+        form, keyword = TEXTS[_family(test, n, rng)]
+        return form.format(n=int(rng.integers(1, 10))), keyword
+    if test[5] is None:
+        return None, None
+    form, choices, keyword = DEMO_TEXTS[test[5] if rng.random() < test[7] else test[6]]
+    return form.format(*(c[int(rng.integers(len(c)))] for c in choices)), keyword
+
+
 def run_rows(n: int, plan: Plan) -> dict:
     """One run with its results."""
     rng = np.random.default_rng([plan.seed, n])
+    prefix = "TeamAlpha" if plan.demo else program(n, plan.runs)
     at = datetime.fromisoformat(plan.start) + timedelta(hours=plan.hours * (n - 1))
     results = []
-    for test, ok in zip(TESTS, _outcomes(n, rng), strict=True):
+    for test, ok in zip(TESTS, (_demo_outcomes if plan.demo else _outcomes)(n, rng), strict=True):
         name, feature, priority = test[:3]
         seconds = rng.uniform(*DURATIONS.get(name, lambda _: (1.2, 8.5))(n)) + (0.0 if ok else rng.uniform(5.0, 15.0))
-        message, keyword = TEXTS[_family(test, n, rng)] if not ok else (None, None)
+        message, keyword = (None, None) if ok else _message(test, n, plan, rng)
         results.append(
             {
                 "test_name": name, "status": "PASS" if ok else "FAIL", "duration_s": round(float(seconds), 3),
-                "failure_msg": message and message.format(n=int(rng.integers(1, 10))), "failure_kw": keyword,
-                "tags": [f"{program(n, plan.runs)}_regression", f"feature_{feature}", f"priority_{priority}"],
+                "failure_msg": message, "failure_kw": keyword,
+                "tags": ["alpha_regression" if plan.demo else f"{prefix}_regression", f"feature_{feature}", f"priority_{priority}"],
             }
         )
     bad = sum(r["status"] == "FAIL" for r in results)
     return {
-        "run_id": f"{program(n, plan.runs)}_build_{n:03d}", "team": "TeamAlpha", "suite_name": "Suite_Regression_TeamAlpha", "build_no": n, "timestamp": at,
+        "run_id": f"{prefix}_build_{n:03d}", "team": "TeamAlpha", "suite_name": "Suite_Regression_TeamAlpha", "build_no": n, "timestamp": at,
         "duration_s": round(sum(r["duration_s"] for r in results), 3), "total": len(results), "passed": len(results) - bad, "failed": bad,
-        "pass_rate_pct": round(100 * (len(results) - bad) / len(results), 1), "environment": "staging", "executor": "jenkins-agent-01", "results": results,
+        "pass_rate_pct": round(100 * (len(results) - bad) / len(results), 1), "environment": "staging", "executor": f"jenkins-agent-{n % 3 + 1:02d}" if plan.demo else "jenkins-agent-01", "results": results,
     }
 
 
@@ -178,7 +213,7 @@ def history(spark: SparkSession, plan: Plan = Plan()) -> tuple[DataFrame, DataFr
             if len(b):
                 yield pd.DataFrame([run_rows(int(n), plan) for n in b["id"]])
 
-    every = spark.range(1, plan.runs + 1).mapInPandas(make, RUN).withColumn("_source_db", F.lit("synthetic"))
+    every = spark.range(1, plan.runs + 1).mapInPandas(make, RUN).withColumn("_source_db", F.lit("demo" if plan.demo else "synthetic"))
     results = every.select(
         "run_id", "build_no", "team", "suite_name", "_source_db", F.col("timestamp").alias("run_timestamp"), F.col("pass_rate_pct").alias("run_pass_rate"), F.explode("results").alias("r")
     ).select("*", "r.*").drop("r").withColumn("result_id", F.concat_ws("_", "run_id", "test_name")).withColumn("tags", F.to_json("tags"))

@@ -184,3 +184,44 @@ def test_planted_effects_are_found(spark, tmp_path):
     assert [r.cluster_category for r in got] == ["environment", "data"] and got[0].confidence == 1.0
     scored = models.validated_forest(result)
     assert scored["test_auc"].first().auc > 0.75
+
+
+def test_demo_history(spark):
+    run, result = synth.history(spark, synth.DEMO)
+    assert run.count() == 100 and result.count() == 2000 and result.filter("_source_db <> 'demo'").count() == 0
+    rate = {r.build_no: r.pass_rate_pct for r in run.collect()}
+    assert max(rate[36], rate[37]) < 50 and rate[90] > rate[36]
+    assert result.filter("status = 'FAIL' and failure_msg is null and build_no not in (36, 37)").count() == 0
+    assert result.filter("status = 'PASS' and failure_msg is not null").count() == 0
+
+
+def test_command_line(tmp_path, spark, capsys):
+    from pulsegrid import cli
+
+    store, root = str(tmp_path / "s"), str(tmp_path / "r")
+    cli.main(["--store", store, "generate", "--out", root, "--runs", "3"])
+    (tmp_path / "d.json").write_text(json.dumps([{"key": "D-1", "summary": "TC_Login_OAuthCallback spinner timeout", "created": "2026-01-02T00:00:00.000+0000", "project": "P"}]))
+    cli.main(["--store", store, "ingest", "--runs-dir", root])
+    cli.main(["--store", store, "defects", "--file", str(tmp_path / "d.json")])
+    cli.main(["--store", store, "map"])
+    cli.main(["--store", store, "sync", "--dry-run"])
+    cli.main(["--store", store, "report", "coverage"])
+    out = capsys.readouterr().out
+    assert '"runs": 3' in out and '"inserted": 1' in out and "total_defects" in out
+
+
+def test_delivery_over_rest(monkeypatch):
+    sent = []
+
+    def transport():
+        return lambda method, path, query, body: sent.append((method, path, body)) or (201 if method == "POST" else 500, {})
+
+    monkeypatch.setattr("pulsegrid.sources.jira.time.sleep", lambda s: None)
+    monkeypatch.setattr(writeback, "Client", lambda t: jira.Client(t, sleep=lambda s: None))
+    send = writeback.to_tracker(transport, "customfield_1")()
+    try:
+        send("D-1", '{"a": 1}', '["run"]')
+    except RuntimeError as e:
+        assert "field" in str(e)
+    assert sent[0] == ("POST", "/rest/api/3/issue/D-1/comment", {"body": {"a": 1}})
+    assert sent[1] == ("PUT", "/rest/api/3/issue/D-1", {"fields": {"customfield_1": ["run"]}})
