@@ -22,12 +22,15 @@ QUERIES: dict[str, Query] = {}
 ROWS_ONLY: set[str] = set()
 
 
-def r4(c: str | Column, name: str | None = None) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, 4).alias(name) if name else F.round(c, 4)
+#: Beyond the digits of means over few values, short of the noise of summing.
+PLACES = 9
 
 
-def rounded(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
+def digits(c: str, name: str) -> Column:
+    return F.round(c, PLACES).alias(name)
+
+
+def rounded(df: DataFrame, *columns: str, places: int = PLACES) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
@@ -117,12 +120,12 @@ def run_anomaly_zscore(fr):
 @query
 def run_features(fr):
     t = runs.run_features(fr.runs, fr.results)
-    return t.select("run_id", *[r4(c, c) for c in ("pass_rate_change", "fail_rate_prev", "deviation", "duration_change", "avg_duration_s")])
+    return t.select("run_id", *[digits(c, c) for c in ("pass_rate_change", "fail_rate_prev", "deviation", "duration_change", "avg_duration_s")])
 
 
 @query
 def run_features_notebook(fr):
-    return runs.run_features_notebook(fr.runs).select("run_id", *[r4(c, c) for c in ("pass_rate_change", "fail_rate_prev", "deviation")])
+    return runs.run_features_notebook(fr.runs).select("run_id", *[digits(c, c) for c in ("pass_rate_change", "fail_rate_prev", "deviation")])
 
 
 @query
@@ -232,7 +235,7 @@ def duration_forecast(fr):
 @query
 def regression_features(fr):
     t = tests.regression_features(fr.results)
-    return t.select("test_name", "run_id", *[F.round(c, 9).alias(c) for c in ("log_duration", "expanding_mean", "rolling_mean_5", "rolling_std_5", "prev_duration")])
+    return t.select("test_name", "run_id", *[digits(c, c) for c in ("log_duration", "expanding_mean", "rolling_mean_5", "rolling_std_5", "prev_duration")])
 
 
 @query
@@ -403,7 +406,7 @@ def tfidf_top_terms(fr):
 @query
 def defect_candidates_band(fr):
     t = mapping.candidates(defects(fr, False), fr.results)
-    return t.select("defect_id", "result_id", r4("date_diff_days", "date_diff_days"))
+    return t.select("defect_id", "result_id", digits("date_diff_days", "date_diff_days"))
 
 
 @query

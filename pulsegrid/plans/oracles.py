@@ -94,26 +94,26 @@ oracle("top_failing_tests", """SELECT test_name, count(*) AS total_runs, cast(su
     round(sum(CASE WHEN status = 'FAIL' THEN 1 ELSE 0 END) * 100.0 / count(*), 1) AS fail_rate_pct FROM results JOIN runs USING (run_id) WHERE runs.team = 'TeamAlpha'
     GROUP BY 1 ORDER BY fail_count DESC, test_name LIMIT 5""")
 oracle("pass_rate_by_run", "SELECT run_id, timestamp, pass_rate_pct FROM runs WHERE team = 'TeamAlpha'")
-oracle("run_anomaly_zscore", "SELECT run_id, pass_rate_pct, round(roll_mean, 4) AS roll_mean, round(roll_std, 4) AS roll_std, round(z_score, 4) AS z_score, coalesce(z_score >= 2, false) AS anomaly FROM rolled", "rolled")
-oracle("run_features", """SELECT run_id, round(coalesce(pass_rate_pct - lag(pass_rate_pct) OVER w, 0.0), 4) AS pass_rate_change, round(coalesce(lag(failed / greatest(total, 1)) OVER w, 0.0), 4) AS fail_rate_prev,
-    round(coalesce(roll_mean, pass_rate_pct) - pass_rate_pct, 4) AS deviation, round(duration_s / nullif(lag(duration_s) OVER w, 0), 4) AS duration_change, round(coalesce(avg_d, 0.0), 4) AS avg_duration_s
+oracle("run_anomaly_zscore", "SELECT run_id, pass_rate_pct, round(roll_mean, 9) AS roll_mean, round(roll_std, 9) AS roll_std, round(z_score, 9) AS z_score, coalesce(z_score >= 2, false) AS anomaly FROM rolled", "rolled")
+oracle("run_features", """SELECT run_id, round(coalesce(pass_rate_pct - lag(pass_rate_pct) OVER w, 0.0), 9) AS pass_rate_change, round(coalesce(lag(failed / greatest(total, 1)) OVER w, 0.0), 9) AS fail_rate_prev,
+    round(coalesce(roll_mean, pass_rate_pct) - pass_rate_pct, 9) AS deviation, round(duration_s / nullif(lag(duration_s) OVER w, 0), 9) AS duration_change, round(coalesce(avg_d, 0.0), 9) AS avg_duration_s
     FROM rolled LEFT JOIN (SELECT run_id, avg(duration_s) AS avg_d FROM results GROUP BY 1) USING (run_id) WINDOW w AS (PARTITION BY team, _source_db ORDER BY build_no)""", "rolled")
-oracle("run_features_notebook", """SELECT run_id, round(pass_rate_pct - lag(pass_rate_pct) OVER w, 4) AS pass_rate_change, round(lag(failed / nullif(total, 0)) OVER w, 4) AS fail_rate_prev,
-    round(CASE WHEN count(*) OVER t >= 3 THEN avg(pass_rate_pct) OVER t END - pass_rate_pct, 4) AS deviation FROM runs
+oracle("run_features_notebook", """SELECT run_id, round(pass_rate_pct - lag(pass_rate_pct) OVER w, 9) AS pass_rate_change, round(lag(failed / nullif(total, 0)) OVER w, 9) AS fail_rate_prev,
+    round(CASE WHEN count(*) OVER t >= 3 THEN avg(pass_rate_pct) OVER t END - pass_rate_pct, 9) AS deviation FROM runs
     WINDOW w AS (PARTITION BY team, _source_db ORDER BY build_no), t AS (PARTITION BY team, _source_db ORDER BY build_no ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 oracle("week_on_week", """, wk AS (SELECT run_id, cast((build_no - 1) // 7 + 1 AS integer) AS week, pass_rate_pct FROM runs), rate AS (SELECT week, avg(pass_rate_pct) AS a FROM wk GROUP BY 1),
     st AS (SELECT week, test_name, max(CASE WHEN status = 'FAIL' THEN 1 ELSE 0 END) AS bad FROM results JOIN wk USING (run_id) GROUP BY 1, 2),
     mv AS (SELECT coalesce(c.week, p.week + 1) AS week, count(*) FILTER (coalesce(p.bad, 0) = 0 AND coalesce(c.bad, 0) = 1) AS nf, count(*) FILTER (coalesce(p.bad, 0) = 1 AND coalesce(c.bad, 0) = 0) AS fx
     FROM st c FULL JOIN st p ON c.test_name = p.test_name AND c.week = p.week + 1 GROUP BY 1)
     SELECT *, CASE WHEN pass_rate_delta >= 2 THEN 'up' WHEN pass_rate_delta <= -2 THEN 'down' ELSE 'flat' END AS direction FROM (
-    SELECT t.week, round(CASE WHEN l.a IS NULL THEN 0.0 ELSE t.a - l.a END, 4) AS pass_rate_delta, round(CASE WHEN l.a IS NULL THEN 0.0 ELSE t.a END, 4) AS this_avg, round(coalesce(l.a, 0.0), 4) AS last_avg,
+    SELECT t.week, round(CASE WHEN l.a IS NULL THEN 0.0 ELSE t.a - l.a END, 9) AS pass_rate_delta, round(CASE WHEN l.a IS NULL THEN 0.0 ELSE t.a END, 9) AS this_avg, round(coalesce(l.a, 0.0), 9) AS last_avg,
     CASE WHEN l.a IS NULL THEN 0 ELSE nf END AS new_failures, CASE WHEN l.a IS NULL THEN 0 ELSE fx END AS tests_fixed FROM rate t LEFT JOIN rate l ON l.week + 1 = t.week LEFT JOIN mv ON mv.week = t.week)""")
-oracle("weekly_health", """SELECT week, round(avg(pass_rate_pct), 4) AS avg_rate, max(pass_rate_pct) AS best_rate, min(pass_rate_pct) AS worst_rate, arg_max(run_id, build_no) AS latest_run, arg_max(pass_rate_pct, build_no) AS latest_rate,
+oracle("weekly_health", """SELECT week, round(avg(pass_rate_pct), 9) AS avg_rate, max(pass_rate_pct) AS best_rate, min(pass_rate_pct) AS worst_rate, arg_max(run_id, build_no) AS latest_run, arg_max(pass_rate_pct, build_no) AS latest_rate,
     CASE WHEN arg_max(pass_rate_pct, build_no) >= 80 THEN 'HEALTHY' WHEN arg_max(pass_rate_pct, build_no) >= 60 THEN 'WARNING' ELSE 'AT RISK' END AS band
     FROM (SELECT *, cast((build_no - 1) // 7 + 1 AS integer) AS week FROM runs) GROUP BY 1""")
-oracle("bi_measures", """SELECT round(sum(passed) / sum(total), 4) AS pass_rate, round(sum(failed) / sum(total), 4) AS failure_rate, round(avg(duration_s), 4) AS avg_duration_s,
+oracle("bi_measures", """SELECT round(sum(passed) / sum(total), 9) AS pass_rate, round(sum(failed) / sum(total), 9) AS failure_rate, round(avg(duration_s), 9) AS avg_duration_s,
     (SELECT count(*) FROM (SELECT test_name FROM results GROUP BY 1 HAVING count(DISTINCT status) > 1)) AS flaky_tests FROM runs""")
-oracle("executor_performance", "SELECT executor, count(*) AS n_runs, round(avg(pass_rate_pct), 4) AS avg_rate, round(avg(duration_s), 4) AS avg_duration_s FROM runs GROUP BY 1")
+oracle("executor_performance", "SELECT executor, count(*) AS n_runs, round(avg(pass_rate_pct), 9) AS avg_rate, round(avg(duration_s), 9) AS avg_duration_s FROM runs GROUP BY 1")
 oracle("pass_fail_per_run", "SELECT run_id, timestamp, passed, failed, pass_rate_pct, duration_s FROM runs WHERE timestamp >= '2024-01-05' AND timestamp < '2024-01-25'")
 oracle("dashboard_header", "SELECT arg_max(run_id, build_no) AS latest_run, 'Alpha' AS programs, count(*) AS n_runs FROM runs")
 oracle("load_expectations", """SELECT *, n_results >= n_runs * 20 AS enough_results FROM (SELECT count(*) AS n_runs, count(DISTINCT run_id) AS distinct_runs, min(timestamp) AS first_run, max(timestamp) AS last_run FROM runs),
@@ -127,7 +127,7 @@ _FLAKY = """cast(sum(CASE WHEN status = 'FAIL' THEN 1 ELSE 0 END) AS bigint) AS
 oracle("flaky_scores_pipeline", f"SELECT _source_db, test_name, cast(greatest(sum(CASE WHEN status IS DISTINCT FROM prev THEN 1 ELSE 0 END) - 1, 0) AS bigint) AS flip_count, {_FLAKY} GROUP BY 1, 2")
 oracle("flaky_scores_dashboard", f"SELECT test_name, cast(sum(CASE WHEN status <> prev THEN 1 ELSE 0 END) AS bigint) AS flip_count, {_FLAKY} GROUP BY 1")
 oracle("recent_history", "SELECT * FROM history", "history")
-oracle("duration_series_roll5", """SELECT run_id, cast(row_number() OVER (ORDER BY build_no) AS integer) AS run_num, status, duration_s, round(CASE WHEN count(*) OVER f >= 2 THEN avg(duration_s) OVER f END, 4) AS rolling_5
+oracle("duration_series_roll5", """SELECT run_id, cast(row_number() OVER (ORDER BY build_no) AS integer) AS run_num, status, duration_s, round(CASE WHEN count(*) OVER f >= 2 THEN avg(duration_s) OVER f END, 9) AS rolling_5
     FROM results WHERE test_name = 'TC_User_07' WINDOW f AS (ORDER BY build_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 oracle("flakiness_features", """, base AS (SELECT r.*, u.pass_rate_pct AS run_pass_rate, CASE WHEN status = 'FAIL' THEN 1 ELSE 0 END AS bad FROM results r JOIN runs u USING (run_id)),
     num AS (SELECT *, row_number() OVER w AS rn, lead(bad) OVER w AS target, lead(build_no) OVER w AS build_no_target, lag(run_timestamp) OVER w AS before, CASE WHEN status <> lag(status) OVER w THEN 1 ELSE 0 END AS flip
@@ -138,12 +138,12 @@ oracle("flakiness_features", """, base AS (SELECT r.*, u.pass_rate_pct AS run_pa
         list(CASE WHEN status = 'PASS' THEN duration_s END) OVER v AS lp, list(CASE WHEN status = 'FAIL' THEN duration_s END) OVER v AS lf
         FROM num WINDOW v AS (PARTITION BY test_name ORDER BY build_no ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
     out AS (SELECT *, list_avg(list_filter(lp, lambda x: x IS NOT NULL)[-5:]) AS dp, list_avg(list_filter(lf, lambda x: x IS NOT NULL)[-5:]) AS df FROM win WHERE rn > 10 AND target IS NOT NULL)
-    SELECT test_name, run_id, build_no_target, round(f5, 4) AS fail_rate_last_5, round(f10, 4) AS fail_rate_last_10, round(f20, 4) AS fail_rate_last_20, cast(flips AS bigint) AS flip_count_last_w, round(flips / greatest(n - 1, 1), 4) AS flip_rate_last_w,
-    cast(cf AS bigint) AS consecutive_failures, cast(cp AS bigint) AS consecutive_passes, round(coalesce(dp, (SELECT median(dp) FROM out)), 4) AS avg_dur_pass_5, round(coalesce(df, (SELECT median(df) FROM out)), 4) AS avg_dur_fail_5,
-    round(duration_s, 4) AS duration_last, round(coalesce((epoch_us(run_timestamp) - epoch_us(before)) / 86400000000.0, 1.0), 4) AS time_since_last, run_pass_rate,
+    SELECT test_name, run_id, build_no_target, round(f5, 9) AS fail_rate_last_5, round(f10, 9) AS fail_rate_last_10, round(f20, 9) AS fail_rate_last_20, cast(flips AS bigint) AS flip_count_last_w, round(flips / greatest(n - 1, 1), 9) AS flip_rate_last_w,
+    cast(cf AS bigint) AS consecutive_failures, cast(cp AS bigint) AS consecutive_passes, round(coalesce(dp, (SELECT median(dp) FROM out)), 9) AS avg_dur_pass_5, round(coalesce(df, (SELECT median(df) FROM out)), 9) AS avg_dur_fail_5,
+    round(duration_s, 9) AS duration_last, round(coalesce((epoch_us(run_timestamp) - epoch_us(before)) / 86400000000.0, 1.0), 9) AS time_since_last, run_pass_rate,
     json_extract_string(tags, '$[1]') AS feature_tag, json_extract_string(tags, '$[2]') AS priority_tag, target FROM out""")
-oracle("drift_flags", "SELECT result_id, round(z, 4) AS z_duration, drift_flagged, drift_confirmed FROM drifted", "slow", "drifted")
-ORACLES["drift_flags_notebook"] = "WITH " + ", ".join([adapter.DUCK_FRAMES.strip(), _EXTRA["slow"], _drift(30, "stddev_samp", 0)]) + "\nSELECT result_id, round(z, 4) AS z_duration, drift_flagged, drift_confirmed FROM drifted"
+oracle("drift_flags", "SELECT result_id, round(z, 9) AS z_duration, drift_flagged, drift_confirmed FROM drifted", "slow", "drifted")
+ORACLES["drift_flags_notebook"] = "WITH " + ", ".join([adapter.DUCK_FRAMES.strip(), _EXTRA["slow"], _drift(30, "stddev_samp", 0)]) + "\nSELECT result_id, round(z, 9) AS z_duration, drift_flagged, drift_confirmed FROM drifted"
 oracle("drift_report", "SELECT * FROM report", *_DRIFT)
 oracle("non_drifting_tests", "SELECT DISTINCT test_name FROM results WHERE test_name NOT IN (SELECT test_name FROM report)", *_DRIFT)
 oracle("duration_forecast", """, p AS (SELECT test_name, count(*) AS n, avg(duration_s) FILTER (back <= 5) AS pred, stddev_pop(duration_s) FILTER (back <= 5) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY test_name ORDER BY build_no DESC) AS back FROM slow WHERE status = 'PASS') GROUP BY 1)
@@ -162,7 +162,7 @@ oracle("prioritisation", """, s AS (SELECT test_name, coalesce(failure_probabili
     SELECT cast(row_number() OVER (ORDER BY priority_score DESC, test_name) AS integer) AS priority_rank, test_name, round_even(p * 100, 1) AS flakiness_probability, round_even(d, 2) AS predicted_duration_s, fr AS historical_failure_rate, priority_score,
     CASE WHEN p >= 0.7 OR priority_score >= 0.65 THEN 'Isolate' WHEN p >= 0.4 OR fr >= 30 THEN 'Execute Early' WHEN p >= 0.25 THEN 'Retry Automatically' ELSE 'Monitor' END AS recommendation FROM q ORDER BY 1 LIMIT 25""", *_DRIFT, "history", "stand")
 oracle("risk_scores", """, q AS (SELECT test_name, failure_probability * (1 + coalesce(percent_increase, 0.0) / 100) / nullif(d, 0) AS s FROM stand LEFT JOIN report USING (test_name)
-    LEFT JOIN (SELECT test_name, round(avg(duration_s), 4) AS d FROM slow GROUP BY 1) USING (test_name)) SELECT test_name, round(s, 4) AS risk_score,
+    LEFT JOIN (SELECT test_name, round(avg(duration_s), 9) AS d FROM slow GROUP BY 1) USING (test_name)) SELECT test_name, round(s, 9) AS risk_score,
     CASE WHEN s >= (SELECT quantile_cont(s, 0.75) FROM q) THEN 'High' WHEN s >= (SELECT quantile_cont(s, 0.25) FROM q) THEN 'Medium' ELSE 'Low' END AS tier FROM q""", *_DRIFT, "history", "stand")
 oracle("multi_source_union", "SELECT _source_db, status, count(*) AS n FROM (SELECT result_id, status, 'alpha' AS _source_db FROM results UNION ALL SELECT result_id, status, 'beta' FROM results WHERE build_no <= 10) GROUP BY ALL")
 oracle("failure_category_counts", "SELECT dashboard AS category, count(*) AS n FROM failed GROUP BY 1", "failed")
@@ -183,7 +183,7 @@ oracle("cluster_trends", "SELECT * FROM trend", "failed", "trend")
 oracle("peak_windows", """, spans AS (SELECT a.category, w.width, a.build_no AS s, max(b.build_no) AS e, sum(b.n) AS score, max(b.n) AS top FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY build_no) AS k FROM trend) a
     CROSS JOIN range(4, 15) w(width) JOIN (SELECT *, row_number() OVER (PARTITION BY category ORDER BY build_no) AS k FROM trend) b ON a.category = b.category AND b.k BETWEEN a.k AND a.k + w.width - 1 GROUP BY ALL HAVING count(*) = w.width),
     st AS (SELECT category, avg(n) AS mean, sum(n) AS total FROM trend GROUP BY 1)
-    SELECT category, s AS build_start, e AS build_end, round(top / mean, 4) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, width, s) AS k FROM spans JOIN st USING (category)
+    SELECT category, s AS build_start, e AS build_end, round(top / mean, 9) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, width, s) AS k FROM spans JOIN st USING (category)
     WHERE total >= 3 AND mean > 0 AND score / width >= mean * 1.35) WHERE k = 1""", "failed", "trend")
 oracle("cluster_summary", "SELECT idx AS cluster_label, label AS cluster_category, count(*) AS size FROM failed GROUP BY 1, 2", "failed")
 _CROSS = "SELECT test_name, count(*) FILTER (status = 'PASS') AS p, count(*) FILTER (status = 'FAIL') AS f FROM results GROUP BY 1"
@@ -208,8 +208,8 @@ oracle("tfidf_top_terms", r""", d AS (SELECT result_id AS doc, label AS grp, reg
     raw AS (SELECT doc, term, (1.0 + ln(tf)) * (ln(((SELECT count(DISTINCT doc) FROM d) + 1.0) / (df + 1.0)) + 1.0) AS raw FROM tf JOIN df USING (term)),
     wt AS (SELECT doc, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS weight FROM raw),
     g AS (SELECT grp, term, sum(weight) / any_value(n) AS score FROM wt JOIN d USING (doc) JOIN (SELECT grp, count(*) AS n FROM d GROUP BY 1) USING (grp) GROUP BY 1, 2)
-    SELECT grp, term, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(score, 9) DESC, term) AS k FROM g WHERE score > 0) WHERE k <= 8""", "failed")
-oracle("defect_candidates_band", "SELECT defect_id, result_id, round(date_diff_days, 4) AS date_diff_days FROM pairs", "defects2", "results2", "pairs")
+    SELECT grp, term, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(score, 9) DESC, term) AS k FROM g WHERE score > 0) WHERE k <= 8""", "failed")
+oracle("defect_candidates_band", "SELECT defect_id, result_id, round(date_diff_days, 9) AS date_diff_days FROM pairs", "defects2", "results2", "pairs")
 _REASON = """array_to_string(list_filter([CASE WHEN exact THEN 'exact test name ''' || test_name || ''' in defect text' END,
     CASE WHEN NOT exact AND len(stem) > 0 THEN 'stem word overlap [''' || array_to_string(list_sort(stem), ''', ''') || ''']' END,
     CASE WHEN len(hit) > 0 THEN 'failure keyword overlap [''' || array_to_string(list_sort(hit), ''', ''') || ''']' END, 'semantic: model unavailable (rule-only)'], lambda x: x IS NOT NULL), '; ')"""
@@ -236,21 +236,21 @@ ORACLES["embedding_max_similarity"] = """SELECT a.vec_id AS id, round(max(list_c
 oracle("registry_link_class", "SELECT d.defect_id, any_value(d.project) AS project, CASE max(m.confirmed) WHEN 1 THEN 'confirmed' WHEN 0 THEN 'candidate' ELSE 'unmapped' END AS link_class FROM defects d LEFT JOIN rmaps m USING (defect_id) GROUP BY 1", *_RMAPS)
 oracle("multi_test_defects", "SELECT defect_id, count(DISTINCT test_name) AS n_tests FROM rmaps GROUP BY 1 HAVING count(DISTINCT test_name) > 1", *_RMAPS)
 _NUM = ("build_no", "duration_s", "run_pass_rate", "test_no")
-oracle("correlation", ", c AS (SELECT r.build_no, r.duration_s, u.pass_rate_pct AS run_pass_rate, r.idx AS test_no FROM results r JOIN runs u USING (run_id)) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r FROM c" for i, a in enumerate(_NUM) for b in _NUM[i:]))
-oracle("percentiles", "SELECT test_name, " + ", ".join(f"round(quantile_cont(duration_s, {p}), 4) AS p{round(p * 100)}" for p in (0.5, 0.75, 0.9, 0.95)) + " FROM results GROUP BY 1")
+oracle("correlation", ", c AS (SELECT r.build_no, r.duration_s, u.pass_rate_pct AS run_pass_rate, r.idx AS test_no FROM results r JOIN runs u USING (run_id)) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 9) AS r FROM c" for i, a in enumerate(_NUM) for b in _NUM[i:]))
+oracle("percentiles", "SELECT test_name, " + ", ".join(f"round(quantile_cont(duration_s, {p}), 9) AS p{round(p * 100)}" for p in (0.5, 0.75, 0.9, 0.95)) + " FROM results GROUP BY 1")
 oracle("histogram", "SELECT cast(least(floor((duration_s - lo) / (hi - lo) * 25), 24) AS integer) AS bin, count(*) AS n FROM results, (SELECT min(duration_s) AS lo, max(duration_s) AS hi FROM results) GROUP BY 1")
 oracle("one_hot", "SELECT result_id, " + ", ".join(f"CASE WHEN json_extract_string(tags, '$[1]') = '{v}' THEN 1 ELSE 0 END AS tag_{v}" for v in ("feature_login", "feature_usermgmt")) + " FROM results")
-oracle("standard_scaling", "SELECT run_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 4) AS {c}" for c in ("pass_rate_pct", "duration_s")) + " FROM runs")
-oracle("class_balance", "SELECT count(*) AS n, cast(sum(target) AS bigint) AS positive, round(avg(target), 4) AS share FROM featured", "featured")
-oracle("confusion_metrics", """SELECT tp, fp, fn, tn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 4) AS f1, round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy
+oracle("standard_scaling", "SELECT run_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 9) AS {c}" for c in ("pass_rate_pct", "duration_s")) + " FROM runs")
+oracle("class_balance", "SELECT count(*) AS n, cast(sum(target) AS bigint) AS positive, round(avg(target), 9) AS share FROM featured", "featured")
+oracle("confusion_metrics", """SELECT tp, fp, fn, tn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 9) AS f1, round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy
     FROM (SELECT count(*) FILTER (s AND t) AS tp, count(*) FILTER (s AND NOT t) AS fp, count(*) FILTER (NOT s AND t) AS fn, count(*) FILTER (NOT s AND NOT t) AS tn FROM (SELECT score::double >= 0.75 AS s, target = 1 AS t FROM featured))""", "featured")
-oracle("roc_auc", ", g AS (SELECT round(score, 3) AS s, count(*) FILTER (target = 1) AS p, count(*) FILTER (target = 0) AS n FROM featured GROUP BY 1) SELECT round(sum(p * (below + n / 2.0)) / (sum(p) * sum(n)), 4) AS auc FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)", "featured")
-oracle("roc_curve", ", g AS (SELECT round(score::double, 1) AS s, count(*) FILTER (target = 1) AS p, count(*) FILTER (target = 0) AS n FROM featured GROUP BY 1) SELECT s AS threshold, round(sum(p) OVER (ORDER BY s DESC) / sum(p) OVER (), 4) AS tpr, round(sum(n) OVER (ORDER BY s DESC) / sum(n) OVER (), 4) AS fpr FROM g", "featured")
+oracle("roc_auc", ", g AS (SELECT round(score, 3) AS s, count(*) FILTER (target = 1) AS p, count(*) FILTER (target = 0) AS n FROM featured GROUP BY 1) SELECT round(sum(p * (below + n / 2.0)) / (sum(p) * sum(n)), 9) AS auc FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)", "featured")
+oracle("roc_curve", ", g AS (SELECT round(score::double, 1) AS s, count(*) FILTER (target = 1) AS p, count(*) FILTER (target = 0) AS n FROM featured GROUP BY 1) SELECT s AS threshold, round(sum(p) OVER (ORDER BY s DESC) / sum(p) OVER (), 9) AS tpr, round(sum(n) OVER (ORDER BY s DESC) / sum(n) OVER (), 9) AS fpr FROM g", "featured")
 oracle("adjusted_rand_index", """, c AS (SELECT label AS a, dashboard AS b, count(*) AS n FROM failed WHERE trim(failure_msg) <> '' GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM c) AS ij, (SELECT sum(n) FROM c) AS t,
     (SELECT sum(n * (n - 1) / 2.0) FROM (SELECT sum(n) AS n FROM c GROUP BY a)) AS i, (SELECT sum(n * (n - 1) / 2.0) FROM (SELECT sum(n) AS n FROM c GROUP BY b)) AS j)
-    SELECT round((ij - i * j / (t * (t - 1) / 2.0)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2.0)), 4) AS ari FROM s""", "failed")
+    SELECT round((ij - i * j / (t * (t - 1) / 2.0)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2.0)), 9) AS ari FROM s""", "failed")
 oracle("mode_by_test", "SELECT test_name, failure_kw AS mode FROM (SELECT test_name, failure_kw, row_number() OVER (PARTITION BY test_name ORDER BY count(*) DESC, failure_kw) AS k FROM failed GROUP BY 1, 2) WHERE k = 1", "failed")
-oracle("duration_by_status", "SELECT status, round(avg(duration_s), 4) AS mean, round(min(duration_s), 4) AS min, round(max(duration_s), 4) AS max FROM results GROUP BY 1")
+oracle("duration_by_status", "SELECT status, round(avg(duration_s), 9) AS mean, round(min(duration_s), 9) AS min, round(max(duration_s), 9) AS max FROM results GROUP BY 1")
 oracle("upsert_ignore", "SELECT * FROM old UNION ALL SELECT * FROM new WHERE run_id NOT IN (SELECT run_id FROM old)", "oldnew")
 oracle("upsert_replace", "SELECT * FROM new UNION ALL SELECT * FROM old WHERE run_id NOT IN (SELECT run_id FROM new)", "oldnew")
 oracle("not_ingested", "SELECT run_id FROM new WHERE run_id NOT IN (SELECT run_id FROM old)", "oldnew")
