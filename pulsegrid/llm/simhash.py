@@ -321,8 +321,10 @@ SKETCH = 256
 #: Texts of a group that one task settles.
 SETTLE = 256
 #: Ways in which the texts of larger components are grouped anew, each by another
-#: minimum of their sketch: texts 0.8 alike miss all of them once in 2,000,000.
-REGROUPS = 9
+#: minimum of their sketch: texts 0.8 alike miss one way with probability 0.2 and
+#: all once in 2,000,000. From the fifth on, a way that finds nothing is the last,
+#: so a pair that is left has missed at least five (1 in 3,000).
+REGROUPS, LEAST_REGROUPS = 9, 5
 
 
 def word_set_simhash(data: bytes) -> int:
@@ -427,8 +429,8 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Components of up to SETTLE proposed texts are settled in one task: by falling
     number of copies, a text goes if it is like one that stays. Fingerprints may
     also chain unlike texts to larger components; of these, what is like the most
-    copied text goes first, by a join, and the rest is grouped anew, REGROUPS
-    times, by minima of the sketches, which like texts share with probability 0.8
+    copied text goes first, by a join, and the rest is grouped anew, up to
+    REGROUPS times, by minima of the sketches, which like texts share with probability 0.8
     or more and unlike ones do not.
     """
     seen = keep(_described(docs), "described")
@@ -462,7 +464,7 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             rest = None
         gone = keep(gone, "gone", "lz4_raw")
         found.append(gone)
-        if rest is None or turn == REGROUPS:
+        if rest is None or turn == REGROUPS or (turn >= LEAST_REGROUPS and gone.isEmpty()):
             break
         left = rest.join(gone.select("node"), "node", "left_anti").select(*columns)
         active = keep(left.mapInArrow(partial(_regroup, turn), "node long, n long, sketch binary, root long"), "active")
