@@ -421,6 +421,191 @@ def _settle(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(gone, columns=["node", "kept"]).astype("int64")
 
 
+# --- what the fingerprints do not propose ---------------------------------
+
+#: Texts whose sketches tell which hashes are frequent, and how many such hashes
+#: are remembered: both set only the order in which hashes are tried.
+ORDER_TEXTS, ORDER_HASHES = 20_000, 200_000
+#: Words of a sketch's parities.
+PARITY_WORDS = 8
+
+
+def least_shared(size):
+    """Hashes that a sketch of this size shares with any that is like it."""
+    return np.ceil(SIMILARITY * np.asarray(size) - 1e-9).astype(np.int64)
+
+
+def prefix(held: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The hashes of a sketch of which any like sketch has one among its own:
+    frequent ones (sorted, with their ranks) come last."""
+    n = len(held) - int(least_shared(len(held))) + 1
+    if not len(frequent):
+        return held[:n]
+    at = np.minimum(np.searchsorted(frequent, held), len(frequent) - 1)
+    late = np.where(frequent[at] == held, rank[at], 0)
+    return held[np.argsort(late, kind="stable")[:n]]
+
+
+def sketch_parities(held: np.ndarray) -> bytes:
+    odd = np.bincount((held % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _frequent(docs: DataFrame, stay: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that several of ORDER_TEXTS texts share, sorted, and their ranks
+    by frequency from 1."""
+    some = keep(stay.select("node").sample(min(1.0, ORDER_TEXTS / max(1, stay.count())), SEED), "some", "lz4_raw")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            held = [np.frombuffer(x, "<i8") for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*held, np.zeros(0, np.int64)]))], ["hash"])
+
+    counted = _sketches(docs, some).select("sketch").mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n"))
+    top = counted.filter("n > 2").orderBy(F.desc("n"), "hash").limit(ORDER_HASHES).toArrow()
+    found = top.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    return found[order], (len(found) - np.arange(len(found)))[order]
+
+
+def _prefixes(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """(key, node): the prefix hashes of the texts in ``stay`` and, as a bitmap
+    selects them, of some others."""
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, stay))
+    table = docs.sparkSession.sparkContext.broadcast(hash_bitmap(stay, "node"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in it:
+            if len(seen) > 1_000_000:
+                seen.clear()
+            keys, nodes = [np.zeros(0, np.uint64)], []
+            for t in as_bytes(b.column(0)):
+                h = xxhash.xxh64_intdigest(t, SEED)
+                if h not in seen and in_bitmap(table.value, h):
+                    seen.add(h)
+                    keys.append(prefix(np.frombuffer(sketch(t), "<u8"), *frequent.value))
+                    nodes.append(h)
+            node = np.repeat(np.array(nodes, np.uint64), [len(x) for x in keys[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (np.concatenate(keys), node)], ["key", "node"])
+
+    return columns_only(docs, "text").mapInArrow(run, "key long, node long")
+
+
+def _with_parities(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        held = [np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()]
+        sizes, odd = pa.array([len(x) for x in held], pa.int32()), pa.array([sketch_parities(x) for x in held], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), sizes, odd], ["node", "size", "parities"])
+
+
+def may_be_like(group: np.ndarray, size: np.ndarray, odd: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the groups of sorted ``group`` whose sizes and parities
+    allow two sketches to be like each other."""
+    need = least_shared(size)
+
+    def ok(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        most = np.maximum(need[i], need[j])
+        near = np.minimum(size[i], size[j]) >= most
+        i, j, most = i[near], j[near], most[near]
+        apart = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
+        near = apart <= size[i] + size[j] - 2 * most
+        return i[near], j[near]
+
+    edge = np.nonzero(np.diff(group))[0] + 1
+    start, stop = np.concatenate([[0], edge]), np.concatenate([edge, [len(group)]])
+    count = stop - start
+    small = np.flatnonzero(np.repeat((count > 1) & (count <= 64), count))
+    for d in range(1, int(count[count <= 64].max(initial=0))):
+        at = np.flatnonzero(group[small[:-d]] == group[small[d:]]) if d < len(small) else small[:0]
+        for k in range(0, len(at), 1 << 16):
+            yield ok(small[at[k : k + (1 << 16)]], small[at[k : k + (1 << 16)] + d])
+    for a, b in zip(start[count > 64].tolist(), stop[count > 64].tolist(), strict=True):
+        for q in range(a, b, 32):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(q, min(q + 32, b)), np.arange(q, b), indexing="ij"))
+            yield ok(i[i < j], j[i < j])
+
+
+def _like_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, cell, node, size, parities) sorted by key and cell: pairs of
+    nodes that may be like each other."""
+    held: pa.Table | None = None
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, cell, node, size = (t.column(k).to_numpy() for k in range(4))
+        odd = np.frombuffer(b"".join(t.column(4).to_pylist()), "<u8").reshape(-1, PARITY_WORDS)
+        group = np.cumsum(np.concatenate([[0], (np.diff(key) != 0) | (np.diff(cell) != 0)]))
+        for i, j in may_be_like(group, size.astype(np.int64), odd):
+            a, b = node[i], node[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    for t in batches(it, 1 << 15):
+        t = pa.concat_tables([held, t]) if held is not None else t
+        key, cell = t.column(0).to_numpy(), t.column(1).to_numpy()
+        end = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
+        cut = int(end[-1]) + 1 if len(end) else 0
+        if cut:
+            yield from pairs(t.slice(0, cut))
+        held = t.slice(cut).combine_chunks()
+    if held is not None:
+        yield from pairs(held)
+
+
+def like_links(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """(a, b): all pairs of the texts in ``stay`` (node, n) whose sketches are at
+    least SIMILARITY alike.
+
+    Such sketches share least_shared() hashes and so, in any one order of all
+    hashes, one of the first few of each (prefix filter). Groups of texts of one
+    such hash are dealt to cells of CELL rows; sizes and parities of the sketches
+    leave few of the pairs to be compared."""
+    ship(docs.sparkSession)
+    rows = keep(_prefixes(docs, stay), "prefixes", "lz4_raw")
+    several = keep(rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("a <> b").select("key", "n"), "shared", "lz4_raw")
+    met = join_counted(rows, several, "key", "n", "inner").distinct().join(stay.select("node"), "node", "left_semi")
+    met = keep(met.select("key", "node"), "met", "lz4_raw")
+    sizes = keep(met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / CELL).cast("int")), "sizes", "lz4_raw")
+    met = keep(join_counted(met, sizes, "key", "n", "inner").select("key", "node", "parts"), "within", "lz4_raw")
+    sketches = keep(_sketches(docs, met.select("node").distinct()), "sketches")
+    known = keep(sketches.mapInArrow(_with_parities, "node long, size int, parities binary"), "known")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = met.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.least("part", "other").cast("long") * F.lit(1 << 31) + F.greatest("part", "other")
+    dealt = dealt.select("key", cell.alias("cell"), "node").join(known, "node").select("key", "cell", "node", "size", "parities")
+    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
+    pairs = keep(dealt.mapInArrow(_like_pairs, "a long, b long").distinct(), "pairs", "lz4_raw")
+    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(
+        sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b"
+    )
+
+    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            like = [resemblance(x, y) >= SIMILARITY for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(like, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def _settled(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, kept): of linked texts, by falling number of copies, those go that
+    have a link to one that stays. A round keeps every text that comes before
+    all that it is still linked to."""
+    order = nodes.select("node", F.struct((-F.col("n")).alias("n"), F.col("node").alias("id")).alias("at"))
+    a, b = (order.select(F.col("node").alias(k), F.col("at").alias(f"at_{k}")) for k in "ab")
+    ranked = links.join(a, "a").join(b, "b")
+    open_ = keep(ranked.select(F.least("at_a", "at_b").alias("first"), F.greatest("at_a", "at_b").alias("second")), "open", "lz4_raw")
+    found = []
+    while not open_.isEmpty():
+        later = open_.select(F.col("second").alias("first")).distinct()
+        won = open_.join(later, "first", "left_anti")
+        gone = keep(won.groupBy("second").agg(F.min("first").alias("first")), "gone", "lz4_raw")
+        found.append(gone.select(F.col("second.id").alias("node"), F.col("first.id").alias("kept")))
+        lost = gone.select("second")
+        open_ = keep(open_.join(lost, "second", "left_anti").join(lost.withColumnRenamed("second", "first"), "first", "left_anti"), "open", "lz4_raw")
+    none = nodes.sparkSession.createDataFrame([], "node long, kept long")
+    return reduce(DataFrame.unionByName, found, none)
+
+
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows are (doc_id, node) of every document, node standing
     for its text; groups are (node, kept) of the texts that give way to the text
@@ -432,6 +617,11 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copied text goes first, by a join, and the rest is grouped anew, up to
     REGROUPS times, by minima of the sketches, which like texts share with probability 0.8
     or more and unlike ones do not.
+
+    Fingerprints propose most copies but not all (appended, cut or block-edited
+    ones may lie further apart), and large components may keep some: of all texts
+    that are left, every pair that is like each other is found by its sketches
+    and settled.
     """
     seen = keep(_described(docs), "described")
     nodes = keep(seen.groupBy("node").agg(F.count("*").alias("n"), F.first("fp").alias("fp")), "nodes", "lz4_raw")
@@ -469,6 +659,8 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         left = rest.join(gone.select("node"), "node", "left_anti").select(*columns)
         active = keep(left.mapInArrow(partial(_regroup, turn), "node long, n long, sketch binary, root long"), "active")
     out = reduce(DataFrame.unionByName, found)
+    stay = keep(nodes.select("node", "n").join(out.select("node"), "node", "left_anti"), "stay", "lz4_raw")
+    out = out.unionByName(_settled(keep(like_links(docs, stay), "links", "lz4_raw"), stay))
     return seen.select("doc_id", "node"), out
 
 

@@ -513,6 +513,30 @@ def test_near_copies_go(spark, empty, monkeypatch, settle):
     assert simhash.without_near_copies(empty).count() == 0
 
 
+def alike(a, b):
+    x, y = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_by_kind_of_edit(spark):
+    """Texts with 15 % appended or cut off, or a block of 6 % replaced, are copies."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for kind in ("append", "cut", "block"):
+        for _ in range(40):
+            w = [rng.choice(words) for _ in range(rng.randint(100, 230))]
+            n = len(w)
+            other = {"append": w + [rng.choice(words) for _ in range(n * 15 // 100)], "cut": w[: n - n * 15 // 100]}.get(kind)
+            if other is None:
+                at, m = n // 3, n * 6 // 100
+                other = w[:at] + [rng.choice(words) for _ in range(m)] + w[at + m :]
+            texts += [" ".join(w), " ".join(other)]
+    assert all(alike(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    out = simhash.without_near_copies(docs_of(spark, list(enumerate(texts)))).select("doc_id").collect()
+    assert sorted(r.doc_id // 2 for r in out) == list(range(len(texts) // 2))
+
+
 # --- 9 pages ---------------------------------------------------------------------
 
 
