@@ -321,9 +321,9 @@ SKETCH = 256
 #: Texts of a group that one task settles.
 SETTLE = 256
 #: Ways in which the texts of larger components are grouped anew, each by another
-#: minimum of their sketch: texts 0.8 alike miss one way with probability 0.2 and
-#: all once in 2,000,000. From the fifth on, a way that finds nothing is the last,
-#: so a pair that is left has missed at least five (1 in 3,000).
+#: minimum of their sketch; from the fifth on, a way that finds nothing is the
+#: last. They thin out large groups cheaply and may leave copies, as where many
+#: texts share a passage; like_links() finds those.
 REGROUPS, LEAST_REGROUPS = 9, 5
 
 

@@ -537,6 +537,18 @@ def test_near_copies_by_kind_of_edit(spark):
     assert sorted(r.doc_id // 2 for r in out) == list(range(len(texts) // 2))
 
 
+def test_large_groups_are_settled_exactly(spark):
+    """1,000 pairs of copies around one passage that all 2,000 texts share."""
+    rng = random.Random(6)
+    shared, texts = [f"p{k}" for k in range(60)], []
+    for k in range(1000):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(25)]
+        texts += [" ".join(shared + own), " ".join(shared + own[:12] + [f"x{k}"] + own[13:])]
+    assert all(alike(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True)) and alike(texts[0], texts[2]) < 0.8
+    out = simhash.without_near_copies(docs_of(spark, list(enumerate(texts)))).select("doc_id").collect()
+    assert sorted(r.doc_id // 2 for r in out) == list(range(len(texts) // 2))
+
+
 # --- 9 pages ---------------------------------------------------------------------
 
 
