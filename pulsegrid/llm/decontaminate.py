@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a re-parameterised
-question has the template of the original. Windows of the template are joined
-by hash; matches that lie on one diagonal of a document and an item add up to
+question has the template of the original; a run of numbers or of names is one
+placeholder. Windows of the template are joined by hash; matches that lie on one
+diagonal of a document and an item, or in order on neighbouring ones, add up to
 the item's coverage, and the slot values that the placeholders hide must
 substitute consistently: one benchmark value, one document value.
 
@@ -18,6 +19,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,6 +31,9 @@ WINDOW = 8
 #: Words that a window must still have beside its placeholders.
 LEAST_WORDS = 4
 COVERAGE = 0.5
+#: Tokens by which a document may shift against an item from one matched window
+#: to the next.
+SHIFT = 3
 MAX_BITS = 1 << 26
 CACHE = 300_000
 
@@ -98,11 +103,20 @@ class _Tokens(dict):
 
 
 def template(text: str, known: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token of a whole text: template hash, value hash, slot flag."""
+    """Per token of a whole text: template hash, value hash, slot flag. Numbers
+    that follow each other are one token, and so are names."""
     raw = _TOKEN.findall(text)
     if raw and raw[0][0] not in ".!?\n":
         raw[0] = "." + raw[0]  # a text begins like a sentence
-    return known.look_up(raw)
+    t, v, slot = known.look_up(raw)
+    again = (t[1:] == t[:-1]) & ((t[1:] == np.uint64(_NUMBER)) | (t[1:] == np.uint64(_NAME)))
+    if not again.any():
+        return t, v, slot
+    start = np.flatnonzero(np.concatenate([[True], ~again]))
+    place = np.arange(len(t)) - np.repeat(start, np.diff(np.append(start, len(t))))
+    with np.errstate(over="ignore"):
+        v = np.add.reduceat(v * (2 * place + 1).astype(np.uint64), start)
+    return t[start], v, slot[start]
 
 
 def windows(t: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,10 +211,37 @@ def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
     return columns_only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, f"doc_id long, text_hash long, {_WINDOW_TYPE}")
 
 
+def _chained(rows: pd.DataFrame) -> pd.DataFrame:
+    """The most windows of an item that stand in a document in the item's order,
+    from one to the next at most SHIFT diagonals apart, if they cover enough of
+    it and their slots are consistent."""
+    rows = rows.assign(at=rows["item_at"] + rows["diagonal"]).drop_duplicates(["item_at", "at"]).sort_values(["item_at", "at"], ignore_index=True)
+    item_at, at = rows["item_at"].tolist(), rows["at"].tolist()
+    ends: dict[int, int] = {}  # by diagonal, the row that ends the longest chain
+    length, before = [], []
+    for k, (i, a) in enumerate(zip(item_at, at, strict=True)):
+        near = [e for d in range(a - i - SHIFT, a - i + SHIFT + 1) if (e := ends.get(d)) is not None and item_at[e] < i and at[e] < a]
+        best = max(near, key=lambda e: length[e], default=None)
+        before.append(best)
+        length.append(1 if best is None else length[best] + 1)
+        ends[a - i] = k
+    k = max(range(len(length)), key=length.__getitem__)
+    coverage = length[k] / int(rows["n"].iloc[0])
+    pairs = set()
+    while k is not None:
+        pairs.update((x, y) for x, y in zip(rows["item_slots"][k], rows["slots"][k], strict=True) if x)
+        k = before[k]
+    ok = coverage >= COVERAGE and len(pairs) == len({x for x, _ in pairs})
+    out = pd.DataFrame({"coverage": [coverage], "verbatim": [all(x == y for x, y in pairs)]})
+    head = rows[["doc_id", "text_hash", "item_id"]].iloc[:1].astype("Int64").reset_index(drop=True)
+    return pd.concat([head, out], axis=1)[: int(ok)]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, coverage, kind): pairs of a document and a
     benchmark item of which at least COVERAGE of the template windows stand in
-    the document in the item's order with consistent slots. kind is 'verbatim'
+    the document in the item's order, at most SHIFT tokens nearer or further from
+    one to the next, with consistent slots. kind is 'verbatim'
     where all slot values agree and 're-parameterised' otherwise.
 
     Null and empty texts match nothing; rows equal in doc_id and text, and items
@@ -221,11 +262,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"j.{k}")) for k in spot]
     joined = counted.alias("c").join(judged.alias("j"), same, "left")
     good = joined.filter((F.col("hits") >= F.col("n") * COVERAGE) & (F.coalesce("pairs", F.lit(0)) <= F.coalesce("values", F.lit(0))))
-    best = F.max(F.struct((F.col("hits") / F.col("n")).alias("coverage"), (F.coalesce("changed", F.lit(0)) == 0).alias("verbatim")))
+    pair_of = ["doc_id", "text_hash", "item_id"]
+    ratio = (F.col("hits") / F.col("n")).alias("coverage")
+    found = good.select(*[f"c.{k}" for k in pair_of], ratio, (F.coalesce("changed", F.lit(0)) == 0).alias("verbatim"))
+    several = met.groupBy(*pair_of).agg(F.countDistinct("item_at").alias("hits"), F.max("n").alias("n"), F.min("diagonal").alias("a"), F.max("diagonal").alias("b"))
+    several = several.filter((F.col("hits") >= F.col("n") * COVERAGE) & (F.col("a") < F.col("b"))).select(*[F.col(k).alias(f"_{k}") for k in pair_of])
+    again = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in pair_of]
+    apart = met.join(several, again, "left_semi").groupBy(*pair_of)
+    found = found.unionByName(apart.applyInPandas(_chained, "doc_id long, text_hash long, item_id long, coverage double, verbatim boolean"))
+    best = F.max(F.struct("coverage", "verbatim"))
     return (
-        good.groupBy("c.doc_id", "c.text_hash", "c.item_id")
+        found.groupBy(*pair_of)
         .agg(best.alias("b"))
-        .select("doc_id", "text_hash", "item_id", "b.coverage", F.when(F.col("b.verbatim"), "verbatim").otherwise("re-parameterised").alias("kind"))
+        .select(*pair_of, "b.coverage", F.when(F.col("b.verbatim"), "verbatim").otherwise("re-parameterised").alias("kind"))
     )
 
 

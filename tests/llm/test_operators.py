@@ -297,6 +297,20 @@ def test_leaks(spark):
     assert left.columns == [c.split(" ")[0] for c in DOCS.split(", ")]
 
 
+def test_leaks_that_shift(spark):
+    """One word put in or left out in the middle; slots whose number of tokens changes."""
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}".replace("word", "w") for k in range(40)]
+    slots = "the train that left for {} with {} people on board needs {} hours to get there if nothing else stops it on the way"
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, slots.format("New York", "1,200", "3"))], "item_id long, text string")
+    moved = " ".join(words[20:]) + " and so on " + " ".join(words[:20])
+    texts = [
+        (1, "before " + " ".join(words[:20] + ["added"] + words[20:])), (2, "before " + " ".join(words[:20] + words[21:])),
+        (3, "before " + slots.format("Boston", "900", "3.5")), (4, "before " + slots.format("New York", "1,200", "3")), (5, moved),
+    ]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()}
+    assert got == {(1, 1): "verbatim", (2, 1): "verbatim", (3, 2): "re-parameterised", (4, 2): "verbatim"}
+
+
 def test_leaks_find_every_verbatim_passage(spark, sf, corpus):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
 
