@@ -61,15 +61,15 @@ _NUMBER, _NAME, _UNIT = (_digest(f"<{k}>") for k in ("number", "name", "unit"))
 
 
 class _Tokens(dict):
-    """raw token -> its number; the template hash, value hash and slot flag of all
-    tokens lie in arrays."""
+    """raw token -> its number; the template hash, value hash, slot flag and
+    whether it begins a sentence lie in arrays for all tokens."""
 
     def __init__(self):
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
-        self.template, self.value, self.slot = array("Q"), array("Q"), array("b")
+        self.template, self.value, self.slot, self.begins = array("Q"), array("Q"), array("b"), array("b")
 
     def __missing__(self, raw: str) -> int:
         word = _WORD.search(raw)[0]
@@ -86,30 +86,32 @@ class _Tokens(dict):
         self.template.append(kind)
         self.value.append(value)
         self.slot.append(kind is not value)
+        self.begins.append(raw is not word and raw != "." + word)
         n = self[raw] = len(self)
         return n
 
-    def look_up(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if len(self) > CACHE:
             self._reset()
         if not raw:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
         at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
         return (
             np.frombuffer(self.template, np.uint64)[at],
             np.frombuffer(self.value, np.uint64)[at],
             np.frombuffer(self.slot, np.bool_)[at],
+            np.frombuffer(self.begins, np.bool_)[at],
         )
 
 
 def template(text: str, known: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token of a whole text: template hash, value hash, slot flag. Numbers
-    that follow each other are one token, and so are names."""
+    that follow each other in a sentence are one token, and so are names."""
     raw = _TOKEN.findall(text)
     if raw and raw[0][0] not in ".!?\n":
         raw[0] = "." + raw[0]  # a text begins like a sentence
-    t, v, slot = known.look_up(raw)
-    again = (t[1:] == t[:-1]) & ((t[1:] == np.uint64(_NUMBER)) | (t[1:] == np.uint64(_NAME)))
+    t, v, slot, begins = known.look_up(raw)
+    again = (t[1:] == t[:-1]) & ((t[1:] == np.uint64(_NUMBER)) | (t[1:] == np.uint64(_NAME))) & ~begins[1:]
     if not again.any():
         return t, v, slot
     start = np.flatnonzero(np.concatenate([[True], ~again]))
@@ -119,11 +121,12 @@ def template(text: str, known: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndar
     return t[start], v, slot[start]
 
 
-def windows(t: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows with enough words left."""
+def windows(t: np.ndarray, v: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Starts and hashes of the windows, first those with enough words left, by
+    their template, and the number of these; then the others, by their values."""
     n = len(t) - size + 1
     if n <= 0 or size == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
     h = np.full(n, np.uint64(size))
     words = np.zeros(n, np.int64)
     with np.errstate(over="ignore"):
@@ -131,8 +134,16 @@ def windows(t: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.
             h = (h ^ t[k : k + n]) * _ROOT
             h ^= h >> np.uint64(29)
             words += ~slot[k : k + n]
-    at = np.nonzero(words >= min(LEAST_WORDS, size))[0]
-    return at, h[at]
+        enough = words >= min(LEAST_WORDS, size)
+        at = np.nonzero(enough)[0]
+        few = np.nonzero(~enough)[0]
+        if not len(few):
+            return at, h[at], len(at)
+        by_value = np.full(len(few), np.uint64(size + (1 << 32)))
+        for k in range(size):
+            by_value = (by_value ^ v[few + k]) * _ROOT
+            by_value ^= by_value >> np.uint64(29)
+    return np.concatenate([at, few]), np.concatenate([h[at], by_value]), len(at)
 
 
 _WINDOW_TYPE = "hash long, at int, slots array<long>"
@@ -150,7 +161,8 @@ def _slots(v: np.ndarray, slot: np.ndarray, at: int, size: int) -> list[int]:
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, size, n, hash, at, slots): the template windows of every item;
-    n is their number. Items shorter than a window are one window."""
+    n is their number. Items shorter than a window are one window; items of which
+    no window has enough words are matched by the values of all of them."""
     ship(benchmark.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +172,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
             for item, text in zip(b.column(0).to_pylist(), as_text(b.column(1)), strict=True):
                 t, v, slot = template(text, known)
                 size = min(WINDOW, len(t))
-                at, h = windows(t, slot, size)
+                at, h, plain = windows(t, v, slot, size)
+                at, h = at[: plain or None], h[: plain or None]
                 for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
                     rows.append((item, size, len(at), x, a, _slots(v, slot, a, size)))
             yield _emit(rows, ["item_id", "size", "n", "hash", "at", "slots"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())])
@@ -200,7 +213,7 @@ def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
             for doc, text in zip(b.column(0).to_pylist(), as_text(b.column(1)), strict=True):
                 t, v, slot = template(text, known)
                 for size in sizes:
-                    at, h = windows(t, slot, size)
+                    at, h, _ = windows(t, v, slot, size)
                     low = h & np.uint64(bits - 1)
                     hit = np.nonzero(table[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32) & np.uint32(1))[0]
                     if len(hit):

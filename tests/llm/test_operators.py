@@ -311,6 +311,14 @@ def test_leaks_that_shift(spark):
     assert got == {(1, 1): "verbatim", (2, 1): "verbatim", (3, 2): "re-parameterised", (4, 2): "verbatim"}
 
 
+def test_leaks_of_items_that_are_mostly_slots(spark):
+    items = ["Evaluate 17 + 25 * 3 - 8.", "Compute 12 * 7 + 3 - 5 / 2 and round.", "Is Anna 12, Paul 13 km, Mary 14 kg, John 15 cm, Eve 16 or Tom 17 years?"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [(k, f"Some text comes first. {t} 99 more words follow.") for k, t in enumerate(items)] + [(9, "Some text. Evaluate 17 + 25 * 3 - 9. Compute 1 * 7 and round.")]
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()}
+    assert got == {(k, k, "verbatim") for k in range(len(items))}
+
+
 def test_leaks_find_every_verbatim_passage(spark, sf, corpus):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
 
