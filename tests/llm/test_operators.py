@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, html_blocks, html_labeller, html_training, line_dedup, mixing, queries, secrets, sharding, shared, simhash, tokens, toxicity, winnow
+from pulsegrid.llm import decontaminate, html_blocks, html_labeller, html_training, line_dedup, mixing, near_copies, queries, secrets, sharding, shared, simhash, tokens, toxicity, winnow
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, severity string, fp string, _size int"
 
@@ -514,9 +514,9 @@ def test_simhash_edges(edge, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("settle", [simhash.SETTLE, 1])
-def test_near_copies_go(spark, empty, monkeypatch, settle):
-    monkeypatch.setattr(simhash, "SETTLE", settle)  # 1: by rounds alone
+@pytest.mark.parametrize("cell", [near_copies.CELL, 2])
+def test_near_copies_go(spark, empty, monkeypatch, cell):
+    monkeypatch.setattr(near_copies, "CELL", cell)
     r = random.Random(5)
     words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(900)]
     texts = [" ".join(r.choice(words) for _ in range(200)) for _ in range(30)]
@@ -526,13 +526,13 @@ def test_near_copies_go(spark, empty, monkeypatch, settle):
         w[r.randrange(200)] = "changed"
         near.append(" ".join(w))
     rows = list(enumerate(texts + near + texts[:5])) + [(100, None), (101, ""), (3, texts[3])]
-    out = simhash.without_near_copies(docs_of(spark, rows))
+    out = near_copies.without_near_copies(docs_of(spark, rows))
     kept = sorted(x.doc_id for x in out.collect())
     assert len(kept) == 31 and len(set(kept)) == 31 and set(range(10, 30)) <= set(kept) and (100 in kept) != (101 in kept)
     for k in range(10):
         assert sum(x in kept for x in (k, 30 + k, 40 + k)) == 1
     assert out.columns == [c.split(" ")[0] for c in DOCS.split(", ")]
-    assert simhash.without_near_copies(empty).count() == 0
+    assert near_copies.without_near_copies(empty).count() == 0
 
 
 def alike(a, b):
@@ -555,11 +555,11 @@ def test_near_copies_by_kind_of_edit(spark):
                 other = w[:at] + [rng.choice(words) for _ in range(m)] + w[at + m :]
             texts += [" ".join(w), " ".join(other)]
     assert all(alike(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
-    out = simhash.without_near_copies(docs_of(spark, list(enumerate(texts)))).select("doc_id").collect()
+    out = near_copies.without_near_copies(docs_of(spark, list(enumerate(texts)))).select("doc_id").collect()
     assert sorted(r.doc_id // 2 for r in out) == list(range(len(texts) // 2))
 
 
-def test_large_groups_are_settled_exactly(spark):
+def test_large_buckets_lose_no_copy(spark):
     """1,000 pairs of copies around one passage that all 2,000 texts share."""
     rng = random.Random(6)
     shared, texts = [f"p{k}" for k in range(60)], []
@@ -567,7 +567,7 @@ def test_large_groups_are_settled_exactly(spark):
         own = [f"w{rng.randrange(10**9)}" for _ in range(25)]
         texts += [" ".join(shared + own), " ".join(shared + own[:12] + [f"x{k}"] + own[13:])]
     assert all(alike(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True)) and alike(texts[0], texts[2]) < 0.8
-    out = simhash.without_near_copies(docs_of(spark, list(enumerate(texts)))).select("doc_id").collect()
+    out = near_copies.without_near_copies(docs_of(spark, list(enumerate(texts)))).select("doc_id").collect()
     assert sorted(r.doc_id // 2 for r in out) == list(range(len(texts) // 2))
 
 
