@@ -7,12 +7,17 @@ in key order until the prefix sum reaches the budget.
 
 The prefix sum is distributed: documents fall into key buckets, bucket totals
 are summed per source, and only the one bucket that holds a source's cut is
-sorted. The cut is a key, so whether a row is taken follows from the row and a
-table with one line per source; texts are never shuffled for it.
+sorted. Buckets are even in the logarithm of the key: whatever the weights, none
+of them expects more than BUCKET_ROWS of a source's rows, as the density of the
+logarithm of an exponential key is at most 1/e. The cut is a key, so whether a
+row is taken follows from the row and a table with one line per source; texts
+are never shuffled for it. Rows that tie in the key are equal in all columns;
+where a cut falls inside such a tie, that many of them are taken.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,18 +48,19 @@ def keyed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Rows of ``docs``, whole in _row, with _src (never null), _size, _key and
     _tie; no column of ``docs`` can clash with these."""
     size = words(F.col("text"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.length("text")), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    whole = [F.to_json(docs[c]) if "map<" in kind else docs[c] for c, kind in docs.dtypes]
     return docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_src"),
         size.alias("_size"),
         (-F.ln(u) / quality(F.col("text"))).alias("_key"),
-        F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("_tie"),
+        F.xxhash64(F.lit(seed), *whole).alias("_tie"),
     )
 
 
-def _bucket(buckets: int) -> Column:
-    return F.floor((1.0 - F.exp(-F.col("_key"))) * buckets).cast("long")
+def _bucket(fineness: float) -> Column:
+    return F.floor(F.ln("_key") * fineness).cast("long")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -86,26 +92,30 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 @dataclass
 class Mix:
     """rows: the light table of all documents; sources: one line per source with
-    its size, target, epochs and cut; buckets: the number of key buckets."""
+    its size, target, epochs and cut; fineness: key buckets per unit of ln(key)."""
 
     rows: DataFrame
     sources: DataFrame
-    buckets: int
-
-    def apply(self, keyed_rows: DataFrame) -> DataFrame:
-        """``keyed_rows`` with source_size, target and copies."""
-        at = F.struct("_key", "_tie", "_size")
-        last = F.coalesce(at <= F.col("last"), F.lit(False))
-        inside = F.when(F.col("budget") <= 0, False).when(_bucket(self.buckets) < F.col("cut"), True).otherwise((_bucket(self.buckets) == F.col("cut")) & last)
+    fineness: float
+
+    def apply(self, keyed_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``keyed_rows`` with source_size, target and copies; and those of ties of
+        which only some are taken once more, with source_size, target, epochs and,
+        of their ``tied`` number, the ``more`` that are taken."""
+        at, bucket = F.struct("_key", "_tie"), _bucket(self.fineness)
+        edge, tie = F.col("last.at"), F.coalesce(F.col("last.more") < F.col("last.tied"), F.lit(False))
+        inside = F.when(F.col("budget") <= 0, False).when(bucket < F.col("cut"), True).otherwise((bucket == F.col("cut")) & F.coalesce(at <= edge, F.lit(False)))
+        split = tie & (at == edge)
         out = join_counted(keyed_rows, self.sources, "_src", "n")
-        return out.withColumn("copies", (F.col("epochs") + inside.cast("int")).cast("int"))
+        whole = out.filter(~split).withColumn("copies", (F.col("epochs") + inside.cast("int")).cast("long"))
+        return whole, out.filter(split).withColumns({"more": F.col("last.more"), "tied": F.col("last.tied")})
 
 
 def plan_mix(docs: DataFrame, seed: int = SEED) -> Mix:
     rows = keep(keyed(docs, seed).select(F.col("_row.doc_id").alias("doc_id"), "_src", "_size", "_key", "_tie"), "mix", "lz4_raw")
     per_source = keep(rows.groupBy("_src").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n")), "sources", "lz4_raw")
-    buckets = max(64, -(-(per_source.agg(F.max("n")).first()[0] or 0) // BUCKET_ROWS))
-    epochs = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long")
+    fineness = max(1.0, (per_source.agg(F.max("n")).first()[0] or 0) / (math.e * BUCKET_ROWS))
+    epochs = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")
     aims = (
         source_targets(per_source.select("_src", "source_size"))
         .withColumn("epochs", F.least(epochs, F.lit(MAX_EPOCHS).cast("long")))
@@ -113,7 +123,7 @@ def plan_mix(docs: DataFrame, seed: int = SEED) -> Mix:
     )
     aims = keep(per_source.select("_src", "n").join(aims, "_src"), "aims", "lz4_raw")
     order = Window.partitionBy("_src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.groupBy("_src", _bucket(buckets).alias("bucket")).agg(F.sum("_size").alias("size")).withColumn("after", F.sum("size").over(order))
+    totals = rows.groupBy("_src", _bucket(fineness).alias("bucket")).agg(F.sum("_size").alias("size")).withColumn("after", F.sum("size").over(order))
     cut = (
         totals.join(aims.select("_src", "budget"), "_src")
         .filter("budget > 0 and after - size < budget and budget <= after")
@@ -123,16 +133,26 @@ def plan_mix(docs: DataFrame, seed: int = SEED) -> Mix:
     )
     aims = keep(aims.join(cut, "_src", "left"), "cuts", "lz4_raw")
     # of the bucket that holds the cut, the prefix whose sum is nearest to the budget
-    edge = join_counted(rows, aims, "_src", "n").filter(_bucket(buckets) == F.col("cut"))
-    prefix = Window.partitionBy("_src").orderBy("_key", "_tie", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("before") + F.coalesce(F.sum("_size").over(prefix), F.lit(0))
+    edge = join_counted(rows, aims, "_src", "n").filter(_bucket(fineness) == F.col("cut"))
+    ties = edge.groupBy("_src", "_key", "_tie", "_size", "before", "budget").agg(F.count("*").alias("tied"))
+    prefix = Window.partitionBy("_src").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("before") + F.coalesce(F.sum(F.col("_size") * F.col("tied")).over(prefix), F.lit(0))
+    fit = F.floor(F.coalesce(F.try_divide(F.col("budget") - F.col("ahead"), F.col("_size")), F.lit(float(1 << 52))) + 0.5).cast("long")
     last = (
-        edge.withColumn("ahead", ahead)
+        ties.withColumn("ahead", ahead)
         .filter(F.col("ahead") + F.col("_size") / 2 <= F.col("budget"))
+        .select("_src", F.struct(F.struct("_key", "_tie").alias("at"), F.least("tied", fit).alias("more"), "tied").alias("last"))
         .groupBy("_src")
-        .agg(F.max(F.struct("_key", "_tie", "_size")).alias("last"))
+        .agg(F.max("last").alias("last"))
     )
-    return Mix(rows, keep(aims.join(last, "_src", "left"), "plan", "lz4_raw"), buckets)
+    return Mix(rows, keep(aims.join(last, "_src", "left"), "plan", "lz4_raw"), fineness)
+
+
+def _repeated(rows: DataFrame, count: Column, part: int = 1000) -> DataFrame:
+    """Each row ``count`` times, numbered by _k from 1, spread in parts."""
+    chunks = rows.withColumn("_n", count).filter("_n > 0").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {part}"))))
+    last = F.least(F.col("_n"), (F.col("_part") + 1) * part)
+    return chunks.repartition("_src", "_part").withColumn("_k", F.explode(F.sequence(F.col("_part") * part + 1, last)))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -140,23 +160,31 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
     size counts ``[^\\x20\\x09-\\x0D]+`` (null text: 0); taken is copies times
     size, so at most 3 times size, and a source's taken words differ from its
-    target by at most half of its longest text. Null is a source of its own.
-    Rows that agree in doc_id, source and text share one key and so one fate;
-    an empty table gives an empty result; other columns are ignored.
+    target by at most half of its longest text. Null is a source of its own; one
+    whose texts have no words has target 0. Rows that are equal in all columns
+    share one key; where the mix needs only some of them, only some are taken.
+    An empty table gives an empty result; other columns are ignored.
     """
     mix = plan_mix(docs)
-    return mix.apply(mix.rows).select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        "source_size",
-        "target",
-        (F.col("copies") * F.col("_size")).cast("long").alias("taken"),
-    )
+    whole, split = mix.apply(mix.rows)
+    columns = ["doc_id", F.col("_size").alias("size"), "source_size", "target"]
+    out = whole.select(*columns, (F.col("copies") * F.col("_size")).alias("taken"))
+    if split.isEmpty():
+        return out
+    one = split.groupBy("_src").agg(*[F.first(c).alias(c) for c in ("doc_id", "_size", "source_size", "target", "epochs", "more", "tied")])
+    copies = F.col("epochs") + (F.col("_k") <= F.col("more")).cast("long")
+    return out.unionByName(_repeated(one, F.col("tied")).select(*columns, (copies * F.col("_size")).alias("taken")))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, with
-    the columns of ``docs``. Texts stay where they are read."""
+    the columns of ``docs``, which may have any names. Texts stay where they are
+    read. Nulls, empty texts, repeated rows and empty tables are as in
+    :func:`mix_report`."""
     mix = plan_mix(docs)
-    out = mix.apply(keyed(docs)).filter("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
+    whole, split = mix.apply(keyed(docs))
+    out = whole.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
+    if mix.apply(mix.rows)[1].isEmpty():
+        return out
+    one = split.groupBy("_src").agg(*[F.first(c).alias(c) for c in ("_row", "epochs", "more", "tied")])
+    return out.unionByName(_repeated(one, F.col("epochs") * F.col("tied") + F.col("more")).select("_row.*"))

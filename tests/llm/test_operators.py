@@ -420,6 +420,57 @@ def test_mix(spark, corpus):
     assert mixing.mixed(df).exceptAll(mixing.mixed(df).intersect(df)).count() == sum(many.values()) - len(many)
 
 
+def drawn(df, targets):
+    """Taken words per source by the contract's words, from the rows' keys: whole
+    epochs, then rows in key order while half of the next one fits."""
+    taken = {}
+    for s, target in targets.items():
+        rows = sorted((r._key, r._tie, r._size) for r in mixing.keyed(df).filter(F.col("_src") == s).collect())
+        size = sum(r[2] for r in rows)
+        epochs = min(3, int(target // size)) if size else 0
+        left, extra = target - epochs * size, []
+        for r in rows:
+            if not left or sum(extra) + r[2] / 2 > left:
+                break
+            extra.append(r[2])
+        taken[s] = epochs * size + sum(extra)
+    return taken
+
+
+def test_mix_takes_some_of_rows_that_tie(spark):
+    """1,000 repeats, 1,000 null ids, a source without words and one of symbols."""
+    rows = [(1, "a b c d e", "r")] * 1000 + [(None, "a b c", "n")] * 1000 + [(k, "", "none") for k in range(50)] + [(k, None, None) for k in range(5)]
+    rows += [(10_000 + k, "12 34 " * (k % 5 + 1), "z") for k in range(3000)]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n int").repartition(5)
+    report = mixing.mix_report(df).collect()
+    assert len(report) == len(rows)
+    targets = {"=" + s: t for s, t in fill({"r": 5000, "n": 3000, "none": 0, None: 0, "z": 18_000}).items() if s} | {"": 0.0}
+    want = drawn(df, targets)
+    assert sum(r.taken for r in report) == sum(want.values())
+    assert sum(r.taken for r in report if r.doc_id == 1) == want["=r"] and sum(r.taken for r in report if r.doc_id is None) == want["=n"]
+    assert abs(want["=r"] - targets["=r"]) <= 2.5 and abs(want["=n"] - targets["=n"]) <= 1.5
+    many = mixing.mixed(df).groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect()
+    assert {r.source: r.n for r in many} == {s[1:]: n for s, n in want.items() if n}
+
+
+def test_mix_draws_by_weight(spark, monkeypatch):
+    """Keys of every weight fall into buckets of bounded size, and a weight of 1 is
+    drawn ten times as readily as one of 0.1."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rows = [(k, "1 2 3" if k % 2 else "a b c", "en", "s" if k < 4000 else "t", 0) for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n int")
+    report = mixing.mix_report(df).collect()
+    sizes = {"s": 12_000, "t": 6_000}
+    want = drawn(df, {"=" + s: t for s, t in fill(sizes).items()})
+    taken = {"=s": sum(r.taken for r in report if r.doc_id < 4000), "=t": sum(r.taken for r in report if r.doc_id >= 4000)}
+    assert taken == want
+    t = [r for r in report if r.doc_id < 4000]
+    few = [r for r in report if r.taken > min(x.taken for x in t)] if len({x.taken for x in t}) > 1 else []
+    assert not few or sum(r.doc_id % 2 == 0 for r in few) > sum(r.doc_id % 2 for r in few)
+    mix = mixing.plan_mix(df)
+    assert mix.rows.groupBy("_src", mixing._bucket(mix.fineness)).count().agg(F.max("count")).first()[0] < 150
+
+
 def test_mix_edges(edge, empty):
     rows = mixing.mix_report(edge).collect()
     assert len(rows) == len(EDGE) and all(r.taken <= 3 * r.size for r in rows)
