@@ -2,10 +2,13 @@
 
 Numbers, names and units become typed placeholders, so a re-parameterised
 question has the template of the original; a run of numbers or of names is one
-placeholder. Windows of the template are joined by hash; matches that lie on one
-diagonal of a document and an item, or in order on neighbouring ones, add up to
-the item's coverage, and the slot values that the placeholders hide must
-substitute consistently: one benchmark value, one document value.
+placeholder. A capital at the start of a sentence may or may not mark a name, so
+texts with such capitals have a second reading in which these words are names
+(but for common openers). Windows of the template are joined by hash; matches of
+a document and an item of one reading that lie in order on neighbouring
+diagonals add up to the item's coverage. The slot values that the placeholders
+hide must substitute consistently: a name stands for one name throughout, and of
+numbers and units, which may be equal by chance, AGREEING of the places agree.
 
 A bitmap of the benchmark's windows, of a size fixed by MAX_BITS whatever the
 benchmark's, filters the documents' windows where they are read; what passes is
@@ -16,16 +19,16 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_text, columns_only, keep, ship
+from .shared import HOT_SHARE, as_text, columns_only, keep, ship
 
 WINDOW = 8
 #: Words that a window must still have beside its placeholders.
@@ -34,8 +37,12 @@ COVERAGE = 0.5
 #: Tokens by which a document may shift against an item from one matched window
 #: to the next.
 SHIFT = 3
+#: Share of an item's numbers and units that must stand for one value each.
+AGREEING = 2 / 3
+#: Parts that the rows of a very common window are dealt to.
+PARTS = 64
 MAX_BITS = 1 << 26
-CACHE = 300_000
+CACHE = 500_000
 
 #: Fixed lists of the placeholders' vocabularies.
 NUMBER_WORDS = frozenset(
@@ -48,20 +55,33 @@ UNITS = frozenset(
     "kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons dollar dollars cent cents euro euros "
     "percent degree degrees".split()
 )
+#: Fixed: words that open sentences and are no names.
+OPENERS = frozenset(
+    "a an and another any are as assume at before both but by calculate can compute consider determine did do does during each either "
+    "estimate evaluate every everyone explain find for from given had has have he her here his how however i if in is it its later let "
+    "many mr mrs ms most my name no not now of on once one only or our she show simplify since so solve some state suppose that the "
+    "their then there these they this those to today tomorrow under until was we were what when where which while who whose why will "
+    "with would yesterday yet you your".split()
+)
 _TOKEN = re.compile(r"(?:[.!?\n]\W*)?\w+")
 _WORD = re.compile(r"\w+$")
-_ROOT = np.uint64(0x9E3779B97F4A7C15)
+_ROOT = 0x9E3779B97F4A7C15
+#: What the hash of a window of a reading, and of one taken by its values, begins
+#: with.
+_READINGS = (np.uint64(0), np.uint64(0xA0761D6478BD642F))
+_BY_VALUE = np.uint64(0xE7037ED1A0B428DB)
 
 
 def _digest(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 42)
 
 
-_NUMBER, _NAME, _UNIT = (_digest(f"<{k}>") for k in ("number", "name", "unit"))
+_WORDS, _NUMBERS, _NAMES, _UNITS = range(4)
+_PLACEHOLDERS = tuple(_digest(f"<{k}>") for k in ("", "number", "name", "unit"))
 
 
 class _Tokens(dict):
-    """raw token -> its number; the template hash, value hash, slot flag and
+    """raw token -> its number; the value hash, its kind in both readings and
     whether it begins a sentence lie in arrays for all tokens."""
 
     def __init__(self):
@@ -69,23 +89,20 @@ class _Tokens(dict):
 
     def _reset(self) -> None:
         self.clear()
-        self.template, self.value, self.slot, self.begins = array("Q"), array("Q"), array("b"), array("b")
+        self.value, self.kinds, self.begins = array("Q"), (array("b"), array("b")), array("b")
 
     def __missing__(self, raw: str) -> int:
-        word = _WORD.search(raw)[0]
+        word = _WORD.search(raw)[0] if raw[0] in ".!?\n" else raw
         low = word.lower()
-        value = _digest(low)
-        if any(map(str.isdigit, word)) or low in NUMBER_WORDS:
-            kind = _NUMBER
+        kind = _WORDS
+        if not word.isalpha() and any(map(str.isdigit, word)) or low in NUMBER_WORDS:
+            kind = _NUMBERS
         elif low in UNITS:
-            kind = _UNIT
-        elif raw is word and word[0].isupper() and word[1:].islower():
-            kind = _NAME
-        else:
-            kind = value
-        self.template.append(kind)
-        self.value.append(value)
-        self.slot.append(kind is not value)
+            kind = _UNITS
+        name = kind == _WORDS and word[0].isupper() and word[1:].islower()
+        self.value.append(_digest(low))
+        self.kinds[0].append(_NAMES if name and raw is word else kind)
+        self.kinds[1].append(_NAMES if name and (raw is word or low not in OPENERS) else kind)
         self.begins.append(raw is not word and raw != "." + word)
         n = self[raw] = len(self)
         return n
@@ -93,57 +110,73 @@ class _Tokens(dict):
     def look_up(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if len(self) > CACHE:
             self._reset()
-        if not raw:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
         at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
-        return (
-            np.frombuffer(self.template, np.uint64)[at],
-            np.frombuffer(self.value, np.uint64)[at],
-            np.frombuffer(self.slot, np.bool_)[at],
-            np.frombuffer(self.begins, np.bool_)[at],
-        )
+        columns = (self.value, np.uint64), (self.kinds[0], np.int8), (self.kinds[1], np.int8), (self.begins, np.bool_)
+        return tuple(np.frombuffer(x, kind)[at] if raw else np.zeros(0, kind) for x, kind in columns)
+
+
+Reading = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _read(value: np.ndarray, kind: np.ndarray, begins: np.ndarray) -> Reading:
+    """Template hashes, value hashes (their two low bits the kind) and kinds.
+    Numbers that follow each other in a sentence are one token, and so are names."""
+    again = (kind[1:] == kind[:-1]) & ((kind[1:] == _NUMBERS) | (kind[1:] == _NAMES)) & ~begins[1:]
+    if again.any():
+        start = np.flatnonzero(np.concatenate([[True], ~again]))
+        place = np.arange(len(kind)) - np.repeat(start, np.diff(np.append(start, len(kind))))
+        with np.errstate(over="ignore"):
+            value = np.add.reduceat(value * (2 * place + 1).astype(np.uint64), start)
+        kind = kind[start]
+    value = value & ~np.uint64(3) | kind.astype(np.uint64)
+    return np.where(kind == _WORDS, value, np.array(_PLACEHOLDERS, np.uint64)[kind]), value, kind
 
 
-def template(text: str, known: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token of a whole text: template hash, value hash, slot flag. Numbers
-    that follow each other in a sentence are one token, and so are names."""
+def readings(text: str, known: _Tokens) -> list[Reading]:
+    """The one or two readings of a whole text."""
     raw = _TOKEN.findall(text)
     if raw and raw[0][0] not in ".!?\n":
         raw[0] = "." + raw[0]  # a text begins like a sentence
-    t, v, slot, begins = known.look_up(raw)
-    again = (t[1:] == t[:-1]) & ((t[1:] == np.uint64(_NUMBER)) | (t[1:] == np.uint64(_NAME))) & ~begins[1:]
-    if not again.any():
-        return t, v, slot
-    start = np.flatnonzero(np.concatenate([[True], ~again]))
-    place = np.arange(len(t)) - np.repeat(start, np.diff(np.append(start, len(t))))
-    with np.errstate(over="ignore"):
-        v = np.add.reduceat(v * (2 * place + 1).astype(np.uint64), start)
-    return t[start], v, slot[start]
+    value, kind, second, begins = known.look_up(raw)
+    first = _read(value, kind, begins)
+    return [first] if (kind == second).all() else [first, _read(value, second, begins)]
 
 
-def windows(t: np.ndarray, v: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Starts and hashes of the windows, first those with enough words left, by
-    their template, and the number of these; then the others, by their values."""
+def _rolled(x: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` hashes: a run of 2j put together from two
+    of j."""
+    h, width, done, reached = x, 1, None, 0
+    with np.errstate(over="ignore"):
+        while True:
+            if size & width:
+                if done is None:
+                    done, reached = h, width
+                else:
+                    n = len(h) - reached
+                    done, reached = done[:n] * np.uint64(pow(_ROOT, width, 1 << 64)) + h[reached:], reached + width
+            if 2 * width > size:
+                return done[: len(x) - size + 1]
+            h = h[:-width] * np.uint64(pow(_ROOT, width, 1 << 64)) + h[width:]
+            width *= 2
+
+
+def windows(reading: Reading, size: int, number: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Starts and hashes of the windows of the reading of that number, first those
+    with enough words left, by their template, and the number of these; then the
+    others, by their values."""
+    t, v, kind = reading
     n = len(t) - size + 1
     if n <= 0 or size == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
-    h = np.full(n, np.uint64(size))
-    words = np.zeros(n, np.int64)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            h = (h ^ t[k : k + n]) * _ROOT
-            h ^= h >> np.uint64(29)
-            words += ~slot[k : k + n]
-        enough = words >= min(LEAST_WORDS, size)
-        at = np.nonzero(enough)[0]
-        few = np.nonzero(~enough)[0]
-        if not len(few):
-            return at, h[at], len(at)
-        by_value = np.full(len(few), np.uint64(size + (1 << 32)))
-        for k in range(size):
-            by_value = (by_value ^ v[few + k]) * _ROOT
-            by_value ^= by_value >> np.uint64(29)
-    return np.concatenate([at, few]), np.concatenate([h[at], by_value]), len(at)
+    seed = np.uint64(size) ^ _READINGS[number]
+    words = np.concatenate([[0], np.cumsum(kind == _WORDS)])
+    enough = words[size:] - words[:-size] >= min(LEAST_WORDS, size)
+    h = _rolled(t, size) ^ seed
+    if enough.all():
+        return np.arange(n), h, n
+    few = np.flatnonzero(~enough)
+    at = np.flatnonzero(enough)
+    return np.concatenate([at, few]), np.concatenate([h[at], _rolled(v, size)[few] ^ seed ^ _BY_VALUE]), len(at)
 
 
 _WINDOW_TYPE = "hash long, at int, slots array<long>"
@@ -154,15 +187,17 @@ def _emit(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
 
 
-def _slots(v: np.ndarray, slot: np.ndarray, at: int, size: int) -> list[int]:
+def _slots(reading: Reading, at: int, size: int) -> list[int]:
     """Values of a window, 0 where it has words."""
-    return np.where(slot[at : at + size], v[at : at + size], np.uint64(0)).view(np.int64).tolist()
+    _, v, kind = reading
+    return np.where(kind[at : at + size] != _WORDS, v[at : at + size], np.uint64(0)).view(np.int64).tolist()
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, n, hash, at, slots): the template windows of every item;
-    n is their number. Items shorter than a window are one window; items of which
-    no window has enough words are matched by the values of all of them."""
+    """(item_id, reading, size, n, hash, at, slots): the template windows of every
+    item; n is their number in the reading. Items shorter than a window are one
+    window; items of which no window has enough words are matched by the values
+    of all of them."""
     ship(benchmark.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,16 +205,17 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         for b in it:
             rows = []
             for item, text in zip(b.column(0).to_pylist(), as_text(b.column(1)), strict=True):
-                t, v, slot = template(text, known)
-                size = min(WINDOW, len(t))
-                at, h, plain = windows(t, v, slot, size)
-                at, h = at[: plain or None], h[: plain or None]
-                for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                    rows.append((item, size, len(at), x, a, _slots(v, slot, a, size)))
-            yield _emit(rows, ["item_id", "size", "n", "hash", "at", "slots"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())])
+                for number, reading in enumerate(readings(text, known)):
+                    size = min(WINDOW, len(reading[0]))
+                    at, h, plain = windows(reading, size, number)
+                    at, h = at[: plain or None], h[: plain or None]
+                    for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                        rows.append((item, number, size, len(at), x, a, _slots(reading, a, size)))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            yield _emit(rows, ["item_id", "reading", "size", "n", "hash", "at", "slots"], kinds)
 
     items = columns_only(benchmark, "item_id", "text").withColumn("item_id", F.col("item_id").cast("long")).distinct()
-    return items.mapInArrow(run, f"item_id long, size int, n int, {_WINDOW_TYPE}")
+    return items.mapInArrow(run, f"item_id long, reading int, size int, n int, {_WINDOW_TYPE}")
 
 
 def _bitmap(bench: DataFrame) -> tuple[np.ndarray, int, list[int]]:
@@ -211,88 +247,124 @@ def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
         for b in it:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), as_text(b.column(1)), strict=True):
-                t, v, slot = template(text, known)
-                for size in sizes:
-                    at, h, _ = windows(t, v, slot, size)
-                    low = h & np.uint64(bits - 1)
-                    hit = np.nonzero(table[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32) & np.uint32(1))[0]
-                    if len(hit):
-                        key = np.array([_digest(text)], np.uint64).view(np.int64)[0]
-                        rows += [(doc, key, x, a, _slots(v, slot, a, size)) for a, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist(), strict=True)]
+                for number, reading in enumerate(readings(text, known)):
+                    for size in sizes:
+                        at, h, _ = windows(reading, size, number)
+                        low = h & np.uint64(bits - 1)
+                        hit = np.nonzero(table[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32) & np.uint32(1))[0]
+                        if len(hit):
+                            key = np.array([_digest(text)], np.uint64).view(np.int64)[0]
+                            rows += [(doc, key, x, a, _slots(reading, a, size)) for a, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist(), strict=True)]
             yield _emit(rows, ["doc_id", "text_hash", "hash", "at", "slots"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())])
 
     return columns_only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, f"doc_id long, text_hash long, {_WINDOW_TYPE}")
 
 
-def _chained(rows: pd.DataFrame) -> pd.DataFrame:
-    """The most windows of an item that stand in a document in the item's order,
-    from one to the next at most SHIFT diagonals apart, if they cover enough of
-    it and their slots are consistent."""
-    rows = rows.assign(at=rows["item_at"] + rows["diagonal"]).drop_duplicates(["item_at", "at"]).sort_values(["item_at", "at"], ignore_index=True)
-    item_at, at = rows["item_at"].tolist(), rows["at"].tolist()
+def _consistent(places: dict[int, tuple[int, int]]) -> bool:
+    """Whether the (item's, document's) values at the item's slots substitute
+    consistently."""
+    ours: dict[int, Counter[int]] = defaultdict(Counter)
+    for theirs, mine in places.values():
+        ours[theirs][mine] += 1
+    counts = {theirs: c for theirs, c in ours.items() if theirs & 3 != _NAMES}
+    if any(len(c) > 1 for theirs, c in ours.items() if theirs & 3 == _NAMES):
+        return False
+    return sum(max(c.values()) for c in counts.values()) >= AGREEING * sum(map(sum, (c.values() for c in counts.values())))
+
+
+def chained(rows: list[tuple[int, int, list[int], list[int]]], n: int) -> tuple[float, bool] | None:
+    """Of matched windows (place in the item, in the document, their slots): the
+    longest chain in the item's order, from one to the next at most SHIFT
+    diagonals apart, that covers enough of the item's n windows and substitutes
+    its slots consistently, as its coverage and whether all values agree."""
+    rows = sorted({(i, a): (i, a, x, y) for i, a, x, y in rows}.values(), key=lambda r: r[:2])
     ends: dict[int, int] = {}  # by diagonal, the row that ends the longest chain
-    length, before = [], []
-    for k, (i, a) in enumerate(zip(item_at, at, strict=True)):
-        near = [e for d in range(a - i - SHIFT, a - i + SHIFT + 1) if (e := ends.get(d)) is not None and item_at[e] < i and at[e] < a]
-        best = max(near, key=lambda e: length[e], default=None)
+    length: list[int] = []
+    before: list[int | None] = []
+    for k, (i, a, _, _) in enumerate(rows):
+        near = [e for d in range(a - i - SHIFT, a - i + SHIFT + 1) if (e := ends.get(d)) is not None and rows[e][0] < i and rows[e][1] < a]
+        best = max(near, key=length.__getitem__, default=None)
         before.append(best)
         length.append(1 if best is None else length[best] + 1)
         ends[a - i] = k
-    k = max(range(len(length)), key=length.__getitem__)
-    coverage = length[k] / int(rows["n"].iloc[0])
-    pairs = set()
-    while k is not None:
-        pairs.update((x, y) for x, y in zip(rows["item_slots"][k], rows["slots"][k], strict=True) if x)
-        k = before[k]
-    ok = coverage >= COVERAGE and len(pairs) == len({x for x, _ in pairs})
-    out = pd.DataFrame({"coverage": [coverage], "verbatim": [all(x == y for x, y in pairs)]})
-    head = rows[["doc_id", "text_hash", "item_id"]].iloc[:1].astype("Int64").reset_index(drop=True)
-    return pd.concat([head, out], axis=1)[: int(ok)]
+    tried: set[int] = set()
+    for end in sorted(range(len(rows)), key=lambda k: -length[k]):
+        if length[end] < COVERAGE * n:
+            return None
+        if end in tried:
+            continue
+        places: dict[int, tuple[int, int]] = {}
+        k: int | None = end
+        while k is not None:
+            tried.add(k)
+            i, _, theirs, mine = rows[k]
+            places |= {i + p: (x, y) for p, (x, y) in enumerate(zip(theirs, mine, strict=True)) if x}
+            k = before[k]
+        if _consistent(places):
+            return length[end] / n, all(x == y for x, y in places.values())
+    return None
+
+
+_PAIR = ["doc_id", "text_hash", "item_id", "reading"]
+
+
+def _judged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pair (doc_id, text_hash, item_id, reading, n, item_at, at,
+    item_slots, slots): the pairs that leak."""
+    held: list[tuple] = []
+    pair = None
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+
+    def judge() -> list[tuple]:
+        got = chained([r[5:] for r in held], held[0][4]) if held else None
+        return [(*pair[:3], *got)] if got else []
+
+    for b in it:
+        out = []
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:4] != pair:
+                out += judge()
+                held, pair = [], row[:4]
+            held.append(row)
+        yield _emit(out, [*_PAIR[:3], "coverage", "verbatim"], types)
+    yield _emit(judge(), [*_PAIR[:3], "coverage", "verbatim"], types)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, coverage, kind): pairs of a document and a
-    benchmark item of which at least COVERAGE of the template windows stand in
-    the document in the item's order, at most SHIFT tokens nearer or further from
-    one to the next, with consistent slots. kind is 'verbatim'
+    benchmark item of which, in one reading, at least COVERAGE of the template
+    windows stand in the document in the item's order, at most SHIFT tokens nearer
+    or further from one to the next, with consistent slots. kind is 'verbatim'
     where all slot values agree and 're-parameterised' otherwise.
 
     Null and empty texts match nothing; rows equal in doc_id and text, and items
-    equal in id and text, count once; a null doc_id is carried as null; either
-    table may be empty; other columns are ignored.
+    equal in id and text, count once; a null doc_id is carried as null; texts of
+    any length are read whole; either table may be empty; other columns are
+    ignored.
     """
     bench = keep(benchmark_windows(benchmark), "bench")
     found = keep(matches(docs, bench), "windows")
-    met = found.join(bench.withColumnRenamed("at", "item_at").withColumnRenamed("slots", "item_slots"), "hash")
-    spot = ["doc_id", "text_hash", "item_id", "diagonal"]
-    met = keep(met.withColumn("diagonal", F.col("at") - F.col("item_at")).select(*spot, "n", "item_at", "slots", "item_slots"), "met")
-    counted = met.groupBy(*spot).agg(F.countDistinct("item_at").alias("hits"), F.max("n").alias("n"))
-    pair = F.explode(F.filter(F.arrays_zip("item_slots", "slots"), lambda p: p["item_slots"] != 0))
-    slots = met.select(*spot, pair.alias("p")).select(*spot, F.col("p.item_slots").alias("theirs"), F.col("p.slots").alias("ours")).distinct()
-    judged = slots.groupBy(*spot).agg(
-        F.count("*").alias("pairs"), F.countDistinct("theirs").alias("values"), F.sum((F.col("theirs") != F.col("ours")).cast("int")).alias("changed")
-    )
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"j.{k}")) for k in spot]
-    joined = counted.alias("c").join(judged.alias("j"), same, "left")
-    good = joined.filter((F.col("hits") >= F.col("n") * COVERAGE) & (F.coalesce("pairs", F.lit(0)) <= F.coalesce("values", F.lit(0))))
-    pair_of = ["doc_id", "text_hash", "item_id"]
-    ratio = (F.col("hits") / F.col("n")).alias("coverage")
-    found = good.select(*[f"c.{k}" for k in pair_of], ratio, (F.coalesce("changed", F.lit(0)) == 0).alias("verbatim"))
-    several = met.groupBy(*pair_of).agg(F.countDistinct("item_at").alias("hits"), F.max("n").alias("n"), F.min("diagonal").alias("a"), F.max("diagonal").alias("b"))
-    several = several.filter((F.col("hits") >= F.col("n") * COVERAGE) & (F.col("a") < F.col("b"))).select(*[F.col(k).alias(f"_{k}") for k in pair_of])
-    again = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in pair_of]
-    apart = met.join(several, again, "left_semi").groupBy(*pair_of)
-    found = found.unionByName(apart.applyInPandas(_chained, "doc_id long, text_hash long, item_id long, coverage double, verbatim boolean"))
-    best = F.max(F.struct("coverage", "verbatim"))
-    return (
-        found.groupBy(*pair_of)
-        .agg(best.alias("b"))
-        .select(*pair_of, "b.coverage", F.when(F.col("b.verbatim"), "verbatim").otherwise("re-parameterised").alias("kind"))
-    )
+    times = found.groupBy("hash").agg(F.count("*").alias("times"))
+    # a window that many documents share is dealt to parts; there are at most HOT_SHARE such
+    common = keep(times.filter(F.col("times") > found.count() / HOT_SHARE).select("hash", F.lit(PARTS).alias("parts")), "common", "lz4_raw")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = found.join(F.broadcast(common), "hash", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash", "at"), parts).cast("int"))
+    theirs = bench.join(F.broadcast(common), "hash", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    theirs = theirs.select("hash", "part", "item_id", "reading", "n", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    met = keep(dealt.drop("parts").join(theirs, ["hash", "part"]).select(*_PAIR, "n", "item_at", "at", "item_slots", "slots"), "met")
+    enough = met.groupBy(*_PAIR).agg(F.countDistinct("item_at").alias("hits"), F.max("n").alias("n")).filter(F.col("hits") >= F.col("n") * COVERAGE)
+    enough = enough.select(*[F.col(k).alias(f"_{k}") for k in _PAIR])
+    some = met.join(enough, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in _PAIR], "left_semi")
+    some = some.repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+    leaking = some.mapInArrow(_judged, "doc_id long, text_hash long, item_id long, coverage double, verbatim boolean")
+    best = leaking.groupBy(*_PAIR[:3]).agg(F.max(F.struct("coverage", "verbatim")).alias("b"))
+    return best.select(*_PAIR[:3], "b.coverage", F.when(F.col("b.verbatim"), "verbatim").otherwise("re-parameterised").alias("kind"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, columns unchanged."""
+    """The rows of ``docs`` that hold no benchmark item, columns unchanged; nulls,
+    empty and repeated rows and empty tables are as in :func:`leaks`, and columns
+    may have any names."""
     bad = keep(leaks(docs, benchmark).select("doc_id", "text_hash").distinct(), "leaks")
     bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_text"))
     return docs.join(

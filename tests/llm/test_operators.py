@@ -352,6 +352,85 @@ def test_leaks_of_items_that_are_mostly_slots(spark):
     assert got == {(k, k, "verbatim") for k in range(len(items))}
 
 
+def test_leaks_of_names_that_open_sentences(spark):
+    items = ["Alice has 5 red apples and eats 2", "Natalia sold 48 clips to friends in May. Natalia then sold half as many", "a car drives 60 miles in 60 minutes on the road to town"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [
+        (0, "Bob has 9 red apples and eats 4"), (1, "Clara sold 12 clips to friends in June. Clara then sold half as many"),
+        (2, "a car drives 80 miles in 45 minutes on the road to town"), (3, "Clara sold 12 clips to friends in June. Dora then sold half as many"),
+        (4, "ALICE HAS 5 RED APPLES AND EATS 2"), (5, "The 9 red apples and pears"),
+    ]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()}
+    assert got == {(0, 0): "re-parameterised", (1, 1): "re-parameterised", (2, 2): "re-parameterised", (4, 0): "verbatim"}
+
+
+def brute_reading(text, opens):
+    """Tokens (template, value, kind) by plain rules, one at a time."""
+    out, end = [], 0
+    for m in re.finditer(r"\w+", text):
+        w, low, gap = m[0], m[0].lower(), text[end : m.start()]
+        starts = not out or any(c in gap for c in ".!?\n")
+        begins, end = bool(out) and starts, m.end()
+        name = w[0].isupper() and w[1:].islower() and (not starts or opens and low not in decontaminate.OPENERS)
+        kind = "number" if any(c.isdigit() for c in w) or low in decontaminate.NUMBER_WORDS else "unit" if low in decontaminate.UNITS else "name" if name else ""
+        if out and kind in ("number", "name") and out[-1][2] == kind and not begins:
+            out[-1] = (out[-1][0], out[-1][1] + (low,), kind)
+        else:
+            out.append((kind or low, (low,), kind))
+    return out
+
+
+def brute_leaks(doc, item):
+    """Whether some reading of the item stands in the document on one diagonal, by
+    comparing all windows, with consistent slots."""
+    for opens in (False, True):
+        a, b = brute_reading(item, opens), brute_reading(doc, opens)
+        size = min(8, len(a))
+        of = [k for k in range(len(a) - size + 1) if sum(not x[2] for x in a[k : k + size]) >= min(4, size)] if size else []
+        values = not of
+        of = of or list(range(len(a) - size + 1) if size else [])
+        for d in range(-len(a), len(b) + 1):
+            hit = [k for k in of if 0 <= k + d <= len(b) - size and all((x[1] if values else x[0]) == (y[1] if values else y[0]) for x, y in zip(a[k : k + size], b[k + d : k + d + size]))]
+            if not hit or len(hit) < len(of) / 2:
+                continue
+            places = {k + p: (a[k + p], b[k + p + d]) for k in hit for p in range(size) if a[k + p][2]}
+            ours = {}
+            for x, y in places.values():
+                ours.setdefault((x[1], x[2]), []).append(y[1])
+            loose = {x: y for x, y in ours.items() if x[1] != "name"}
+            if any(len(set(y)) > 1 for x, y in ours.items() if x[1] == "name"):
+                continue
+            if sum(max(map(y.count, y)) for y in loose.values()) >= 2 / 3 * sum(map(len, loose.values())):
+                return True
+    return False
+
+
+def test_leaks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHIFT", 0)
+    r = random.Random(9)
+    names, words = ["Anna", "Bob", "Clara", "New York", "Denver"], "the of train had left for some people and then other birds were seen near old trees by".split()
+
+    def sentence(n):
+        w = [r.choice([r.choice(names), str(r.randint(1, 12)), r.choice(["miles", "hours", "kg"]), *r.choices(words, k=5)]) for _ in range(n)]
+        return (w[0][0].upper() + w[0][1:] if r.random() < 0.8 else w[0]) + " " + " ".join(w[1:])
+
+    def varied(t):
+        swap = {x: r.choice(names) for x in names} if r.random() < 0.7 else {}
+        t = re.sub("|".join(names), lambda m: swap.get(m[0], r.choice(names) if r.random() < 0.1 else m[0]), t)
+        t = re.sub(r"\d+", lambda m: str(r.randint(1, 12)) if r.random() < 0.3 else m[0], t)
+        w = t.split(" ")
+        for _ in range(r.choice([0, 0, 1, 3])):
+            w[r.randrange(len(w))] = r.choice(words)
+        return " ".join(w)
+
+    items = [". ".join(sentence(r.randint(3, 14)) for _ in range(r.randint(1, 3))) for _ in range(40)]
+    texts = [sentence(6) + ". " + varied(r.choice(items)) + r.choice([". ", " and "]) + sentence(5) for _ in range(250)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs_of(spark, list(enumerate(texts))), bench).collect()}
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if brute_leaks(t, x)}
+    assert len(want) > 50 and got == want
+
+
 def test_leaks_find_every_verbatim_passage(spark, sf, corpus):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
 
