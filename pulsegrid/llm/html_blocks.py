@@ -2,7 +2,8 @@
 
 A block is the text between two block-level boundaries; inline tags do not
 divide it. Each block carries its tag path with the class, id and role words of
-every ancestor. Scripts, styles, comments, titles and templates have no text.
+every ancestor. Scripts, styles, comments, titles, templates and a page's head
+have no text; formulas are text of their line.
 """
 
 from __future__ import annotations
@@ -13,19 +14,22 @@ from dataclasses import dataclass
 
 _MARKUP = re.compile(
     r"<!--(?:(?!-->).)*(?:-->|$)|<![^>]*>|<\?[^>]*>"
-    r"|<(script|style|title|template|textarea|noscript|svg|iframe|math|xmp|noembed)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:/>|>.*?(?:</\1\s*>|$))"
+    r"|<(script|style|title|template|textarea|noscript|svg|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:/>|>.*?(?:</\1\s*>|$))"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I,
 )
-_HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Fixed: HTML's inline, void and self-closing vocabularies.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr".split()
+    "strong sub sup time tt u var wbr "
+    "math annotation menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle "
+    "msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
 )
+#: Elements of a page's head; any other one ends it.
+_IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -60,6 +64,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     held: list[str] = []
     linked = inline = links = 0
+    in_head = False
     path: tuple[str, ...] | None = None
 
     def flush() -> None:
@@ -72,7 +77,7 @@ def blocks(page: str) -> list[Block]:
 
     def text(piece: str) -> None:
         nonlocal linked, path
-        if piece:
+        if piece and not in_head:
             if path is None and not piece.isspace():
                 path = tuple(s for t, s in stack if t not in INLINE or t == "a" or " " in s)
             held.append(piece)
@@ -85,15 +90,19 @@ def blocks(page: str) -> list[Block]:
         del stack[k:]
 
     at = 0
-    page = _HEAD.sub(" ", page, count=1) if "<head" in page[:4096].lower() else page
     for m in _MARKUP.finditer(page):
         text(page[at : m.start()])
         at = m.end()
         if m[3] is None:
             if m[1]:
-                flush() if m[1].lower() not in ("svg", "math") else None
+                flush() if m[1].lower() != "svg" else None
             continue
         tag = m[3].lower()
+        if tag == "head":
+            in_head = not m[2] and all(t != "body" for t, _ in stack)
+            continue
+        if not m[2] and tag not in _IN_HEAD:
+            in_head = False
         if m[2]:
             if tag not in INLINE:
                 flush()

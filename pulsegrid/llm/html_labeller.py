@@ -24,8 +24,10 @@ WORD_DIM = 128
 MEASURES = 8
 EMBED = 40
 HIDDEN = 24
-#: Pages that are labelled together.
-PAGES = 128
+#: Pages, and padded blocks, that are labelled together; a longer page alone.
+PAGES, CELLS = 128, 1 << 14
+#: Blocks that are embedded at a time, code points of pages that are read at a time.
+EMBEDDED, CHUNK = 4096, 1 << 23
 WEIGHTS = Path(__file__).with_name("html_labeller.npz")
 CACHE = 200_000
 
@@ -118,14 +120,17 @@ class Labeller:
     def save(self) -> None:
         np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in self.p.items()})
 
-    def embed(self, pages: list[tuple]) -> np.ndarray:
-        """tanh embeddings of the pages' blocks, one after another."""
-        index = np.concatenate([x[0] for x in pages])
-        value = np.concatenate([x[1] for x in pages])
-        base = np.cumsum([0, *(len(x[0]) for x in pages[:-1])])
-        offsets = np.concatenate([x[2] + b for x, b in zip(pages, base, strict=True)])
-        bag = np.add.reduceat(self.p["E"][index] * value[:, None], offsets, axis=0)
-        return np.tanh(bag + np.concatenate([x[3] for x in pages]) @ self.p["M"] + self.p["e"])
+    def embed(self, page: tuple) -> np.ndarray:
+        """tanh embeddings of a page's blocks."""
+        index, value, offsets, measures = page
+        out = np.empty((len(offsets), EMBED), np.float32)
+        ends = np.append(offsets, len(index))
+        for a in range(0, len(offsets), EMBEDDED):
+            b = min(a + EMBEDDED, len(offsets))
+            i, j = ends[a], ends[b]
+            bag = np.add.reduceat(self.p["E"][index[i:j]] * value[i:j, None], offsets[a:b] - i, axis=0)
+            out[a:b] = np.tanh(bag + measures[a:b] @ self.p["M"] + self.p["e"])
+        return out
 
     def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
         """Logits of padded (time, page, EMBED) embeddings; padding, where mask
@@ -159,8 +164,11 @@ class Labeller:
         sizes = [len(p[2]) for p in pages]
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((k for k in range(len(pages)) if sizes[k]), key=lambda k: sizes[k])
-        for a in range(0, len(order), PAGES):
-            some = order[a : a + PAGES]
+        while order:
+            few = 1
+            while few < min(PAGES, len(order)) and (few + 1) * sizes[order[few]] <= CELLS:
+                few += 1
+            some, order = order[:few], order[few:]
             x, mask = self.padded([pages[k] for k in some])
             p = _sigmoid(self.run(x, mask)[0])
             for j, k in enumerate(some):
@@ -168,13 +176,11 @@ class Labeller:
         return out
 
     def padded(self, pages: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        flat, sizes = self.embed(pages), [len(p[2]) for p in pages]
+        sizes = [len(p[2]) for p in pages]
         x = np.zeros((max(sizes), len(pages), EMBED), np.float32)
         mask = np.zeros(x.shape[:2], np.float32)
-        at = 0
-        for j, n in enumerate(sizes):
-            x[:n, j], mask[:n, j] = flat[at : at + n], 1.0
-            at += n
+        for j, (n, page) in enumerate(zip(sizes, pages, strict=True)):
+            x[:n, j], mask[:n, j] = self.embed(page), 1.0
         return x, mask
 
 
@@ -188,8 +194,8 @@ def main_texts(pages: list[str], model: Labeller, features: Features) -> list[st
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``. Null and empty
-    html, and pages without text, give an empty text; repeated rows repeat; nulls
-    in page_id and url are carried; an empty table stays empty; other columns are
+    html, and pages without text, give an empty text; pages of any length are read
+    whole, memory growing with the longest alone; repeated rows repeat; nulls in page_id and url are carried; an empty table stays empty; other columns are
     ignored."""
     ship(pages.sparkSession)
     params = Labeller.load().p
@@ -199,8 +205,15 @@ def extracted(pages: DataFrame) -> DataFrame:
         for b in it:
             source = as_text(b.column(2))
             texts: list[str] = []
-            for a in range(0, len(source), PAGES):
-                texts += main_texts(source[a : a + PAGES], model, features)
+            some: list[str] = []
+            size = 0
+            for page in source:
+                some.append(page)
+                size += len(page)
+                if len(some) == PAGES or size >= CHUNK:
+                    texts += main_texts(some, model, features)
+                    some, size = [], 0
+            texts += main_texts(some, model, features)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

@@ -774,6 +774,55 @@ def test_blocks():
     ]
 
 
+def test_heads_and_formulas():
+    def texts(page):
+        return [b.text for b in html_blocks.blocks(page)]
+
+    note = "<!--" + "x" * 5000 + "-->"
+    assert texts(note + "<html><head>stray<title>t</title><meta a=b>more</head><body><p>a</p>") == ["a"]
+    assert texts("<head><title>t</title>stray<body><p>a</p><head>b") == ["a", "b"]
+    assert texts("<header>h</header><p>so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> holds</p><xmp>code</xmp>") == ["h", "so x=12 holds", "code"]
+
+
+def plain_label(model, page):
+    """The labeller in scalar steps, as its definition reads."""
+    p, (index, value, offsets, measures) = model.p, page
+    ends = [*offsets[1:], len(index)]
+    x = [np.tanh(sum((p["E"][index[k]] * value[k] for k in range(a, b)), measures[n] @ p["M"] + p["e"])) for n, (a, b) in enumerate(zip(offsets, ends, strict=True))]
+    sig, both = lambda z: 1 / (1 + np.exp(-z)), []
+    for d in "fb":
+        h, c, out = np.zeros(html_labeller.HIDDEN), np.zeros(html_labeller.HIDDEN), []
+        for v in x if d == "f" else x[::-1]:
+            i, f, o, g = np.split(v @ p[f"W{d}"] + h @ p[f"U{d}"] + p[f"b{d}"], 4)
+            c = sig(f) * c + sig(i) * np.tanh(g)
+            h = sig(o) * np.tanh(c)
+            out.append(h)
+        both.append(out if d == "f" else out[::-1])
+    return [float(sig(np.concatenate([a, b, v]) @ p["V"] + p["c"][0])) for a, b, v in zip(*both, x, strict=True)]
+
+
+def test_labels_against_a_plain_version():
+    model = html_labeller.Labeller.load()
+    pages = [x for x, _ in html_training.examples(12, 77)]
+    for got, page in zip(model.label(pages), pages, strict=True):
+        assert got == pytest.approx(plain_label(model, page), abs=1e-4)
+
+
+def test_one_long_page_among_short_ones():
+    import tracemalloc
+
+    short = "<body><nav><a href=/>home</a></nav><article><p>A few words that stand here.</p></article></body>"
+    long = "<body><article>" + "".join(f"<p>Some words, number {k}, go on here.</p>" for k in range(30_000)) + "</article></body>"
+    model, features = html_labeller.Labeller.load(), html_labeller.Features()
+    want = html_labeller.main_texts([short], model, features)[0]
+    tracemalloc.start()
+    got = html_labeller.main_texts([short] * 64 + [long] + [short] * 63, model, features)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:64] == got[65:] + [want] and got[64].count("number") == 30_000
+    assert peak < 5000 * 30_000  # 1 GB holds 200,000 blocks
+
+
 def test_page_edges(spark):
     long = "<article>" + "<p>some words that go on here.</p>" * 5000 + "</article>"
     rows = [(1, "u", None, 0), (2, None, "", 0), (3, "u", "<<<>", 0), (3, "u", "<<<>", 0), (None, "u", "<p", 0), (5, "u", long, 0)]
