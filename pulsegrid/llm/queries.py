@@ -94,7 +94,7 @@ def _secret_sql() -> str:
     return f"""WITH raw AS ({" UNION ALL ".join(map(found, range(len(secrets.KINDS))))}),
         cand AS (SELECT *, start + length(match) AS stop FROM (SELECT *, CASE WHEN ord = 0 THEN regexp_extract(match, {quoted(secrets.ASSIGN)}, 2) ELSE match END AS value FROM raw)
             WHERE (ord <> 0 OR length(value) >= {secrets.LEAST_VALUE}) AND (ord <> 4 OR (regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Za-z]')))),
-        held AS (SELECT value, CASE WHEN owners >= {secrets.COPIED_OWNERS} OR repos >= {secrets.COPIED_REPOS} THEN 'copied' WHEN owners > 1 THEN 'shared' ELSE 'owned' END AS standing
+        held AS (SELECT value, CASE WHEN owners >= {secrets.COPIED_OWNERS} OR owners > 1 AND repos >= {secrets.COPIED_REPOS} THEN 'copied' WHEN owners > 1 THEN 'shared' ELSE 'owned' END AS standing
             FROM (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repos FROM cand GROUP BY 1)),
         judged AS (SELECT * FROM cand JOIN held USING (value)),
         stays AS (SELECT * FROM judged j WHERE ord < {secrets.BASE} OR ((ord = 3 AND standing <> 'copied' OR ord = 4 AND standing = 'owned')

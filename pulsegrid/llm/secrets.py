@@ -32,7 +32,8 @@ KINDS = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("vendor", VENDOR
 BASE = 3
 LEAST_VALUE = 12
 
-#: A value in this many owners, or repositories, is a widely copied example.
+#: A value in this many owners, or in several owners and this many repositories,
+#: is a widely copied example; one that a single owner holds never is.
 COPIED_OWNERS = 3
 COPIED_REPOS = 10
 
@@ -57,8 +58,9 @@ def _value(kind: Column, match: Column) -> Column:
     return F.when(kind == 0, F.when(F.length(named) >= LEAST_VALUE, named)).when(kind == 4, F.when(opaque, match)).otherwise(match)
 
 
-def candidates(docs: DataFrame, repo: Column, owner: Column) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, _id, _text) and the distinct texts' candidate spans.
+def candidates(docs: DataFrame, repo: Column, owner: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, _id, _text), the distinct texts' candidate spans and the
+    repositories and owners that hold them (_id, _text, repo, owner).
 
     _id and _text stand for a row's doc_id and text: rows that agree in both have
     the same spans and share them.
@@ -68,45 +70,41 @@ def candidates(docs: DataFrame, repo: Column, owner: Column) -> tuple[DataFrame,
         docs.select(
             "doc_id",
             F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"),
-            F.xxhash64(text).alias("_text"),
+            F.xxhash64(text, F.col("doc_id").isNull()).alias("_text"),
             F.coalesce(repo.cast("string"), F.lit("")).alias("repo"),
             F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
             F.flatten(F.array_compact(F.array(*[_pieces(text, k) for k in range(len(KINDS))]))).alias("pieces"),
         ),
         "secrets",
     )
-    pieces = (
-        rows.filter(F.size("pieces") > 0)
-        .groupBy("_id", "_text")
-        .agg(F.min(F.struct("repo", "owner", "pieces")).alias("x"))
-        .select("_id", "_text", "x.repo", "x.owner", F.explode("x.pieces").alias("p"))
-    )
+    holding = rows.filter(F.size("pieces") > 0)
+    pieces = holding.groupBy("_id", "_text").agg(F.min("pieces").alias("pieces")).select("_id", "_text", F.explode("pieces").alias("p"))
     before = Window.partitionBy("_id", "_text", "p.kind").orderBy("p.at").rowsBetween(Window.unboundedPreceding, 0)
     spans = (
         pieces.withColumn("end", F.sum(F.col("p.gap") + F.col("p.size")).over(before))
         .withColumn("value", _value(F.col("p.kind"), F.col("p.match")))
         .filter("value is not null")
         .select(
-            "_id", "_text", "repo", "owner", F.col("p.kind").alias("kind"), (F.col("end") - F.col("p.size")).alias("start"), "end",
+            "_id", "_text", F.col("p.kind").alias("kind"), (F.col("end") - F.col("p.size")).alias("start"), "end",
             F.xxhash64("value").alias("hash"),
         )
     )
-    return rows.select("doc_id", "_id", "_text"), keep(spans, "spans", "lz4_raw")
+    return rows.select("doc_id", "_id", "_text"), keep(spans, "spans", "lz4_raw"), holding.select("_id", "_text", "repo", "owner").distinct()
 
 
-def ownership(spans: DataFrame) -> DataFrame:
-    """(hash, n, repos, owners, standing): how often and by whom each candidate
-    value is held. standing is 'copied', 'shared' or 'owned'."""
+def ownership(spans: DataFrame, holders: DataFrame) -> DataFrame:
+    """(hash, n, repos, owners, standing): in how many spans, and by whom, each
+    candidate value is held. standing is 'copied', 'shared' or 'owned'."""
+    held = spans.select("_id", "_text", "hash").distinct().join(holders, ["_id", "_text"]).select("hash", "owner", "repo").distinct()
     return (
-        spans.groupBy("hash", "owner", "repo")
-        .agg(F.count("*").alias("n"))
-        .groupBy("hash", "owner")
-        .agg(F.sum("n").alias("n"), F.count("*").alias("repos"))
+        held.groupBy("hash", "owner")
+        .agg(F.count("*").alias("repos"))
         .groupBy("hash")
-        .agg(F.sum("n").alias("n"), F.sum("repos").alias("repos"), F.count("*").alias("owners"))
+        .agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
+        .join(spans.groupBy("hash").agg(F.count("*").alias("n")), "hash")
         .withColumn(
             "standing",
-            F.when((F.col("owners") >= COPIED_OWNERS) | (F.col("repos") >= COPIED_REPOS), "copied")
+            F.when((F.col("owners") >= COPIED_OWNERS) | (F.col("owners") > 1) & (F.col("repos") >= COPIED_REPOS), "copied")
             .when(F.col("owners") > 1, "shared")
             .otherwise("owned"),
         )
@@ -121,11 +119,12 @@ def secret_spans(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
     widely copied, opaque ones only where a single owner holds them, and neither
     where a base span covers the same stretch. Null texts count as empty and have
     no spans; null owners and repositories count as one unnamed; rows equal in
-    doc_id and text share their spans; an empty table gives an empty result;
+    doc_id and text share their spans, and each of their owners counts; texts are
+    scanned whole; an empty table gives an empty result;
     other columns are ignored.
     """
-    rows, spans = candidates(docs, repo, owner)
-    known = keep(ownership(spans).select("hash", "n", "standing"), "owners", "lz4_raw")
+    rows, spans, holders = candidates(docs, repo, owner)
+    known = keep(ownership(spans, holders).select("hash", "n", "standing"), "owners", "lz4_raw")
     judged = join_counted(spans, known, "hash", "n")
     name = F.element_at(F.array(*[F.lit(k) for k, _ in KINDS]), F.col("kind") + 1)
     found = judged.groupBy("_id", "_text").agg(

@@ -30,9 +30,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one is
-    set only where the session names none (tests, local runs)."""
+    set only where a session in one process names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="pulsegrid-")
         spark.sparkContext.setCheckpointDir(base)
     root = f"{base.rstrip('/')}/pulsegrid-{spark.sparkContext.applicationId}"

@@ -89,6 +89,31 @@ def test_secrets_copied_everywhere_are_no_additions(spark):
     assert by[0] == "" and by[99] == "opaque:4:28"
 
 
+def test_secrets_of_equal_rows_have_all_their_owners(spark):
+    """Rows equal in id and text count for every owner; a null id is no -1; what a
+    single owner copies stays owned."""
+    a, b, c = (f"see {x * 12} here" for x in ("Ab1", "Cd2", "Ef3"))
+    rows = [(None, a, "s1"), (None, a, "s2"), (None, b, "s1"), (-1, b, "s2"), *[(100 + k, c, "s1") for k in range(30)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.spans, r.n_owned) for r in secrets.secret_report(df, F.col("doc_id"), F.col("source")).collect()]
+    assert len(got) == len(rows)
+    assert all(x[1:] == (("opaque:4:40", 1) if (x[0] or 0) >= 100 else ("", 0)) for x in got)
+
+
+def test_scratch_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        conf, sparkContext = {}, Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        shared.scratch_root(Session())
+
+
 def test_secrets_edges(edge, empty):
     assert secrets.secret_report(edge, F.col("doc_id"), F.col("source")).count() == len(EDGE)
     assert secrets.secret_report(empty, F.col("doc_id"), F.col("source")).count() == 0
