@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_text, columns_only, ship
+from .shared import as_text, columns_only, keep, ship
 
 SAMPLE_TOXIC = 3000
 SAMPLE_CLEAN = 5000
 BITS = 22
 GRADES = 4
+#: Least toxic texts of a feature, and least z score of its lean to them.
+LEAST_TEXTS, SCREEN = 3, 3.0
 #: A document is toxic where a grade above 0 is likelier than not.
 TOXIC_AT = 0.5
 BEGINNINGS = range(4, 10)
@@ -126,11 +128,11 @@ def fit(features: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray)
     has = np.zeros((2, _MASK + 1), np.int32)
     for f, y in zip(features, toxic, strict=True):
         has[int(not y), f] += 1  # a text names a feature once
-    often = np.nonzero(has[0] >= 3)[0]
+    often = np.nonzero(has[0] >= LEAST_TEXTS)[0]
     seen, n = has[:, often].astype(float), np.array([[toxic.sum()], [(~toxic).sum()]])
     odds = np.log((seen + 0.5) / (n + 1))
     z = (odds[0] - odds[1]) / np.sqrt((1 / (seen + 0.5)).sum(axis=0))
-    chosen, z = often[z > 3.0], z[z > 3.0]
+    chosen, z = often[z > SCREEN], z[z > SCREEN]
     if not len(chosen):
         return nothing
     number = np.full(_MASK + 1, -1, np.int32)
@@ -163,29 +165,54 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, c
     return columns_only(docs, "doc_id", "text").join(F.broadcast(few), "doc_id").select("toxic", "text")
 
 
+def _leaning(few: DataFrame) -> frozenset[int]:
+    """The features that may pass the screening of :func:`fit`, counted on the
+    executors; those that a sample's text has beside them never leave these."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
+        texts: dict[int, list[int]] = {}
+        for b in it:
+            for toxic, t in zip(b.column(0).to_pylist(), as_text(b.column(1)), strict=True):
+                for f in text_features(t, known):
+                    texts.setdefault(f, [0, 0])[toxic <= 0] += 1
+        n = np.array(list(texts.values()), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(n[:, 0]), pa.array(n[:, 1])], ["feature", "toxic", "clean"])
+
+    counted = few.mapInArrow(run, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    n = {toxic: k for toxic, k in few.groupBy(F.col("toxic") > 0).count().collect()}
+    seen = [F.col("toxic") + 0.5, F.col("clean") + 0.5]
+    odds = F.ln(seen[0] / (n.get(True, 0) + 1)) - F.ln(seen[1] / (n.get(False, 0) + 1))
+    leans = odds / F.sqrt(1 / seen[0] + 1 / seen[1]) > 0.99 * SCREEN
+    found = counted.filter((F.col("toxic") >= LEAST_TEXTS) & leans).select("feature").toArrow()  # features of a model, fewer than hashes
+    return frozenset(found.column(0).to_pylist())
+
+
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN) -> Ordinal:
     """Fits the model; features are counted on the executors and only the bounded
-    sample's hashed counts come to the driver."""
+    sample's counts of screened features come to the driver."""
     ship(docs.sparkSession)
+    few = keep(sample(docs, labels, toxic_rows, clean_rows).select(F.col("toxic").cast("int").alias("toxic"), "text"), "sample")
+    only = docs.sparkSession.sparkContext.broadcast(_leaning(few))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known()
+        known = _Known(only.value)
         for b in it:
             counts = [dict(sorted(text_features(t, known).items())) for t in as_text(b.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0).cast(pa.int32()),
+                    b.column(0),
                     pa.array([np.fromiter(c.keys(), "<u4", len(c)).tobytes() for c in counts], pa.binary()),
-                    pa.array([np.minimum(np.fromiter(c.values(), np.int64, len(c)), 65535).astype("<u2").tobytes() for c in counts], pa.binary()),
+                    pa.array([np.fromiter(c.values(), "<u4", len(c)).tobytes() for c in counts], pa.binary()),
                 ],
                 ["toxic", "ids", "counts"],
             )
 
-    got = sample(docs, labels, toxic_rows, clean_rows).mapInArrow(run, "toxic int, ids binary, counts binary").toArrow()
+    got = few.mapInArrow(run, "toxic int, ids binary, counts binary").toArrow()
     # one order whatever the partitioning, so that the fit is the same
     toxic = got.column(0).to_numpy() > 0
-    ids, counts = ([np.frombuffer(x.as_buffer(), kind) for x in got.column(k)] for k, kind in ((1, "<u4"), (2, "<u2")))
-    order = sorted(range(len(ids)), key=lambda k: (toxic[k], xxhash.xxh64_intdigest(ids[k]), len(ids[k])))
+    ids, counts = ([np.frombuffer(x.as_buffer(), "<u4") for x in got.column(k)] for k in (1, 2))
+    order = sorted(range(len(ids)), key=lambda k: (toxic[k], ids[k].tobytes(), counts[k].tobytes()))
     return fit([ids[k] for k in order], [counts[k] for k in order], toxic[order])
 
 
@@ -220,6 +247,10 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, columns unchanged."""
-    out = scored(docs, train(docs, labels), "_severity_", "_p_toxic_").filter(F.col("_p_toxic_") < TOXIC_AT)
-    return out.select(*docs.columns)
+    """The rows of ``docs`` that are not toxic, columns unchanged, whatever their
+    names; null and empty texts are not toxic; repeated rows share their fate; an
+    empty table stays empty."""
+    severity, p_toxic = "_severity", "_p_toxic"
+    while {severity, p_toxic} & {c.lower() for c in docs.columns}:
+        severity, p_toxic = severity + "_", p_toxic + "_"
+    return scored(docs, train(docs, labels), severity, p_toxic).filter(F.col(p_toxic) < TOXIC_AT).select(*docs.columns)

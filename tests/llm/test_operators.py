@@ -900,6 +900,38 @@ def test_held_out_accuracy(spark):
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {k for k in got if not got[k].is_toxic}
 
 
+def plain_features(text):
+    found = {}
+    for token in text.split():
+        w = re.sub(r"^[\W_]+|[\W_]+$", "", token.lower())
+        for part in [w, *(w[:k] + "*" for k in range(4, 10) if k < len(w))] if len(w) > 2 else []:
+            f = xxhash.xxh32_intdigest(part.encode()) % (1 << toxicity.BITS)
+            found[f] = found.get(f, 0) + 1
+    return found
+
+
+def test_fit_and_scores_against_a_plain_version(spark):
+    """The fit from all features of the sample, counts of any size included, and
+    the scores by their formulas."""
+    rows = toxic_rows(200, 3) + [(1000, "vilething " * 70_000), (1001, "")]
+    df = docs_of(spark, rows)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    texts = [(k % 4 == 0, plain_features(t)) for k, t in rows]
+    ordered = [(y, sorted(f.items())) for y, f in texts]
+    want = toxicity.fit([np.array([a for a, _ in f], np.int64) for _, f in ordered], [np.array([b for _, b in f]) for _, f in ordered], np.array([y for y, _ in ordered]))
+    model = toxicity.train(df, labels)
+    assert model.weights.keys() == want.weights.keys() and model.weights
+    assert all(model.weights[f] == pytest.approx(w, abs=1e-6) for f, w in want.weights.items()) and np.allclose(model.theta, want.theta, atol=1e-6)
+    got = {r.doc_id: r for r in toxicity.toxicity_report(df, labels).collect()}
+    for k, t in rows:
+        score = sum(model.weights.get(f, 0.0) * np.log(1 + n) for f, n in plain_features(t).items())
+        above = [1 / (1 + np.exp(x - score)) for x in model.theta]
+        assert got[k].severity == pytest.approx(sum(above)) and got[k].p_toxic == pytest.approx(above[0])
+    clash = df.withColumn("_p_toxic", F.lit(7)).withColumn("_severity_", F.lit(8))
+    left = toxicity.without_toxic(clash, labels)
+    assert left.columns == clash.columns and {(r._p_toxic, r._severity_) for r in left.collect()} == {(7, 8)}
+
+
 def test_toxicity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(4, 1, 1)], "doc_id long, quality int, toxic int")
     for l in (labels, labels.limit(0)):
