@@ -1,11 +1,17 @@
 """Shards with size-tiered compaction and an atomically versioned manifest.
 
-An arrival is appended as small immutable Parquet shards. Compaction puts shards
-into tiers by the logarithm of their size; a tier with at least FANOUT shards is
-merged into target-sized files. Every change is a new manifest version that is
-written aside and renamed into place, and the rename fails if another writer got
-there first, so readers see whole versions only. Merging never shuffles: files
-of a tier are read side by side and coalesced.
+An arrival is appended as a run: a folder of small immutable Parquet shards.
+Compaction puts runs into tiers by the logarithm of their shards' size; a tier
+with at least FANOUT shards is merged into one run of target-sized files. Every
+change is a new manifest version that is written aside and renamed into place,
+and the rename fails if another writer got there first, so readers see whole
+versions only; a writer that comes second puts its change on top of the other's.
+Merging never shuffles: files of a tier are read side by side and coalesced.
+
+A manifest has one entry for each run, whatever number of shards it holds, and
+runs are read as folders, so the driver keeps nothing for each shard. Atomic
+versions need a file system whose rename fails where the target exists, as HDFS
+and local ones do; on an object store, a commit service must stand in for it.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,14 +30,15 @@ from .shared import drop, new_path
 
 TARGET_BYTES = 128 << 20
 FANOUT = 4
-#: Rows of a shard as it arrives.
-ARRIVAL_ROWS = 4096
+#: Changes of other writers that one commit is put on top of before it gives up.
+RETRIES = 20
 _SMALLEST = 1 << 16
 
 
 @dataclass(frozen=True)
-class Shard:
+class Run:
     path: str  # below the store's root
+    shards: int
     rows: int
     bytes: int
 
@@ -40,7 +48,7 @@ class StaleVersion(RuntimeError):
 
 
 class ShardStore:
-    """A folder of shards and manifests, in any Hadoop file system."""
+    """A folder of runs and manifests, in any Hadoop file system."""
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT):
         self.spark, self.root, self.target, self.fanout = spark, root.rstrip("/"), target_bytes, fanout
@@ -61,17 +69,17 @@ class ShardStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(at)]
         return max([0, *(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))])
 
-    def manifest(self, version: int | None = None) -> tuple[int, StructType | None, list[Shard]]:
+    def manifest(self, version: int | None = None) -> tuple[int, StructType | None, list[Run]]:
         v = self.version() if version is None else version
         if not v:
             return 0, None, []
         text = self.spark.read.text(f"{self.root}/manifests/v{v:010d}.json", wholetext=True).first()[0]
         held = json.loads(text)
-        return v, StructType.fromJson(held["schema"]), [Shard(**s) for s in held["shards"]]
+        return v, StructType.fromJson(held["schema"]), [Run(**s) for s in held["runs"]]
 
-    def _commit(self, base: int, schema: StructType, shards: list[Shard]) -> int:
+    def _commit(self, base: int, schema: StructType, runs: list[Run]) -> int:
         aside, final = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/v{base + 1:010d}.json")
-        body = json.dumps({"version": base + 1, "schema": schema.jsonValue(), "shards": [asdict(s) for s in sorted(shards, key=lambda s: s.path)]})
+        body = json.dumps({"version": base + 1, "schema": schema.jsonValue(), "runs": [asdict(r) for r in sorted(runs, key=lambda r: r.path)]})
         self._fs.mkdirs(self._path("manifests"))
         out = self._fs.create(aside, True)
         out.write(bytearray(body.encode()))
@@ -87,64 +95,81 @@ class ShardStore:
             raise
         return base + 1
 
-    # --- shards -----------------------------------------------------------
-
-    def _written(self, folder: str, schema: StructType) -> list[Shard]:
-        """The files of a folder just written, with their rows and sizes."""
-        files = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")}
-        name = F.col("_metadata.file_name")
-        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{folder}").groupBy(name.alias("f")).count().collect()  # one row per file
-        return [Shard(f"{folder}/{r['f']}", r["count"], files[r["f"]]) for r in rows]
-
-    def _write(self, df: DataFrame, kind: str, rows_per_file: int = 0) -> list[Shard]:
+    def _change(self, schema: StructType, change: Callable[[list[Run]], list[Run] | None]) -> int:
+        """Commits what ``change`` makes of the latest runs, again where another
+        writer came first; 0 if it makes nothing of them."""
+        for _ in range(RETRIES):
+            base, known, runs = self.manifest()
+            if known is not None and known != schema:
+                raise ValueError("an arrival must have the columns of the store")
+            new = change(runs)
+            if new is None:
+                return 0
+            try:
+                return self._commit(base, schema, new)
+            except StaleVersion:
+                continue
+        raise StaleVersion(f"other writers came first {RETRIES} times")
+
+    # --- runs -------------------------------------------------------------
+
+    def _write(self, df: DataFrame, kind: str, rows_per_file: int = 0) -> Run:
         folder = f"{kind}-{uuid.uuid4().hex[:12]}"
         df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(f"{self.root}/{folder}")
-        return self._written(folder, df.schema)
-
-    def append(self, df: DataFrame, rows_per_file: int = ARRIVAL_ROWS) -> int:
-        """Adds an arrival as small shards; returns the new version."""
-        base, schema, shards = self.manifest()
+        name, size = F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")
+        files = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}").select(name, size).groupBy("f", "s").agg(F.count("*").alias("n"))
+        shards, rows, held = files.agg(F.count("*"), F.sum("n"), F.sum("s")).first()
+        return Run(folder, shards, rows or 0, held or 0)
+
+    def append(self, df: DataFrame, rows_per_file: int = 0) -> int:
+        """Adds an arrival as a run of shards, one or more for each of its
+        partitions; returns the new version."""
+        v, schema, _ = self.manifest()
         if schema is not None and schema != df.schema:
             raise ValueError("an arrival must have the columns of the store")
-        return self._commit(base, df.schema, shards + self._write(df, f"v{base + 1:07d}-arrival", rows_per_file))
+        run = self._write(df, f"v{v + 1:07d}-arrival", rows_per_file)
+        return self._change(df.schema, lambda runs: [*runs, run])
 
-    def tier(self, shard: Shard) -> int:
-        return int(math.log(max(shard.bytes, _SMALLEST) / _SMALLEST, self.fanout))
+    def tier(self, run: Run) -> int:
+        return int(math.log(max(run.bytes / max(run.shards, 1), _SMALLEST) / _SMALLEST, self.fanout) + 1e-9)
 
-    def full(self, shard: Shard) -> bool:
-        return shard.bytes >= self.target / 2
+    def full(self, run: Run) -> bool:
+        return run.bytes >= run.shards * self.target / 2
 
-    def plan(self, shards: list[Shard]) -> list[list[Shard]]:
+    def plan(self, runs: list[Run]) -> list[list[Run]]:
         """Runs of similarly sized shards that are due: every tier that holds at
         least ``fanout`` shards below half of the target."""
-        tiers: dict[int, list[Shard]] = {}
-        for s in shards:
-            if not self.full(s):
-                tiers.setdefault(self.tier(s), []).append(s)
-        return [sorted(t, key=lambda s: s.path) for _, t in sorted(tiers.items()) if len(t) >= self.fanout]
+        tiers: dict[int, list[Run]] = {}
+        for r in runs:
+            if r.shards and not self.full(r):
+                tiers.setdefault(self.tier(r), []).append(r)
+        return [sorted(t, key=lambda r: r.path) for _, t in sorted(tiers.items()) if sum(r.shards for r in t) >= self.fanout]
 
     def compact(self) -> int:
-        """Merges until no tier is due; old shards stay until :meth:`vacuum`."""
+        """Merges until no tier is due; old runs stay until :meth:`vacuum`."""
         while True:
-            base, schema, shards = self.manifest()
-            due = self.plan(shards)
+            base, schema, runs = self.manifest()
+            due = self.plan(runs)
             if not due:
                 return base
-            for run in due:
-                files = max(1, round(sum(s.bytes for s in run) / self.target))
-                merged = self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in run]).coalesce(files)
-                new = self._write(merged, f"v{base + 1:07d}-tier{self.tier(run[0])}")
-                if sum(s.rows for s in new) != sum(s.rows for s in run):
+            for some in due:
+                files = max(1, round(sum(r.bytes for r in some) / self.target))
+                merged = self.spark.read.schema(schema).parquet(*[f"{self.root}/{r.path}" for r in some]).coalesce(files)
+                new = self._write(merged, f"v{base + 1:07d}-tier{self.tier(some[0])}")
+                if new.rows != sum(r.rows for r in some):
                     raise RuntimeError("a merge must keep every row")
-                gone = set(run)
-                shards = [s for s in shards if s not in gone] + new
-            self._commit(base, schema, shards)
+
+                def swap(now: list[Run], some=some, new=new) -> list[Run] | None:
+                    return [r for r in now if r not in some] + [new] if set(some) <= set(now) else None
+
+                if not self._change(schema, swap):  # another writer has merged them
+                    drop(self.spark, f"{self.root}/{new.path}")
 
     def vacuum(self) -> None:
         """Deletes the folders and manifests that the latest version no longer
         needs."""
-        v, _, shards = self.manifest()
-        live = {s.path.split("/")[0] for s in shards}
+        v, _, runs = self.manifest()
+        live = {r.path for r in runs}
         for s in self._fs.listStatus(self._path("")):
             name = s.getPath().getName()
             if name != "manifests" and name not in live:
@@ -155,30 +180,32 @@ class ShardStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version with columns shard and shard_row added."""
-        v, schema, shards = self.manifest(version)
+        v, schema, runs = self.manifest(version)
         if schema is None:
             raise ValueError("the store is empty")
         keep = [n for n in schema.names if n not in ("shard", "shard_row")]
-        if not shards:
+        if not any(r.shards for r in runs):
             return self.spark.createDataFrame([], schema).select(*keep, F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_row"))
         # folder without its random end, number of the writing task, number of its file
         shard = F.regexp_replace("_metadata.file_path", r"^.*/([^/]+)-[0-9a-f]{12}/part-(\d+)-.*-c(\d+)\..*$", "$1/$2-$3")
         return (
             self.spark.read.schema(schema)
-            .parquet(*[f"{self.root}/{s.path}" for s in shards])
+            .parquet(*[f"{self.root}/{r.path}" for r in runs if r.shards])
             .select(*keep, shard.alias("shard"), F.col("_metadata.row_index").alias("shard_row"))
         )
 
 
-def sharded(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Appends ``docs`` to a new store, compacts it and reads the committed
-    version back: the rows of ``docs`` with shard and shard_row.
+def sharded(docs: DataFrame, target_bytes: int = TARGET_BYTES, destination: str | None = None) -> DataFrame:
+    """Appends ``docs`` to a store, compacts it and reads the committed version
+    back: its rows with shard and shard_row. The store is the one at
+    ``destination``, which is made where there is none and keeps what arrived
+    before; without one, it is new and lasts as long as the session.
 
     Every row is kept as it is, nulls, empty and long texts and repeated rows
     included; a column that is itself called shard or shard_row gives way to the
     placement; an empty table makes a store of no rows.
     """
-    store = ShardStore(docs.sparkSession, new_path(docs.sparkSession, "shards"), target_bytes)
+    store = ShardStore(docs.sparkSession, destination or new_path(docs.sparkSession, "shards"), target_bytes)
     store.append(docs)
     store.compact()
     store.vacuum()

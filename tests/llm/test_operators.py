@@ -328,6 +328,57 @@ def test_commits_do_not_overwrite(spark, corpus):
     assert store.read().count() == corpus.count()
 
 
+def test_tiers_against_plain_rules():
+    store = sharding.ShardStore.__new__(sharding.ShardStore)
+    store.target, store.fanout = 1 << 24, 4
+    r = random.Random(2)
+    for _ in range(300):
+        runs = [sharding.Run(f"r{k}", n := r.randint(1, 6), 1, n * int(2 ** r.uniform(10, 25))) for k in range(r.randint(0, 12))]
+        want = []
+        low, high = 0, 1 << 18  # tier 0: shards of less than 256 KB, then four times as much each
+        while low < 1 << 23:
+            tier = [x for x in runs if low <= x.bytes / x.shards < min(high, 1 << 23)]
+            want += [{x.path for x in tier}] if sum(x.shards for x in tier) >= 4 else []
+            low, high = high, high * 4
+        assert [{x.path for x in t} for t in store.plan(runs)] == want
+
+
+def test_many_arrivals(spark, corpus, tmp_path):
+    """Arrivals of all sizes: after each compaction no tier is due, nothing is
+    lost, and shards are few for their bytes."""
+    store = sharding.ShardStore(spark, f"{tmp_path}/store", 1 << 17)
+    for k in range(6):
+        store.append(corpus.filter(F.col("doc_id") % 6 == k).repartition(k + 1), 20 if k % 2 else 0)
+        store.compact()
+        runs = store.manifest()[2]
+        assert not store.plan(runs)
+        assert sum(r.shards for r in runs) <= 3 * (1 + max(map(store.tier, runs))) + 2 * sum(r.bytes for r in runs) / store.target
+    store.vacuum()
+    assert store.read().select(*corpus.columns).exceptAll(corpus).count() == 0 and sum(r.rows for r in runs) == corpus.count()
+    more = sharding.sharded(corpus, 1 << 17, f"{tmp_path}/store")  # another arrival at the same place
+    assert more.count() == 2 * corpus.count()
+
+
+def test_writers_that_come_second(spark, corpus, monkeypatch):
+    """Another writer commits between a writer's reading and its own commit."""
+    path = shared.new_path(spark, "store")
+    store, other = sharding.ShardStore(spark, path), sharding.ShardStore(spark, path)
+    store.append(corpus, 30)
+    plain, between = sharding.ShardStore._commit, [lambda: other.append(corpus, 40)]
+
+    def commit(self, base, schema, runs):
+        if self is store and between:
+            between.pop()()
+        return plain(self, base, schema, runs)
+
+    monkeypatch.setattr(sharding.ShardStore, "_commit", commit)
+    store.append(corpus, 50)
+    assert store.read().count() == 3 * corpus.count()
+    between.append(other.compact)  # merges the same runs first
+    store.compact()
+    assert store.read().count() == 3 * corpus.count() and not store.plan(store.manifest()[2])
+
+
 def test_shard_edges(edge, empty):
     out = sharding.sharded(edge)
     assert out.count() == len(EDGE) and out.columns.count("shard") == 1
