@@ -7,6 +7,8 @@ them as the next one's ``docs``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm import decontaminate, mixing, near_copies, sharding, toxicity
@@ -35,8 +37,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: the mix as a compacted, versioned set of shards, and where
-    each row lies in it."""
-    return sharding.sharded(docs).select("doc_id", "source", "n_chars", "shard", "shard_row")
+    each row lies in it. The set stands in a new folder below the one named by
+    ``spark.pulsegrid.shards``; where none is named, it goes with the session."""
+    kept = spark.conf.get("spark.pulsegrid.shards", None)
+    out = sharding.sharded(docs, destination=f"{kept}/{uuid.uuid4().hex}" if kept else None)
+    return out.select("doc_id", "source", "n_chars", "shard", "shard_row")
 
 
 STAGES = [
