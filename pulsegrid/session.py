@@ -11,11 +11,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch, unless the session sets its own: rows may be long
+#: texts, of which a batch lies in the executor's and in the worker's memory.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, SPARKS_BYTES = 8 << 20, 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's sources to the Python workers of the session, once,
-    so that no executor needs it installed."""
+    """Readies a session for Python workers: their batches are bounded, and this
+    package's sources are sent to them, once, so that no executor needs it
+    installed."""
+    if spark.conf.get(BATCH).lower() in (str(SPARKS_BYTES), f"{SPARKS_BYTES}b", "64m", "64mb"):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
