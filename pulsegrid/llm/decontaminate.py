@@ -42,7 +42,7 @@ AGREEING = 2 / 3
 #: Parts that the rows of a very common window are dealt to.
 PARTS = 64
 MAX_BITS = 1 << 26
-CACHE = 500_000
+CACHE = 400_000
 
 #: Fixed lists of the placeholders' vocabularies.
 NUMBER_WORDS = frozenset(
@@ -221,8 +221,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 def _bitmap(bench: DataFrame) -> tuple[np.ndarray, int, list[int]]:
     """Bitmap of window hashes, its number of bits, the window sizes in use."""
     n = bench.count()
-    bits = 1 << 20
-    while bits < 64 * n and bits < MAX_BITS:
+    bits = 1 << 22
+    while bits < 1024 * n and bits < MAX_BITS:
         bits *= 2
     bit = F.col("hash").bitwiseAND(F.lit(bits - 1))
     words = (

@@ -37,7 +37,7 @@ SKETCH, SKETCH_BITS = 512, 1024
 #: Rows of a bucket that meet in one task; larger buckets are dealt to cells.
 CELL = 1024
 #: Words, and described texts, that a Python worker remembers.
-CACHE, TEXTS = 500_000, 20_000
+CACHE, TEXTS = 300_000, 10_000
 #: Shingles that are hashed at a time.
 CHUNK = 1 << 14
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)

@@ -36,7 +36,7 @@ LEAST_TEXTS, SCREEN = 3, 3.0
 #: A document is toxic where a grade above 0 is likelier than not.
 TOXIC_AT = 0.5
 BEGINNINGS = range(4, 10)
-CACHE = 300_000
+CACHE = 150_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _MASK = (1 << BITS) - 1
 
