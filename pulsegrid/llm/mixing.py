@@ -5,11 +5,11 @@ and a seed), so ascending keys are a weighted draw without replacement. Each
 source takes as many complete epochs as its target holds; what is left is taken
 in key order until the prefix sum reaches the budget.
 
-The prefix sum is distributed: documents fall into key buckets, bucket totals
-are summed per source, and only the one bucket that holds a source's cut is
-sorted. Buckets are even in the logarithm of the key: whatever the weights, none
-of them expects more than BUCKET_ROWS of a source's rows, as the density of the
-logarithm of an exponential key is at most 1/e. The cut is a key, so whether a
+The prefix sum is distributed: bucket totals of the keys are summed per source,
+the bucket that holds a source's cut is divided into finer ones, and so on, until
+it is small enough to be sorted. Buckets are first even in the logarithm of the
+key, so that none holds more than a fixed share of a source whatever the
+weights, and then even in the key. The cut is a key, so whether a
 row is taken follows from the row and a table with one line per source; texts
 are never shuffled for it. Rows that tie in the key are equal in all columns;
 where a cut falls inside such a tie, that many of them are taken.
@@ -28,8 +28,9 @@ from .shared import WORD, join_counted, keep
 SEED = 20240601
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
-#: Rows of a source that a key bucket is meant to hold.
-BUCKET_ROWS = 4000
+#: Buckets for each unit of ln(key), buckets that one is divided into, and the
+#: rows that the last one of a source is meant to hold.
+COARSE, FINER, SORTED = 16, 256, 200
 _SYMBOLS = "!#$%&*|<>{}[]@\\^~=+_/0123456789"
 
 
@@ -59,10 +60,6 @@ def keyed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def _bucket(fineness: float) -> Column:
-    return F.floor(F.ln("_key") * fineness).cast("long")
-
-
 def source_targets(sizes: DataFrame) -> DataFrame:
     """Per-source targets: ``sizes`` has one row per source (_src, source_size).
 
@@ -92,49 +89,59 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 @dataclass
 class Mix:
     """rows: the light table of all documents; sources: one line per source with
-    its size, target, epochs and cut; fineness: key buckets per unit of ln(key)."""
+    its size, target, epochs and cut."""
 
     rows: DataFrame
     sources: DataFrame
-    fineness: float
 
     def apply(self, keyed_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """``keyed_rows`` with source_size, target and copies; and those of ties of
         which only some are taken once more, with source_size, target, epochs and,
         of their ``tied`` number, the ``more`` that are taken."""
-        at, bucket = F.struct("_key", "_tie"), _bucket(self.fineness)
-        edge, tie = F.col("last.at"), F.coalesce(F.col("last.more") < F.col("last.tied"), F.lit(False))
-        inside = F.when(F.col("budget") <= 0, False).when(bucket < F.col("cut"), True).otherwise((bucket == F.col("cut")) & F.coalesce(at <= edge, F.lit(False)))
-        split = tie & (at == edge)
+        at, edge = F.struct("_key", "_tie"), F.col("last.at")
+        inside = F.coalesce((F.col("_key") < F.col("lo")) | (at <= edge), F.col("_key") < F.col("lo"), F.lit(False))
+        split = F.coalesce((F.col("last.more") < F.col("last.tied")) & (at == edge), F.lit(False))
         out = join_counted(keyed_rows, self.sources, "_src", "n")
         whole = out.filter(~split).withColumn("copies", (F.col("epochs") + inside.cast("int")).cast("long"))
         return whole, out.filter(split).withColumns({"more": F.col("last.more"), "tied": F.col("last.tied")})
 
 
+def _cut(rows: DataFrame, aims: DataFrame, bucket: Column) -> DataFrame:
+    """``aims`` with lo, hi and before made anew: of the buckets of a source's
+    ``rows`` the one that its budget ends in, by its least and greatest key and
+    the words ahead of it. Without a budget there is none."""
+    order = Window.partitionBy("_src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.groupBy("_src", bucket.alias("bucket")).agg(F.sum("_size").alias("size"), F.min("_key").alias("first"), F.max("_key").alias("final"))
+    held = held.withColumn("ahead", F.coalesce(F.sum("size").over(order), F.lit(0))).join(aims.select("_src", "budget", "before"), "_src")
+    ahead = F.col("before") + F.col("ahead")
+    ends = held.filter((F.col("budget") > 0) & (ahead < F.col("budget")) & (F.col("budget") <= ahead + F.col("size")))
+    ends = ends.groupBy("_src").agg(F.min(F.struct("bucket", F.col("first").alias("lo"), F.col("final").alias("hi"), ahead.alias("before"))).alias("c"))
+    return aims.drop("lo", "hi", "before").join(ends.select("_src", "c.lo", "c.hi", F.col("c.before").alias("before")), "_src", "left")
+
+
 def plan_mix(docs: DataFrame, seed: int = SEED) -> Mix:
     rows = keep(keyed(docs, seed).select(F.col("_row.doc_id").alias("doc_id"), "_src", "_size", "_key", "_tie"), "mix", "lz4_raw")
     per_source = keep(rows.groupBy("_src").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n")), "sources", "lz4_raw")
-    fineness = max(1.0, (per_source.agg(F.max("n")).first()[0] or 0) / (math.e * BUCKET_ROWS))
     epochs = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")
     aims = (
         source_targets(per_source.select("_src", "source_size"))
         .withColumn("epochs", F.least(epochs, F.lit(MAX_EPOCHS).cast("long")))
         .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+        .withColumn("before", F.lit(0).cast("long"))
     )
     aims = keep(per_source.select("_src", "n").join(aims, "_src"), "aims", "lz4_raw")
-    order = Window.partitionBy("_src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.groupBy("_src", _bucket(fineness).alias("bucket")).agg(F.sum("_size").alias("size")).withColumn("after", F.sum("size").over(order))
-    cut = (
-        totals.join(aims.select("_src", "budget"), "_src")
-        .filter("budget > 0 and after - size < budget and budget <= after")
-        .groupBy("_src")
-        .agg(F.min(F.struct("bucket", (F.col("after") - F.col("size")).alias("before"))).alias("c"))
-        .select("_src", F.col("c.bucket").alias("cut"), F.col("c.before").alias("before"))
-    )
-    aims = keep(aims.join(cut, "_src", "left"), "cuts", "lz4_raw")
+    aims = keep(_cut(rows, aims, F.floor(F.ln("_key") * COARSE).cast("long")), "cuts", "lz4_raw")
+    # the density of the logarithm of an exponential key is at most 1 / e
+    left = (per_source.agg(F.max("n")).first()[0] or 0) / (math.e * COARSE)
+    while True:
+        near = join_counted(rows, aims, "_src", "n", "inner").filter("_key between lo and hi")
+        if left <= SORTED:
+            break
+        finer = F.least(F.floor(F.coalesce(F.try_divide(F.col("_key") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * FINER), F.lit(FINER - 1))
+        aims = keep(_cut(near.select("_src", "_size", "_key", "lo", "hi"), aims, finer.cast("long")), "cuts", "lz4_raw")
+        left /= FINER
     # of the bucket that holds the cut, the prefix whose sum is nearest to the budget
-    edge = join_counted(rows, aims, "_src", "n").filter(_bucket(fineness) == F.col("cut"))
-    ties = edge.groupBy("_src", "_key", "_tie", "_size", "before", "budget").agg(F.count("*").alias("tied"))
+    ties = near.groupBy("_src", "_key", "_tie", "_size", "before", "budget").agg(F.count("*").alias("tied"))
     prefix = Window.partitionBy("_src").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum(F.col("_size") * F.col("tied")).over(prefix), F.lit(0))
     fit = F.floor(F.coalesce(F.try_divide(F.col("budget") - F.col("ahead"), F.col("_size")), F.lit(float(1 << 52))) + 0.5).cast("long")
@@ -145,7 +152,7 @@ def plan_mix(docs: DataFrame, seed: int = SEED) -> Mix:
         .groupBy("_src")
         .agg(F.max("last").alias("last"))
     )
-    return Mix(rows, keep(aims.join(last, "_src", "left"), "plan", "lz4_raw"), fineness)
+    return Mix(rows, keep(aims.join(last, "_src", "left"), "plan", "lz4_raw"))
 
 
 def _repeated(rows: DataFrame, count: Column, part: int = 1000) -> DataFrame:

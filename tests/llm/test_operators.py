@@ -611,7 +611,8 @@ def test_mix_takes_some_of_rows_that_tie(spark):
 def test_mix_draws_by_weight(spark, monkeypatch):
     """Keys of every weight fall into buckets of bounded size, and a weight of 1 is
     drawn ten times as readily as one of 0.1."""
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(mixing, "SORTED", 1)
+    monkeypatch.setattr(mixing, "FINER", 3)
     rows = [(k, "1 2 3" if k % 2 else "a b c", "en", "s" if k < 4000 else "t", 0) for k in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n int")
     report = mixing.mix_report(df).collect()
@@ -623,7 +624,8 @@ def test_mix_draws_by_weight(spark, monkeypatch):
     few = [r for r in report if r.taken > min(x.taken for x in t)] if len({x.taken for x in t}) > 1 else []
     assert not few or sum(r.doc_id % 2 == 0 for r in few) > sum(r.doc_id % 2 for r in few)
     mix = mixing.plan_mix(df)
-    assert mix.rows.groupBy("_src", mixing._bucket(mix.fineness)).count().agg(F.max("count")).first()[0] < 150
+    left = mix.rows.join(mix.sources.select("_src", "lo", "hi"), "_src").filter("_key between lo and hi").groupBy("_src").count()
+    assert left.agg(F.max("count")).first()[0] <= 20
 
 
 def test_mix_edges(edge, empty):
