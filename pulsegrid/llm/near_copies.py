@@ -7,9 +7,12 @@ of 0.9 with 0.9999999. Inside a bucket the bit-sliced comparison of
 :mod:`.simhash` passes over the fingerprints of the shingles, at a radius that
 spares pairs of that similarity, and odd sketches of the shingle sets decide.
 
-One rule holds for buckets of every size: they are dealt to cells of bounded
-size, and a cell emits a spanning forest of its links, never its pairs. A group
-is what the links connect.
+A bucket emits a spanning forest of its links, never its pairs, and a group is
+what the links connect. Larger buckets than a cell lose no link: all rows are
+first compared to a few leaders; those like the leader that most rows are like
+are linked by that already, and need not be compared to each other. What is left
+is compared to all rows of the bucket, dealt to cells of bounded size. So a
+bucket of copies of one text costs as much as it has rows.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ BANDS, ROWS = 16, 5
 RADIUS = 22
 #: Smallest shingle hashes that a sketch stands for, and its bits.
 SKETCH, SKETCH_BITS = 512, 1024
-#: Rows of a bucket that meet in one task; larger buckets are dealt to cells.
-CELL = 1024
+#: Rows of a bucket that meet in one task, and leaders of a larger bucket.
+CELL, LEADERS = 512, 16
 #: Words, and described texts, that a Python worker remembers.
 CACHE, TEXTS = 300_000, 10_000
 #: Shingles that are hashed at a time.
@@ -177,28 +180,98 @@ def cell_links(fp: np.ndarray, size: np.ndarray, odd: np.ndarray, group: np.ndar
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
-def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, cell, node, fp, size, odd) sorted by key and cell: links of whole
-    groups."""
+def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of whole groups of rows sorted by key and cell, the first columns."""
     held: pa.Table | None = None
-
-    def links(t: pa.Table) -> pa.RecordBatch:
-        key, cell, node, fp, size = (t.column(k).to_numpy() for k in range(5))
-        odd = np.frombuffer(b"".join(t.column(5).to_pylist()), "<u8").reshape(len(t), -1)
-        group = np.cumsum(np.concatenate([[0], (np.diff(key) != 0) | (np.diff(cell) != 0)]))
-        i, j = cell_links(fp.view(np.uint64), size.astype(np.int64), odd, group)
-        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
-
     for t in batches(it, 1 << 14):
         t = pa.concat_tables([held, t]) if held is not None else t
         key, cell = t.column(0).to_numpy(), t.column(1).to_numpy()
         end = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
         cut = int(end[-1]) + 1 if len(end) else 0
         if cut:
-            yield links(t.slice(0, cut))
+            yield t.slice(0, cut)
         held = t.slice(cut).combine_chunks()
     if held is not None and len(held):
-        yield links(held)
+        yield held
+
+
+def _columns(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """key, group number, node, fp, size, odd of rows (key, cell, node, fp, size,
+    odd, ...)."""
+    key, cell, node, fp, size = (t.column(k).to_numpy() for k in range(5))
+    odd = np.frombuffer(b"".join(t.column(5).to_pylist()), "<u8").reshape(len(t), -1)
+    group = np.cumsum(np.concatenate([[0], (np.diff(key) != 0) | (np.diff(cell) != 0)]))
+    return key, group, node, fp.view(np.uint64), size.astype(np.int64), odd
+
+
+def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and cell: links that connect what is alike in a cell."""
+    for t in _groups(it):
+        _, group, node, fp, size, odd = _columns(t)
+        i, j = cell_links(fp, size, odd, group)
+        yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
+
+
+def _led(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and cell, with whether they are there as leaders: (key,
+    node, leader) where a row is like a leader of its bucket."""
+    for t in _groups(it):
+        key, group, node, fp, size, odd = _columns(t)
+        leads = t.column(6).to_numpy()
+        edge = np.flatnonzero(np.diff(group)) + 1
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(group)], strict=True):
+            order = a + np.argsort(~leads[a:b], kind="stable")
+            for i, j in near_within(fp[order], RADIUS, int(leads[a:b].sum())):
+                x, y = order[i], order[j]
+                ok = ~leads[y] & (node[x] != node[y]) & (likeness(odd[x], odd[y], size[x], size[y]) >= SIMILARITY)
+                x, y = x[ok], y[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(key[y]), pa.array(node[y]), pa.array(node[x])], ["key", "node", "leader"])
+
+
+def _dealt(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (key, cell, node, ...) with what describes the texts, whole cells to a
+    task."""
+    met = rows.join(texts.select("node", "fp", "size", "odd"), "node")
+    more = [c for c in rows.columns if c not in ("key", "cell", "node")]
+    return met.select("key", "cell", "node", "fp", "size", "odd", *more).repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+
+_CELL = 1 << 31
+
+
+def _large(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links of the buckets of several parts (key, node, parts)."""
+
+    def sized(rows: DataFrame, n: str) -> DataFrame:
+        return rows.groupBy("key").agg(F.count("*").alias(n))
+
+    def numbers(upto: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1))
+
+    def part(parts: str):
+        return F.pmod(F.xxhash64("node"), F.col(parts))
+
+    met = keep(met.select("key", "node", F.col("parts").cast("long").alias("parts")), "large", "lz4_raw")
+    leaders = met.groupBy("key", F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(LEADERS)).alias("slot")).agg(F.min("node").alias("node"), F.max("parts").alias("parts"))
+    rows = met.select("key", part("parts").alias("cell"), "node", F.lit(False).alias("leads"))
+    rows = rows.unionByName(leaders.select("key", numbers("parts").alias("cell"), "node", F.lit(True).alias("leads")))
+    led = keep(_dealt(rows, texts).mapInArrow(_led, "key long, node long, leader long"), "led", "lz4_raw")
+    most = led.groupBy("key", "leader").agg(F.count("*").alias("m")).groupBy("key")
+    most = keep(most.agg(F.max(F.struct("m", "leader"))["leader"].alias("main"), F.sum("m").alias("n")), "main", "lz4_raw")
+    like = join_counted(led, most, "key", "n", "inner").filter("leader = main").select("key", "node")
+    like = keep(like.unionByName(most.select("key", F.col("main").alias("node"))), "like", "lz4_raw")
+    rest = keep(met.select("key", "node").join(like, ["key", "node"], "left_anti"), "rest", "lz4_raw")
+    sizes = sized(rest, "n").join(sized(like, "m"), "key", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    sizes = keep(sizes.withColumns({"parts": F.ceil(F.col("n") / CELL), "others": F.ceil(F.col("m") / CELL)}), "sizes", "lz4_raw")
+    ours = join_counted(rest, sizes, "key", "n", "inner").withColumn("part", part("parts"))
+    among = ours.select("key", "node", "part", numbers("parts").alias("other"))
+    among = among.select("key", (F.least("part", "other") * _CELL + F.greatest("part", "other")).alias("cell"), "node")
+    across = ours.filter("others > 0").select("key", "node", "part", numbers("others").alias("other"))
+    theirs = join_counted(like, sizes.drop("n"), "key", "m", "inner").withColumn("other", part("others"))
+    theirs = theirs.select("key", "node", "other", numbers("parts").alias("part"))
+    across = across.unionByName(theirs).select("key", (-1 - (F.col("part") * _CELL + F.col("other"))).alias("cell"), "node")
+    rest_links = _dealt(among.unionByName(across), texts).mapInArrow(_cells, "a long, b long")
+    return rest_links.unionByName(led.select(F.col("node").alias("a"), F.col("leader").alias("b")))
 
 
 def links(texts: DataFrame) -> DataFrame:
@@ -207,13 +280,10 @@ def links(texts: DataFrame) -> DataFrame:
     bands = texts.select("node", F.explode("keys").alias("key"))
     several = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     several = keep(several.withColumn("parts", F.ceil(F.col("n") / CELL).cast("int")), "buckets", "lz4_raw")
-    met = join_counted(bands, several, "key", "n", "inner")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    met = met.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cell = F.least("part", "other").cast("long") * F.lit(1 << 31) + F.greatest("part", "other")
-    met = keep(met.select("key", cell.alias("cell"), "node"), "met", "lz4_raw")
-    dealt = met.join(texts.select("node", "fp", "size", "odd"), "node").select("key", "cell", "node", "fp", "size", "odd")
-    return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_cells, "a long, b long").distinct()
+    met = keep(join_counted(bands, several, "key", "n", "inner").select("key", "node", "parts"), "met", "lz4_raw")
+    found = _dealt(met.filter("parts = 1").select("key", F.lit(0).alias("cell"), "node"), texts).mapInArrow(_cells, "a long, b long")
+    large = met.filter("parts > 1")
+    return (found if large.isEmpty() else found.unionByName(_large(large, texts))).distinct()
 
 
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

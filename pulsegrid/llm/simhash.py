@@ -125,12 +125,14 @@ def _lanes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(bits)
 
 
-def near_within(fp: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_within(fp: np.ndarray, radius: int = RADIUS, queries: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j), i < j, of one bucket that differ in at most ``radius``
-    bits: 256 queries at a time against all words of the planes."""
+    bits: 256 queries at a time against all words of the planes. With ``queries``,
+    only those whose i is less."""
     stored = planes(fp)
-    for q in range(0, len(fp), 256):
-        asked = fp[q : q + 256]
+    ends = len(fp) if queries is None else queries
+    for q in range(0, ends, 256):
+        asked = fp[q : min(q + 256, ends)]
         first = q // 64
         rows, word = (x.ravel() for x in np.meshgrid(np.arange(len(asked)), np.arange(first, stored.shape[1]), indexing="ij"))
         count = _Counter(rows.shape, radius)

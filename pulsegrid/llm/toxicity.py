@@ -57,7 +57,7 @@ class _Known(dict):
         self.only = only
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) > CACHE:
+        if len(self) > (CACHE if self.only is None else 3 * CACHE):  # most words have no feature then
             self.clear()
         f = word_features(token)
         if self.only is not None:

@@ -755,7 +755,7 @@ def test_simhash_edges(edge, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("cell", [near_copies.CELL, 2])
+@pytest.mark.parametrize("cell", [near_copies.CELL, 1])
 def test_near_copies_go(spark, empty, monkeypatch, cell):
     monkeypatch.setattr(near_copies, "CELL", cell)
     r = random.Random(5)
@@ -781,6 +781,32 @@ def alike(a, b):
     return len(x & y) / len(x | y)
 
 
+def test_large_buckets_have_the_links_of_small_ones(spark, monkeypatch):
+    """Families of copies and of texts around one passage: what is connected does
+    not depend on the size of a cell."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    texts = []
+    for size in (150, 60, 40):
+        base = [rng.choice(vocabulary) for _ in range(120)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(120)] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+    shared = [rng.choice(vocabulary) for _ in range(60)]
+    texts += [" ".join(shared + [rng.choice(vocabulary) for _ in range(25)]) for _ in range(120)]
+    df = docs_of(spark, list(enumerate(texts)))
+    joined_by = []
+    for cell in (near_copies.CELL, 20):
+        monkeypatch.setattr(near_copies, "CELL", cell)
+        groups = {}
+        for r in near_copies.near_copies(df)[1].collect():
+            groups.setdefault(r.root, set()).add(r.node)
+        joined_by.append(sorted(map(sorted, groups.values())))
+    assert joined_by[0] == joined_by[1] and max(map(len, joined_by[0])) > 50
+
+
 def test_near_copies_by_kind_of_edit(spark):
     """Texts with 15 % appended or cut off, or a block of 6 % replaced, are copies."""
     rng = random.Random(5)
