@@ -77,42 +77,44 @@ def _digest(s: str) -> int:
 
 
 _WORDS, _NUMBERS, _NAMES, _UNITS = range(4)
-_PLACEHOLDERS = tuple(_digest(f"<{k}>") for k in ("", "number", "name", "unit"))
+_PLACEHOLDERS = np.array([_digest(f"<{k}>") for k in ("", "number", "name", "unit")], np.uint64)
 
 
 class _Tokens(dict):
-    """raw token -> its number; the value hash, its kind in both readings and
-    whether it begins a sentence lie in arrays for all tokens."""
+    """raw token -> its number; its value hash, and its kind in both readings and
+    whether it begins a sentence (two bits each, and one), lie in arrays."""
 
     def __init__(self):
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
-        self.value, self.kinds, self.begins = array("Q"), (array("b"), array("b")), array("b")
+        self.value, self.flags = array("Q"), array("B")
 
     def __missing__(self, raw: str) -> int:
-        word = _WORD.search(raw)[0] if raw[0] in ".!?\n" else raw
+        begins = raw[0] in ".!?\n"
+        word = _WORD.search(raw)[0] if begins else raw
         low = word.lower()
         kind = _WORDS
         if not word.isalpha() and any(map(str.isdigit, word)) or low in NUMBER_WORDS:
             kind = _NUMBERS
         elif low in UNITS:
             kind = _UNITS
-        name = kind == _WORDS and word[0].isupper() and word[1:].islower()
+        first = second = kind
+        if kind == _WORDS and word[0].isupper() and word[1:].islower():
+            first, second = kind if begins else _NAMES, kind if begins and low in OPENERS else _NAMES
         self.value.append(_digest(low))
-        self.kinds[0].append(_NAMES if name and raw is word else kind)
-        self.kinds[1].append(_NAMES if name and (raw is word or low not in OPENERS) else kind)
-        self.begins.append(raw is not word and raw != "." + word)
+        self.flags.append(first | second << 2 | (begins and raw != "." + word) << 4)
         n = self[raw] = len(self)
         return n
 
-    def look_up(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > CACHE:
             self._reset()
+        if not raw:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
         at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
-        columns = (self.value, np.uint64), (self.kinds[0], np.int8), (self.kinds[1], np.int8), (self.begins, np.bool_)
-        return tuple(np.frombuffer(x, kind)[at] if raw else np.zeros(0, kind) for x, kind in columns)
+        return np.frombuffer(self.value, np.uint64)[at], np.frombuffer(self.flags, np.uint8)[at]
 
 
 Reading = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -129,7 +131,9 @@ def _read(value: np.ndarray, kind: np.ndarray, begins: np.ndarray) -> Reading:
             value = np.add.reduceat(value * (2 * place + 1).astype(np.uint64), start)
         kind = kind[start]
     value = value & ~np.uint64(3) | kind.astype(np.uint64)
-    return np.where(kind == _WORDS, value, np.array(_PLACEHOLDERS, np.uint64)[kind]), value, kind
+    template, slots = value.copy(), np.flatnonzero(kind)
+    template[slots] = _PLACEHOLDERS[kind[slots]]
+    return template, value, kind
 
 
 def readings(text: str, known: _Tokens) -> list[Reading]:
@@ -137,9 +141,10 @@ def readings(text: str, known: _Tokens) -> list[Reading]:
     raw = _TOKEN.findall(text)
     if raw and raw[0][0] not in ".!?\n":
         raw[0] = "." + raw[0]  # a text begins like a sentence
-    value, kind, second, begins = known.look_up(raw)
-    first = _read(value, kind, begins)
-    return [first] if (kind == second).all() else [first, _read(value, second, begins)]
+    value, flags = known.look_up(raw)
+    first, second, begins = flags & np.uint8(3), flags >> np.uint8(2) & np.uint8(3), flags >= 16
+    one = _read(value, first, begins)
+    return [one] if (first == second).all() else [one, _read(value, second, begins)]
 
 
 def _rolled(x: np.ndarray, size: int) -> np.ndarray:
