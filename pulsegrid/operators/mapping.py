@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
+#: Time buckets of a band join in one width of the band.
+BAND_PARTS = 4
+#: Query vectors that are compared at a time, a bound of their broadcast.
+QUERY_BLOCK = 20_000
 STORE_FROM, CONFIRM_FROM, REASON_FROM = 0.25, 0.5, 0.70
 DAY_US = 86_400_000_000
 
 
 def band_join(left: DataFrame, right: DataFrame, left_time: Column, right_time: Column, days: float, left_keys: tuple[str, ...] = ()) -> DataFrame:
     """Rows of both sides at most ``days`` apart, as an equi-join: times fall into
-    buckets as wide as the band, the left row is put into its bucket and the two
-    beside it, and the exact distance decides. No pair meets twice."""
-    width = int(days * DAY_US)
+    buckets, BAND_PARTS to the width of the band, the left row is put into all that
+    its band touches, and the exact distance decides. No pair meets twice."""
+    width = max(1, -(-int(days * DAY_US) // BAND_PARTS))
     bucket = F.floor(F.unix_micros(right_time.cast("timestamp")) / F.lit(width))
     own = F.floor(F.unix_micros(left_time.cast("timestamp")) / F.lit(width))
-    a = left.withColumn("_bucket", F.explode(F.array(own - 1, own, own + 1)))
+    a = left.withColumn("_bucket", F.explode(F.sequence(own - BAND_PARTS - 1, own + BAND_PARTS + 1)))
     b = right.withColumn("_bucket", bucket)
     joined = a.join(b, ["_bucket", *left_keys]).withColumn("date_diff_days", text.days_between(left_time, right_time))
     return joined.filter(F.col("date_diff_days") <= days).drop("_bucket")
@@ -26,11 +30,17 @@ def band_join(left: DataFrame, right: DataFrame, left_time: Column, right_time:
 
 def candidates(defects: DataFrame, results: DataFrame, days: float | None = 7.0) -> DataFrame:
     """Pairs of a defect and a failing result within the window, vectors at unit
-    length; no window pairs all of them (a broadcast loop over the defects)."""
-    d = defects.select("defect_id", "project", "summary", "description", "reporter_email", F.col("status").alias("defect_status"), "priority", "created", *[text.unit(F.col(c)).alias(c) for c in ("vector",) if c in defects.columns])
+    length and texts as the words that the score compares, made once per row; no
+    window pairs all of them (a broadcast loop over the defects)."""
+    d = defects.select(
+        "defect_id", "project", "summary", "description", "reporter_email", F.col("status").alias("defect_status"), "priority", "created",
+        F.lower(_combined()).alias("_low"), text.tokens(_combined()).alias("_words"), *[text.unit(F.col(c)).alias(c) for c in ("vector",) if c in defects.columns],
+    )
+    failure = F.trim(F.concat_ws(" ", "failure_msg", "failure_kw"))
     r = results.filter("status = 'FAIL'").select(
-        "result_id", "run_id", "test_name", "failure_msg", "failure_kw", "run_timestamp", *[text.unit(F.col(c)).alias("result_vector") for c in ("vector",) if c in results.columns]
-    )
+        "result_id", "run_id", "test_name", "failure_msg", "failure_kw", "run_timestamp", text.stem_tokens("test_name").alias("_stems"), text.tokens(failure).alias("_hits"),
+        *[text.unit(F.col(c)).alias("result_vector") for c in ("vector",) if c in results.columns],
+    )
     if not days or days <= 0:
         return d.crossJoin(r).withColumn("date_diff_days", text.days_between(F.col("created"), F.col("run_timestamp")))
     return band_join(d, r, F.col("created"), F.col("run_timestamp"), days)
@@ -49,14 +59,9 @@ def with_rule_score(pairs: DataFrame) -> DataFrame:
     .25 for a shared stem word, and .15 for a shared word of the failure."""
     t = pairs.withColumns(
         {
-            "_exact": F.lower(_combined()).contains(F.lower("test_name")),
-            "_words": text.tokens(_combined()),
-        }
-    )
-    t = t.withColumns(
-        {
-            "_stem": F.array_intersect(text.stem_tokens("test_name"), "_words"),
-            "_hit": F.array_intersect(text.tokens(F.trim(F.concat_ws(" ", "failure_msg", "failure_kw"))), "_words"),
+            "_exact": F.col("_low").contains(F.lower("test_name")),
+            "_stem": F.array_intersect("_stems", "_words"),
+            "_hit": F.array_intersect("_hits", "_words"),
         }
     )
     exact, stem, hit = F.col("_exact"), F.size("_stem") > 0, F.size("_hit") > 0
@@ -68,7 +73,7 @@ def with_rule_score(pairs: DataFrame) -> DataFrame:
             F.when(hit, F.concat(F.lit("failure keyword overlap "), _list_text(F.col("_hit")))),
         )
     )
-    return t.withColumns({"rule_score": F.least(F.bround(score, 4), F.lit(1.0)), "reasons": reasons}).drop("_exact", "_words", "_stem", "_hit")
+    return t.withColumns({"rule_score": F.least(F.bround(score, 4), F.lit(1.0)), "reasons": reasons}).drop("_exact", "_words", "_stem", "_hit", "_stems", "_hits", "_low")
 
 
 def with_hybrid_score(scored: DataFrame) -> DataFrame:
@@ -111,25 +116,37 @@ def mappings(defects: DataFrame, results: DataFrame, tester: str | None = None,
 
 def max_similarity(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Per row of ``vectors`` (id, vector) its largest cosine to any of
-    ``queries`` (vector): a stated query set against all rows, the smaller side
-    broadcast within Spark's size limit."""
-    q = queries.select(text.unit(F.col("vector")).alias("q"))
-    t = vectors.select("id", text.unit(F.col("vector")).alias("v")).crossJoin(q).withColumn("s", text.dot(F.col("v"), F.col("q")))
-    return t.groupBy("id").agg(F.max("s").alias("max_similarity"))
+    ``queries`` (id, vector) but itself: a stated query set against all rows, in
+    blocks of a bounded number of queries, each broadcast."""
+    q = queries.select(F.col("id").alias("q_id"), text.unit(F.col("vector")).alias("q"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    v = vectors.select("id", text.unit(F.col("vector")).alias("v"))
+    found = None
+    for k in range(blocks):
+        block = q.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == k) if blocks > 1 else q
+        met = v.join(F.broadcast(block), F.col("id") != F.col("q_id")).groupBy("id").agg(F.max(text.dot(F.col("v"), F.col("q"))).alias("max_similarity"))
+        found = met if found is None else found.unionByName(met)
+    return found.groupBy("id").agg(F.max("max_similarity").alias("max_similarity"))
 
 
 def duplicates(defects: DataFrame, days: float = 14.0, least: float = 0.90) -> DataFrame:
     """Pairs of defects that name a common test, lie within the window and are
-    alike: cosine where both have vectors, else Jaccard of their words. Pairs meet
-    on the shared test name, an equi-join."""
+    alike: cosine where both have vectors, else Jaccard of their words. Ids and
+    times meet on the shared test name and the time; defects without a time meet
+    all that share a name. Words and vectors are joined to the pairs that are left."""
     t = defects.withColumn("_text", F.concat_ws(" ", F.coalesce("summary", F.lit("")), F.coalesce("description", F.lit(""))))
     t = t.select("defect_id", "created", *[text.unit(F.col(c)).alias(c) for c in ("vector",) if c in defects.columns], text.test_case_names("_text").alias("names"), text.tokens("_text").alias("words"))
-    a = t.select(*[F.col(c).alias(f"a_{c}") for c in t.columns], F.explode("names").alias("_name"))
-    b = t.select(*[F.col(c).alias(f"b_{c}") for c in t.columns], F.explode("names").alias("_name"))
-    shared = F.array_intersect("a_names", "b_names")
-    met = a.join(b, "_name").filter("a_defect_id < b_defect_id").filter(F.col("_name") == F.array_min(shared))  # once per pair
+    named = t.select("defect_id", "created", F.explode("names").alias("_name"))
+    a, b = (named.select(F.col("defect_id").alias(f"{k}_defect_id"), F.col("created").alias(f"{k}_created"), "_name") for k in "ab")
+    timed = band_join(a.filter("a_created is not null"), b.filter("b_created is not null"), F.col("a_created"), F.col("b_created"), days, ("_name",))
     gap = text.days_between(F.col("a_created"), F.col("b_created"))
-    met = met.withColumn("gap", gap).filter(F.coalesce(F.col("gap") <= days, F.lit(True)))
+    loose = a.join(b, "_name").filter("a_created is null or b_created is null").withColumn("date_diff_days", gap)
+    met = timed.unionByName(loose.select(*timed.columns)).filter("a_defect_id < b_defect_id").withColumnRenamed("date_diff_days", "gap")
+    met = met.select("a_defect_id", "b_defect_id", "gap").distinct()
+    more = [c for c in t.columns if c not in ("defect_id", "created")]
+    for k in "ab":
+        met = met.join(t.select(F.col("defect_id").alias(f"{k}_defect_id"), *[F.col(c).alias(f"{k}_{c}") for c in more]), f"{k}_defect_id")
+    shared = F.array_intersect("a_names", "b_names")
     union = F.size(F.array_union("a_words", "b_words"))
     jaccard = F.coalesce(F.size(F.array_intersect("a_words", "b_words")) / F.nullif(union, F.lit(0)), F.lit(0.0))
     if "vector" in defects.columns:
@@ -161,14 +178,14 @@ def linkage_per_test(results: DataFrame, maps: DataFrame) -> DataFrame:
     """Counts joined rows, so a failure with several defects counts as often."""
     fails = results.filter("status = 'FAIL'").select("result_id", "test_name")
     t = fails.join(confirmed(maps).select("result_id", "defect_id", "confidence_score"), "result_id", "left")
-    return t.groupBy("test_name").agg(F.count("*").alias("total_failures"), F.countDistinct("defect_id").alias("linked_defects"), F.round(F.avg("confidence_score"), 2).alias("avg_confidence"))
+    return t.groupBy("test_name").agg(F.count("*").alias("total_failures"), F.countDistinct("defect_id").alias("linked_defects"), F.round(F.round(F.avg("confidence_score"), 9), 2).alias("avg_confidence"))
 
 
 def coverage_kpis(defects: DataFrame, results: DataFrame, maps: DataFrame) -> DataFrame:
     """One row; the coverage is over mapping rows and may exceed 100 %."""
     m = confirmed(maps).agg(
         F.count("*").alias("confirmed_mappings"), F.countDistinct("test_name").alias("unique_tests_covered"), F.countDistinct("run_id").alias("unique_runs_covered"),
-        F.coalesce(F.round(F.avg("confidence_score"), 3), F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce(F.round(F.round(F.avg("confidence_score"), 9), 3), F.lit(0.0)).alias("avg_confidence"),
     )
     one = defects.agg(F.count("*").alias("total_defects")).crossJoin(m).crossJoin(results.filter("status = 'FAIL'").agg(F.count("*").alias("n")))
     rate = F.coalesce(F.bround(F.col("confirmed_mappings") * F.lit(100.0) / F.nullif("n", F.lit(0)), 1), F.lit(0.0))
@@ -203,6 +220,15 @@ def link_class(defects: DataFrame, maps: DataFrame) -> DataFrame:
     return defects.select("defect_id", "project", "created").join(best, "defect_id", "left").withColumn("link_class", kind).drop("c")
 
 
+def defect_listing(defects: DataFrame) -> DataFrame:
+    """All defects, the latest first."""
+    return defects.orderBy(F.desc_nulls_last("created"), "defect_id")
+
+
+def defects_per_project(defects: DataFrame) -> DataFrame:
+    return defects.groupBy("project").agg(F.count("*").alias("n_defects")).orderBy(F.desc("n_defects"), "project")
+
+
 def pending_sync(maps: DataFrame, log: DataFrame, force: bool = False) -> DataFrame:
     """Confirmed mappings that are not in the sync log, all of them with force."""
     todo = confirmed(maps)
@@ -214,3 +240,14 @@ def sync_stats(log: DataFrame) -> DataFrame:
         F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("success", "error", "skipped")],
         F.coalesce(F.max("written_at").cast("string"), F.lit("never")).alias("last_sync"),
     )
+
+
+def sync_history(log: DataFrame) -> DataFrame:
+    """The sync log, the latest entry first."""
+    return log.orderBy(F.desc_nulls_last("written_at"), "mapping_id")
+
+
+def sync_counts(maps: DataFrame, log: DataFrame) -> DataFrame:
+    """One row: confirmed mappings, and those that are still to be written."""
+    total = confirmed(maps).agg(F.count("*").alias("total_confirmed"))
+    return total.crossJoin(pending_sync(maps, log).agg(F.count("*").alias("pending")))

@@ -45,6 +45,18 @@ def query(f: Callable[[adapter.Frames], DataFrame]) -> Callable[[adapter.Frames]
     return f
 
 
+def pair_query(f: Callable[[adapter.Frames], DataFrame]) -> Callable[[adapter.Frames], DataFrame]:
+    """The same over the frames of a bounded number of tests, for queries that pair
+    defects with failures or with each other."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(adapter.frames(spark, sf_dir, tests=adapter.PAIR_TESTS))
+
+    QUERIES[f.__name__] = run
+    return f
+
+
 def table_query(f: Query) -> Query:
     QUERIES[f.__name__] = f
     return f
@@ -75,7 +87,7 @@ def defects(fr: adapter.Frames, vectors: bool = True) -> DataFrame:
 
 def result_vectors(fr: adapter.Frames) -> DataFrame:
     v = fr.vectors.select(F.col("vec_id").alias("_v"), "vector")
-    return fr.results.join(v, (F.col("build_no") * 20 + F.col("idx")) % 200 == F.col("_v"), "left")
+    return adapter.with_vector_id(fr.results, F.col("build_no") * 20 + F.col("idx"), fr.vectors, "_v").join(v, "_v", "left").drop("_v")
 
 
 def maps(fr: adapter.Frames) -> DataFrame:
@@ -252,7 +264,7 @@ def prioritisation(fr):
 @query
 def risk_scores(fr):
     t = drifting(fr.results)
-    durations = t.groupBy("test_name").agg(F.round(F.avg("duration_s"), 4).alias("predicted_duration_s"))
+    durations = t.groupBy("test_name").agg(digits(F.avg("duration_s"), "predicted_duration_s"))
     return rounded(tests.risk_scores(stand_in_scores(fr), tests.drift_report(t, ("test_name",)), durations), "risk_score")
 
 
@@ -403,80 +415,107 @@ def tfidf_top_terms(fr):
 # --- defects -----------------------------------------------------------------------
 
 
-@query
+@pair_query
 def defect_candidates_band(fr):
     t = mapping.candidates(defects(fr, False), fr.results)
     return t.select("defect_id", "result_id", digits("date_diff_days", "date_diff_days"))
 
 
-@query
+@pair_query
 def rule_mappings(fr):
     return rule_maps(fr).drop("run_timestamp", "defect_created")
 
 
-@query
+@pair_query
 def hybrid_mappings(fr):
-    return rounded(maps(fr), "confidence_score", places=3).select("mapping_id", "confidence_score", "email_match", "confirmed")
+    return rounded(maps(fr), "confidence_score", places=4).select("mapping_id", "confidence_score", "email_match", "confirmed")
 
 
-@query
+@pair_query
 def mapping_listing(fr):
     t = mapping.listing(mapping.filtered(rule_maps(fr), project="P1", only_confirmed=True), fr.defects)
     return t.select("mapping_id", "defect_description", "confidence_score", "date_diff_days")
 
 
-@query
+@pair_query
 def filter_options(fr):
     return mapping.options(rule_maps(fr), "test_name")
 
 
-@query
+@pair_query
 def coverage_distinct(fr):
     return mapping.coverage_distinct(fr.results, maps(fr))
 
 
-@query
+@pair_query
 def linkage_per_test(fr):
     return mapping.linkage_per_test(fr.results, maps(fr))
 
 
-@query
+@pair_query
 def coverage_kpis(fr):
     return mapping.coverage_kpis(fr.defects, fr.results, maps(fr))
 
 
-@query
+@pair_query
 def sync_pending(fr):
     return mapping.pending_sync(maps(fr), sync_log(fr)).select("mapping_id")
 
 
-@query
+@pair_query
 def sync_stats(fr):
     return mapping.sync_stats(sync_log(fr)).drop("last_sync")
 
 
-@query
+@pair_query
 def duplicate_pairs_jaccard(fr):
     return rounded(mapping.duplicates(defects(fr, False), 14, 0.6), "similarity", "date_diff_days", places=3).withColumn("shared_test_names", F.array_join("shared_test_names", ","))
 
 
-@query
+@pair_query
 def duplicate_pairs_cosine(fr):
     return rounded(mapping.duplicates(defects(fr), 14, 0.2), "similarity", "date_diff_days", places=3).select("defect_a", "defect_b", "similarity", "date_diff_days")
 
 
 @query
 def embedding_max_similarity(fr):
-    v = fr.vectors.select(F.col("vec_id").alias("id"), "vector", "label")
-    return rounded(mapping.max_similarity(v.filter("id % 20 = 0"), v.filter("id % 20 <> 0").select("id", "vector")), "max_similarity", places=3)
+    """Every twentieth vector is a query, against all vectors but itself."""
+    v = fr.vectors.select(F.col("vec_id").alias("id"), "vector")
+    return rounded(mapping.max_similarity(v.filter("id % 20 = 0"), v), "max_similarity", places=3)
+
+
+@query
+def defect_listing(fr):
+    return mapping.defect_listing(fr.defects).select("defect_id", "summary", "status", "priority", "created")
+
+
+@query
+def defects_per_project(fr):
+    return mapping.defects_per_project(fr.defects)
+
+
+@pair_query
+def sync_history(fr):
+    return mapping.sync_history(sync_log(fr)).select("mapping_id", "status", "written_at")
+
+
+@pair_query
+def sync_counts(fr):
+    return mapping.sync_counts(maps(fr), sync_log(fr))
 
 
 @query
+def confidence_bands(fr):
+    scores = stand_in_scores(fr).select("test_name", F.col("failure_probability").alias("score"))
+    return scores.select("test_name", rules.confidence_band(F.col("score")).alias("band"))
+
+
+@pair_query
 def registry_link_class(fr):
     return mapping.link_class(fr.defects, rule_maps(fr)).select("defect_id", "project", "link_class")
 
 
-@query
+@pair_query
 def multi_test_defects(fr):
     return mapping.multi_test_defects(rule_maps(fr))
 

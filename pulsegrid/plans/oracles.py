@@ -30,24 +30,24 @@ _EXTRA = {
         count(*) OVER w AS k, avg(pass_rate_pct) OVER w AS m, stddev_samp(pass_rate_pct) OVER w AS s FROM runs
         WINDOW w AS (PARTITION BY team, _source_db ORDER BY build_no ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))))""",
     "slow": "slow AS (SELECT * REPLACE (CASE WHEN idx % 4 = 0 AND build_no > 40 THEN duration_s * 3 ELSE duration_s END AS duration_s) FROM results)",
-    "defects2": f"defects2 AS (SELECT d.*, {_EMAIL} AS reporter_email, e.embedding AS vector FROM defects d LEFT JOIN embeddings e USING (vec_id))",
-    "results2": "results2 AS (SELECT r.*, e.embedding AS result_vector FROM results r LEFT JOIN embeddings e ON (build_no * 20 + idx) % 200 = e.vec_id)",
-    "pairs": """pairs AS (SELECT d.defect_id, d.project, d.summary, d.description, d.reporter_email, d.status AS defect_status, d.priority, d.vector,
-        r.result_id, r.run_id, r.test_name, r.failure_msg, r.failure_kw, r.result_vector, r.run_timestamp, abs(epoch_us(d.created) - epoch_us(r.run_timestamp)) / 86400000000.0 AS date_diff_days
-        FROM defects2 d JOIN results2 r ON r.status = 'FAIL' AND abs(epoch_us(d.created) - epoch_us(r.run_timestamp)) / 86400000000.0 <= 7)""",
-    "worded": f"""worded AS (SELECT *, contains(lower(trim(summary || ' ' || coalesce(description, ''))), lower(test_name)) AS exact,
-        {_tokens("trim(summary || ' ' || coalesce(description, ''))")} AS words,
-        {_tokens("array_to_string(list_filter(regexp_split_to_array(lower(test_name), '_+'), lambda t: t <> 'tc'), ' ')")} AS stems,
-        {_tokens("trim(concat_ws(' ', failure_msg, failure_kw))")} AS hits FROM pairs)""",
+    "defects2": f"""defects2 AS MATERIALIZED (SELECT d.*, {_EMAIL} AS reporter_email, e.embedding AS vector, lower(trim(summary || ' ' || coalesce(description, ''))) AS low,
+        {_tokens("trim(summary || ' ' || coalesce(description, ''))")} AS words FROM defects d LEFT JOIN embeddings e USING (vec_id))""",
+    "results2": f"""results2 AS MATERIALIZED (SELECT r.*, e.embedding AS result_vector, {_tokens("array_to_string(list_filter(regexp_split_to_array(lower(test_name), '_+'), lambda t: t <> 'tc'), ' ')")} AS stems,
+        {_tokens("trim(concat_ws(' ', failure_msg, failure_kw))")} AS hits
+        FROM (SELECT *, (build_no * 20 + idx) % (SELECT count(*) FROM embeddings) AS vec_id FROM results WHERE status = 'FAIL') r LEFT JOIN embeddings e USING (vec_id))""",
+    "pairs": """pairs AS (SELECT d.defect_id, d.project, d.summary, d.description, d.reporter_email, d.status AS defect_status, d.priority, d.vector, d.low, d.words,
+        r.stems, r.hits, r.result_id, r.run_id, r.test_name, r.failure_msg, r.failure_kw, r.result_vector, r.run_timestamp, abs(epoch_us(d.created) - epoch_us(r.run_timestamp)) / 86400000000.0 AS date_diff_days
+        FROM defects2 d JOIN results2 r ON abs(epoch_us(d.created) - epoch_us(r.run_timestamp)) / 86400000000.0 <= 7)""",
+    "worded": "worded AS (SELECT *, contains(low, lower(test_name)) AS exact FROM pairs)",
     "ruled": """ruled AS (SELECT *, list_intersect(stems, words) AS stem, list_intersect(hits, words) AS hit,
         round_even(CASE WHEN exact THEN 0.60 WHEN len(list_intersect(stems, words)) > 0 THEN 0.25 ELSE 0.0 END + CASE WHEN len(list_intersect(hits, words)) > 0 THEN 0.15 ELSE 0.0 END, 4)::double AS rule_score FROM worded)""",
     "scored": """scored AS (SELECT *, CASE WHEN reporter_email = 'qa@example.com' THEN 1 ELSE 0 END AS email_match,
         CASE WHEN vector IS NOT NULL AND result_vector IS NOT NULL THEN greatest(0.0, list_cosine_similarity(vector::double[], result_vector::double[])) END AS sem FROM ruled)""",
-    "maps": """maps AS (SELECT *, CASE WHEN confidence_score >= 0.5 AND (email_match = 1 OR reporter_email = '') THEN 1 ELSE 0 END AS confirmed, defect_id || '__' || result_id AS mapping_id
+    "maps": """maps AS MATERIALIZED (SELECT *, CASE WHEN confidence_score >= 0.5 AND (email_match = 1 OR reporter_email = '') THEN 1 ELSE 0 END AS confirmed, defect_id || '__' || result_id AS mapping_id
         FROM (SELECT *, CASE WHEN sem IS NULL THEN rule_score ELSE round_even(0.5 * rule_score + 0.5 * sem, 4) END AS confidence_score FROM scored) WHERE confidence_score >= 0.25)""",
-    "rmaps": """rmaps AS (SELECT *, CASE WHEN confidence_score >= 0.5 AND (email_match = 1 OR reporter_email = '') THEN 1 ELSE 0 END AS confirmed, defect_id || '__' || result_id AS mapping_id
+    "rmaps": """rmaps AS MATERIALIZED (SELECT *, CASE WHEN confidence_score >= 0.5 AND (email_match = 1 OR reporter_email = '') THEN 1 ELSE 0 END AS confirmed, defect_id || '__' || result_id AS mapping_id
         FROM (SELECT *, rule_score AS confidence_score FROM scored) WHERE confidence_score >= 0.25)""",
-    "synclog": """synclog AS (SELECT mapping_id, CASE WHEN right(test_name, 1) = '3' THEN 'error' ELSE 'success' END AS status FROM maps
+    "synclog": """synclog AS (SELECT mapping_id, CASE WHEN right(test_name, 1) = '3' THEN 'error' ELSE 'success' END AS status, run_timestamp AS written_at FROM maps
         WHERE confirmed = 1 AND right(run_id, 1) IN ('1', '3', '5', '7', '9'))""",
     "trend": """trend AS (SELECT build_no, category, coalesce(n, 0) AS n FROM (SELECT DISTINCT build_no FROM failed) CROSS JOIN (SELECT DISTINCT dashboard AS category FROM failed)
         LEFT JOIN (SELECT build_no, dashboard AS category, count(*) AS n FROM failed GROUP BY ALL) USING (build_no, category))""",
@@ -87,7 +87,10 @@ ORACLES: dict[str, str] = {}
 
 
 def oracle(name: str, sql: str, *extra: str) -> None:
-    ORACLES[name] = "WITH " + ", ".join([adapter.DUCK_FRAMES.strip(), *(_EXTRA[e] for e in extra)]) + "\n" + sql
+    """``extra`` names further tables; those on defects and failures in pairs take
+    the frames that pair_query takes."""
+    frames = adapter.duck_frames(adapter.PAIR_TESTS if "defects2" in extra else None)
+    ORACLES[name] = "WITH " + ", ".join([frames, *(_EXTRA[e] for e in extra)]) + "\n" + sql
 
 
 oracle("top_failing_tests", """SELECT test_name, count(*) AS total_runs, cast(sum(CASE WHEN status = 'FAIL' THEN 1 ELSE 0 END) AS bigint) AS fail_count,
@@ -143,7 +146,7 @@ oracle("flakiness_features", """, base AS (SELECT r.*, u.pass_rate_pct AS run_pa
     round(duration_s, 9) AS duration_last, round(coalesce((epoch_us(run_timestamp) - epoch_us(before)) / 86400000000.0, 1.0), 9) AS time_since_last, run_pass_rate,
     json_extract_string(tags, '$[1]') AS feature_tag, json_extract_string(tags, '$[2]') AS priority_tag, target FROM out""")
 oracle("drift_flags", "SELECT result_id, round(z, 9) AS z_duration, drift_flagged, drift_confirmed FROM drifted", "slow", "drifted")
-ORACLES["drift_flags_notebook"] = "WITH " + ", ".join([adapter.DUCK_FRAMES.strip(), _EXTRA["slow"], _drift(30, "stddev_samp", 0)]) + "\nSELECT result_id, round(z, 9) AS z_duration, drift_flagged, drift_confirmed FROM drifted"
+ORACLES["drift_flags_notebook"] = "WITH " + ", ".join([adapter.duck_frames(), _EXTRA["slow"], _drift(30, "stddev_samp", 0)]) + "\nSELECT result_id, round(z, 9) AS z_duration, drift_flagged, drift_confirmed FROM drifted"
 oracle("drift_report", "SELECT * FROM report", *_DRIFT)
 oracle("non_drifting_tests", "SELECT DISTINCT test_name FROM results WHERE test_name NOT IN (SELECT test_name FROM report)", *_DRIFT)
 oracle("duration_forecast", """, p AS (SELECT test_name, count(*) AS n, avg(duration_s) FILTER (back <= 5) AS pred, stddev_pop(duration_s) FILTER (back <= 5) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY test_name ORDER BY build_no DESC) AS back FROM slow WHERE status = 'PASS') GROUP BY 1)
@@ -153,9 +156,9 @@ oracle("duration_forecast", """, p AS (SELECT test_name, count(*) AS n, avg(dura
 oracle("regression_features", """SELECT test_name, run_id, round(ln(duration_s), 9) AS log_duration, round(avg(duration_s) OVER (PARTITION BY test_name ORDER BY build_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 9) AS expanding_mean,
     round(avg(duration_s) OVER f, 9) AS rolling_mean_5, round(stddev_samp(duration_s) OVER f, 9) AS rolling_std_5, round(lag(duration_s) OVER (PARTITION BY test_name ORDER BY build_no), 9) AS prev_duration
     FROM results WHERE duration_s > 0 WINDOW f AS (PARTITION BY test_name ORDER BY build_no ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
-oracle("enriched_predictions", """SELECT test_name, failure_probability, trend, round_even(greatest(failure_probability, 1 - failure_probability), 2) AS confidence, risk,
+oracle("enriched_predictions", """SELECT test_name, failure_probability, trend, (k // 10 + CASE WHEN k % 10 > 5 OR (k % 10 = 5 AND (k // 10) % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS confidence, risk,
     CASE WHEN risk = 'High' THEN CASE WHEN trend = 'Increasing' THEN 'Execute Early' ELSE 'Isolate' END WHEN risk = 'Medium' THEN 'Retry Automatically' ELSE 'Monitor' END AS recommendation
-    FROM (SELECT *, CASE WHEN failure_probability >= 0.7 THEN 'High' WHEN failure_probability >= 0.4 THEN 'Medium' ELSE 'Low' END AS risk FROM stand)""", "history", "stand")
+    FROM (SELECT *, cast(round(greatest(failure_probability, 1 - failure_probability) * 1000) AS bigint) AS k, CASE WHEN failure_probability >= 0.7 THEN 'High' WHEN failure_probability >= 0.4 THEN 'Medium' ELSE 'Low' END AS risk FROM stand)""", "history", "stand")
 oracle("prioritisation", """, s AS (SELECT test_name, coalesce(failure_probability, 0.0) AS p, coalesce(drifted_duration_s, dur, 0.0) AS d, coalesce(failure_rate_last20, hist, 0.0) AS fr FROM stand FULL JOIN report USING (test_name)
     LEFT JOIN (SELECT test_name, round_even(avg(CASE WHEN status = 'FAIL' THEN 1 ELSE 0 END) * 100, 1) AS hist, round_even(avg(duration_s), 2) AS dur FROM slow GROUP BY 1) USING (test_name)),
     q AS (SELECT *, round_even(p * 0.55 + fr / 100 * 0.30 + least(d / 60, 1.0) * 0.15, 3) AS priority_score FROM s)
@@ -215,24 +218,31 @@ _REASON = """array_to_string(list_filter([CASE WHEN exact THEN 'exact test name
     CASE WHEN len(hit) > 0 THEN 'failure keyword overlap [''' || array_to_string(list_sort(hit), ''', ''') || ''']' END, 'semantic: model unavailable (rule-only)'], lambda x: x IS NOT NULL), '; ')"""
 oracle("rule_mappings", f"""SELECT mapping_id, defect_id, result_id, run_id, test_name, project AS defect_project, summary AS defect_summary, defect_status, priority AS defect_priority, reporter_email, round_even(date_diff_days, 4) AS date_diff_days, confidence_score,
     {_REASON} AS match_reason, email_match, 1 AS date_within_window, confirmed FROM rmaps""", *_RMAPS)
-oracle("hybrid_mappings", "SELECT mapping_id, round(confidence_score, 3) AS confidence_score, email_match, confirmed FROM maps", *_MAPS)
+oracle("hybrid_mappings", "SELECT mapping_id, confidence_score, email_match, confirmed FROM maps", *_MAPS)
 oracle("mapping_listing", "SELECT mapping_id, description AS defect_description, confidence_score, round_even(date_diff_days, 4) AS date_diff_days FROM rmaps WHERE project = 'P1' AND confirmed = 1", *_RMAPS)
 oracle("filter_options", "SELECT DISTINCT test_name FROM rmaps", *_RMAPS)
 oracle("coverage_distinct", """SELECT count(DISTINCT r.result_id) AS total_failures, count(DISTINCT m.result_id) AS failures_with_defect, round(count(DISTINCT m.result_id) * 100.0 / nullif(count(DISTINCT r.result_id), 0), 1) AS coverage_pct
     FROM results r LEFT JOIN maps m ON r.result_id = m.result_id AND m.confirmed = 1 WHERE r.status = 'FAIL'""", *_MAPS)
-oracle("linkage_per_test", """SELECT r.test_name, count(*) AS total_failures, count(DISTINCT m.defect_id) AS linked_defects, round(avg(m.confidence_score), 2) AS avg_confidence
+oracle("linkage_per_test", """SELECT r.test_name, count(*) AS total_failures, count(DISTINCT m.defect_id) AS linked_defects, round(cast(avg(m.confidence_score) AS decimal(18, 9)), 2)::double AS avg_confidence
     FROM results r LEFT JOIN maps m ON r.result_id = m.result_id AND m.confirmed = 1 WHERE r.status = 'FAIL' GROUP BY 1""", *_MAPS)
-oracle("coverage_kpis", """SELECT (SELECT count(*) FROM defects) AS total_defects, count(*) AS confirmed_mappings, count(DISTINCT test_name) AS unique_tests_covered, count(DISTINCT run_id) AS unique_runs_covered, coalesce(round(avg(confidence_score), 3), 0.0) AS avg_confidence,
+oracle("coverage_kpis", """SELECT (SELECT count(*) FROM defects) AS total_defects, count(*) AS confirmed_mappings, count(DISTINCT test_name) AS unique_tests_covered, count(DISTINCT run_id) AS unique_runs_covered, coalesce(round(cast(avg(confidence_score) AS decimal(18, 9)), 3)::double, 0.0) AS avg_confidence,
     round_even(count(*) * 100.0 / (SELECT count(*) FROM results WHERE status = 'FAIL'), 1) AS coverage_pct FROM maps WHERE confirmed = 1""", *_MAPS)
-oracle("sync_pending", "SELECT mapping_id FROM maps WHERE confirmed = 1 AND mapping_id NOT IN (SELECT mapping_id FROM synclog WHERE status = 'success')", *_MAPS, "synclog")
+oracle("sync_pending", "SELECT mapping_id FROM maps WHERE confirmed = 1 AND NOT EXISTS (SELECT 1 FROM synclog s WHERE s.mapping_id = maps.mapping_id AND s.status = 'success')", *_MAPS, "synclog")
+oracle("sync_counts", """SELECT (SELECT count(*) FROM maps WHERE confirmed = 1) AS total_confirmed,
+    (SELECT count(*) FROM maps WHERE confirmed = 1 AND NOT EXISTS (SELECT 1 FROM synclog s WHERE s.mapping_id = maps.mapping_id AND s.status = 'success')) AS pending""", *_MAPS, "synclog")
+oracle("sync_history", "SELECT mapping_id, status, written_at FROM synclog ORDER BY written_at DESC, mapping_id", *_MAPS, "synclog")
+oracle("defect_listing", "SELECT defect_id, summary, status, priority, created FROM defects ORDER BY created DESC, defect_id")
+oracle("defects_per_project", "SELECT project, count(*) AS n_defects FROM defects GROUP BY 1 ORDER BY 2 DESC, 1")
+oracle("confidence_bands", "SELECT test_name, CASE WHEN failure_probability >= 0.75 THEN 'high' WHEN failure_probability >= 0.5 THEN 'medium' WHEN failure_probability >= 0.25 THEN 'low' ELSE 'none' END AS band FROM stand", "history", "stand")
 oracle("sync_stats", "SELECT count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'skipped') AS skipped FROM synclog", *_MAPS, "synclog")
-_DUP = f"""t AS (SELECT defect_id, created, vector, {_NAMES} AS names, {_tokens("concat_ws(' ', summary, description)")} AS words FROM defects2),
-    m AS (SELECT a.defect_id AS defect_a, b.defect_id AS defect_b, abs(epoch_us(a.created) - epoch_us(b.created)) / 86400000000.0 AS gap, list_intersect(a.names, b.names) AS shared,
-    len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) AS jac, list_cosine_similarity(a.vector::double[], b.vector::double[]) AS cos FROM t a JOIN t b ON a.defect_id < b.defect_id AND len(list_intersect(a.names, b.names)) > 0
-    WHERE abs(epoch_us(a.created) - epoch_us(b.created)) / 86400000000.0 <= 14)"""
+_DUP = f"""t AS MATERIALIZED (SELECT defect_id, created, vector, words, {_NAMES} AS names FROM defects2), u AS (SELECT defect_id, created, unnest(names) AS name FROM t),
+    ids AS (SELECT DISTINCT a.defect_id AS defect_a, b.defect_id AS defect_b, abs(epoch_us(a.created) - epoch_us(b.created)) / 86400000000.0 AS gap FROM u a JOIN u b ON a.name = b.name AND a.defect_id < b.defect_id
+    WHERE abs(epoch_us(a.created) - epoch_us(b.created)) / 86400000000.0 <= 14),
+    m AS (SELECT defect_a, defect_b, gap, list_intersect(a.names, b.names) AS shared, len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) AS jac,
+    list_cosine_similarity(a.vector::double[], b.vector::double[]) AS cos FROM ids JOIN t a ON a.defect_id = defect_a JOIN t b ON b.defect_id = defect_b)"""
 oracle("duplicate_pairs_jaccard", f", {_DUP} SELECT defect_a, defect_b, round(jac, 3) AS similarity, round(round_even(gap, 2), 3) AS date_diff_days, array_to_string(list_sort(shared), ',') AS shared_test_names, 'jaccard' AS method FROM m WHERE jac >= 0.6", "defects2")
 oracle("duplicate_pairs_cosine", f", {_DUP} SELECT defect_a, defect_b, round(round_even(coalesce(cos, jac), 4), 3) AS similarity, round(round_even(gap, 2), 3) AS date_diff_days FROM m WHERE coalesce(cos, jac) >= 0.2", "defects2")
-ORACLES["embedding_max_similarity"] = """SELECT a.vec_id AS id, round(max(list_cosine_similarity(a.embedding::double[], q.embedding::double[])), 3) AS max_similarity FROM embeddings a, embeddings q WHERE q.vec_id % 20 = 0 AND a.vec_id % 20 <> 0 GROUP BY 1"""
+ORACLES["embedding_max_similarity"] = """SELECT a.vec_id AS id, round(max(list_cosine_similarity(a.embedding::double[], q.embedding::double[])), 3) AS max_similarity FROM embeddings a, embeddings q WHERE q.vec_id % 20 = 0 AND a.vec_id <> q.vec_id GROUP BY 1"""
 oracle("registry_link_class", "SELECT d.defect_id, any_value(d.project) AS project, CASE max(m.confirmed) WHEN 1 THEN 'confirmed' WHEN 0 THEN 'candidate' ELSE 'unmapped' END AS link_class FROM defects d LEFT JOIN rmaps m USING (defect_id) GROUP BY 1", *_RMAPS)
 oracle("multi_test_defects", "SELECT defect_id, count(DISTINCT test_name) AS n_tests FROM rmaps GROUP BY 1 HAVING count(DISTINCT test_name) > 1", *_RMAPS)
 _NUM = ("build_no", "duration_s", "run_pass_rate", "test_no")
