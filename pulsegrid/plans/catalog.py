@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import flow, mapping, models, runs, state, stats, terms, tests
+from ..operators import embeddings, flow, mapping, models, runs, state, stats, terms, tests
 from ..sources import adapter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -494,6 +494,30 @@ def defects_per_project(fr):
     return mapping.defects_per_project(fr.defects)
 
 
+def _cache(fr) -> tuple[DataFrame, DataFrame]:
+    """All entities, and a cache that lacks every third, has an old text of every
+    fifth and knows another model."""
+    wanted = embeddings.entities(fr.defects, fr.results)
+    k = F.length("entity_id") * 7 + F.ascii(F.substring("entity_id", -1, 1))
+    old = F.when(k % 5 == 0, "another text").otherwise(F.col("source_text"))
+    held = wanted.filter(k % 3 != 0).withColumns({"source_text": old, "model_name": F.when(k % 7 == 0, "other").otherwise("hashing")})
+    return wanted, held
+
+
+@query
+def embeddings_pending(fr):
+    return embeddings.pending(*_cache(fr), "hashing").select("entity_id", "entity_type", "source_text")
+
+
+@query
+def embeddings_encoded(fr):
+    """How many vectors the cache gets, by kind, and whether they are of length 1
+    or, without a word, 0."""
+    new = embeddings.encoded(embeddings.pending(*_cache(fr), "hashing"), "hashing")
+    length = F.round(F.sqrt(text.dot(F.col("vector"), F.col("vector"))), 4)
+    return new.groupBy("entity_type", length.alias("length")).agg(F.count("*").alias("n"))
+
+
 @pair_query
 def sync_history(fr):
     return mapping.sync_history(sync_log(fr)).select("mapping_id", "status", "written_at")

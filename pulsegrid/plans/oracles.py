@@ -231,6 +231,11 @@ oracle("sync_pending", "SELECT mapping_id FROM maps WHERE confirmed = 1 AND NOT
 oracle("sync_counts", """SELECT (SELECT count(*) FROM maps WHERE confirmed = 1) AS total_confirmed,
     (SELECT count(*) FROM maps WHERE confirmed = 1 AND NOT EXISTS (SELECT 1 FROM synclog s WHERE s.mapping_id = maps.mapping_id AND s.status = 'success')) AS pending""", *_MAPS, "synclog")
 oracle("sync_history", "SELECT mapping_id, status, written_at FROM synclog ORDER BY written_at DESC, mapping_id", *_MAPS, "synclog")
+_SOURCES = """SELECT defect_id AS entity_id, 'jira_defect' AS entity_type, concat_ws(chr(10) || chr(10), nullif(trim(summary), ''), nullif(trim(substr(description, 1, 512)), '')) AS source_text FROM defects
+    UNION ALL SELECT result_id, 'test_result', concat_ws(' | ', test_name, 'keyword: ' || failure_kw, failure_msg) FROM results WHERE status = 'FAIL'"""
+_PENDING = f"""wanted AS (SELECT *, length(entity_id) * 7 + ascii(right(entity_id, 1)) AS k FROM ({_SOURCES})), todo AS (SELECT entity_id, entity_type, source_text FROM wanted WHERE k % 3 = 0 OR k % 5 = 0 OR k % 7 = 0)"""
+oracle("embeddings_pending", f", {_PENDING} SELECT * FROM todo")
+oracle("embeddings_encoded", f", {_PENDING} SELECT entity_type, 1.0::double AS length, count(*) AS n FROM todo GROUP BY 1")
 oracle("defect_listing", "SELECT defect_id, summary, status, priority, created FROM defects ORDER BY created DESC, defect_id")
 oracle("defects_per_project", "SELECT project, count(*) AS n_defects FROM defects GROUP BY 1 ORDER BY 2 DESC, 1")
 oracle("confidence_bands", "SELECT test_name, CASE WHEN failure_probability >= 0.75 THEN 'high' WHEN failure_probability >= 0.5 THEN 'medium' WHEN failure_probability >= 0.25 THEN 'low' ELSE 'none' END AS band FROM stand", "history", "stand")

@@ -49,10 +49,7 @@ def ingest(store: Store, root: str, force: bool = False) -> dict[str, int]:
     todo = [r[0] for r in found.join(done, "run_id", "left_anti").collect()]  # folder names of one load
     if not todo:
         return {"runs": 0, "results": 0, "errors": 0, "skipped": found.count()}
-    parsed = run_folders.parse(store.spark, root)
-    new = store.spark.createDataFrame([(x,) for x in todo], "run_id string")
-    kept = [t.join(F.broadcast(new), "run_id", "left_semi") for t in (parsed.runs, parsed.results, parsed.errors)]
-    return load(store, run_folders.ParsedRuns(*kept)) | {"skipped": found.count() - len(todo)}
+    return load(store, run_folders.parse(store.spark, root, todo)) | {"skipped": found.count() - len(todo)}
 
 
 def stream(store: Store, root: str, checkpoint: str, files_per_batch: int = 50) -> StreamingQuery:

@@ -225,3 +225,30 @@ def test_delivery_over_rest(monkeypatch):
         assert "field" in str(e)
     assert sent[0] == ("POST", "/rest/api/3/issue/D-1/comment", {"body": {"a": 1}})
     assert sent[1] == ("PUT", "/rest/api/3/issue/D-1", {"fields": {"customfield_1": ["run"]}})
+
+
+# --- embedding cache -------------------------------------------------------------
+
+
+def test_only_missing_and_changed_texts_are_embedded(spark):
+    import numpy as np
+
+    from pulsegrid.operators import embeddings
+
+    def encoder(texts):
+        assert len(texts) <= 3
+        if "bad" in texts:
+            raise ValueError("cannot")
+        return np.array([[len(t), 1.0] for t in texts])
+
+    wanted = spark.createDataFrame([(f"e{k}", "jira_defect", "t" * k) for k in range(10)] + [("none", "test_result", None), ("bad", "test_result", "bad")], "entity_id string, entity_type string, source_text string").coalesce(1)
+    empty = spark.createDataFrame([], SCHEMAS["embeddings"])
+    cache = embeddings.refreshed(empty, wanted.filter("entity_id <> 'bad'"), "m", encoder, batch=3)
+    first = {r.entity_id: r for r in cache.collect()}
+    assert len(first) == 11 and all(list(r.vector) == [len(r.source_text), 1.0] for r in first.values())
+    changed = wanted.withColumn("source_text", F.when(F.col("entity_id") == "e4", "other").otherwise(F.col("source_text")))
+    todo = {r.entity_id for r in embeddings.pending(changed.fillna({"source_text": ""}), cache, "m").collect()}
+    assert todo == {"e4", "bad"}
+    assert embeddings.pending(wanted, cache, "another").count() == embeddings.pending(wanted, cache, "m", force=True).count() == 12
+    again = {r.entity_id: list(r.vector) for r in embeddings.refreshed(cache, changed.filter("entity_id <> 'bad'"), "m", encoder, batch=3).collect()}
+    assert again["e4"] == [5.0, 1.0] and "bad" not in again and len(again) == 11
