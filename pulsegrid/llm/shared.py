@@ -146,3 +146,23 @@ def batches(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
             held, n = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+#: Rows that a part of ascending ids is meant to hold.
+PART_ROWS = 250_000
+
+
+def id_parts(docs: DataFrame, parts: int | None = None) -> np.ndarray:
+    """Ascending first ids of parts 1 and on, near the quantiles of doc_id, of as
+    many parts as the session has shuffle partitions, or more where a part would
+    hold more than PART_ROWS; the scans read the id column only."""
+    n = parts or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_ROWS))
+    at = [k / n for k in range(1, n)]
+    found = (docs.agg(F.percentile_approx("doc_id", at, 10 * n)).first()[0] or []) if at else []
+    return np.array(sorted(set(found)), np.int64)
+
+
+def part_of(ids: pa.Array, first: np.ndarray) -> np.ndarray:
+    """The part of each id; nulls belong to the last."""
+    at = np.searchsorted(first, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")
+    return np.where(np.asarray(ids.is_valid()), at, len(first)).astype(np.int32)

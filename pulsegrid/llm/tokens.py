@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import as_text, columns_only, ship
+from .shared import as_text, columns_only, id_parts, part_of, ship
 
 END_ID = 2
 #: Ids of a block, unless one document alone has more.
@@ -203,24 +203,13 @@ def encoder(path: str) -> TextEncoder:
 # --- files ------------------------------------------------------------------
 
 
-def _parts(docs: DataFrame, n: int) -> list[int]:
-    """Ascending first ids of parts 1 to n - 1, near the quantiles; the scan
-    reads the id column only."""
-    at = [k / n for k in range(1, n)]
-    if not at:
-        return []
-    found = docs.agg(F.percentile_approx("doc_id", at, 10 * n)).first()[0] or []
-    return sorted(set(found))
-
-
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, parts: int | None = None) -> None:
     """Tokenises every whole text, appends END_ID and writes the files, documents
     in ascending doc_id order (nulls last, repeated ids by their ids' bytes)."""
     spark = docs.sparkSession
     ship(spark)
     docs = columns_only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = np.array(_parts(docs, n), np.int64)
+    first = id_parts(docs, parts)
 
     def tokenise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer_path)
@@ -241,10 +230,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, parts: in
                 data, step = ended.tobytes(), ended.itemsize
                 ids += [data[step * f : step * l] + bytes([wide]) for f, l in zip((last - n - 1).tolist(), last.tolist(), strict=True)]
                 a = e
-            key = b.column(0).to_numpy(zero_copy_only=False)
-            known = ~np.asarray(b.column(0).is_null())
-            part = np.where(known, np.searchsorted(first, np.where(known, key, 0), "right"), len(first))
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), b.column(0), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(b.column(0), first)), b.column(0), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
 
     def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, ids_before, words_before = -1, 0, 0, 0

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import as_text, columns_only, ship
+from .shared import as_text, columns_only, id_parts, keep, part_of, ship
 
 K = 16
 WINDOW = 32
@@ -173,13 +173,18 @@ def _compared(ids: list, texts: list[str], following: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def _heads(dealt: DataFrame) -> dict[int, str]:
-    """The first text of every part: as many rows as there are parts. The first
-    scan reads ids only; the second finds the texts of those few ids."""
-    least = dealt.groupBy("part").agg(F.min("doc_id").alias("doc_id"))
-    least = F.broadcast(dealt.sparkSession.createDataFrame(least.toArrow()))
-    met = dealt.alias("d").join(least.alias("l"), (F.col("d.part") == F.col("l.part")) & F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")))
-    return {r[0]: r[1] for r in met.groupBy("d.part").agg(F.min("d.text")).collect()}
+def _with_followers(dealt: DataFrame) -> DataFrame:
+    """``dealt`` with after = 0, and for each part the first text of the next one,
+    of the first part after the last, with after = 1. The first scan reads ids
+    only; the second finds the texts of as many ids as there are parts."""
+    least = keep(dealt.groupBy("part").agg(F.min("doc_id").alias("doc_id")), "heads", "lz4_raw")
+    order = Window.orderBy("part")  # one row for each part
+    before = F.coalesce(F.lag("part").over(order), F.max("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    least = least.select(F.col("part").alias("_part"), F.col("doc_id").alias("_first"), before.alias("_before"))
+    met = dealt.join(F.broadcast(least), (F.col("part") == F.col("_part")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    heads = met.groupBy("_before").agg(F.min("text").alias("text"))
+    heads = heads.select(F.col("_before").alias("part"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("after"))
+    return dealt.withColumn("after", F.lit(0)).unionByName(heads)
 
 
 def fingerprint_report(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -192,45 +197,32 @@ def fingerprint_report(docs: DataFrame, parts: int | None = None) -> DataFrame:
     (1.0); an empty table gives an empty result; other columns are ignored.
 
     Texts are dealt once, by id, to parts of ascending order; what a part needs
-    of the next one is that part's first text.
+    of the next one is that part's first text, which is dealt to it as well.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     docs = columns_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = (docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n)).first()[0] or []) if n > 1 else []
-    cuts = sorted(set(cuts))
-    part = F.lit(len(cuts))
-    if cuts:
-        # how many cuts an id has reached, by halving
-        def reached(a: int, b: int):
-            if a == b:
-                return F.lit(a)
-            m = (a + b) // 2
-            return F.when(F.col("doc_id") >= cuts[m], reached(m + 1, b)).otherwise(reached(a, m))
-
-        part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(reached(0, len(cuts)))
-    dealt = docs.withColumn("part", part.cast("int"))
-    heads = _heads(dealt)
-    known = sorted(heads)
-    shared = spark.sparkContext.broadcast([heads[k] for k in known])
-    follower = {k: (at + 1) % len(known) for at, k in enumerate(known)}
+    first = id_parts(docs, parts)
+
+    @F.arrow_udf("int")
+    def part(ids: pa.Array) -> pa.Array:
+        return pa.array(part_of(ids, first))
+
+    dealt = docs.withColumn("part", part("doc_id")).select("part", "doc_id", "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         texts: list[str] = []
-        size, part = 0, None
+        size = 0
         for b in it:
-            for p, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_text(b.column(2)), strict=True):
-                if ids and (p != part or size >= CHUNK):
-                    yield _compared(ids, texts, t if p == part else shared.value[follower[part]])
+            for after, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_text(b.column(2)), strict=True):
+                if after or size >= CHUNK:
+                    yield _compared(ids, texts, t)
                     ids, texts, size = [], [], 0
-                part = p
-                ids.append(d)
-                texts.append(t)
-                size += len(t)
-        if ids:
-            yield _compared(ids, texts, shared.value[follower[part]])
-
-    ordered = dealt.select("part", "doc_id", "text").repartitionById(len(cuts) + 1, F.col("part"))
-    return ordered.sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "text").mapInArrow(run, SCHEMA)
+                if not after:
+                    ids.append(d)
+                    texts.append(t)
+                    size += len(t)
+
+    ordered = _with_followers(dealt).repartitionById(len(first) + 1, F.col("part"))
+    ordered = ordered.sortWithinPartitions("part", "after", F.col("doc_id").asc_nulls_last(), "text")
+    return ordered.select("after", "doc_id", "text").mapInArrow(run, SCHEMA)

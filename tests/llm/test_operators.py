@@ -1025,3 +1025,13 @@ def test_toxicity_edges(spark, edge, empty):
 
 def test_one_query_for_each_operator():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+def test_parts_of_large_and_null_ids(spark):
+    import pyarrow as pa
+
+    first = np.array([2**60 + 1, 2**60 + 2], np.int64)
+    ids = pa.array([2**60, 2**60 + 1, None, 2**60 + 2, -5], pa.int64())
+    assert shared.part_of(ids, first).tolist() == [0, 1, 2, 2, 0]
+    df = spark.range(1000).withColumnRenamed("id", "doc_id")
+    assert len(shared.id_parts(df, 10)) == 9 and len(shared.id_parts(df.limit(0))) == 0
