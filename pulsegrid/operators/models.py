@@ -205,7 +205,26 @@ def failure_clusters(results: DataFrame, k: int = 5, starts: int = 10, seed: int
 
 
 def silhouette(points: DataFrame, vector: str, cluster: str) -> DataFrame:
-    """Mean simplified silhouette (euclidean, to centres): linear in the rows."""
+    """(silhouette): the mean over all points of (b - a) / max(a, b), where a is the
+    mean euclidean distance to the other points of its cluster and b the least mean
+    distance to those of another; 0 for a point that is alone in its cluster. Equal
+    points of a cluster are one with a weight, as messages repeat; the measure
+    itself is over all pairs of distinct points. See :func:`centre_silhouette`."""
+    distinct = points.groupBy(F.col(vector).alias("v"), F.col(cluster).alias("k")).agg(F.count("*").alias("w"))
+    a, b = (distinct.select(*[F.col(c).alias(f"{x}{c}") for c in ("v", "k", "w")]) for x in "ab")
+    d = F.sqrt(F.aggregate(F.zip_with("av", "bv", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
+    far = a.crossJoin(b).groupBy("av", "ak", "aw", "bk").agg(F.sum(d * F.col("bw")).alias("total"), F.sum("bw").alias("n"))  # all pairs, by definition
+    own = F.col("ak") == F.col("bk")
+    both = far.groupBy("av", "ak", "aw").agg(
+        F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own, F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b")
+    )
+    score = F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return both.agg((F.sum(score * F.col("aw")) / F.sum("aw")).alias("silhouette"))
+
+
+def centre_silhouette(points: DataFrame, vector: str, cluster: str) -> DataFrame:
+    """The simplified silhouette, with distances to the clusters' centres in place
+    of their points: linear in the rows."""
     flat = points.select(F.col(cluster).alias("k"), F.posexplode(vector).alias("i", "x"))
     centres = flat.groupBy("k", "i").agg(F.avg("x").alias("c")).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("c"))
     met = points.select(F.monotonically_increasing_id().alias("id"), F.col(vector).alias("v"), F.col(cluster).alias("own")).crossJoin(F.broadcast(centres))  # k rows
@@ -223,24 +242,29 @@ def elbow(points: DataFrame, vector: str, ks: range = range(2, 9), seed: int = 4
 
 
 def truncated_svd(points: DataFrame, vector: str, n: int = 2) -> DataFrame:
-    """Projection on the first right singular vectors, uncentred. The Gram matrix
-    (dimensions squared) is summed on the executors."""
-    d = points.select(F.size(vector)).first()[0]
+    """Projection on the first right singular vectors, uncentred, and the share of
+    the vectors' variance that the projections explain. The Gram matrix (dimensions
+    squared) is summed on the executors, together with the vectors' sum."""
+    d = points.select(F.size(vector)).first()[0] + 1
 
     def gram(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((d, d))
         for b in it:
-            x = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, d))
-            total += x.T @ x
+            if len(b):
+                x = np.stack(b["v"].to_numpy()).astype(float)
+                x = np.hstack([x, np.ones((len(x), 1))])
+                total += x.T @ x
         yield pd.DataFrame({"g": [total.ravel()]})
 
     parts = points.select(F.col(vector).alias("v")).mapInPandas(gram, "g array<double>")
     summed = parts.select(F.posexplode("g").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i")
     g = np.array([r["x"] for r in summed.collect()]).reshape(d, d)  # bounded by the dimensions
-    value, axes = np.linalg.eigh(g)
+    g, mean, rows = g[:-1, :-1], g[:-1, -1] / g[-1, -1], g[-1, -1]
+    _, axes = np.linalg.eigh(g)
     top = axes[:, ::-1][:, :n]
     top = top * np.sign(top[np.abs(top).argmax(axis=0), range(n)])
-    share = value[::-1][:n] / value.sum()
+    kept = np.einsum("ik,ij,jk->k", top, g, top) / rows - (mean @ top) ** 2
+    share = kept / (np.trace(g) / rows - mean @ mean)
     dots = [F.aggregate(F.zip_with(vector, F.array(*map(F.lit, map(float, top[:, k]))), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias(f"svd_{k + 1}") for k in range(n)]
     return points.select("*", *dots, F.lit(float(share.sum())).alias("explained"))
 

@@ -668,9 +668,9 @@ def log_linear_duration(fr):
     return models.log_linear_durations(fr.results)[1]
 
 
-@rows_only
+@query
 def silhouette_of_labels(fr):
-    return models.silhouette(fr.vectors, "vector", "label")
+    return rounded(models.silhouette(fr.vectors, "vector", "label"), "silhouette", places=6)
 
 
 @rows_only

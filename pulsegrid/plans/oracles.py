@@ -248,6 +248,9 @@ _DUP = f"""t AS MATERIALIZED (SELECT defect_id, created, vector, words, {_NAMES}
 oracle("duplicate_pairs_jaccard", f", {_DUP} SELECT defect_a, defect_b, round(jac, 3) AS similarity, round(round_even(gap, 2), 3) AS date_diff_days, array_to_string(list_sort(shared), ',') AS shared_test_names, 'jaccard' AS method FROM m WHERE jac >= 0.6", "defects2")
 oracle("duplicate_pairs_cosine", f", {_DUP} SELECT defect_a, defect_b, round(round_even(coalesce(cos, jac), 4), 3) AS similarity, round(round_even(gap, 2), 3) AS date_diff_days FROM m WHERE coalesce(cos, jac) >= 0.2", "defects2")
 ORACLES["embedding_max_similarity"] = """SELECT a.vec_id AS id, round(max(list_cosine_similarity(a.embedding::double[], q.embedding::double[])), 3) AS max_similarity FROM embeddings a, embeddings q WHERE q.vec_id % 20 = 0 AND a.vec_id <> q.vec_id GROUP BY 1"""
+ORACLES["silhouette_of_labels"] = """WITH d AS (SELECT a.vec_id AS id, a.label AS own, b.label AS other, sum(list_distance(a.embedding::double[], b.embedding::double[])) AS total, count(*) AS n FROM embeddings a, embeddings b GROUP BY ALL),
+    s AS (SELECT id, max(n) FILTER (own = other) AS n, max(total / nullif(n - 1, 0)) FILTER (own = other) AS a, min(total / n) FILTER (own <> other) AS b FROM d GROUP BY 1)
+    SELECT round(avg(CASE WHEN n = 1 THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END), 6) AS silhouette FROM s"""
 oracle("registry_link_class", "SELECT d.defect_id, any_value(d.project) AS project, CASE max(m.confirmed) WHEN 1 THEN 'confirmed' WHEN 0 THEN 'candidate' ELSE 'unmapped' END AS link_class FROM defects d LEFT JOIN rmaps m USING (defect_id) GROUP BY 1", *_RMAPS)
 oracle("multi_test_defects", "SELECT defect_id, count(DISTINCT test_name) AS n_tests FROM rmaps GROUP BY 1 HAVING count(DISTINCT test_name) > 1", *_RMAPS)
 _NUM = ("build_no", "duration_s", "run_pass_rate", "test_no")
