@@ -27,7 +27,7 @@ END_ID = 2
 #: Ids of a block, unless one document alone has more.
 BLOCK_IDS = 1 << 16
 #: Pieces that a Python worker remembers.
-CACHE = 1_200_000
+CACHE = 900_000
 #: Code points that are tokenised at a time.
 CHUNK = 1 << 21
 BLOCK_TYPE = "part int, block int, first_id long, first_word long, n_ids long, doc_ids binary, sizes binary, words binary, escapes binary"
