@@ -2,11 +2,13 @@
 
 A table is a folder of immutable Parquet snapshots; a write stages the new
 snapshot beside the old ones and then moves a pointer, so a table can be
-rewritten from itself and a failed write leaves it as it was.
+rewritten from itself and a failed write leaves it as it was. Tables of a ledger
+move together: one version file names the folders of all of them.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -79,3 +81,94 @@ class Table:
 
     def clear(self) -> DataFrame:
         return self.overwrite(self.spark.createDataFrame([], self.schema))
+
+
+#: Buckets of a ledger's table that is written in parts.
+BUCKETS = 64
+
+
+class Ledger:
+    """Tables below one root, in any Hadoop file system whose rename fails where
+    the target exists. A version is a small file that names the folders of every
+    table; a change of several tables is one version, so readers see all of it or
+    nothing. A table may be dealt to buckets by a column; a change writes only the
+    buckets that it touches."""
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, StructType], by: dict[str, str]):
+        self.spark, self.root, self.schemas, self.by = spark, root.rstrip("/"), schemas, by
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path("").getFileSystem(self._conf)
+
+    def _path(self, below: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{below}" if below else self.root)
+
+    def _names(self, below: str) -> list[str]:
+        at = self._path(below)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def version(self, back: int = 0) -> tuple[int, dict[str, dict[str, str]]]:
+        """Number and folders (table -> bucket -> folder) of the latest version, or
+        of one ``back`` from it; 0 before the first."""
+        names = [n for n in self._names("versions") if n.endswith(".json")]
+        if len(names) <= back:
+            return 0, {}
+        name = names[-1 - back]
+        text = self.spark.read.text(f"{self.root}/versions/{name}", wholetext=True).first()[0]
+        return int(name[:-5]), json.loads(text)
+
+    def bucket(self, table: str):
+        return F.pmod(F.xxhash64(self.by[table]), F.lit(BUCKETS))
+
+    def read(self, table: str, buckets: set[str] | None = None) -> DataFrame:
+        """The latest rows of a table, or of some of its buckets."""
+        held = self.version()[1].get(table, {})
+        paths = [f"{self.root}/{p}" for b, p in sorted(held.items()) if buckets is None or b in buckets]
+        if not paths:
+            return self.spark.createDataFrame([], self.schemas[table])
+        return self.spark.read.schema(self.schemas[table]).parquet(*paths)
+
+    def stage(self, table: str, rows: DataFrame) -> dict[str, str]:
+        """Writes rows beside the table; (bucket -> folder), for :meth:`commit`."""
+        folder = f"{table}/{uuid.uuid4().hex[:12]}"
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schemas[table]])
+        if table not in self.by:
+            rows.write.parquet(f"{self.root}/{folder}")
+            return {"all": folder}
+        dealt = rows.withColumn("bucket", self.bucket(table))
+        dealt.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        return {n.split("=")[1]: f"{folder}/{n}" for n in self._names(folder) if "=" in n}
+
+    def commit(self, changes: dict[str, dict[str, str]]) -> int:
+        """Makes the given folders those of their tables, all at once; fails if
+        another writer has committed meanwhile."""
+        base, held = self.version()
+        new = held | changes
+        aside, final = self._path(f"versions/.{uuid.uuid4().hex}"), self._path(f"versions/{base + 1:010d}.json")
+        self._fs.mkdirs(self._path("versions"))
+        out = self._fs.create(aside, True)
+        out.write(bytearray(json.dumps(new).encode()))
+        out.close()
+        none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(aside, final, none)
+        older = self.version(2)  # the version before stays for readers under way
+        if older[0]:
+            live = {p for back in (0, 1) for t in self.version(back)[1].values() for p in t.values()}
+            for path in {p for t in older[1].values() for p in t.values()} - live:
+                self._fs.delete(self._path(path), True)
+            self._fs.delete(self._path(f"versions/{older[0]:010d}.json"), False)
+        return base + 1
+
+
+class LedgerTable(Table):
+    """A table of a ledger, changed by itself."""
+
+    def __init__(self, ledger: Ledger, name: str, keys: list[str]):
+        self.ledger, self.name, self.keys = ledger, name, keys
+        self.spark, self.schema = ledger.spark, ledger.schemas[name]
+
+    def read(self) -> DataFrame:
+        return self.ledger.read(self.name)
+
+    def overwrite(self, rows: DataFrame) -> DataFrame:
+        self.ledger.commit({self.name: self.ledger.stage(self.name, rows)})
+        return self.read()

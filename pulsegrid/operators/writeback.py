@@ -103,7 +103,7 @@ def deliver(payload: DataFrame, connect: Callable[[], Deliver], pause: float = 0
                     errors.append(None)
                 except Exception as e:  # the log keeps what went wrong
                     status.append("error")
-                    errors.append(str(e)[:500])
+                    errors.append(str(e))
                 time.sleep(pause)
             yield b[["mapping_id", "defect_id", "run_id"]].assign(status=status, error_msg=errors)
 

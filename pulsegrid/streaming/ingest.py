@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.state import Table
+from ..operators.state import Ledger, LedgerTable, insert_replace
 from ..schemas import RULES, SCHEMAS
 from ..sources import run_folders
 
@@ -20,20 +20,31 @@ class Store:
     spark: SparkSession
     root: str
 
-    def table(self, name: str) -> Table:
-        return Table(self.spark, f"{self.root}/{name}", SCHEMAS[name], list(RULES[name].key))
+    def __post_init__(self):
+        self.ledger = Ledger(self.spark, self.root, SCHEMAS, {"test_results": "run_id"})
+
+    def table(self, name: str) -> LedgerTable:
+        return LedgerTable(self.ledger, name, list(RULES[name].key))
 
 
 def load(store: Store, parsed: run_folders.ParsedRuns) -> dict[str, int]:
     """Loads whole runs: a run's rows replace its former ones, and the log says
-    success or error."""
+    success or error. All three tables change in one version, and of the results
+    only the buckets of these runs are written."""
     runs, results, errors = (t.persist() for t in (parsed.runs, parsed.results, parsed.errors))
     log = runs.select("run_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error_msg")).unionByName(errors.select("run_id", F.lit("error").alias("status"), "error_msg"))
     log = log.withColumn("ingested_at", F.current_timestamp())
-    old = store.table("test_results").read()
-    store.table("test_results").overwrite(old.join(runs.select("run_id"), "run_id", "left_anti").unionByName(results))
-    store.table("runs").replace(runs)
-    store.table("ingestion_log").replace(log)
+    ledger = store.ledger
+    touched = {str(r[0]) for r in runs.select(ledger.bucket("test_results")).distinct().collect()}  # at most BUCKETS
+    old = ledger.read("test_results", touched).join(runs.select("run_id"), "run_id", "left_anti")
+    kept = {b: p for b, p in ledger.version()[1].get("test_results", {}).items() if b not in touched}
+    ledger.commit(
+        {
+            "test_results": kept | ledger.stage("test_results", old.unionByName(results)),
+            "runs": ledger.stage("runs", insert_replace(ledger.read("runs"), runs, ["run_id"])),
+            "ingestion_log": ledger.stage("ingestion_log", insert_replace(ledger.read("ingestion_log"), log, ["run_id"])),
+        }
+    )
     n = {"runs": runs.count(), "results": results.count(), "errors": errors.count()}
     for t in (runs, results, errors):
         t.unpersist()
