@@ -261,11 +261,12 @@ def test_a_run_rewrites_one_bucket_and_all_tables_or_none(spark, tmp_path, monke
     import pytest
 
     root = tmp_path / "runs"
-    synth.write_folders(str(root), synth.Plan(runs=4))
+    last = synth.write_folders(str(root), synth.Plan(runs=5))[-1]
+    (root / last).rename(tmp_path / last)
     store = ingest.Store(spark, str(tmp_path / "store"))
     ingest.ingest(store, str(root))
     before = store.ledger.version()
-    synth.write_folders(str(root), synth.Plan(runs=5))
+    (tmp_path / last).rename(root / last)
     commit = state.Ledger.commit
     monkeypatch.setattr(state.Ledger, "commit", lambda self, changes: 1 / 0)
     with pytest.raises(ZeroDivisionError):  # all is staged, nothing is committed
