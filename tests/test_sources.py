@@ -285,3 +285,32 @@ def test_a_run_rewrites_one_bucket_and_all_tables_or_none(spark, tmp_path, monke
     with pytest.raises(Exception):  # another writer has committed this version
         other.table("runs").overwrite(store.table("runs").read())
     assert store.table("runs").read().count() == 5
+
+
+# --- the search as a data source ------------------------------------------------------
+
+
+def test_pages_are_partitions_and_a_stream(spark, tmp_path):
+    from pulsegrid.sources import issue_source
+
+    def connect():
+        def transport(method, path, query, body):
+            at, n = query["startAt"], query["maxResults"]
+            some = [{"key": f"K-{k}", "fields": {"summary": "s", "created": "2026-01-01T00:00:00.000+0000"}} for k in range(at, min(23, at + n))]
+            return 200, {"total": 23, "issues": some}
+
+        return jira.Client(transport, page=5, page_pause=0.0)
+
+    want = sorted(f"K-{k}" for k in range(23))
+    rows = issue_source.read_issues(spark, connect, "project = K")
+    assert rows.rdd.getNumPartitions() == 5 and sorted(r.defect_id for r in rows.collect()) == want
+    out = str(tmp_path / "out")
+    q = issue_source.stream_issues(spark, connect, "project = K").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start(out)
+    import time
+
+    for _ in range(120):
+        time.sleep(0.5)
+        if q.exception() or any((tmp_path / "out").glob("*.parquet")) and spark.read.schema(SCHEMAS["jira_defects"]).parquet(out).count() == 23:
+            break
+    q.stop()
+    assert not q.exception() and sorted(r.defect_id for r in spark.read.parquet(out).collect()) == want
