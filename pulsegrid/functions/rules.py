@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 Rules = tuple[tuple[str, tuple[str, ...]], ...]
 
+#: The labels and substrings of the five classifiers.
 SANKEY: Rules = (
     ("timeout", ("still visible after",)), ("element", ("not found after",)), ("assertion", ("expected http",)),
     ("data", ("csv export",)), ("environment", ("environment", "unreachable")),

@@ -412,6 +412,29 @@ def tfidf_top_terms(fr):
     return rounded(terms.top_terms(w, groups, 8), "score").drop("rank")
 
 
+@query
+def run_order(fr):
+    return flow.run_order(fr.results)
+
+
+@query
+def wide_trends(fr):
+    t = flow.failures(fr.results).withColumn("category", rules.classify_dashboard(F.col("failure_msg"), F.col("failure_kw")))
+    return flow.wide_trends(t, [label for label, _ in rules.DASHBOARD])
+
+
+@query
+def clusters_with_build(fr):
+    t = flow.failures(fr.results).select("result_id", "run_id", F.lit(None).cast("int").alias("build_no"))
+    return flow.with_build(t, fr.results).select("result_id", F.col("build_no").cast("int").alias("build_no"))
+
+
+@query
+def tag_lists(fr):
+    t = fr.results.select("test_name", text.json_list("tags").alias("tags")).distinct()
+    return t.select("test_name", F.array_join("tags", "|").alias("tags"), F.size("tags").alias("n"))
+
+
 # --- defects -----------------------------------------------------------------------
 
 
@@ -518,6 +541,13 @@ def embeddings_encoded(fr):
     return new.groupBy("entity_type", length.alias("length")).agg(F.count("*").alias("n"))
 
 
+@pair_query
+def match_reasons(fr):
+    """How often each part of a match's reason is given."""
+    t = rule_maps(fr).select(F.explode(text.reason_tags("match_reason")).alias("reason"))
+    return t.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @pair_query
 def sync_history(fr):
     return mapping.sync_history(sync_log(fr)).select("mapping_id", "status", "written_at")

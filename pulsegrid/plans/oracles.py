@@ -219,6 +219,11 @@ _REASON = """array_to_string(list_filter([CASE WHEN exact THEN 'exact test name
 oracle("rule_mappings", f"""SELECT mapping_id, defect_id, result_id, run_id, test_name, project AS defect_project, summary AS defect_summary, defect_status, priority AS defect_priority, reporter_email, round_even(date_diff_days, 4) AS date_diff_days, confidence_score,
     {_REASON} AS match_reason, email_match, 1 AS date_within_window, confirmed FROM rmaps""", *_RMAPS)
 oracle("hybrid_mappings", "SELECT mapping_id, confidence_score, email_match, confirmed FROM maps", *_MAPS)
+oracle("match_reasons", f"SELECT reason, count(*) AS n FROM (SELECT trim(unnest(string_split({_REASON}, ';'))) AS reason FROM rmaps) WHERE reason <> '' GROUP BY 1", *_RMAPS)
+oracle("run_order", "SELECT DISTINCT run_id, run_timestamp FROM results")
+oracle("wide_trends", "SELECT build_no, " + ", ".join(f"count(*) FILTER (dashboard = '{c}') AS {c}" for c, _ in rules.DASHBOARD) + " FROM failed GROUP BY 1", "failed")
+oracle("clusters_with_build", "SELECT result_id, build_no FROM failed", "failed")
+oracle("tag_lists", "SELECT DISTINCT test_name, array_to_string(json_extract_string(tags, '$[*]'), '|') AS tags, cast(json_array_length(tags) AS integer) AS n FROM results")
 oracle("mapping_listing", "SELECT mapping_id, description AS defect_description, confidence_score, round_even(date_diff_days, 4) AS date_diff_days FROM rmaps WHERE project = 'P1' AND confirmed = 1", *_RMAPS)
 oracle("filter_options", "SELECT DISTINCT test_name FROM rmaps", *_RMAPS)
 oracle("coverage_distinct", """SELECT count(DISTINCT r.result_id) AS total_failures, count(DISTINCT m.result_id) AS failures_with_defect, round(count(DISTINCT m.result_id) * 100.0 / nullif(count(DISTINCT r.result_id), 0), 1) AS coverage_pct
