@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_labeller, line_dedup, mixing, secrets, sharding, simhash, tokens, toxicity, winnow
+from . import decontaminate, html_labeller, importance, line_dedup, mixing, periodic, secrets, set_join, sharding, simhash, tokens, toxicity, winnow
 from .shared import new_path
 
 
@@ -66,6 +66,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.similar_sets(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -77,8 +90,12 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
+
 def _secret_sql() -> str:
     def quoted(pattern: str) -> str:
         return "'" + pattern.replace("'", "''") + "'"
