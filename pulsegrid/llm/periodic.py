@@ -4,9 +4,9 @@ A run has a smallest period q, at least LEAST words and REPEATS periods, and no
 neighbouring word extends it keeping q. Block matching finds them. At scale L, a
 power of two, the words of a text are cut into aligned blocks of L; a run of a
 period p with L <= p < 2L holds, in its first 2L - 1 words, a whole aligned
-block, and the same words again p later. So the blocks are the keys of an
-Aho-Corasick automaton over integers, which is run across the text; an
-occurrence at a distance of L to 2L - 1 behind its block seeds an extension to
+block, and the same words again p later. So the blocks, as sequences of the
+numbers of their words or of their quarters, are the keys of an Aho-Corasick
+automaton, which is run across the text; an occurrence at a distance of L to 2L - 1 behind its block seeds an extension to
 both sides, word by word, and what is long enough is a run. Larger scales skip
 seeds that lie in a run whose period divides their distance: they would find it
 again.
@@ -30,6 +30,8 @@ from .shared import as_bytes, columns_only, ship
 from .words import buffer_of, located, word_hashes
 
 LEAST, REPEATS = 6, 4
+#: Integers of a key at most: larger blocks are keys of the names of their parts.
+KEY = 4
 #: Words that the automaton is run over at a time, or four blocks if that is more.
 STRETCH = 1 << 16
 _FAR = np.int64(1) << 62
@@ -53,26 +55,44 @@ def live_blocks(near: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(held[:-1] & held[1:]) if blocks > 1 else np.zeros(0, np.int64)
 
 
-def seeds(words: np.ndarray, live: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def paired(names: np.ndarray, size: int) -> np.ndarray:
+    """Names, from 1, of the stretches of 2 size words that start at each word,
+    from those of ``size`` words: equal names, equal words."""
+    both = names[:-size] * (int(names.max(initial=0)) + 1) + names[size:]
+    order = np.argsort(both, kind="stable")
+    new = np.ones(len(both), np.int64)
+    new[order] = np.cumsum(np.concatenate([[1], both[order[1:]] != both[order[:-1]]])) if len(both) else 0
+    return new
+
+
+def seeds(names: np.ndarray, unit: int, live: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(block start, distance) of occurrences of live blocks at distances of size
-    to 2 size - 1, in order of the occurrence."""
+    to 2 size - 1, in order of the occurrence. ``names`` are those of the
+    stretches of ``unit`` words; a key is the names of a block's units, so the
+    text is run over in its ``unit`` phases."""
     auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    key = np.full(len(words) // size + 1, -1)
+    key = np.full((len(names) + unit) // size + 1, -1)
     known: dict[tuple[int, ...], int] = {}
     for b in live.tolist():
-        block = tuple(words[b * size : (b + 1) * size].tolist())
+        block = tuple(names[b * size : (b + 1) * size : unit].tolist())
         if block not in known:
             known[block] = len(known)
             auto.add_word(block, known[block])
         key[b] = known[block]
     auto.make_automaton()
-    begin, end = int(live[0]) * size, min(len(words), (int(live[-1]) + 3) * size)
+    begin, end = int(live[0]) * size, min(len(names) + unit - size, (int(live[-1]) + 3) * size)
     step = max(STRETCH, 4 * size)
     for a in range(begin, end, step):
-        hits = list(auto.iter(tuple(words[a : min(end, a + step + size - 1)].tolist())))
+        part = names[a : min(end, a + step) + size - unit]
+        wide = -(-len(part) // unit)
+        phases = np.zeros((unit, wide + 1), np.int64)  # 0 stands between phases
+        phases[:, :wide] = np.concatenate([part, np.zeros(wide * unit - len(part), np.int64)]).reshape(wide, unit).T
+        hits = list(auto.iter(tuple(phases.ravel().tolist())))
         if hits:
             last, which = np.array(hits, np.int64).T
-            at = last + (a + 1 - size)
+            at = a + last % (wide + 1) * unit + last // (wide + 1) + unit - size
+            order = np.argsort(at)
+            at, which = at[order], which[order]
             block = (at - size) // size
             ok = (at >= size) & (key[block] == which)
             yield block[ok] * size, (at - block * size)[ok]
@@ -107,12 +127,16 @@ def runs_of(words: np.ndarray, near: np.ndarray | None = None) -> list[Run]:
         return []
     near = next_distances(words) if near is None else near
     found: list[Run] = []
-    size = 1
+    names, unit, size = words + 1, 1, 1
     while REPEATS * size <= n:
         live = live_blocks(near, size)
+        for start, length, _ in found:  # what a block far from a run's end seeds is in the run
+            live = live[(live * size < start) | ((live + 3) * size > start + length)]
+        while len(live) and KEY * unit < size:
+            names, unit = paired(names, unit), 2 * unit
         new: list[Run] = []
         last: dict[int, tuple[int, int]] = {}
-        for at, p in seeds(words, live, size) if len(live) else ():
+        for at, p in seeds(names, unit, live, size) if len(live) else ():
             held = np.zeros(len(at), bool)
             for start, length, q in found:
                 lo, hi = np.searchsorted(at, (start, start + length))
