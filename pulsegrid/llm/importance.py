@@ -244,7 +244,7 @@ def ranked(scores: DataFrame, share: int = SHARE, least: int = LEAST_WORDS) -> D
     by = [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("hash"), F.asc("row")]
     parts = max(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), draw // 1_000_000)
     ranged = above.select("score", "doc_id", "hash", "row").repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    ranged = keep(ranged.select("row", F.monotonically_increasing_id().alias("at")), "ranks", "lz4_raw")
+    ranged = keep(ranged.select("row", F.monotonically_increasing_id().alias("at")), "ranks")
     part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = sorted(ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # one for each of the parts
     before = np.cumsum([0, *[r.n for r in sizes]]).tolist()
@@ -265,7 +265,7 @@ def resample_report(docs: DataFrame, target: DataFrame, share: int = SHARE, leas
     of_target = target.select(F.lit(0).alias("doc_id"), target["text"])
     bagged = bags(docs)
     gain = gains(bucket_counts(bagged), bucket_counts(bags(of_target)))
-    scores = keep(scored(weighted(bagged, gain), seed), "scores", "lz4_raw")
+    scores = keep(scored(weighted(bagged, gain), seed), "scores")
     found = scores.join(ranked(scores, share, least), "row", "left")
     return found.select("doc_id", "n_features", "weight", "score", "rank", F.col("hash").alias("text_hash"))
 
