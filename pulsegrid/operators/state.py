@@ -3,14 +3,18 @@
 A table is a folder of immutable Parquet snapshots; a write stages the new
 snapshot beside the old ones and then moves a pointer, so a table can be
 rewritten from itself and a failed write leaves it as it was. Tables of a ledger
-move together: one version file names the folders of all of them.
+move together and grow by segments: one version file names those of all of them.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -83,84 +87,192 @@ class Table:
         return self.overwrite(self.spark.createDataFrame([], self.schema))
 
 
-#: Buckets of a ledger's table that is written in parts.
-BUCKETS = 64
+#: Segments of a table before small ones at its end are merged, how often a
+#: change is computed anew when other writers come first, and versions that stay
+#: for readers under way.
+SEGMENTS, ATTEMPTS, VERSIONS = 8, 8, 3
+#: A segment is merged with those behind it that together have a share of its rows.
+TIER = 4
+
+
+class Conflict(RuntimeError):
+    """Another writer changed what this change was computed from."""
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """A version of a ledger: its number, 0 before the first, and the segments of
+    every table, oldest first. A segment names a folder of rows, their number and
+    the folders of keys, each with its columns, whose rows in older segments it
+    takes back."""
+
+    number: int
+    tables: dict[str, list[dict]]
+
+    def segments(self, table: str) -> list[dict]:
+        return self.tables.get(table, [])
 
 
 class Ledger:
     """Tables below one root, in any Hadoop file system whose rename fails where
-    the target exists. A version is a small file that names the folders of every
+    the target exists. A version is a small file that names the segments of every
     table; a change of several tables is one version, so readers see all of it or
-    nothing. A table may be dealt to buckets by a column; a change writes only the
-    buckets that it touches."""
+    nothing.
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, StructType], by: dict[str, str]):
-        self.spark, self.root, self.schemas, self.by = spark, root.rstrip("/"), schemas, by
+    A change appends segments and writes no more than itself; :meth:`compact`
+    merges segments at the end of a table so that each is larger than a share of
+    what follows, which rewrites a row a logarithmic number of times.
+
+    A change is computed from a snapshot and committed with it: where one of its
+    tables, or of the tables it read, has changed since, it is refused as a
+    :class:`Conflict`; where others have, it is put on top of them."""
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, StructType]):
+        self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
         self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path("").getFileSystem(self._conf)
 
     def _path(self, below: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{below}" if below else self.root)
 
-    def _names(self, below: str) -> list[str]:
-        at = self._path(below)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
-
-    def version(self, back: int = 0) -> tuple[int, dict[str, dict[str, str]]]:
-        """Number and folders (table -> bucket -> folder) of the latest version, or
-        of one ``back`` from it; 0 before the first."""
-        names = [n for n in self._names("versions") if n.endswith(".json")]
-        if len(names) <= back:
-            return 0, {}
-        name = names[-1 - back]
-        text = self.spark.read.text(f"{self.root}/versions/{name}", wholetext=True).first()[0]
-        return int(name[:-5]), json.loads(text)
-
-    def bucket(self, table: str):
-        return F.pmod(F.xxhash64(self.by[table]), F.lit(BUCKETS))
-
-    def read(self, table: str, buckets: set[str] | None = None) -> DataFrame:
-        """The latest rows of a table, or of some of its buckets."""
-        held = self.version()[1].get(table, {})
-        paths = [f"{self.root}/{p}" for b, p in sorted(held.items()) if buckets is None or b in buckets]
-        if not paths:
-            return self.spark.createDataFrame([], self.schemas[table])
-        return self.spark.read.schema(self.schemas[table]).parquet(*paths)
-
-    def stage(self, table: str, rows: DataFrame) -> dict[str, str]:
-        """Writes rows beside the table; (bucket -> folder), for :meth:`commit`."""
-        folder = f"{table}/{uuid.uuid4().hex[:12]}"
-        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schemas[table]])
-        if table not in self.by:
-            rows.write.parquet(f"{self.root}/{folder}")
-            return {"all": folder}
-        dealt = rows.withColumn("bucket", self.bucket(table))
-        dealt.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
-        return {n.split("=")[1]: f"{folder}/{n}" for n in self._names(folder) if "=" in n}
-
-    def commit(self, changes: dict[str, dict[str, str]]) -> int:
-        """Makes the given folders those of their tables, all at once; fails if
-        another writer has committed meanwhile."""
-        base, held = self.version()
-        new = held | changes
-        aside, final = self._path(f"versions/.{uuid.uuid4().hex}"), self._path(f"versions/{base + 1:010d}.json")
+    def _numbers(self) -> list[int]:
+        at = self._path("versions")
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def snapshot(self, number: int | None = None) -> Snapshot:
+        """The latest version, or the one of that number."""
+        if number is None:
+            number = max(self._numbers(), default=0)
+        if not number:
+            return Snapshot(0, {})
+        text = self.spark.read.text(f"{self.root}/versions/{number:010d}.json", wholetext=True).first()[0]
+        return Snapshot(number, json.loads(text))
+
+    def read(self, table: str, at: Snapshot | None = None) -> DataFrame:
+        """The rows of a table in the latest version, or in a given one."""
+        return self._merged(table, (at or self.snapshot()).segments(table))
+
+    def _merged(self, table: str, segments: list[dict]) -> DataFrame:
+        schema = self.schemas[table]
+        if not segments:
+            return self.spark.createDataFrame([], schema)
+
+        def folder(path: str, kind: StructType) -> DataFrame:
+            return self.spark.read.schema(kind).parquet(f"{self.root}/{path}")
+
+        taken: dict[tuple[str, ...], list[DataFrame]] = {}
+        for k, s in enumerate(segments):
+            for path, on in s["keys"] if k else ():
+                taken.setdefault(tuple(on), []).append(folder(path, StructType([schema[c] for c in on])).withColumn("_last", F.lit(k)))
+        if not taken:
+            return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s['rows']}" for s in segments])
+        rows = reduce(DataFrame.unionByName, [folder(s["rows"], schema).withColumn("_seq", F.lit(k)) for k, s in enumerate(segments)])
+        for on, found in taken.items():
+            last = reduce(DataFrame.unionByName, found).groupBy(*on).agg(F.max("_last").alias("_last"))
+            rows = rows.join(last, list(on), "left").filter("_last is null or _seq >= _last").drop("_last")
+        return rows.select(*schema.names)
+
+    def stage(self, table: str, rows: DataFrame, names: list[str] | None = None) -> str:
+        """Writes rows, or the given columns of them, beside the table."""
+        path = f"{table}/{uuid.uuid4().hex[:12]}"
+        fields = [f for f in self.schemas[table] if names is None or f.name in names]
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.parquet(f"{self.root}/{path}")
+        return path
+
+    def segment(self, table: str, rows: DataFrame) -> dict:
+        """A staged segment that takes nothing back."""
+        path = self.stage(table, rows)
+        return {"rows": path, "n": self.spark.read.parquet(f"{self.root}/{path}").count(), "keys": []}
+
+    def taking_back(self, table: str, segment: dict, keys: DataFrame, on: list[str]) -> dict:
+        """The segment, taking back older rows of the given keys, if there are any."""
+        return segment if keys.isEmpty() else segment | {"keys": [[self.stage(table, keys, on), on]]}
+
+    def commit(self, base: Snapshot, changes: dict[str, list[dict]], reads: Iterable[str] = ()) -> Snapshot:
+        """Makes the given segments those of their tables, all at once; they were
+        computed from ``base``. Refused where any of these tables or of ``reads``
+        is another than in ``base``."""
+        while True:
+            now = self.snapshot()
+            for table in {*changes, *reads}:
+                if now.segments(table) != base.segments(table):
+                    raise Conflict(f"{table} changed between versions {base.number} and {now.number}")
+            new = Snapshot(now.number + 1, now.tables | changes)
+            if self._published(new):
+                self._forget()
+                return new
+
+    def _published(self, new: Snapshot) -> bool:
+        """Whether the version is there by this writer's doing."""
+        aside, final = self._path(f"versions/.{uuid.uuid4().hex}"), self._path(f"versions/{new.number:010d}.json")
         self._fs.mkdirs(self._path("versions"))
         out = self._fs.create(aside, True)
-        out.write(bytearray(json.dumps(new).encode()))
+        out.write(bytearray(json.dumps(new.tables).encode()))
         out.close()
         none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(aside, final, none)
-        older = self.version(2)  # the version before stays for readers under way
-        if older[0]:
-            live = {p for back in (0, 1) for t in self.version(back)[1].values() for p in t.values()}
-            for path in {p for t in older[1].values() for p in t.values()} - live:
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(aside, final, none)
+        except Py4JJavaError as e:
+            self._fs.delete(aside, False)
+            if "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+            return False
+        return True
+
+    def _forget(self) -> None:
+        """Drops versions beyond the last few and the folders that only they name.
+        What is staged and not committed is in no version, so it stays."""
+        numbers = self._numbers()
+        old, kept = numbers[:-VERSIONS], numbers[-VERSIONS:]
+
+        def folders(number: int) -> set[str]:
+            held = [s for t in self.snapshot(number).tables.values() for s in t]
+            return {s["rows"] for s in held} | {k for s in held for k, _ in s["keys"]}
+
+        live = set().union(*map(folders, kept)) if old else set()
+        for number in old:
+            for path in folders(number) - live:
                 self._fs.delete(self._path(path), True)
-            self._fs.delete(self._path(f"versions/{older[0]:010d}.json"), False)
-        return base + 1
+            self._fs.delete(self._path(f"versions/{number:010d}.json"), False)
+
+    def changed(self, make: Callable[[Snapshot], dict[str, list[dict]]], reads: Iterable[str] = ()) -> Snapshot:
+        """Commits what ``make`` computes from the latest version, computing it anew
+        where another writer came first."""
+        for last in range(ATTEMPTS):
+            base = self.snapshot()
+            try:
+                return self.commit(base, make(base), reads)
+            except Conflict:
+                if last == ATTEMPTS - 1:
+                    raise
+        raise AssertionError
+
+    def compact(self, table: str) -> bool:
+        """Merges segments at the end of a table that has many; whether it did. A
+        change that comes meanwhile goes before: the merge is then left to the
+        next time."""
+        base = self.snapshot()
+        held = base.segments(table)
+        first, total = len(held) - 1, held[-1]["n"] if held else 0
+        while first > 0 and held[first - 1]["n"] <= TIER * total:
+            first -= 1
+            total += held[first]["n"]
+        if len(held) < SEGMENTS or len(held) - first < 2:
+            return False
+        merged = self.segment(table, self._merged(table, held[first:]))
+        if first:
+            merged["keys"] = [k for s in held[first:] for k in s["keys"]]
+        try:
+            self.commit(base, {table: [*held[:first], merged]})
+        except Conflict:
+            return False
+        return True
 
 
 class LedgerTable(Table):
-    """A table of a ledger, changed by itself."""
+    """A table of a ledger, changed by itself. Every change is computed from the
+    version it is committed on, so two writers lose nothing to each other."""
 
     def __init__(self, ledger: Ledger, name: str, keys: list[str]):
         self.ledger, self.name, self.keys = ledger, name, keys
@@ -169,6 +281,39 @@ class LedgerTable(Table):
     def read(self) -> DataFrame:
         return self.ledger.read(self.name)
 
-    def overwrite(self, rows: DataFrame) -> DataFrame:
-        self.ledger.commit({self.name: self.ledger.stage(self.name, rows)})
+    def overwrite(self, rows: DataFrame, base: Snapshot | None = None) -> DataFrame:
+        """``rows`` instead of the table; refused if they were computed from ``base``
+        and the table has changed since."""
+        made = [self.ledger.segment(self.name, rows)]
+        if base is not None:
+            self.ledger.commit(base, {self.name: made})
+        else:
+            self.ledger.changed(lambda now: {self.name: made})
+        return self.read()
+
+    def ignore(self, rows: DataFrame) -> dict[str, int]:
+        """INSERT OR IGNORE; returns how many rows went in and how many not."""
+        offered = rows.select(*self.schema.names).dropDuplicates(self.keys).persist()
+        put = {}
+
+        def made(now: Snapshot) -> dict[str, list[dict]]:
+            put["segment"] = self.ledger.segment(self.name, missing(offered, self.ledger.read(self.name, now), self.keys))
+            return {self.name: [*now.segments(self.name), put["segment"]]}
+
+        self.ledger.changed(made)
+        offered.unpersist()
+        self.ledger.compact(self.name)
+        return {"inserted": put["segment"]["n"], "skipped": rows.count() - put["segment"]["n"]}
+
+    def replace(self, rows: DataFrame) -> DataFrame:
+        """INSERT OR REPLACE."""
+        made = self.ledger.segment(self.name, rows.dropDuplicates(self.keys))
+        new = self.spark.read.schema(self.schema).parquet(f"{self.ledger.root}/{made['rows']}").select(*self.keys)
+
+        def changes(now: Snapshot) -> dict[str, list[dict]]:
+            held = new.join(self.ledger.read(self.name, now).select(*self.keys), self.keys, "left_semi")
+            return {self.name: [*now.segments(self.name), self.ledger.taking_back(self.name, made, held, self.keys)]}
+
+        self.ledger.changed(changes)
+        self.ledger.compact(self.name)
         return self.read()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.state import Ledger, LedgerTable, insert_replace
+from ..operators.state import Ledger, LedgerTable, Snapshot
 from ..schemas import RULES, SCHEMAS
 from ..sources import run_folders
 
@@ -21,7 +21,7 @@ class Store:
     root: str
 
     def __post_init__(self):
-        self.ledger = Ledger(self.spark, self.root, SCHEMAS, {"test_results": "run_id"})
+        self.ledger = Ledger(self.spark, self.root, SCHEMAS)
 
     def table(self, name: str) -> LedgerTable:
         return LedgerTable(self.ledger, name, list(RULES[name].key))
@@ -29,26 +29,28 @@ class Store:
 
 def load(store: Store, parsed: run_folders.ParsedRuns) -> dict[str, int]:
     """Loads whole runs: a run's rows replace its former ones, and the log says
-    success or error. All three tables change in one version, and of the results
-    only the buckets of these runs are written."""
+    success or error. All three tables change in one version. Written are the
+    rows of these runs and, of those that had been loaded before, the ids, by which
+    readers pass over the former rows; what is stored is read for the log's ids
+    alone. Where another writer comes first, the ids are looked up again."""
     runs, results, errors = (t.persist() for t in (parsed.runs, parsed.results, parsed.errors))
     log = runs.select("run_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error_msg")).unionByName(errors.select("run_id", F.lit("error").alias("status"), "error_msg"))
     log = log.withColumn("ingested_at", F.current_timestamp())
-    ledger = store.ledger
-    touched = {str(r[0]) for r in runs.select(ledger.bucket("test_results")).distinct().collect()}  # at most BUCKETS
-    old = ledger.read("test_results", touched).join(runs.select("run_id"), "run_id", "left_anti")
-    kept = {b: p for b, p in ledger.version()[1].get("test_results", {}).items() if b not in touched}
-    ledger.commit(
-        {
-            "test_results": kept | ledger.stage("test_results", old.unionByName(results)),
-            "runs": ledger.stage("runs", insert_replace(ledger.read("runs"), runs, ["run_id"])),
-            "ingestion_log": ledger.stage("ingestion_log", insert_replace(ledger.read("ingestion_log"), log, ["run_id"])),
-        }
-    )
-    n = {"runs": runs.count(), "results": results.count(), "errors": errors.count()}
+    ledger, on = store.ledger, ["run_id"]
+    staged = {name: ledger.segment(name, rows) for name, rows in (("runs", runs), ("test_results", results), ("ingestion_log", log))}
+    loaded = {name: log.select(*on) if name == "ingestion_log" else runs.select(*on) for name in staged}
+
+    def changes(now: Snapshot) -> dict[str, list[dict]]:
+        known = ledger.read("ingestion_log", now).select(*on)
+        again = {name: ids.join(known, on, "left_semi") for name, ids in loaded.items()}
+        return {name: [*now.segments(name), ledger.taking_back(name, staged[name], again[name], on)] for name in staged}
+
+    ledger.changed(changes)
+    for name in staged:
+        ledger.compact(name)
     for t in (runs, results, errors):
         t.unpersist()
-    return n
+    return {"runs": staged["runs"]["n"], "results": staged["test_results"]["n"], "errors": staged["ingestion_log"]["n"] - staged["runs"]["n"]}
 
 
 def ingest(store: Store, root: str, force: bool = False) -> dict[str, int]:

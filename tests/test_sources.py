@@ -254,39 +254,6 @@ def test_only_missing_and_changed_texts_are_embedded(spark):
     assert again["e4"] == [5.0, 1.0] and "bad" not in again and len(again) == 11
 
 
-# --- state ------------------------------------------------------------------------
-
-
-def test_a_run_rewrites_one_bucket_and_all_tables_or_none(spark, tmp_path, monkeypatch):
-    import pytest
-
-    root = tmp_path / "runs"
-    last = synth.write_folders(str(root), synth.Plan(runs=5))[-1]
-    (root / last).rename(tmp_path / last)
-    store = ingest.Store(spark, str(tmp_path / "store"))
-    ingest.ingest(store, str(root))
-    before = store.ledger.version()
-    (tmp_path / last).rename(root / last)
-    commit = state.Ledger.commit
-    monkeypatch.setattr(state.Ledger, "commit", lambda self, changes: 1 / 0)
-    with pytest.raises(ZeroDivisionError):  # all is staged, nothing is committed
-        ingest.ingest(store, str(root))
-    assert store.ledger.version() == before and store.table("test_results").read().count() == 80
-    assert store.table("runs").read().count() == store.table("ingestion_log").read().count() == 4
-    monkeypatch.setattr(state.Ledger, "commit", commit)
-    assert ingest.ingest(store, str(root))["runs"] == 1
-    after = store.ledger.version()
-    old, new = before[1]["test_results"], after[1]["test_results"]
-    assert after[0] == before[0] + 1 and len([b for b in new if new[b] != old.get(b)]) == 1 and set(old) <= set(new)
-    assert store.table("test_results").read().groupBy("run_id").count().filter("count = 20").count() == 5
-    other = ingest.Store(spark, str(tmp_path / "store"))
-    stale = other.ledger.version
-    monkeypatch.setattr(other.ledger, "version", lambda back=0: before if not back else stale(back))
-    with pytest.raises(Exception):  # another writer has committed this version
-        other.table("runs").overwrite(store.table("runs").read())
-    assert store.table("runs").read().count() == 5
-
-
 # --- the search as a data source ------------------------------------------------------
 
 
