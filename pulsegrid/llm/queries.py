@@ -32,7 +32,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.sharded(_table(spark, sf_dir, "documents"))
+    """The documents in four arrivals of unlike sizes, compacted as they come."""
+    out = sharding.sharded(_table(spark, sf_dir, "documents"), arrivals=4)
     return out.select("doc_id", "n_chars", "shard", "shard_row")
 
 

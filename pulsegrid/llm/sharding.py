@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
@@ -30,6 +31,8 @@ from .shared import drop, new_path
 
 TARGET_BYTES = 128 << 20
 FANOUT = 4
+#: Versions that a vacuum leaves, for readers under way.
+KEEP = 2
 #: Changes of other writers that one commit is put on top of before it gives up.
 RETRIES = 20
 _SMALLEST = 1 << 16
@@ -165,18 +168,23 @@ class ShardStore:
                 if not self._change(schema, swap):  # another writer has merged them
                     drop(self.spark, f"{self.root}/{new.path}")
 
-    def vacuum(self) -> None:
-        """Deletes the folders and manifests that the latest version no longer
-        needs."""
-        v, _, runs = self.manifest()
-        live = {r.path for r in runs}
-        for s in self._fs.listStatus(self._path("")):
-            name = s.getPath().getName()
-            if name != "manifests" and name not in live:
-                drop(self.spark, f"{self.root}/{name}")
-        for s in self._fs.listStatus(self._path("manifests")):
-            if s.getPath().getName() != f"v{v:010d}.json":
-                self._fs.delete(s.getPath(), False)
+    def vacuum(self, keep: int = KEEP, least_age_s: float = 0.0) -> None:
+        """Deletes manifests beyond the last ``keep`` that are at least that old, and
+        the folders that only they name. A folder that no manifest names may be an
+        arrival that is not yet committed, so it stays."""
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("manifests")))
+        versions = [int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")]
+        now = time.time()
+
+        def age(v: int) -> float:
+            return now - self._fs.getFileStatus(self._path(f"manifests/v{v:010d}.json")).getModificationTime() / 1000
+
+        old = [v for v in versions[:-keep] if age(v) >= least_age_s]
+        live = {r.path for v in versions if v not in set(old) for r in self.manifest(v)[2]} if old else set()
+        for v in old:
+            for path in {r.path for r in self.manifest(v)[2]} - live:
+                drop(self.spark, f"{self.root}/{path}")
+            self._fs.delete(self._path(f"manifests/v{v:010d}.json"), False)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version with columns shard and shard_row added."""
@@ -195,18 +203,25 @@ class ShardStore:
         )
 
 
-def sharded(docs: DataFrame, target_bytes: int = TARGET_BYTES, destination: str | None = None) -> DataFrame:
+def sharded(docs: DataFrame, target_bytes: int = TARGET_BYTES, destination: str | None = None, arrivals: int = 1) -> DataFrame:
     """Appends ``docs`` to a store, compacts it and reads the committed version
     back: its rows with shard and shard_row. The store is the one at
     ``destination``, which is made where there is none and keeps what arrived
-    before; without one, it is new and lasts as long as the session.
+    before; without one, it is new and lasts as long as the session. With several
+    ``arrivals``, the rows come in that many, each half as large as the one
+    before it and compacted as it comes.
 
     Every row is kept as it is, nulls, empty and long texts and repeated rows
     included; a column that is itself called shard or shard_row gives way to the
     placement; an empty table makes a store of no rows.
     """
     store = ShardStore(docs.sparkSession, destination or new_path(docs.sparkSession, "shards"), target_bytes)
-    store.append(docs)
-    store.compact()
-    store.vacuum()
+    # leading zero bits of a row's hash: half of the rows have none, a quarter one
+    h = F.xxhash64(docs["doc_id"], docs["text"]).bitwiseAND(F.lit((1 << (arrivals - 1)) - 1))
+    for k in range(arrivals):
+        low, high = (1 << (arrivals - 1)) >> (k + 1), (1 << (arrivals - 1)) >> k
+        store.append(docs if arrivals == 1 else docs.filter((h >= low) & (h < high) if low else h == 0))
+        store.compact()
+    # nobody else reads a store that is this session's own
+    store.vacuum(KEEP if destination else 1)
     return store.read()

@@ -314,12 +314,41 @@ def test_store(spark, corpus):
     v, _, after = store.manifest()
     assert v > 3 and len(after) < len(before) and not store.plan(after)
     assert store.read(3).count() == corpus.count()  # old versions stay until the vacuum
-    store.vacuum()
+    store.vacuum(1)
     got = store.read()
     assert got.select(*corpus.columns).exceptAll(corpus).count() == 0 and got.count() == corpus.count()
     assert got.select("shard", "shard_row").distinct().count() == corpus.count()
 
 
+def test_vacuum_leaves_pending_arrivals_and_readers(spark, corpus):
+    """A writer that has written its run and not yet committed it keeps it, and a
+    reader of the version before still reads."""
+    path = shared.new_path(spark, "store")
+    store, other = sharding.ShardStore(spark, path, 60_000), sharding.ShardStore(spark, path)
+    store.append(corpus, 9)
+    pending = other._write(corpus, "arrival")
+    store.compact()
+    reader = store.read(store.version() - 1)
+    store.vacuum()
+    assert reader.count() == corpus.count() and store.version() > 2
+    other._change(corpus.schema, lambda runs: [*runs, pending])
+    assert store.read().count() == 2 * corpus.count()
+    held = {r.path for v in (0, 1) for r in store.manifest(store.version() - v)[2]}
+    store.vacuum(1)
+    assert store.read().count() == 2 * corpus.count()
+    store.vacuum(1, least_age_s=3600.0)  # too young to go
+    left = {s.getPath().getName() for s in store._fs.listStatus(store._path(""))} - {"manifests"}
+    assert {r.path for r in store.manifest()[2]} <= left <= held
+
+
+def test_arrivals_of_unlike_sizes(spark, corpus, sf):
+    got = queries.op4_sharding(spark, sf)
+    assert got.select("doc_id").exceptAll(corpus.select("doc_id")).count() == 0 and got.count() == corpus.count()
+    assert got.select("shard", "shard_row").distinct().count() == corpus.count()
+    nulls = docs_of(spark, [(None, None)] * 9 + [(k, "x" * k) for k in range(60)])
+    assert sharding.sharded(nulls, arrivals=3).count() == 69
+
+
 def test_commits_do_not_overwrite(spark, corpus):
     store = sharding.ShardStore(spark, shared.new_path(spark, "store"))
     store.append(corpus)
