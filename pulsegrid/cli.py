@@ -5,12 +5,13 @@ from __future__ import annotations
 import argparse
 import json
 import os
+from functools import partial
 
 from pyspark.sql import functions as F
 
 from .operators import mapping, models, tests, writeback
 from .session import build
-from .sources import jira, synth
+from .sources import issue_source, jira, synth
 from .streaming.ingest import Store, ingest
 
 
@@ -59,6 +60,10 @@ def _transport() -> jira.Transport:
     return jira.http_transport(os.environ["JIRA_BASE_URL"], os.environ["JIRA_EMAIL"], os.environ["JIRA_TOKEN"])
 
 
+def _client(*address: str) -> jira.Client:
+    return jira.Client(jira.http_transport(*address))
+
+
 def frames(store: Store):
     """The stored tables in the shape that the operators take."""
     run = store.table("runs").read().withColumn("_source_db", F.lit("store"))
@@ -87,7 +92,9 @@ def main(argv: list[str] | None = None) -> int:
         client = jira.Client(_transport())
         if a.test_connection:
             return 0 if client.test_connection() else 1
-        rows = jira.fetch(spark, client, jira.jql(a.project, a.extra_jql, a.since_days)).withColumn("ingested_at", F.current_timestamp())
+        # the workers fetch the pages; they get the address and token, not the environment
+        connect = partial(_client, os.environ["JIRA_BASE_URL"], os.environ["JIRA_EMAIL"], os.environ["JIRA_TOKEN"])
+        rows = issue_source.read_issues(spark, connect, jira.jql(a.project, a.extra_jql, a.since_days)).withColumn("ingested_at", F.current_timestamp())
         print(json.dumps({"stored": store.table("jira_defects").replace(rows).count()}))
     elif a.command == "sync":
         maps = store.table("defect_test_mappings").read()

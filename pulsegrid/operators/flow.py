@@ -60,7 +60,20 @@ def wide_matrix(results: DataFrame, run_ids: list[str], value: str = "status") -
 
 
 def run_order(results: DataFrame) -> DataFrame:
-    return results.select("run_id", "run_timestamp").distinct()
+    """The runs in order of time, then of the number that ends their id."""
+    return in_order(results.select("run_id", "run_timestamp").distinct(), ["run_timestamp", "run_id"])
+
+
+def in_order(frame: DataFrame, by: list[str]) -> DataFrame:
+    """Sorted by the given columns; run ids go by the number that ends them, then
+    by name. A column that the frame lacks gives way to timestamp, then run_id."""
+    chosen: list[str] = []
+    for c in by:
+        given = next((x for x in (c, "timestamp", "run_id") if x in frame.columns and x not in chosen), None)
+        if given:
+            chosen.append(given)
+    keys = [k for c in chosen for k in ([F.asc_nulls_last(text.build_suffix(c)), F.asc_nulls_last(c)] if c == "run_id" else [F.asc_nulls_last(c)])]
+    return frame.orderBy(*keys) if keys else frame
 
 
 def crosstab(frame: DataFrame, rows: str, columns: str, values: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -272,15 +272,26 @@ def truncated_svd(points: DataFrame, vector: str, n: int = 2) -> DataFrame:
 # --- duration regression ---------------------------------------------------------
 
 
+DURATION_HISTORY = ["expanding_mean", "rolling_mean_5", "rolling_std_5", "prev_duration"]
+
+
+def fit_durations(data: DataFrame, train: DataFrame) -> PipelineModel:
+    """Log duration on the build, a test's history and the test itself, one sparse
+    0/1 column for each test of ``data`` but the first by name; the encoders are
+    saved with the regression. Scoring drops rows of tests that they do not know."""
+    number = StringIndexer(inputCol="test_name", outputCol="_test", stringOrderType="alphabetDesc", handleInvalid="skip").fit(data)
+    encoded = OneHotEncoder(inputCol="_test", outputCol="_tests", dropLast=True).fit(number.transform(data))
+    x = VectorAssembler(inputCols=["build_no", *DURATION_HISTORY, "_tests"], outputCol="x")
+    known = x.transform(encoded.transform(number.transform(train)))
+    return PipelineModel(stages=[number, encoded, x, LinearRegression(featuresCol="x", labelCol="log_duration", maxIter=300, tol=1e-9).fit(known)])
+
+
 def log_linear_durations(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with predicted_duration_s, one row of MAE and R²): linear regression
     of the log duration on a test's history, four fifths by hash for training."""
-    data = tests.regression_features(results).na.drop(subset=["expanding_mean", "rolling_mean_5", "rolling_std_5", "prev_duration"])
-    names = [r[0] for r in results.select("test_name").distinct().collect()]  # a catalogue
-    data = stats.one_hot(data, "test_name", names)
-    columns = ["build_no", "expanding_mean", "rolling_mean_5", "rolling_std_5", "prev_duration", *[f"test_name_{v}" for v in sorted(names)[1:]]]
-    data = VectorAssembler(inputCols=columns, outputCol="x").transform(data).withColumn("train", F.pmod(F.xxhash64("test_name", "run_id"), F.lit(5)) > 0)
-    model = LinearRegression(featuresCol="x", labelCol="log_duration").fit(data.filter("train"))
+    data = tests.regression_features(results).na.drop(subset=DURATION_HISTORY)
+    data = data.withColumn("train", F.pmod(F.xxhash64("test_name", "run_id"), F.lit(5)) > 0)
+    model = fit_durations(data, data.filter("train"))
     out = model.transform(data).withColumn("predicted_duration_s", F.exp("prediction"))
     held = out.filter("not train")
     mean = F.broadcast(held.agg(F.avg("duration_s").alias("mean")))
@@ -360,7 +371,7 @@ def isolation_flags(features: DataFrame, contamination: float = 0.05, seed: int
             yield pd.DataFrame({"run_id": b["run_id"], "s": forest.value.score(b[list(columns)].to_numpy(float))})
 
     scored = data.mapInPandas(run, "run_id string, s double")
-    offset = F.broadcast(scored.agg(F.percentile("s", F.lit(contamination)).alias("offset")))
+    offset = F.broadcast(stats.quantiles(scored, "s", {"offset": contamination}))
     out = scored.crossJoin(offset)  # one row
     return out.select("run_id", F.bround(F.col("s") - F.col("offset"), 3).alias("anomaly_score"), (F.col("s") < F.col("offset")).alias("if_anomaly"))
 

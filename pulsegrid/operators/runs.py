@@ -167,6 +167,19 @@ def run_verdicts(runs_with_z: DataFrame, forest: DataFrame) -> DataFrame:
     )
 
 
+def anomaly_table(verdicts: DataFrame) -> DataFrame:
+    """The flagged runs as the dashboard lists them, flags as Yes or No, the lowest
+    pass rate first."""
+    def said(c: str) -> Column:
+        return F.when(F.col(c), "Yes").otherwise("No")
+
+    shown = verdicts.filter("is_anomalous").select(
+        "run_id", "build_no", "pass_rate_pct", "detection_method", "severity",
+        said("anomaly").alias("z_score_flag"), said("if_anomaly").alias("forest_flag"), said("flagged_by_both").alias("both"),
+    )
+    return shown.orderBy("pass_rate_pct", "build_no", "run_id")
+
+
 def expectations(runs: DataFrame, results: DataFrame, per_run: int) -> DataFrame:
     """Load counts and whether they are as expected."""
     a = runs.agg(F.count("*").alias("n_runs"), F.countDistinct("run_id").alias("distinct_runs"), F.min("timestamp").alias("first_run"), F.max("timestamp").alias("last_run"))

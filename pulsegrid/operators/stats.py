@@ -21,6 +21,53 @@ def percentiles(frame: DataFrame, column: str, keys: list[str], at: tuple[float,
     return frame.groupBy(*keys).agg(*[F.percentile(column, F.lit(p)).alias(f"p{round(p * 100)}") for p in at])
 
 
+#: Rows in this many that a quantile's bracket may hold, about, by the accuracy of
+#: the sketch that finds it.
+BRACKET = 100_000
+
+
+def quantiles(frame: DataFrame, column: str, at: dict[str, float]) -> DataFrame:
+    """One row of exact, linearly interpolated quantiles of a whole column (name ->
+    share), without its values in one task: a sketch brackets each rank to within
+    a few in BRACKET rows, one pass counts what is below the brackets and the
+    values inside by value, and the rank is picked from these counts. Null where
+    there are no values."""
+    x = F.col(column).cast("double")
+    given = frame.select(x.alias("x")).filter("x is not null")
+    shares = [min(1.0, max(0.0, p + d / BRACKET)) for p in at.values() for d in (-4, 4)]
+    ends = given.agg(F.percentile_approx("x", shares, BRACKET).alias("e"), F.count("*").alias("n"))
+    t = given.crossJoin(F.broadcast(ends))  # one row
+    out = None
+    for k, (name, p) in enumerate(at.items()):
+        # few rows, and the ends at 0 and 1, need no bracket
+        few = F.col("n") <= BRACKET
+        low = F.when(few | F.lit(shares[2 * k] == 0), float("-inf")).otherwise(F.get("e", F.lit(2 * k)))
+        high = F.when(few | F.lit(shares[2 * k + 1] == 1), float("inf")).otherwise(F.get("e", F.lit(2 * k + 1)))
+        held = t.select("n", F.when(F.col("x") < low, -1).when(F.col("x") > high, 1).otherwise(0).alias("side"), "x")
+        counts = held.groupBy("side", F.when(F.col("side") == 0, F.col("x")).alias("x")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+        one = counts.agg(
+            F.max("n").alias("n"), F.coalesce(F.sum(F.when(F.col("side") == -1, F.col("c"))), F.lit(0)).alias("below"),
+            F.sort_array(F.collect_list(F.when(F.col("side") == 0, F.struct("x", "c")))).alias("inside"),
+        ).withColumn("r", F.lit(p) * (F.col("n") - 1))
+
+        def picked(rank: Column) -> Column:
+            start = F.struct((rank - F.col("below")).cast("long").alias("left"), F.lit(None).cast("double").alias("v"))
+
+            def step(a: Column, v: Column) -> Column:
+                hit = a["v"].isNull() & (a["left"] >= 0) & (a["left"] < v["c"])
+                return F.struct((a["left"] - v["c"]).alias("left"), F.when(hit, v["x"]).otherwise(a["v"]).alias("v"))
+
+            found = F.aggregate("inside", start, step)["v"]
+            return F.when(F.col("n").isNotNull(), F.coalesce(found, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")))
+
+        low_rank = F.floor("r")
+        share = F.col("r") - low_rank
+        value = picked(low_rank) * (1 - share) + picked(F.ceil("r")) * share
+        one = one.select(value.alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out
+
+
 def histogram(frame: DataFrame, column: str, bins: int) -> DataFrame:
     """(bin, n), bins of equal width from the least to the largest value, which
     falls into the last."""

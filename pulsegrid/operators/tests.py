@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from . import stats
 
 GROUP = ("_source_db", "test_name")
 HISTORY, WINDOW = 10, 20
@@ -139,7 +140,7 @@ def flakiness_features(results: DataFrame, keys: tuple[str, ...] = GROUP, labell
         text.tag_at("tags", 1).alias("feature_tag"), text.tag_at("tags", 2).alias("priority_tag"),
         F.col("next_bad").alias("target"),
     )
-    medians = F.broadcast(t.agg(F.median("avg_dur_pass_5").alias("mp"), F.median("avg_dur_fail_5").alias("mf")))
+    medians = F.broadcast(stats.quantiles(t, "avg_dur_pass_5", {"mp": 0.5}).crossJoin(stats.quantiles(t, "avg_dur_fail_5", {"mf": 0.5})))
     filled = {"avg_dur_pass_5": F.coalesce("avg_dur_pass_5", "mp"), "avg_dur_fail_5": F.coalesce("avg_dur_fail_5", "mf")}
     return t.crossJoin(medians).withColumns(filled).drop("mp", "mf")  # medians are one row
 
@@ -157,6 +158,18 @@ def regression_features(results: DataFrame) -> DataFrame:
     )
 
 
+def duration_model_input(features: DataFrame, durations: DataFrame) -> DataFrame:
+    """Test features with the duration features of the same test and build, one
+    row of these each; missing ones take the column's median."""
+    columns = ["expanding_mean", "rolling_mean_5", "rolling_std_5", "prev_duration"]
+    w = Window.partitionBy(*GROUP, "build_no").orderBy("run_id")
+    one = durations.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*GROUP, "build_no", *columns)
+    out = features.join(one, [*GROUP, "build_no"], "left")
+    for c in columns:
+        out = out.crossJoin(F.broadcast(stats.quantiles(durations, c, {"_m": 0.5}))).withColumn(c, F.coalesce(c, "_m")).drop("_m")  # one row
+    return out
+
+
 # --- drift ------------------------------------------------------------------
 
 
@@ -265,7 +278,7 @@ def risk_scores(predictions: DataFrame, report: DataFrame, durations: DataFrame)
     (``durations``: test_name, predicted_duration_s); tiers by quartiles."""
     t = predictions.join(report.select("test_name", "percent_increase"), "test_name", "left").join(durations, "test_name", "left")
     t = t.withColumn("risk_score", F.col("failure_probability") * (1 + F.coalesce("percent_increase", F.lit(0.0)) / 100) / F.nullif("predicted_duration_s", F.lit(0.0)))
-    cut = F.broadcast(t.agg(F.percentile("risk_score", F.lit(0.75)).alias("hi"), F.percentile("risk_score", F.lit(0.25)).alias("lo")))
+    cut = F.broadcast(stats.quantiles(t, "risk_score", {"hi": 0.75, "lo": 0.25}))
     tier = F.when(F.col("risk_score") >= F.col("hi"), "High").when(F.col("risk_score") >= F.col("lo"), "Medium").otherwise("Low")
     return t.crossJoin(cut).withColumn("tier", tier).select("test_name", "risk_score", "tier")  # cut is one row
 

@@ -417,6 +417,43 @@ def run_order(fr):
     return flow.run_order(fr.results)
 
 
+@query
+def runs_by_number(fr):
+    """The worst runs first, ties by the number that ends the run's id."""
+    return flow.in_order(fr.runs.select("run_id", "pass_rate_pct"), ["pass_rate_pct", "run_id"])
+
+
+@query
+def drift_ranking(fr):
+    t = tests.drift_report(drifting(fr.results)).select("test_name", "percent_increase", "model_confidence")
+    return t.orderBy(F.desc("percent_increase"), F.desc("model_confidence"), "test_name")
+
+
+@query
+def flakiness_ranking(fr):
+    t = stand_in_scores(fr).select("test_name", "failure_probability", "flip_count")
+    return t.orderBy(F.desc("failure_probability"), F.desc("flip_count"), "test_name")
+
+
+@query
+def anomaly_table(fr):
+    forest = fr.runs.select("run_id", (F.col("build_no") % 7 == 0).alias("if_anomaly"), F.lit(0.0).alias("anomaly_score"))
+    return runs.anomaly_table(runs.run_verdicts(runs.with_rolling_z(fr.runs), forest))
+
+
+@query
+def duration_model_input(fr):
+    """Every result with the duration history of its test and build."""
+    t = tests.duration_model_input(fr.results.select("test_name", "_source_db", "build_no", "status"), tests.regression_features(fr.results))
+    return rounded(t, "expanding_mean", "rolling_mean_5", "rolling_std_5", "prev_duration").drop("_source_db")
+
+
+@query
+def duration_quantiles(fr):
+    """Of all results at once, not by test."""
+    return rounded(stats.quantiles(fr.results, "duration_s", {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}), "p05", "p50", "p95", "p100")
+
+
 @query
 def wide_trends(fr):
     t = flow.failures(fr.results).withColumn("category", rules.classify_dashboard(F.col("failure_msg"), F.col("failure_kw")))
@@ -708,7 +745,7 @@ def truncated_svd(fr):
     return models.truncated_svd(fr.vectors, "vector").select("vec_id", "svd_1", "svd_2", "explained")
 
 
-@rows_only
+@query
 def root_cause_hints(fr):
     t = flow.failures(fr.results).withColumn("category", rules.classify_dashboard(F.col("failure_msg"), F.col("failure_kw")))
     return flow.root_cause_hints(flow.trends(t))

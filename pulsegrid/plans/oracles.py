@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import rules, text
+from ..operators import flow
 from ..sources import adapter
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
@@ -183,11 +186,14 @@ oracle("sankey_nodes", ", " + _NODES + """ SELECT node, level, label, CASE label
 oracle("sankey_edges", f", {_NODES}, {_EDGES} SELECT a.node AS source_node, b.node AS target_node, value FROM edges JOIN nodes a ON a.level = edges.level AND a.label = source JOIN nodes b ON b.level = edges.level + 1 AND b.label = target", "failed")
 oracle("sankey_edges_dashboard", f", {_EDGES} SELECT level, replace(source, 'TC_', '') AS source, replace(target, 'TC_', '') AS target, value FROM edges", "failed")
 oracle("cluster_trends", "SELECT * FROM trend", "failed", "trend")
-oracle("peak_windows", """, spans AS (SELECT a.category, w.width, a.build_no AS s, max(b.build_no) AS e, sum(b.n) AS score, max(b.n) AS top FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY build_no) AS k FROM trend) a
+_SPANS = """, spans AS (SELECT a.category, w.width, a.build_no AS s, max(b.build_no) AS e, sum(b.n) AS score, max(b.n) AS top FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY build_no) AS k FROM trend) a
     CROSS JOIN range(4, 15) w(width) JOIN (SELECT *, row_number() OVER (PARTITION BY category ORDER BY build_no) AS k FROM trend) b ON a.category = b.category AND b.k BETWEEN a.k AND a.k + w.width - 1 GROUP BY ALL HAVING count(*) = w.width),
-    st AS (SELECT category, avg(n) AS mean, sum(n) AS total FROM trend GROUP BY 1)
-    SELECT category, s AS build_start, e AS build_end, round(top / mean, 9) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, width, s) AS k FROM spans JOIN st USING (category)
-    WHERE total >= 3 AND mean > 0 AND score / width >= mean * 1.35) WHERE k = 1""", "failed", "trend")
+    st AS (SELECT category, avg(n) AS mean, sum(n) AS total FROM trend GROUP BY 1)"""
+_PEAK_SQL = """SELECT category, s AS build_start, e AS build_end, round(top / mean, 9) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, width, s) AS k FROM spans JOIN st USING (category)
+    WHERE total >= 3 AND mean > 0 AND score / width >= mean * 1.35) WHERE k = 1"""
+oracle("peak_windows", _SPANS + "\n" + _PEAK_SQL, "failed", "trend")
+_HINT = " ".join(f"WHEN category = '{c}' THEN format('{re.sub('%d|%.1f', lambda m: '{:d}' if m[0] == '%d' else '{:.1f}', form).replace(chr(39), chr(39) * 2)}', build_start, build_end, ratio)" for c, form in flow.HINTS.items())
+oracle("root_cause_hints", _SPANS + ", peaks AS (" + _PEAK_SQL + """) SELECT category, build_start, build_end, CASE """ + _HINT + """ ELSE category || format(' failures peaked in builds {:d}–{:d} ({:.1f}× typical).', build_start, build_end, ratio) END AS hint FROM peaks""", "failed", "trend")
 oracle("cluster_summary", "SELECT idx AS cluster_label, label AS cluster_category, count(*) AS size FROM failed GROUP BY 1, 2", "failed")
 _CROSS = "SELECT test_name, count(*) FILTER (status = 'PASS') AS p, count(*) FILTER (status = 'FAIL') AS f FROM results GROUP BY 1"
 oracle("crosstab_status", f"SELECT test_name, p AS PASS, f AS FAIL FROM ({_CROSS})")
@@ -220,7 +226,19 @@ oracle("rule_mappings", f"""SELECT mapping_id, defect_id, result_id, run_id, tes
     {_REASON} AS match_reason, email_match, 1 AS date_within_window, confirmed FROM rmaps""", *_RMAPS)
 oracle("hybrid_mappings", "SELECT mapping_id, confidence_score, email_match, confirmed FROM maps", *_MAPS)
 oracle("match_reasons", f"SELECT reason, count(*) AS n FROM (SELECT trim(unnest(string_split({_REASON}, ';'))) AS reason FROM rmaps) WHERE reason <> '' GROUP BY 1", *_RMAPS)
-oracle("run_order", "SELECT DISTINCT run_id, run_timestamp FROM results")
+oracle("run_order", "SELECT DISTINCT run_id, run_timestamp FROM results ORDER BY run_timestamp, cast(regexp_extract(run_id, '([0-9]+)$', 1) AS bigint), run_id")
+oracle("runs_by_number", "SELECT run_id, pass_rate_pct FROM runs ORDER BY pass_rate_pct, cast(regexp_extract(run_id, '([0-9]+)$', 1) AS bigint), run_id")
+oracle("drift_ranking", "SELECT test_name, percent_increase, model_confidence FROM report ORDER BY percent_increase DESC, model_confidence DESC, test_name", *_DRIFT)
+oracle("flakiness_ranking", "SELECT test_name, failure_probability, flip_count FROM stand ORDER BY failure_probability DESC, flip_count DESC, test_name", "history", "stand")
+oracle("anomaly_table", """SELECT run_id, build_no, pass_rate_pct, CASE WHEN z AND i THEN 'Both' WHEN z THEN 'Z-score' ELSE 'Isolation Forest' END AS detection_method,
+    CASE WHEN z AND i THEN 'Critical' ELSE 'High' END AS severity, CASE WHEN z THEN 'Yes' ELSE 'No' END AS z_score_flag, CASE WHEN i THEN 'Yes' ELSE 'No' END AS forest_flag, CASE WHEN z AND i THEN 'Yes' ELSE 'No' END AS both
+    FROM (SELECT *, coalesce(z_score >= 2, false) AS z, build_no % 7 = 0 AS i FROM rolled) WHERE z OR i ORDER BY pass_rate_pct, build_no, run_id""", "rolled")
+oracle("duration_model_input", """, h AS (SELECT test_name, build_no, avg(duration_s) OVER (PARTITION BY test_name ORDER BY build_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e, avg(duration_s) OVER f AS r,
+    stddev_samp(duration_s) OVER f AS s, lag(duration_s) OVER (PARTITION BY test_name ORDER BY build_no) AS p FROM results WHERE duration_s > 0 WINDOW f AS (PARTITION BY test_name ORDER BY build_no ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+    m AS (SELECT median(e) AS me, median(r) AS mr, median(s) AS ms, median(p) AS mp FROM h)
+    SELECT test_name, build_no, status, round(coalesce(e, me), 9) AS expanding_mean, round(coalesce(r, mr), 9) AS rolling_mean_5, round(coalesce(s, ms), 9) AS rolling_std_5, round(coalesce(p, mp), 9) AS prev_duration
+    FROM results LEFT JOIN h USING (test_name, build_no), m""")
+oracle("duration_quantiles", "SELECT " + ", ".join(f"round(quantile_cont(duration_s, {p}), 9) AS {n}" for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95), ("p100", 1.0))) + " FROM results")
 oracle("wide_trends", "SELECT build_no, " + ", ".join(f"count(*) FILTER (dashboard = '{c}') AS {c}" for c, _ in rules.DASHBOARD) + " FROM failed GROUP BY 1", "failed")
 oracle("clusters_with_build", "SELECT result_id, build_no FROM failed", "failed")
 oracle("tag_lists", "SELECT DISTINCT test_name, array_to_string(json_extract_string(tags, '$[*]'), '|') AS tags, cast(json_array_length(tags) AS integer) AS n FROM results")

@@ -1,11 +1,17 @@
 """The issue tracker's search as a Python data source: in batch each page is a
-partition that a worker fetches itself; as a stream, issues arrive by their place
-in the search, a page at a time."""
+partition that a worker fetches itself; as a stream, issues arrive in order of
+creation and key, a page at a time, behind a cursor over both.
+
+The search is put in order of creation whatever order the caller asks for, so
+issues that are created while it runs come at its end and move no page. The
+cursor names an issue, not a place, so it holds when issues go as well."""
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -29,6 +35,39 @@ def page_of(client: jira.Client, query: str, at: int, size: int) -> dict:
     return payload
 
 
+def cursor(issue: dict) -> dict:
+    fields = issue.get("fields") or {}
+    return {"created": fields.get("created") or issue.get("created") or "", "key": issue.get("key") or ""}
+
+
+def place(at: dict) -> tuple:
+    """Where a cursor stands: by time, whatever zone it is written in, then by the
+    key's project and number."""
+    if not at["created"]:
+        return (0.0, "", 0)
+    when = datetime.fromisoformat(re.sub(r"([+-]\d\d)(\d\d)$", r"\1:\2", at["created"].replace("Z", "+00:00")))
+    project, _, number = at["key"].rpartition("-")
+    return (when.timestamp(), project, int(number) if number.isdigit() else 0)
+
+
+def behind(client: jira.Client, query: str, at: dict) -> Iterator[list[dict]]:
+    """The issues behind a cursor, oldest first, by page. The tracker compares whole
+    minutes, and in the asker's zone, so the search begins a day before the
+    cursor and what lies before it is passed over."""
+    since = None
+    if at["created"]:
+        since = (datetime.fromtimestamp(place(at)[0], timezone.utc) - timedelta(days=1)).strftime("%Y-%m-%d %H:%M")
+    asked, k = jira.oldest_first(query, since), 0
+    while True:
+        got = page_of(client, asked, k, client.page).get("issues", [])
+        if not got:
+            return
+        new = [i for i in got if place(cursor(i)) > place(at)]
+        if new:
+            yield new
+        k += len(got)
+
+
 def issue_source(connect: Callable[[], jira.Client], query: str) -> type[DataSource]:
     """A data source over one search; ``connect`` makes a client wherever pages are
     fetched, so nothing of a connection is shipped."""
@@ -36,34 +75,32 @@ def issue_source(connect: Callable[[], jira.Client], query: str) -> type[DataSou
     class Pages(DataSourceReader):
         def partitions(self) -> list[InputPartition]:
             client = connect()
-            total = page_of(client, query, 0, 0).get("total", 0)
+            total = page_of(client, jira.oldest_first(query), 0, 0).get("total", 0)
             return [Page(at) for at in range(0, total, client.page)]
 
         def read(self, partition: Page) -> Iterator[tuple]:
             client = connect()
-            got = page_of(client, query, partition.at, client.page).get("issues", [])
+            got = page_of(client, jira.oldest_first(query), partition.at, client.page).get("issues", [])
             client.sleep(client.page_pause)  # a worker's pace
             for issue in got:
                 yield (json.dumps(issue),)
 
     class Polled(SimpleDataSourceStreamReader):
         def initialOffset(self) -> dict:  # noqa: N802
-            return {"at": 0}
+            return {"created": "", "key": ""}
 
         def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
             client = connect()
-            got = page_of(client, query, start["at"], client.page).get("issues", [])
-            return iter([(json.dumps(i),) for i in got]), {"at": start["at"] + len(got)}
+            new = next(behind(client, query, start), [])
+            end = cursor(new[-1]) if new else start
+            return iter([(json.dumps(i),) for i in new]), end
 
         def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-            client, at = connect(), start["at"]
-            while at < end["at"]:
-                got = page_of(client, query, at, min(client.page, end["at"] - at)).get("issues", [])
-                if not got:
-                    raise RuntimeError("the search has fewer issues than before")
-                for issue in got:
+            for some in behind(connect(), query, start):
+                for issue in some:
+                    if place(cursor(issue)) > place(end):
+                        return
                     yield (json.dumps(issue),)
-                at += len(got)
 
     class Issues(DataSource):
         @classmethod
@@ -90,7 +127,8 @@ def read_issues(spark: SparkSession, connect: Callable[[], jira.Client], query:
 
 
 def stream_issues(spark: SparkSession, connect: Callable[[], jira.Client], query: str) -> DataFrame:
-    """The same as a stream: what a search in order of creation gains at its end."""
+    """The same as a stream: each issue once, those too that are created while it
+    runs."""
     ship(spark)
     spark.dataSource.register(issue_source(connect, query))
     return jira.defects(spark.readStream.format("issues").load())

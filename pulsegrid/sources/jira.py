@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -168,6 +169,15 @@ def jql(projects: list[str], extra: str | None = None, since_days: int | None =
     return " AND ".join(parts) + " ORDER BY created DESC"
 
 
+def oldest_first(query: str, since: str | None = None) -> str:
+    """The search in order of creation, then key, so that new issues come at its
+    end; ``since`` (minutes, as the tracker compares them) leaves out older ones."""
+    asked = re.sub(r"\s+ORDER\s+BY\s.*$", "", query, flags=re.IGNORECASE | re.DOTALL)
+    if since:
+        asked = f'({asked}) AND created >= "{since}"'
+    return f"{asked} ORDER BY created ASC, key ASC"
+
+
 @dataclass(frozen=True)
 class ProjectConfig:
     confirm_threshold: float

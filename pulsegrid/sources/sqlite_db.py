@@ -28,15 +28,26 @@ SQL = {
 }
 
 
-class _Slice(InputPartition):
-    def __init__(self, value: int):
-        super().__init__(value)
+#: Tables whose rows the queries above go through, by which they can be cut.
+DRIVING = {("runs", "v2"): "runs", ("runs", "v1"): "runs", ("results", "v2"): "test_results t", ("results", "v1"): "tests t"}
+#: Rows of a slice, about.
+SLICE_ROWS = 250_000
+
+
+class _Range(InputPartition):
+    """Row ids from low up to high, all where there are none."""
+
+    def __init__(self, low: int | None, high: int | None):
+        super().__init__((low, high))
+        self.low, self.high = low, high
 
 
 class SqliteSource(DataSource):
-    """``format("pulsegrid_sqlite")`` with options path, query and slices: the
-    query's rows, dealt by position to that many tasks. The file must be readable
-    by the executors."""
+    """``format("pulsegrid_sqlite")`` with options path, query and, where the query
+    is to be cut, from and slices: ``from`` names the table, with its alias, that
+    the query goes through, and each slice asks for a range of its row ids, so no
+    slice reads another's rows. The file must be readable by the executors; the
+    query has no WHERE of its own then."""
 
     @classmethod
     def name(cls) -> str:
@@ -51,24 +62,45 @@ class SqliteSource(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
-        self.path, self.query, self.slices, self.types = options["path"], options["query"], int(options.get("slices", "1")), [f.dataType.typeName() for f in schema]
+        self.path, self.query, self.types = options["path"], options["query"], [f.dataType.typeName() for f in schema]
+        self.table, _, self.alias = options.get("from", "").partition(" ")
+        self.slices = int(options.get("slices", "0"))
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Slice(k) for k in range(self.slices)]
+    def _open(self) -> sqlite3.Connection:
+        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
 
-    def read(self, partition: InputPartition):
+    def partitions(self) -> list[InputPartition]:
+        if not self.table:
+            return [_Range(None, None)]
+        with self._open() as db:
+            try:
+                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self.table}").fetchone()
+            except sqlite3.OperationalError:  # a table without row ids
+                return [_Range(None, None)]
+        if low is None:
+            return [_Range(None, None)]
+        n = self.slices or -(-(high - low + 1) // SLICE_ROWS)
+        cut = [low + (high + 1 - low) * k // n for k in range(n + 1)]
+        return [_Range(a, z) for a, z in zip(cut, cut[1:]) if z > a]
+
+    def read(self, partition: _Range):
         cast = {"string": str, "double": float, "integer": int, "long": int}
         makers = [cast.get(t, lambda v: v) for t in self.types]
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            for k, row in enumerate(db.execute(self.query)):
-                if k % self.slices == partition.value:
-                    yield tuple(None if v is None else f(v) for f, v in zip(makers, row, strict=True))
-
-
-def scan(spark: SparkSession, path: str, query: str, schema: str, slices: int = 1) -> DataFrame:
+        ranged, bounds = "", ()
+        if partition.low is not None:
+            row = f"{self.alias or self.table}.rowid"
+            ranged, bounds = f" WHERE {row} >= ? AND {row} < ?", (partition.low, partition.high)
+        with self._open() as db:
+            for row in db.execute(self.query + ranged, bounds):
+                yield tuple(None if v is None else f(v) for f, v in zip(makers, row, strict=True))
+
+
+def scan(spark: SparkSession, path: str, query: str, schema: str, table: str = "", slices: int = 0) -> DataFrame:
+    """``table`` names what the query goes through, with its alias; without it, one
+    task reads all. ``slices`` of 0 makes as many as the table's size asks for."""
     ship(spark)
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("pulsegrid_sqlite").schema(schema).option("path", path).option("query", query).option("slices", slices).load()
+    return spark.read.format("pulsegrid_sqlite").schema(schema).option("path", path).option("query", query).option("from", table).option("slices", slices).load()
 
 
 def table_names(path: str) -> set[str]:
@@ -87,7 +119,7 @@ def read_database(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     v, label = variant(path), F.lit(Path(path).stem)
 
     def of(kind: str, schema: str, *times: str) -> DataFrame:
-        t = scan(spark, path, SQL[kind, v], schema).withColumn("_source_db", label)
+        t = scan(spark, path, SQL[kind, v], schema, DRIVING[kind, v]).withColumn("_source_db", label)
         doubles = {f.name: F.nanvl(f.name, F.lit(None).cast("double")) for f in t.schema if f.dataType.typeName() == "double"}
         return t.withColumns(doubles | {c: text.parse_issue_time(c) for c in times})
 

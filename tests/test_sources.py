@@ -281,3 +281,71 @@ def test_pages_are_partitions_and_a_stream(spark, tmp_path):
             break
     q.stop()
     assert not q.exception() and sorted(r.defect_id for r in spark.read.parquet(out).collect()) == want
+
+
+def test_issues_created_during_a_search_are_neither_lost_nor_repeated(spark):
+    """An issue arrives after each page, one goes, and minutes hold many issues."""
+    from pulsegrid.sources import issue_source
+
+    held = [{"key": f"K-{k}", "fields": {"created": f"2026-01-01T00:0{k // 8}:{k % 8:02d}.000+0000"}} for k in range(23)]
+    asked = []
+
+    def transport(method, path, query, body):
+        asked.append(query["jql"])
+        assert query["jql"].endswith("ORDER BY created ASC, key ASC") and "DESC" not in query["jql"]
+        order = sorted(held, key=lambda i: (i["fields"]["created"], int(i["key"][2:])))
+        at = query["startAt"]
+        got = order[at : at + query["maxResults"]]
+        if len(held) < 30:
+            held.append({"key": f"K-{len(held)}", "fields": {"created": "2026-01-02T00:00:00.000+0000"}})
+        return 200, {"total": len(order), "issues": got}
+
+    source = issue_source.issue_source(lambda: jira.Client(transport, page=5, page_pause=0.0), jira.jql(["K"]))
+    reader = source({}).simpleStreamReader(None)
+    at, seen = reader.initialOffset(), []
+    while True:
+        rows, end = reader.read(at)
+        got = [json.loads(r[0])["key"] for r in rows]
+        assert got == [json.loads(r[0])["key"] for r in reader.readBetweenOffsets(at, end)]  # as after a failure
+        if not got:
+            break
+        if len(seen) == 10:
+            held.pop(0)  # what is gone moves no other issue out of sight
+        seen += got
+        at = end
+    assert seen == [f"K-{k}" for k in range(30)]
+    assert any('created >= "2025-12-31 00:0' in q for q in asked)
+
+
+def test_cursors_compare_times_of_any_zone():
+    from pulsegrid.sources.issue_source import place
+
+    a, b = ({"created": c, "key": k} for c, k in (("2026-01-01T10:00:00.000+0100", "K-10"), ("2026-01-01T09:00:00.000Z", "K-9")))
+    assert place(b) < place(a) and place({"created": "", "key": ""}) < place(b)
+
+
+def test_sqlite_slices_are_ranges_of_row_ids(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "many.db")
+    with sqlite3.connect(path) as c:
+        c.executescript("CREATE TABLE runs(run_id, team); CREATE TABLE bare(a PRIMARY KEY) WITHOUT ROWID; CREATE TABLE none(a);")
+        c.executemany("INSERT INTO runs VALUES(?, ?)", [(str(k), "t") for k in range(1000)])
+        c.execute("DELETE FROM runs WHERE run_id % 3 = 0")
+        c.execute("INSERT INTO bare VALUES('x')")
+    rows = sqlite_db.scan(spark, path, "SELECT r.run_id FROM runs r", "run_id string", "runs r", 7)
+    assert rows.rdd.getNumPartitions() == 7
+    sizes = rows.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+    assert sum(sizes) == rows.distinct().count() == 666 and max(sizes) <= 100
+    assert sqlite_db.scan(spark, path, "SELECT a FROM bare", "a string", "bare", 4).count() == 1
+    assert sqlite_db.scan(spark, path, "SELECT a FROM none", "a string", "none", 4).count() == 0
+    # a slice asks the database for its range only
+    asked, reader = [], sqlite_db.SqliteSource({"path": path, "query": "SELECT run_id FROM runs", "from": "runs", "slices": "4"}).reader(rows.schema)
+    plain = sqlite3.connect
+
+    def traced(*a, **k):
+        db = plain(*a, **k)
+        db.set_trace_callback(asked.append)
+        return db
+
+    monkeypatch.setattr(sqlite_db.sqlite3, "connect", traced)
+    list(reader.read(reader.partitions()[1]))
+    assert any("rowid >= 251 AND runs.rowid < 501" in q for q in asked)
