@@ -288,7 +288,7 @@ def test_issues_created_during_a_search_are_neither_lost_nor_repeated(spark):
     from pulsegrid.sources import issue_source
 
     held = [{"key": f"K-{k}", "fields": {"created": f"2026-01-01T00:0{k // 8}:{k % 8:02d}.000+0000"}} for k in range(23)]
-    asked = []
+    asked, made = [], [22]
 
     def transport(method, path, query, body):
         asked.append(query["jql"])
@@ -296,8 +296,9 @@ def test_issues_created_during_a_search_are_neither_lost_nor_repeated(spark):
         order = sorted(held, key=lambda i: (i["fields"]["created"], int(i["key"][2:])))
         at = query["startAt"]
         got = order[at : at + query["maxResults"]]
-        if len(held) < 30:
-            held.append({"key": f"K-{len(held)}", "fields": {"created": "2026-01-02T00:00:00.000+0000"}})
+        if made[-1] < 29:
+            made.append(made[-1] + 1)
+            held.append({"key": f"K-{made[-1]}", "fields": {"created": "2026-01-02T00:00:00.000+0000"}})
         return 200, {"total": len(order), "issues": got}
 
     source = issue_source.issue_source(lambda: jira.Client(transport, page=5, page_pause=0.0), jira.jql(["K"]))
