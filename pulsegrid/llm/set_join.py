@@ -17,9 +17,12 @@ components are compared. All links between components are among these, so the
 components are those of all links.
 
 Tiles of any size are dealt to cells of bounded size, of which those among the
-sets of the tile's largest component are left out. Pairs are decided by hubs: the
-array of one set stands in a task before the arrays of its partners, a hub with
-many partners in several tasks.
+sets of the tile's largest component are left out. A cell names the sets that the
+bitmaps leave a partner, never their pairs; a pair that shares several n-grams
+counts in the tile of the least of them. The arrays of the named sets then meet
+in the cell, and it emits a spanning forest of the links that join components. In
+the first pass, pairs are decided by hubs: the array of one set stands in a task
+before the arrays of its partners, a hub with many partners in several tasks.
 """
 
 from __future__ import annotations
@@ -47,8 +50,9 @@ COMMON = 1000
 COUNTED, COUNT_CELLS = 1 << 22, 1 << 20
 #: Min-hash bands of the first pass, and min-hashes of a band.
 BANDS, ROWS = 4, 2
-#: Sets of a tile's part that meet in one task; partners of a hub in one task.
-CELL, PARTNERS = 1024, 2048
+#: Sets, and n-grams of them, of a tile's part that meets another in one task, and
+#: partners of a hub in one task.
+CELL, CELL_ITEMS, PARTNERS = 1024, 1 << 22, 256
 #: Factor between the sizes of neighbouring bands; it is above DEN / NUM, so that
 #: sets that link lie in one band or in neighbouring ones.
 BAND = 1.12
@@ -197,7 +201,7 @@ def arrays_of(docs: DataFrame, seen: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "items"])
 
     found = _hashed(docs).select("hash", "text").mapInArrow(run, "node long, items binary")
-    return keep(found.dropDuplicates(["node"]), "arrays", "lz4_raw")
+    return keep(found.dropDuplicates(["node"]), "arrays")
 
 
 def _decided(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,121 +234,201 @@ def decided(docs: DataFrame, seen: DataFrame, pairs: DataFrame) -> DataFrame:
     """Scratch table (a, b): those of ``pairs`` (a scratch table of nodes a, b) that
     link. The end with more partners is the hub."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    degree = keep(ends.groupBy("node").agg(F.count("*").alias("n")), "degree", "lz4_raw")
+    degree = keep(ends.groupBy("node").agg(F.count("*").alias("n")), "degree")
     items = arrays_of(docs, seen, degree.select("node"))
     of_a, of_b = (degree.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("n").alias(f"m_{c}")) for c in ("a", "b"))
-    both = join_counted(keep(join_counted(pairs, of_a, "a", "m_a", "inner"), "pairs", "lz4_raw"), of_b, "b", "m_b", "inner")
+    both = join_counted(keep(join_counted(pairs, of_a, "a", "m_a", "inner"), "pairs"), of_b, "b", "m_b", "inner")
     swap = (F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
     hub, node = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
-    met = keep(both.select(hub.alias("hub"), node.alias("node")).distinct(), "met", "lz4_raw")
-    parts = keep(met.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"), F.count("*").alias("m")), "hubs", "lz4_raw")
+    met = keep(both.select(hub.alias("hub"), node.alias("node")).distinct(), "met")
+    parts = keep(met.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"), F.count("*").alias("m")), "hubs")
     rows = join_counted(met, parts, "hub", "m", "inner").select("hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "node")
     own = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("hub").alias("node"))
     dealt = rows.unionByName(own).join(items, "node").select("hub", "part", "kind", "node", "items")
     dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
-    return keep(dealt.mapInArrow(_decided, "a long, b long"), "links", "lz4_raw")
+    return keep(dealt.mapInArrow(_decided, "a long, b long"), "links")
 
 
 def starred(texts: DataFrame) -> DataFrame:
     """Scratch table (a, b): every set and the least one under each of its bands."""
     rows = texts.select("node", F.explode("bands").alias("key"))
-    lead = keep(rows.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1"), "lead", "lz4_raw")
+    lead = keep(rows.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1"), "lead")
     met = join_counted(rows, lead, "key", "n", "inner").filter("node <> lead")
-    return keep(met.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "starred", "lz4_raw")
+    return keep(met.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "starred")
 
 
 def _several(rows: DataFrame, key: str, *more) -> DataFrame:
     """Scratch table of the keys that hold more than one component."""
     found = rows.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), *more)
-    return keep(found.filter("lo <> hi").drop("lo", "hi"), "several", "lz4_raw")
+    return keep(found.filter("lo <> hi").drop("lo", "hi"), "several")
 
 
 _PARTS = 1 << 31
 
 
+def _rows_under(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(node, root, size, key) of prefix n-grams that may be among ``keys``: a bitmap
+    of fixed size spares the shuffle most of the others."""
+    wanted = hash_bitmap(keys, "key")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            prefix = b.column(3)
+            key = prefix.flatten().to_numpy()
+            low = key.view(np.uint64) & np.uint64(len(wanted) * 32 - 1)
+            hit = (wanted[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
+            row = pa.array(np.repeat(np.arange(len(prefix)), prefix.value_lengths().to_numpy())[hit])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in range(3)), pa.array(key[hit])], ["node", "root", "size", "key"])
+
+    return texts.select("node", "root", "size", "prefix").mapInArrow(run, "node long, root long, size int, key long")
+
+
 def tiles(texts: DataFrame) -> DataFrame:
-    """(cell, node, root, home, main) of the tiles in which sets of several
+    """(cell, key, node, root, home, main) of the tiles in which sets of several
     components share a prefix n-gram. ``texts`` is a scratch table of node, root,
     size, prefix. A tile holds the sets of a band (home) and of the band below."""
-    rows = texts.select("node", "root", "size", F.explode("prefix").alias("key"))
-    met = keep(join_counted(rows, _several(rows, "key"), "key", "n", "inner"), "shared", "lz4_raw")
+    several = _several(texts.select("root", F.explode("prefix").alias("key")), "key")
+    met = keep(join_counted(_rows_under(texts, several), several, "key", "n", "inner"), "shared")
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(BAND)))
     both = met.withColumn("band", band).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
-    both = both.select(F.xxhash64("key", F.col("band") + F.col("up")).alias("tile"), "node", "root", (F.col("up") == 0).alias("home"))
-    found = _several(both, "tile", F.max("home").alias("any")).filter("any").drop("any")
-    held = keep(join_counted(both, found.withColumn("all", F.col("n")), "tile", "n", "inner"), "tiles", "lz4_raw")
-    plain = held.filter(F.col("all") <= CELL).select(F.col("tile").alias("cell"), "node", "root", "home", F.lit(False).alias("main"))
-    large = held.filter(F.col("all") > CELL)
+    both = both.select(F.xxhash64("key", F.col("band") + F.col("up")).alias("tile"), "key", "node", "root", "size", (F.col("up") == 0).alias("home"))
+    found = _several(both, "tile", F.max("home").alias("any"), F.sum("size").alias("items")).filter("any").drop("any")
+
+    def parts(n, items):
+        return F.greatest(F.ceil(n / CELL), F.ceil(items / CELL_ITEMS)).cast("long")
+
+    held = keep(join_counted(both, found.withColumn("all", F.col("n")), "tile", "n", "inner"), "tiles")
+    small = parts(F.col("all"), F.col("items")) == 1
+    plain = held.filter(small).select(F.col("tile").alias("cell"), "key", "node", "root", "home", F.lit(False).alias("main"))
+    large = held.filter(~small)
     if large.isEmpty():
         return plain
     # the largest component's sets need not meet each other
-    most = large.groupBy("tile", "root").agg(F.count("*").alias("m"), F.max("all").alias("all"))
-    most = most.groupBy("tile").agg(F.max(F.struct("m", "root")).alias("s"), F.max("all").alias("all"))
-    most = most.select("tile", F.col("s.root").alias("top"), F.ceil(F.col("s.m") / CELL).cast("long").alias("tops"), F.ceil((F.col("all") - F.col("s.m")) / CELL).cast("long").alias("others"), F.col("all").alias("w"))
-    dealt = keep(join_counted(large.drop("all"), keep(most, "most", "lz4_raw"), "tile", "w", "inner").withColumn("main", F.col("root") == F.col("top")), "dealt", "lz4_raw")
-    parts = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("tops")).otherwise(F.col("others"))))
+    most = large.groupBy("tile", "root").agg(F.count("*").alias("m"), F.sum("size").alias("s"), F.max("all").alias("all"), F.max("items").alias("items"))
+    most = most.groupBy("tile").agg(F.max(F.struct("m", "root", "s")).alias("t"), F.max("all").alias("w"), F.max("items").alias("items"))
+    most = most.select(
+        "tile", "w", F.col("t.root").alias("top"), parts(F.col("t.m"), F.col("t.s")).alias("tops"),
+        parts(F.col("w") - F.col("t.m"), F.col("items") - F.col("t.s")).alias("others"),
+    )
+    dealt = join_counted(large.drop("all", "items"), keep(most, "most"), "tile", "w", "inner").withColumn("main", F.col("root") == F.col("top"))
+    dealt = keep(dealt, "dealt").withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("tops")).otherwise(F.col("others"))))
 
     def numbers(upto: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1)).alias("other")
 
     def cells(some: DataFrame, cell) -> DataFrame:
-        return some.select(F.xxhash64("tile", cell).alias("cell"), "node", "root", "home", "main")
+        return some.select(F.xxhash64("tile", cell).alias("cell"), "key", "node", "root", "home", "main")
 
-    rest, main = parts.filter("not main"), parts.filter("main")
+    rest, main = dealt.filter("not main"), dealt.filter("main")
     among = cells(rest.select("*", numbers("others")), F.least("part", "other") * _PARTS + F.greatest("part", "other"))
     ours = cells(rest.select("*", numbers("tops")), -1 - (F.col("part") * _PARTS + F.col("other")))
     theirs = cells(main.select("*", numbers("others")), -1 - (F.col("other") * _PARTS + F.col("part")))
     return plain.unionByName(among).unionByName(ours).unionByName(theirs)
 
 
-def _near(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell (cell, node, root, home, main, size, bits) that the sizes and
-    the bitmaps allow."""
-    size = t.column(5).to_numpy().astype(np.int64)
-    order = np.argsort(size, kind="stable")
-    size = size[order]
-    node, root, home, main = (t.column(k).to_numpy()[order] for k in range(1, 5))
-    held = [np.frombuffer(x, "<u8") for x in t.column(6).to_pylist()]
-    width = min(map(len, held))
-    bits = np.stack([folded(held[k], width) for k in order.tolist()])
+def _allowed(size: np.ndarray, bits: list[np.ndarray], root: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js) of sets sorted by size: the larger ones of another root that sizes
+    and bitmaps let link with i."""
+    width = min(map(len, bits))
+    held = np.stack([folded(x, width) for x in bits])
     upto = np.searchsorted(size, size * DEN // NUM, "right")
-    left, right = [], []
     for i in range(len(size)):
         j = np.arange(i + 1, upto[i])
         j = j[(root[j] != root[i]) & (home[j] | home[i])]
-        if not len(j):
-            continue
-        total = size[j] + size[i]
-        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        j = j[total - apart >= 2 * least_overlap(total)]
-        left.append(np.full(len(j), node[i]))
-        right.append(node[j])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([*left, none]), np.concatenate([*right, none])
+        if len(j):
+            total = size[j] + size[i]
+            apart = np.bitwise_count(held[j] ^ held[i]).sum(axis=1, dtype=np.int64)
+            j = j[total - apart >= 2 * least_overlap(total)]
+            if len(j):
+                yield i, j
 
 
-def _compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell: pairs of whole cells."""
-
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell = t.column(0).to_numpy()
-        edge = np.flatnonzero(np.diff(cell)) + 1
-        found = [_near(t.slice(a, z - a)) for a, z in zip([0, *edge.tolist()], [*edge.tolist(), len(cell)]) if z - a > 1]
-        if found:
-            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
+def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole cells of rows sorted by cell, the first column, one after the other."""
     held: pa.Table | None = None
-    for t in batches(it, 1 << 13):
+    for t in batches(it, 1 << 12):
         t = pa.concat_tables([held, t]) if held is not None else t
         cell = t.column(0).to_numpy()
-        end = np.flatnonzero(cell != cell[-1])
-        cut = int(end[-1]) + 1 if len(end) else 0
-        if cut:
-            yield from pairs(t.slice(0, cut).combine_chunks())
-        held = t.slice(cut).combine_chunks()
+        edge = (np.flatnonzero(np.diff(cell)) + 1).tolist()
+        for a, z in zip([0, *edge], edge):
+            yield t.slice(a, z - a).combine_chunks()
+        held = t.slice(edge[-1] if edge else 0)
     if held is not None and len(held):
-        yield from pairs(held)
+        yield held.combine_chunks()
+
+
+def _named(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, key, node, root, home, size, bits, keys) by cell: those (cell,
+    node, root) that have a partner whose least common key is the cell's. ``keys``
+    are a set's n-grams that stand for a tile, sorted."""
+    out: list[list] = [[], [], []]
+
+    def batch() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["cell", "node", "root"])
+        for x in out:
+            x.clear()
+        return made
+
+    for t in _cells(it):
+        if len(t) < 2:
+            continue
+        size = t.column(5).to_numpy().astype(np.int64)
+        order = np.argsort(size, kind="stable")
+        node, root, home = (t.column(k).to_numpy()[order] for k in (2, 3, 4))
+        bits = t.column(6).to_pylist()
+        key, keys = t.column(1)[0].as_py(), t.column(7)
+        below: dict[int, set[int]] = {}
+
+        def before(k: int) -> set[int]:
+            if k not in below:
+                below[k] = {x for x in keys[int(order[k])].as_py() if x < key}
+            return below[k]
+
+        partnered = np.zeros(len(size), bool)
+        for i, js in _allowed(size[order], [np.frombuffer(bits[k], "<u8") for k in order.tolist()], root, home):
+            for j in js.tolist():
+                if not (partnered[i] and partnered[j]) and before(i).isdisjoint(before(j)):
+                    partnered[[i, j]] = True
+        at = np.flatnonzero(partnered)
+        for x, values in zip(out, (np.full(len(at), t.column(0)[0].as_py()), node[at], root[at]), strict=True):
+            x.extend(values.tolist())
+        if len(out[0]) >= 1 << 14:
+            yield batch()
+    yield batch()
+
+
+def _joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, node, root, items) by cell: links that connect the components
+    that any link of the cell connects."""
+    for t in _cells(it):
+        own = [np.frombuffer(x, "<u8") for x in t.column(3).to_pylist()]
+        size = np.array([len(x) for x in own])
+        order = np.argsort(size, kind="stable")
+        own, size, node = [own[k] for k in order.tolist()], size[order], t.column(1).to_numpy()[order]
+        _, label = np.unique(t.column(2).to_numpy()[order], return_inverse=True)
+        left, right = [], []
+        for i, js in _allowed(size, [bitmap(x) for x in own], label.copy(), np.ones(len(size), bool)):
+            for j in js.tolist():
+                if label[i] != label[j] and len(np.intersect1d(own[i], own[j], assume_unique=True)) >= least_overlap(size[i] + size[j]):
+                    label[label == label[j]] = label[i]
+                    left.append(node[i])
+                    right.append(node[j])
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
+def joined(docs: DataFrame, seen: DataFrame, texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """Scratch table (a, b): links that, with those behind ``placed`` (node, root,
+    size, prefix), connect all that any link connects."""
+    dealt = keep(tiles(placed), "cells")
+    keys = dealt.select("node", "key").distinct().groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than a prefix
+    known = texts.select("node", "size", "bits").join(keys, "node")
+    met = dealt.join(known, "node").select("cell", "key", "node", "root", "home", "size", "bits", "keys")
+    met = met.repartition("cell").sortWithinPartitions("cell")
+    named = keep(met.mapInArrow(_named, "cell long, node long, root long"), "named")
+    items = arrays_of(docs, seen, named.select("node").distinct())
+    met = named.join(items, "node").select("cell", "node", "root", "items").repartition("cell").sortWithinPartitions("cell")
+    return keep(met.mapInArrow(_joined, "a long, b long"), "joined")
 
 
 def similar_sets(docs: DataFrame) -> DataFrame:
@@ -364,17 +448,14 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     first = F.first(F.struct("size", "bits", "bands", "prefix"))
     texts = keep(filled.groupBy("node").agg(first.alias("d")).select("node", "d.*"), "texts")
     links = decided(docs, filled.select("node", "hash"), starred(texts))
-    roots = keep(connected_components(links), "roots", "lz4_raw")
-    placed = keep(texts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix"), "placed", "lz4_raw")
-    dealt = tiles(placed).join(texts.select("node", "size", "bits"), "node").select("cell", "node", "root", "home", "main", "size", "bits")
-    dealt = dealt.filter("size > 1").repartition("cell").sortWithinPartitions("cell")
-    pairs = keep(dealt.mapInArrow(_compared, "a long, b long").distinct(), "near", "lz4_raw")
-    links = links.unionByName(decided(docs, filled.select("node", "hash"), pairs))
-    roots = keep(connected_components(links), "roots", "lz4_raw")
-    nodes = keep(filled.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes", "lz4_raw")
-    rooted = keep(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted", "lz4_raw")
-    least = keep(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "least", "lz4_raw")
-    known = keep(join_counted(rooted.select("node", "n", "root"), least, "root", "m").select("node", "n", "component_id"), "known", "lz4_raw")
+    roots = keep(connected_components(links), "roots")
+    placed = keep(texts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix"), "placed")
+    links = links.unionByName(joined(docs, filled.select("node", "hash"), texts, placed))
+    roots = keep(connected_components(links), "roots")
+    nodes = keep(filled.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    rooted = keep(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = keep(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "least")
+    known = keep(join_counted(rooted.select("node", "n", "root"), least, "root", "m").select("node", "n", "component_id"), "known")
     linked = join_counted(filled.select("doc_id", "node", "size"), known, "node", "n").select("doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id")
     alone = seen.filter("size = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

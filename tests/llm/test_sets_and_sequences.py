@@ -133,6 +133,7 @@ def test_similar_sets(spark, monkeypatch):
 def test_every_link_is_found_without_the_first_pass(spark, monkeypatch, cell):
     """Tiles alone find all links, whatever the first pass leaves."""
     monkeypatch.setattr(set_join, "CELL", cell)
+    monkeypatch.setattr(set_join, "CELL_ITEMS", 4000 * cell)
     monkeypatch.setattr(set_join, "starred", lambda texts: texts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
     rows = near_texts(11)
     assert as_set(set_join.similar_sets(docs_of(spark, rows))) == sorted(brute_components(rows), key=repr)
