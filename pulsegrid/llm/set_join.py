@@ -292,7 +292,11 @@ def tiles(texts: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(BAND)))
     both = met.withColumn("band", band).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
     both = both.select(F.xxhash64("key", F.col("band") + F.col("up")).alias("tile"), "key", "node", "root", "size", (F.col("up") == 0).alias("home"))
-    found = _several(both, "tile", F.max("home").alias("any"), F.sum("size").alias("items")).filter("any").drop("any")
+    # tiles of the same sets do the same work: the one of the least n-gram stays
+    same = [F.bit_xor(F.xxhash64(*c)).alias(f"same{k}") for k, c in enumerate((("node", "home"), ("home", "node")))]
+    found = _several(both, "tile", F.max("home").alias("any"), F.sum("size").alias("items"), F.min("key").alias("key"), *same).filter("any")
+    found = found.groupBy("same0", "same1", "n").agg(F.min(F.struct("key", "tile", "items")).alias("t")).select("t.tile", "n", "t.items")
+    found = keep(found, "found")
 
     def parts(n, items):
         return F.greatest(F.ceil(n / CELL), F.ceil(items / CELL_ITEMS)).cast("long")
@@ -357,10 +361,19 @@ def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held.combine_chunks()
 
 
+def _narrowed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps at a quarter of their width, which tells unlike sets apart and is
+    shuffled with every row of a cell; the arrays have theirs whole."""
+    for b in it:
+        held = [np.frombuffer(x, "<u8") for x in b.column(2).to_pylist()]
+        bits = [folded(x, max(1, len(x) // 4)).tobytes() for x in held]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary()), b.column(3)], ["node", "size", "bits", "keys"])
+
+
 def _named(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cell, key, node, root, home, size, bits, keys) by cell: those (cell,
     node, root) that have a partner whose least common key is the cell's. ``keys``
-    are a set's n-grams that stand for a tile, sorted."""
+    are a set's lesser n-grams that stand for tiles."""
     out: list[list] = [[], [], []]
 
     def batch() -> pa.RecordBatch:
@@ -376,12 +389,12 @@ def _named(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(size, kind="stable")
         node, root, home = (t.column(k).to_numpy()[order] for k in (2, 3, 4))
         bits = t.column(6).to_pylist()
-        key, keys = t.column(1)[0].as_py(), t.column(7)
+        keys = t.column(7)
         below: dict[int, set[int]] = {}
 
         def before(k: int) -> set[int]:
             if k not in below:
-                below[k] = {x for x in keys[int(order[k])].as_py() if x < key}
+                below[k] = set(keys[int(order[k])].as_py())
             return below[k]
 
         partnered = np.zeros(len(size), bool)
@@ -422,8 +435,9 @@ def joined(docs: DataFrame, seen: DataFrame, texts: DataFrame, placed: DataFrame
     size, prefix), connect all that any link connects."""
     dealt = keep(tiles(placed), "cells")
     keys = dealt.select("node", "key").distinct().groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than a prefix
-    known = texts.select("node", "size", "bits").join(keys, "node")
-    met = dealt.join(known, "node").select("cell", "key", "node", "root", "home", "size", "bits", "keys")
+    known = texts.select("node", "size", "bits").join(keys, "node").mapInArrow(_narrowed, "node long, size int, bits binary, keys array<long>")
+    before = F.filter("keys", lambda k: k < F.col("key")).alias("keys")
+    met = dealt.join(known, "node").select("cell", "key", "node", "root", "home", "size", "bits", before)
     met = met.repartition("cell").sortWithinPartitions("cell")
     named = keep(met.mapInArrow(_named, "cell long, node long, root long"), "named")
     items = arrays_of(docs, seen, named.select("node").distinct())
