@@ -330,7 +330,7 @@ def test_vacuum_leaves_pending_arrivals_and_readers(spark, corpus):
     store.compact()
     reader = store.read(store.version() - 1)
     store.vacuum()
-    assert reader.count() == corpus.count() and store.version() > 2
+    assert reader.count() == corpus.count() and store.version() >= 2
     other._change(corpus.schema, lambda runs: [*runs, pending])
     assert store.read().count() == 2 * corpus.count()
     held = {r.path for v in (0, 1) for r in store.manifest(store.version() - v)[2]}
