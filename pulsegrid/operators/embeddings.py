@@ -49,24 +49,36 @@ def pending(wanted: DataFrame, cache: DataFrame, model_name: str, force: bool =
     return wanted.join(cache.filter(F.col("model_name") == model_name).select(*keys).distinct(), keys, "left_anti")
 
 
-def encoded(rows: DataFrame, model_name: str, encoder: Encoder = hashing_encoder, batch: int = BATCH) -> DataFrame:
-    """Rows of the embeddings table: ``encoder`` is given at most ``batch`` texts at
-    a time. Where it raises, that batch has no vectors and is pending still."""
+def attempted(rows: DataFrame, encoder: Encoder = hashing_encoder, batch: int = BATCH) -> DataFrame:
+    """(entity_id, entity_type, source_text, vector, error): ``encoder`` is given at
+    most ``batch`` texts at a time. Where it raises, the batch's texts are tried
+    one by one, and those that fail have an error and no vector."""
     ship(rows.sparkSession)
 
+    def tried(texts: list[str]) -> list[tuple[np.ndarray | None, str | None]]:
+        try:
+            return [(np.asarray(v, np.float32), None) for v in encoder(texts)]
+        except Exception as e:  # noqa: BLE001  an encoder may fail on some texts
+            if len(texts) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+            return [x for t in texts for x in tried([t])]
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for at in range(0, b.num_rows, batch):
                 some = b.slice(at, batch)
-                try:
-                    vectors = encoder([t or "" for t in some.column(2).to_pylist()])
-                except Exception:  # noqa: BLE001  an encoder may fail on some texts
-                    continue
-                made = pa.array([np.asarray(v, np.float32) for v in vectors], pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([*some.columns, made], ["entity_id", "entity_type", "source_text", "vector"])
+                vectors, errors = zip(*tried([t or "" for t in some.column(2).to_pylist()]), strict=True)
+                made = [pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())]
+                yield pa.RecordBatch.from_arrays([*some.columns, *made], ["entity_id", "entity_type", "source_text", "vector", "error"])
 
     made = rows.select("entity_id", "entity_type", F.coalesce("source_text", F.lit("")).alias("source_text"))
-    made = made.mapInArrow(run, "entity_id string, entity_type string, source_text string, vector array<float>")
+    return made.mapInArrow(run, "entity_id string, entity_type string, source_text string, vector array<float>, error string")
+
+
+def encoded(rows: DataFrame, model_name: str, encoder: Encoder = hashing_encoder, batch: int = BATCH) -> DataFrame:
+    """Rows of the embeddings table; texts that the encoder fails on are not among
+    them and are pending still (:func:`attempted` has their errors)."""
+    made = attempted(rows, encoder, batch).filter("error is null")
     return made.select("entity_id", "entity_type", F.lit(model_name).alias("model_name"), "vector", "source_text", F.current_timestamp().alias("created_at"))
 
 

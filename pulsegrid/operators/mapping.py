@@ -140,7 +140,9 @@ def duplicates(defects: DataFrame, days: float = 14.0, least: float = 0.90) -> D
     a, b = (named.select(F.col("defect_id").alias(f"{k}_defect_id"), F.col("created").alias(f"{k}_created"), "_name") for k in "ab")
     timed = band_join(a.filter("a_created is not null"), b.filter("b_created is not null"), F.col("a_created"), F.col("b_created"), days, ("_name",))
     gap = text.days_between(F.col("a_created"), F.col("b_created"))
-    loose = a.join(b, "_name").filter("a_created is null or b_created is null").withColumn("date_diff_days", gap)
+    # of two sides, each is filtered before it meets the other: untimed with any, timed with untimed
+    untimed = a.filter("a_created is null").join(b, "_name").unionByName(a.filter("a_created is not null").join(b.filter("b_created is null"), "_name"))
+    loose = untimed.withColumn("date_diff_days", gap)
     met = timed.unionByName(loose.select(*timed.columns)).filter("a_defect_id < b_defect_id").withColumnRenamed("date_diff_days", "gap")
     met = met.select("a_defect_id", "b_defect_id", "gap").distinct()
     more = [c for c in t.columns if c not in ("defect_id", "created")]

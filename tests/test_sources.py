@@ -252,6 +252,9 @@ def test_only_missing_and_changed_texts_are_embedded(spark):
     assert embeddings.pending(wanted, cache, "another").count() == embeddings.pending(wanted, cache, "m", force=True).count() == 12
     again = {r.entity_id: list(r.vector) for r in embeddings.refreshed(cache, changed.filter("entity_id <> 'bad'"), "m", encoder, batch=3).collect()}
     assert again["e4"] == [5.0, 1.0] and "bad" not in again and len(again) == 11
+    # one bad text costs its batch nothing, and its error is told
+    tried = {r.entity_id: r for r in embeddings.attempted(wanted, encoder, 3).collect()}
+    assert len(tried) == 12 and [k for k, r in tried.items() if r.vector is None] == ["bad"] and tried["bad"].error == "ValueError: cannot"
 
 
 # --- the search as a data source ------------------------------------------------------
