@@ -5,7 +5,8 @@ in a bucket: a bucket holds the texts that agree in one of BANDS bands of ROWS
 min-hashes, which a pair of similarity 0.8 does with probability 0.998 and one
 of 0.9 with 0.9999999. Inside a bucket the bit-sliced comparison of
 :mod:`.simhash` passes over the fingerprints of the shingles, at a radius that
-spares pairs of that similarity, and odd sketches of the shingle sets decide.
+spares pairs of that similarity. Odd sketches of the shingle sets decide what is
+clearly alike or clearly not; what lies between is decided on the whole sets.
 
 A bucket emits a spanning forest of its links, never its pairs, and a group is
 what the links connect. Larger buckets than a cell lose no link: all rows are
@@ -13,6 +14,11 @@ first compared to a few leaders; those like the leader that most rows are like
 are linked by that already, and need not be compared to each other. What is left
 is compared to all rows of the bucket, dealt to cells of bounded size. So a
 bucket of copies of one text costs as much as it has rows.
+
+A cell names the texts of its open pairs, once each, and no pairs. Once the clear
+links are known, cells whose open texts they have connected are done with; the
+texts of the others meet again with their whole sets, and a second forest joins
+the groups of the first.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import as_bytes, batches, columns_only, join_counted, keep, ship
+from .shared import as_bytes, batches, columns_only, hash_bitmap, in_bitmap, join_counted, keep, ship
 from .simhash import SEED, forest, near_shifted, near_within
 
 WORDS = 5
@@ -43,6 +49,10 @@ CELL, LEADERS = 512, 16
 CACHE, TEXTS = 300_000, 10_000
 #: Shingles that are hashed at a time.
 CHUNK = 1 << 14
+#: How far from SIMILARITY an estimate is clear: of sets that a sketch holds whole
+#: (more for small ones, where one collision of bits counts), and of larger ones,
+#: over three standard errors each.
+MARGIN, SAMPLED_MARGIN = 0.03, 0.08
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _SEEDS = np.array([xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(BANDS * ROWS)], np.uint64)
 
@@ -114,6 +124,16 @@ def likeness(odd_a: np.ndarray, odd_b: np.ndarray, size_a: np.ndarray, size_b: n
     return np.where(apart == 0, np.minimum(size_a, size_b) / np.maximum(size_a, size_b), both / np.maximum(size_a + size_b - both, 1e-9))
 
 
+def judged(odd_a: np.ndarray, odd_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs are clearly alike, and which are open."""
+    less, more = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    margin = np.where(more > SKETCH, SAMPLED_MARGIN, MARGIN + 2 / np.maximum(more, 1))
+    found = likeness(odd_a, odd_b, size_a, size_b)
+    possible = less >= SIMILARITY * more
+    sure = possible & (found >= SIMILARITY + margin)
+    return sure, possible & ~sure & (found >= SIMILARITY - margin)
+
+
 _TEXT = "node long, fp long, size int, odd binary, keys array<long>"
 
 
@@ -146,22 +166,10 @@ def described(docs: DataFrame) -> DataFrame:
     return columns_only(docs, "doc_id", "text").mapInArrow(run, f"doc_id long, {_TEXT}")
 
 
-def cell_links(fp: np.ndarray, size: np.ndarray, odd: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of a spanning forest of what is alike within the groups of
-    sorted ``group``."""
-
-    def alike(pairs: Iterator[tuple[np.ndarray, np.ndarray]], base: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i, j in pairs:
-            for k in range(0, len(i), 1 << 15):
-                x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-                new = label[x] != label[y]
-                x, y = x[new], y[new]
-                a, b = base[x], base[y]
-                near = np.minimum(size[a], size[b]) >= SIMILARITY * np.maximum(size[a], size[b])
-                x, y, a, b = x[near], y[near], a[near], b[near]
-                ok = likeness(odd[a], odd[b], size[a], size[b]) >= SIMILARITY
-                yield x[ok], y[ok]
-
+def cell_links(fp: np.ndarray, size: np.ndarray, odd: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices (i, j) of a spanning forest of what is clearly alike within the
+    groups of sorted ``group``, and the sorted indices that stand in an open pair
+    of two trees."""
     edge = np.nonzero(np.diff(group))[0] + 1
     start, stop = np.concatenate([[0], edge]), np.concatenate([edge, [len(group)]])
     count = stop - start
@@ -170,14 +178,25 @@ def cell_links(fp: np.ndarray, size: np.ndarray, odd: np.ndarray, group: np.ndar
     if len(small):
         parts.append((small, near_shifted(fp[small], group[small], int(count[(count > 1) & (count <= 64)].max()), RADIUS)))
     parts += [(np.arange(a, b), near_within(fp[a:b], RADIUS)) for a, b in zip(start[count > 64].tolist(), stop[count > 64].tolist(), strict=True)]
-    out = [(small[:0], small[:0])]
+    links, unsettled = [(small[:0], small[:0])], [small[:0]]
     for base, pairs in parts:
         label = np.arange(len(base))
-        for i, j in alike(pairs, base, label):
-            label[:] = forest(len(label), iter([(label[i], label[j])]))[label]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j in pairs:
+            for k in range(0, len(i), 1 << 15):
+                x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                apart = label[x] != label[y]
+                x, y = x[apart], y[apart]
+                a, b = base[x], base[y]
+                sure, unclear = judged(odd[a], odd[b], size[a], size[b])
+                held.append((x[unclear], y[unclear]))
+                label[:] = forest(len(label), iter([(label[x[sure]], label[y[sure]])]))[label]
         moved = np.flatnonzero(label != np.arange(len(base)))
-        out.append((base[moved], base[label[moved]]))
-    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+        links.append((base[moved], base[label[moved]]))
+        for x, y in held:
+            apart = label[x] != label[y]
+            unsettled += [base[x[apart]], base[y[apart]]]
+    return np.concatenate([x for x, _ in links]), np.concatenate([x for _, x in links]), np.unique(np.concatenate(unsettled))
 
 
 def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -205,16 +224,22 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and cell: links that connect what is alike in a cell."""
+    """Rows sorted by key and cell: links (a, b) that connect what is clearly alike
+    in a cell, and the texts (a, again) of its open pairs; cells of the same open
+    texts have the same ``again``."""
     for t in _groups(it):
         _, group, node, fp, size, odd = _columns(t)
-        i, j = cell_links(fp, size, odd, group)
-        yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
+        i, j, unsettled = cell_links(fp, size, odd, group)
+        yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.nulls(len(i), pa.int64())], ["a", "b", "again"])
+        for some in np.split(unsettled, np.flatnonzero(np.diff(group[unsettled])) + 1):
+            named = np.sort(node[some])
+            again = np.full(len(named), xxhash.xxh64_intdigest(named.tobytes(), SEED), np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(named), pa.nulls(len(named), pa.int64()), pa.array(again)], ["a", "b", "again"])
 
 
 def _led(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and cell, with whether they are there as leaders: (key,
-    node, leader) where a row is like a leader of its bucket."""
+    node, leader) where a row is clearly like a leader of its bucket."""
     for t in _groups(it):
         key, group, node, fp, size, odd = _columns(t)
         leads = t.column(6).to_numpy()
@@ -223,7 +248,7 @@ def _led(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = a + np.argsort(~leads[a:b], kind="stable")
             for i, j in near_within(fp[order], RADIUS, int(leads[a:b].sum())):
                 x, y = order[i], order[j]
-                ok = ~leads[y] & (node[x] != node[y]) & (likeness(odd[x], odd[y], size[x], size[y]) >= SIMILARITY)
+                ok = ~leads[y] & (node[x] != node[y]) & judged(odd[x], odd[y], size[x], size[y])[0]
                 x, y = x[ok], y[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(key[y]), pa.array(node[y]), pa.array(node[x])], ["key", "node", "leader"])
 
@@ -237,10 +262,12 @@ def _dealt(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 _CELL = 1 << 31
+_FOUND = "a long, b long, again long"
 
 
 def _large(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links of the buckets of several parts (key, node, parts)."""
+    """(a, b, again): what the cells of the buckets of several parts (key, node,
+    parts) find."""
 
     def sized(rows: DataFrame, n: str) -> DataFrame:
         return rows.groupBy("key").agg(F.count("*").alias(n))
@@ -270,29 +297,112 @@ def _large(met: DataFrame, texts: DataFrame) -> DataFrame:
     theirs = join_counted(like, sizes.drop("n"), "key", "m", "inner").withColumn("other", part("others"))
     theirs = theirs.select("key", "node", "other", numbers("parts").alias("part"))
     across = across.unionByName(theirs).select("key", (-1 - (F.col("part") * _CELL + F.col("other"))).alias("cell"), "node")
-    rest_links = _dealt(among.unionByName(across), texts).mapInArrow(_cells, "a long, b long")
-    return rest_links.unionByName(led.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    rest_links = _dealt(among.unionByName(across), texts).mapInArrow(_cells, _FOUND)
+    return rest_links.unionByName(led.select(F.col("node").alias("a"), F.col("leader").alias("b"), F.lit(None).cast("long").alias("again")))
 
 
 def links(texts: DataFrame) -> DataFrame:
-    """(a, b): links between distinct texts (a scratch table of node, fp, size,
-    odd, keys) that connect what is alike."""
+    """(a, b, again) of distinct texts (a scratch table of node, fp, size, odd,
+    keys): links (a, b) that connect what is clearly alike, and the texts a that
+    are to meet in the cell ``again``."""
     bands = texts.select("node", F.explode("keys").alias("key"))
     several = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     several = keep(several.withColumn("parts", F.ceil(F.col("n") / CELL).cast("int")), "buckets", "lz4_raw")
     met = keep(join_counted(bands, several, "key", "n", "inner").select("key", "node", "parts"), "met", "lz4_raw")
-    found = _dealt(met.filter("parts = 1").select("key", F.lit(0).alias("cell"), "node"), texts).mapInArrow(_cells, "a long, b long")
+    found = _dealt(met.filter("parts = 1").select("key", F.lit(0).alias("cell"), "node"), texts).mapInArrow(_cells, _FOUND)
     large = met.filter("parts > 1")
     return (found if large.isEmpty() else found.unionByName(_large(large, texts))).distinct()
 
 
+def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, odd, hashes) of the texts that ``nodes`` names: sorted shingle hashes
+    as bytes. Texts are told by a bitmap, those it lets through in vain are left
+    to the join."""
+    wanted = docs.sparkSession.sparkContext.broadcast(hash_bitmap(nodes, "node"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = _Words(), set()
+        for b in it:
+            for data in as_bytes(b.column(0)):
+                node = xxhash.xxh64_intdigest(data, SEED)
+                if node in seen or not in_bitmap(wanted.value, node):
+                    continue
+                if len(seen) >= TEXTS:
+                    seen.clear()
+                seen.add(node)
+                distinct = np.unique(shingles(data, known))
+                columns = [pa.array(np.array([node], np.uint64).view(np.int64)), pa.array([odd_sketch(distinct)], pa.binary()), pa.array([distinct.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "odd", "hashes"])
+
+    ship(docs.sparkSession)
+    made = columns_only(docs, "text").mapInArrow(run, "node long, odd binary, hashes binary")
+    one = made.groupBy("node").agg(F.first(F.struct("odd", "hashes")).alias("s")).select("node", "s.*")
+    return keep(one, "sets", "zstd")
+
+
+def _settled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (again, root, node, odd, hashes) sorted by again: links (a, b) of a
+    forest over the roots, each of a pair whose whole sets are alike."""
+
+    def cells() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        held: pa.Table | None = None
+        for b in it:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            again = t.column(0).to_numpy()
+            edge = np.flatnonzero(np.diff(again)) + 1
+            ends = [0, *edge.tolist()]
+            for k, m in zip(ends, ends[1:]):
+                yield unpacked(t.slice(k, m - k))
+            held = t.slice(ends[-1])
+        if held is not None and len(held):
+            yield unpacked(held)
+
+    def unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        odd = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u8").reshape(len(t), -1)
+        return t.column(1).to_numpy(), t.column(2).to_numpy(), odd, [np.frombuffer(x, "<u8") for x in t.column(4).to_pylist()]
+
+    for root, node, odd, sets in cells():
+        size = np.array([len(x) for x in sets], np.int64)
+        _, label = np.unique(root, return_inverse=True)
+        a, b = [], []
+        for x in range(len(node) - 1):
+            y = np.arange(x + 1, len(node))
+            _, unclear = judged(odd[x][None, :], odd[y], np.full(len(y), size[x]), size[y])
+            for k in y[unclear & (label[y] != label[x])].tolist():
+                if label[k] == label[x]:
+                    continue
+                both = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
+                if both >= SIMILARITY * (size[x] + size[k] - both):
+                    label[label == label[k]] = label[x]
+                    a.append(node[x])
+                    b.append(node[k])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def settled(docs: DataFrame, unsettled: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): links by whole sets between the ``groups`` (node, root), from cells
+    (again, node) of texts in open pairs."""
+    placed = keep(unsettled.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed", "lz4_raw")
+    split = placed.groupBy("again").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("again")
+    split = keep(placed.join(split, "again", "left_semi"), "split", "lz4_raw")
+    sets = whole_sets(docs, split.select("node").distinct())
+    met = split.join(sets, "node").select("again", "root", "node", "odd", "hashes")
+    return met.repartition("again").sortWithinPartitions("again").mapInArrow(_settled, "a long, b long")
+
+
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows are (doc_id, node) of every document, node standing
     for its text; groups are (node, root) of the texts that are linked to others."""
     seen = keep(described(docs), "described", "lz4_raw")
     first = F.first(F.struct("fp", "size", "odd", "keys"))
     texts = keep(seen.groupBy("node").agg(first.alias("d")).select("node", "d.*"), "texts", "lz4_raw")
-    return seen.select("doc_id", "node"), connected_components(links(texts))
+    found = keep(links(texts), "found", "lz4_raw")
+    groups = keep(connected_components(found.filter("b is not null").select("a", "b")), "groups", "lz4_raw")
+    more = keep(settled(docs, found.filter("b is null").select("again", F.col("a").alias("node")), groups), "more", "lz4_raw")
+    if not more.isEmpty():
+        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return seen.select("doc_id", "node"), groups
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:

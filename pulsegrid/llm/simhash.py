@@ -268,25 +268,14 @@ def link_forest(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.lit(t << 32) + F.shiftleft(block(*x), 16) + block(*y) for t, (x, y) in enumerate(combinations(blocks(radius), 2))
     ]
     met = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    size = keep(met.groupBy("key").count().filter(F.col("count") > 1), "buckets", "lz4_raw")
+    size = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     # buckets above CELL rows become a triangle of cells of bounded size
-    large = keep(
-        size.filter(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("parts")), "large", "lz4_raw"
-    )
-    plain = size.filter(F.col("count") <= CELL).select("key")
-    few = met.join(plain, "key", "left_semi").select("key", F.lit(0).cast("long").alias("cell"), "fp")
+    size = keep(size.withColumn("parts", F.ceil(F.col("n") / CELL).cast("int")), "buckets", "lz4_raw")
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    many = (
-        met.join(large, "key")
-        .withColumn("part", part)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(
-            "key",
-            (F.least("part", "other").cast("long") * F.lit(1 << 31) + F.greatest("part", "other")).alias("cell"),
-            "fp",
-        )
-    )
-    dealt = few.unionByName(many).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    placed = join_counted(met, size, "key", "n", "inner").withColumn("part", part)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.least("part", "other").cast("long") * F.lit(1 << 31) + F.greatest("part", "other")
+    dealt = placed.select("key", cell.alias("cell"), "fp").repartition("key", "cell").sortWithinPartitions("key", "cell")
     return dealt.mapInArrow(partial(_link_partition, radius), "a long, b long").distinct()
 
 

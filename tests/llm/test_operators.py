@@ -806,10 +806,15 @@ def test_near_copies_go(spark, empty, monkeypatch, cell):
 
 
 def alike(a, b):
-    x, y = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+    x, y = (five_words(t) for t in (a, b))
     return len(x & y) / len(x | y)
 
 
+def five_words(t):
+    w = t.split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
 def test_large_buckets_have_the_links_of_small_ones(spark, monkeypatch):
     """Families of copies and of texts around one passage: what is connected does
     not depend on the size of a cell."""
@@ -867,6 +872,72 @@ def test_large_buckets_lose_no_copy(spark):
     assert sorted(r.doc_id // 2 for r in out) == list(range(len(texts) // 2))
 
 
+def edited(rng, words, w, share, kind):
+    n = len(w)
+    m = round(n * share)
+    if kind == "append":
+        return w + [rng.choice(words) for _ in range(m)]
+    if kind == "cut":
+        return w[: n - m]
+    if kind == "block":
+        return w[: n // 3] + [rng.choice(words) for _ in range(m // 2)] + w[n // 3 + m // 2 :]
+    out = list(w)
+    for at in rng.sample(range(n), max(1, m // 9)):
+        out[at] = rng.choice(words)
+    return out
+
+
+def test_near_copies_at_the_border(spark):
+    """Pairs of 80 to 6,000 words just above and below 0.8: none below is linked,
+    and at least 0.97 of those above are, at each length."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(4000)]
+    texts, length = [], []
+    for n, pairs in ((80, 80), (300, 80), (1500, 60), (6000, 40)):
+        for k in range(pairs):
+            w = [rng.choice(words) for _ in range(n)]
+            kind = ("append", "cut", "block", "words")[k % 4]
+            texts += [" ".join(w), " ".join(edited(rng, words, w, rng.uniform(0.17, 0.26), kind))]
+            length.append(n)
+    truth = [alike(a, b) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    out = {r.doc_id for r in near_copies.without_near_copies(docs_of(spark, list(enumerate(texts)))).select("doc_id").collect()}
+    linked = [2 * k + 1 not in out for k in range(len(truth))]
+    assert all(2 * k in out for k in range(len(truth)))
+    assert not any(x for x, t in zip(linked, truth, strict=True) if t < 0.8)
+    for n in sorted(set(length)):
+        above = [x for x, t, m in zip(linked, truth, length, strict=True) if t >= 0.8 and m == n]
+        assert len(above) >= 10 and sum(above) >= 0.97 * len(above), (n, sum(above), len(above))
+
+
+@pytest.mark.parametrize("cell", [near_copies.CELL, 16])
+def test_open_pairs_of_a_family_are_settled(spark, monkeypatch, cell):
+    """A family whose members stand around 0.8 to each other: its groups are those
+    of all pairs, whatever the size of a cell."""
+    monkeypatch.setattr(near_copies, "CELL", cell)
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(4000)]
+    texts = []
+    for n, members in ((700, 40), (120, 60)):
+        base = [rng.choice(words) for _ in range(n)]
+        texts += [" ".join(base + [rng.choice(words) for _ in range(round(n * rng.uniform(0.119, 0.16)))]) for _ in range(members)]
+    sets = [five_words(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    rows, groups = near_copies.near_copies(docs_of(spark, list(enumerate(texts))))
+    root = {r.node: r.root for r in groups.collect()}
+    got = {}
+    for r in rows.collect():
+        got.setdefault(root.get(r.node, r.node), set()).add(r.doc_id)
+    want = {}
+    for k, x in enumerate(label):
+        want.setdefault(x, set()).add(k)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert 2 < len(want) < len(texts)
+
+
 # --- 9 pages ---------------------------------------------------------------------
 
 
