@@ -97,28 +97,39 @@ QUERIES = {
 }
 
 
+#: Fixed patterns and thresholds of op1, written out again so that its SQL does
+#: not follow a mistake in the operator.
+_SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    ("access", r"AKIA[A-Z0-9]+"),
+    ("hex", r"[0-9a-f]{16,}"),
+    ("vendor", r"(?:gh[pousr]_|xox[abprs]-|sk-|eyJ)[A-Za-z0-9_.-]{16,}"),
+    ("opaque", r"[A-Za-z0-9+/_=-]{20,}"),
+)
+
+
 def _secret_sql() -> str:
     def quoted(pattern: str) -> str:
         return "'" + pattern.replace("'", "''") + "'"
 
     def found(kind: int) -> str:
-        name, pattern = secrets.KINDS[kind]
+        name, pattern = _SECRETS[kind]
         return f"""SELECT doc_id, source, {kind} AS ord, '{name}' AS kind, m[i] AS match,
             cast(list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS bigint) AS start
             FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, source, regexp_extract_all(t, {quoted(pattern)}) AS m, string_split_regex(t, {quoted(pattern)}) AS g
             FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)))"""
 
     listed = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord)"
-    return f"""WITH raw AS ({" UNION ALL ".join(map(found, range(len(secrets.KINDS))))}),
-        cand AS (SELECT *, start + length(match) AS stop FROM (SELECT *, CASE WHEN ord = 0 THEN regexp_extract(match, {quoted(secrets.ASSIGN)}, 2) ELSE match END AS value FROM raw)
-            WHERE (ord <> 0 OR length(value) >= {secrets.LEAST_VALUE}) AND (ord <> 4 OR (regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Za-z]')))),
-        held AS (SELECT value, CASE WHEN owners >= {secrets.COPIED_OWNERS} OR owners > 1 AND repos >= {secrets.COPIED_REPOS} THEN 'copied' WHEN owners > 1 THEN 'shared' ELSE 'owned' END AS standing
+    return f"""WITH raw AS ({" UNION ALL ".join(map(found, range(len(_SECRETS))))}),
+        cand AS (SELECT *, start + length(match) AS stop FROM (SELECT *, CASE WHEN ord = 0 THEN regexp_extract(match, {quoted(_SECRETS[0][1])}, 2) ELSE match END AS value FROM raw)
+            WHERE (ord <> 0 OR length(value) >= 12) AND (ord <> 1 OR length(match) >= 18) AND (ord <> 4 OR (regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Za-z]')))),
+        held AS (SELECT value, CASE WHEN owners >= 3 OR owners > 1 AND repos >= 10 THEN 'copied' WHEN owners > 1 THEN 'shared' ELSE 'owned' END AS standing
             FROM (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repos FROM cand GROUP BY 1)),
         judged AS (SELECT * FROM cand JOIN held USING (value)),
-        stays AS (SELECT * FROM judged j WHERE ord < {secrets.BASE} OR ((ord = 3 AND standing <> 'copied' OR ord = 4 AND standing = 'owned')
-            AND NOT EXISTS (SELECT 1 FROM cand b WHERE b.doc_id = j.doc_id AND b.ord < {secrets.BASE} AND b.start < j.stop AND j.start < b.stop)))
+        stays AS (SELECT * FROM judged j WHERE ord < 3 OR ((ord = 3 AND standing <> 'copied' OR ord = 4 AND standing = 'owned')
+            AND NOT EXISTS (SELECT 1 FROM cand b WHERE b.doc_id = j.doc_id AND b.ord < 3 AND b.start < j.stop AND j.start < b.stop)))
         SELECT d.doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
-            sha256({listed} FILTER (ord < {secrets.BASE}), '')) AS base_sha256, {listed}, '') AS spans, count(*) FILTER (standing = 'owned') AS n_owned, count(*) FILTER (standing = 'copied') AS n_copied
+            sha256({listed} FILTER (ord < 3), '')) AS base_sha256, {listed}, '') AS spans, count(*) FILTER (standing = 'owned') AS n_owned, count(*) FILTER (standing = 'copied') AS n_copied
         FROM documents d LEFT JOIN stays s ON s.doc_id = d.doc_id GROUP BY 1"""
 
 
