@@ -6,46 +6,130 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import vectors as nearness
 
 #: Time buckets of a band join in one width of the band.
 BAND_PARTS = 4
 #: Query vectors that are compared at a time, a bound of their broadcast.
 QUERY_BLOCK = 20_000
 STORE_FROM, CONFIRM_FROM, REASON_FROM = 0.25, 0.5, 0.70
+#: The most that a rule gives without the test's name, and what rounding may add.
+NO_EXACT, HALF_STEP = 0.40, 0.0001
+#: Time buckets in one width of the band of a join that has other keys.
+KEYED_PARTS = 0.5
+#: Code points that a place in a text must share with a name to be looked up.
+HEAD = 4
 DAY_US = 86_400_000_000
 
 
-def band_join(left: DataFrame, right: DataFrame, left_time: Column, right_time: Column, days: float, left_keys: tuple[str, ...] = ()) -> DataFrame:
+def band_join(left: DataFrame, right: DataFrame, left_time: Column, right_time: Column, days: float, left_keys: tuple[str, ...] = (), parts: float = BAND_PARTS) -> DataFrame:
     """Rows of both sides at most ``days`` apart, as an equi-join: times fall into
-    buckets, BAND_PARTS to the width of the band, the left row is put into all that
-    its band touches, and the exact distance decides. No pair meets twice."""
-    width = max(1, -(-int(days * DAY_US) // BAND_PARTS))
+    buckets, ``parts`` to the width of the band, the left row is put into all that
+    its band touches, and the exact distance decides. No pair meets twice. Where
+    further keys make the join selective, wide buckets repeat the left rows less."""
+    band = int(days * DAY_US) + 1
+    width = max(1, int(band / parts))
     bucket = F.floor(F.unix_micros(right_time.cast("timestamp")) / F.lit(width))
-    own = F.floor(F.unix_micros(left_time.cast("timestamp")) / F.lit(width))
-    a = left.withColumn("_bucket", F.explode(F.sequence(own - BAND_PARTS - 1, own + BAND_PARTS + 1)))
+    own = F.unix_micros(left_time.cast("timestamp"))
+    a = left.withColumn("_bucket", F.explode(F.sequence(F.floor((own - band) / F.lit(width)), F.floor((own + band) / F.lit(width)))))
     b = right.withColumn("_bucket", bucket)
     joined = a.join(b, ["_bucket", *left_keys]).withColumn("date_diff_days", text.days_between(left_time, right_time))
     return joined.filter(F.col("date_diff_days") <= days).drop("_bucket")
 
 
-def candidates(defects: DataFrame, results: DataFrame, days: float | None = 7.0) -> DataFrame:
-    """Pairs of a defect and a failing result within the window, vectors at unit
-    length and texts as the words that the score compares, made once per row; no
-    window pairs all of them (a broadcast loop over the defects)."""
-    d = defects.select(
+def _defect_side(defects: DataFrame) -> DataFrame:
+    """What pairs need of a defect: vectors at unit length, the text as the words
+    that the score compares, made once per row."""
+    return defects.select(
         "defect_id", "project", "summary", "description", "reporter_email", F.col("status").alias("defect_status"), "priority", "created",
         F.lower(_combined()).alias("_low"), text.tokens(_combined()).alias("_words"), *[text.unit(F.col(c)).alias(c) for c in ("vector",) if c in defects.columns],
     )
+
+
+def _failure_side(results: DataFrame) -> DataFrame:
     failure = F.trim(F.concat_ws(" ", "failure_msg", "failure_kw"))
-    r = results.filter("status = 'FAIL'").select(
+    return results.filter("status = 'FAIL'").select(
         "result_id", "run_id", "test_name", "failure_msg", "failure_kw", "run_timestamp", text.stem_tokens("test_name").alias("_stems"), text.tokens(failure).alias("_hits"),
         *[text.unit(F.col(c)).alias("result_vector") for c in ("vector",) if c in results.columns],
     )
+
+
+def candidates(defects: DataFrame, results: DataFrame, days: float | None = 7.0) -> DataFrame:
+    """All pairs of a defect and a failing result within the window; no window
+    pairs all of them (a broadcast loop over the defects)."""
+    d, r = _defect_side(defects), _failure_side(results)
     if not days or days <= 0:
         return d.crossJoin(r).withColumn("date_diff_days", text.days_between(F.col("created"), F.col("run_timestamp")))
     return band_join(d, r, F.col("created"), F.col("run_timestamp"), days)
 
 
+def _meet(left: DataFrame, right: DataFrame, days: float | None, *keys: str) -> DataFrame:
+    """Pairs that agree on the keys, within the window if there is one."""
+    if not days or days <= 0:
+        return left.join(right, list(keys)).withColumn("date_diff_days", text.days_between(F.col("created"), F.col("run_timestamp")))
+    return band_join(left, right, F.col("created"), F.col("run_timestamp"), days, keys, KEYED_PARTS)
+
+
+def named_tests(defects: DataFrame, names: DataFrame) -> DataFrame:
+    """(defect_id, test_name) where the lower-cased name stands in ``_low``: every
+    place of a text that opens like a name, cut to the lengths of such names, is
+    looked up among the names. An empty name stands in every text."""
+    n = names.select("test_name", F.lower("test_name").alias("_name"))
+    n = n.withColumns({"_length": F.length("_name"), "_wide": F.least(F.lit(HEAD), F.length("_name"))}).withColumn("_head", F.expr("substring(_name, 1, _wide)"))
+    shapes = n.select("_wide", "_head", "_length").distinct()
+    widths = [r["_wide"] for r in shapes.select("_wide").distinct().collect()]  # at most HEAD + 1
+    if not widths:
+        widths = [HEAD]
+    place = defects.select("defect_id", "_low", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_low")))).alias("_at"))
+    heads = place.withColumn("_wide", F.explode(F.array(*map(F.lit, widths)))).withColumn("_head", F.expr("substring(_low, _at, _wide)"))
+    cut = heads.join(shapes, ["_wide", "_head"]).select("defect_id", F.expr("substring(_low, _at, _length)").alias("_name"))
+    return cut.join(n.select("test_name", "_name"), "_name").select("defect_id", "test_name").distinct()
+
+
+def sharing_a_stem(d: DataFrame, r: DataFrame, days: float | None) -> DataFrame:
+    """Pairs that share a word of the test's name, by an index of such words and
+    times; a pair that shares several meets under the least."""
+    stems = r.select("*", F.explode("_stems").alias("_word"))
+    words = d.select("*", F.explode("_words").alias("_word")).join(stems.select("_word").distinct(), "_word", "left_semi")
+    met = _meet(words, stems, days, "_word")
+    return met.filter(F.col("_word") == F.array_min(F.array_intersect("_stems", "_words"))).drop("_word")
+
+
+def indexed_candidates(defects: DataFrame, results: DataFrame, days: float | None = 7.0, store_from: float = STORE_FROM) -> DataFrame:
+    """The pairs of :func:`candidates` whose confidence can reach ``store_from``,
+    without meeting the others. A test's name in a defect's text is found through
+    :func:`named_tests`. Without vectors a pair must else share a stem word. With
+    both vectors it can have .40 by rule at most, so its cosine must make up the
+    rest: vectors that near are joined by pivots, each distinct one once, and
+    defects and failures meet on them. Thresholds that a pair may reach with no
+    word and no likeness take all pairs."""
+    if store_from - HALF_STEP <= NO_EXACT / 2:
+        return candidates(defects, results, days)
+    d, r = _defect_side(defects), _failure_side(results)
+    exact = F.coalesce(F.col("_low").contains(F.lower("test_name")), F.lit(False))
+    named = named_tests(d, r.select("test_name").distinct()).join(d, "defect_id")
+    by_name = _meet(named, r, days, "test_name")
+    if "vector" not in d.columns or "result_vector" not in r.columns:
+        more = sharing_a_stem(d, r, days).filter(~exact)
+        return by_name.unionByName(more, allowMissingColumns=True).drop("vector", "result_vector")
+    both = F.col("vector").isNotNull() & F.col("result_vector").isNotNull()
+    by_name = by_name.withColumn("semantic_score", F.when(both, F.greatest(F.lit(0.0), text.dot(F.col("vector"), F.col("result_vector")))))
+    keyed_d, keyed_r = d.withColumn("_left", _vector_key("vector")), r.withColumn("_right", _vector_key("result_vector"))
+    near = nearness.similar(
+        keyed_d.select(F.col("_left").alias("key"), F.col("vector").alias("v")), keyed_r.select(F.col("_right").alias("key"), F.col("result_vector").alias("v")), 2 * (store_from - HALF_STEP) - NO_EXACT
+    )
+    near = near.select(F.col("left_key").alias("_left"), F.col("right_key").alias("_right"), F.col("similarity").alias("semantic_score"))
+    by_vector = _meet(keyed_d.drop("vector").join(near, "_left"), keyed_r.drop("result_vector"), days, "_right").filter(~exact).drop("_left", "_right")
+    bare = sharing_a_stem(d.filter("vector is null"), r, days).unionByName(sharing_a_stem(d.filter("vector is not null"), r.filter("result_vector is null"), days))
+    bare = bare.filter(~exact).withColumn("semantic_score", F.lit(None).cast("double"))
+    return by_name.drop("vector", "result_vector").unionByName(by_vector).unionByName(bare.drop("vector", "result_vector"))
+
+
+def _vector_key(c: str) -> Column:
+    """A digest of the vector; equal vectors are compared once."""
+    return F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
+
+
 def _combined() -> Column:
     return F.trim(F.concat(F.coalesce("summary", F.lit("")), F.lit(" "), F.coalesce("description", F.lit(""))))
 
@@ -79,7 +163,9 @@ def with_rule_score(pairs: DataFrame) -> DataFrame:
 def with_hybrid_score(scored: DataFrame) -> DataFrame:
     """confidence_score and match_reason: half rule, half cosine where both
     vectors are there, else the rule alone."""
-    if "vector" in scored.columns and "result_vector" in scored.columns:
+    if "semantic_score" in scored.columns:
+        semantic, both = F.col("semantic_score"), F.lit(True)
+    elif "vector" in scored.columns and "result_vector" in scored.columns:
         both = F.col("vector").isNotNull() & F.col("result_vector").isNotNull()
         semantic = F.greatest(F.lit(0.0), text.dot(F.col("vector"), F.col("result_vector")))
     else:
@@ -103,9 +189,12 @@ def with_gates(scored: DataFrame, tester: str | None) -> DataFrame:
     return t.withColumn("confirmed", ((F.col("confidence_score") >= CONFIRM_FROM) & passed & (F.col("date_within_window") == 1)).cast("int"))
 
 
-def mappings(defects: DataFrame, results: DataFrame, tester: str | None = None, days: float | None = 7.0, store_from: float = STORE_FROM) -> DataFrame:
-    """The rows of defect_test_mappings, but for the time of writing."""
-    t = with_gates(with_hybrid_score(with_rule_score(candidates(defects, results, days))), tester).filter(F.col("confidence_score") >= store_from)
+def mappings(defects: DataFrame, results: DataFrame, tester: str | None = None, days: float | None = 7.0, store_from: float = STORE_FROM, indexed: bool = False) -> DataFrame:
+    """The rows of defect_test_mappings, but for the time of writing. ``indexed``
+    gives the same rows by the pairs of :func:`indexed_candidates`, which pays
+    where few pairs of a window are stored."""
+    pairs = indexed_candidates(defects, results, days, store_from) if indexed else candidates(defects, results, days)
+    t = with_gates(with_hybrid_score(with_rule_score(pairs)), tester).filter(F.col("confidence_score") >= store_from)
     return t.select(
         F.concat_ws("__", "defect_id", "result_id").alias("mapping_id"), "defect_id", "result_id", "run_id", "test_name", F.col("project").alias("defect_project"),
         F.col("summary").alias("defect_summary"), "defect_status", F.col("priority").alias("defect_priority"), "reporter_email", "run_timestamp",

@@ -491,6 +491,20 @@ def hybrid_mappings(fr):
     return rounded(maps(fr), "confidence_score", places=4).select("mapping_id", "confidence_score", "email_match", "confirmed")
 
 
+@query
+def indexed_rule_mappings(fr):
+    """By the index of names and words, a test for each user."""
+    t = mapping.mappings(defects(fr, False), fr.results, adapter.TESTER, indexed=True)
+    return t.select("mapping_id", "confidence_score", "email_match", "confirmed")
+
+
+@query
+def indexed_hybrid_mappings(fr):
+    """By the names and the range join of vectors, a test for each user."""
+    t = mapping.mappings(defects(fr), result_vectors(fr), adapter.TESTER, indexed=True)
+    return rounded(t, "confidence_score", places=4).select("mapping_id", "confidence_score", "email_match", "confirmed")
+
+
 @pair_query
 def mapping_listing(fr):
     t = mapping.listing(mapping.filtered(rule_maps(fr), project="P1", only_confirmed=True), fr.defects)

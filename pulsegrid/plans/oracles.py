@@ -89,10 +89,10 @@ _DRIFT = ("slow", "drifted", "report")
 ORACLES: dict[str, str] = {}
 
 
-def oracle(name: str, sql: str, *extra: str) -> None:
+def oracle(name: str, sql: str, *extra: str, all_tests: bool = False) -> None:
     """``extra`` names further tables; those on defects and failures in pairs take
-    the frames that pair_query takes."""
-    frames = adapter.duck_frames(adapter.PAIR_TESTS if "defects2" in extra else None)
+    the frames that pair_query takes, unless they are of ``all_tests``."""
+    frames = adapter.duck_frames(adapter.PAIR_TESTS if "defects2" in extra and not all_tests else None)
     ORACLES[name] = "WITH " + ", ".join([frames, *(_EXTRA[e] for e in extra)]) + "\n" + sql
 
 
@@ -225,6 +225,8 @@ _REASON = """array_to_string(list_filter([CASE WHEN exact THEN 'exact test name
 oracle("rule_mappings", f"""SELECT mapping_id, defect_id, result_id, run_id, test_name, project AS defect_project, summary AS defect_summary, defect_status, priority AS defect_priority, reporter_email, round_even(date_diff_days, 4) AS date_diff_days, confidence_score,
     {_REASON} AS match_reason, email_match, 1 AS date_within_window, confirmed FROM rmaps""", *_RMAPS)
 oracle("hybrid_mappings", "SELECT mapping_id, confidence_score, email_match, confirmed FROM maps", *_MAPS)
+oracle("indexed_rule_mappings", "SELECT mapping_id, confidence_score, email_match, confirmed FROM rmaps", *_RMAPS, all_tests=True)
+oracle("indexed_hybrid_mappings", "SELECT mapping_id, confidence_score, email_match, confirmed FROM maps", *_MAPS, all_tests=True)
 oracle("match_reasons", f"SELECT reason, count(*) AS n FROM (SELECT trim(unnest(string_split({_REASON}, ';'))) AS reason FROM rmaps) WHERE reason <> '' GROUP BY 1", *_RMAPS)
 oracle("run_order", "SELECT DISTINCT run_id, run_timestamp FROM results ORDER BY run_timestamp, cast(regexp_extract(run_id, '([0-9]+)$', 1) AS bigint), run_id")
 oracle("runs_by_number", "SELECT run_id, pass_rate_pct FROM runs ORDER BY pass_rate_pct, cast(regexp_extract(run_id, '([0-9]+)$', 1) AS bigint), run_id")
