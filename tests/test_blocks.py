@@ -72,3 +72,36 @@ def test_overlap_counts_frequent_and_rare_words():
     assert (found.times > 0).any() and found.a.shape[1] > 0
     got = np.vstack([found.block(s) for s in blocks.spans(700, 300)])
     assert (got == want).all()
+
+
+def test_silhouette_and_nearest_query_compare_in_blocks(spark, monkeypatch):
+    """No join compares the pairs of rows; the results are those of plain numpy."""
+    from pulsegrid.operators import models
+
+    monkeypatch.setattr(models, "POINTS", 20)
+    monkeypatch.setattr(mapping, "SEARCHED", 20)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(70, 3)).round(1)
+    x[5], x[6] = x[4], 0.0
+    k = [None if i % 10 == 3 else i % 4 if i else 99 for i in range(70)]
+    df = spark.createDataFrame([(i, [float(y) for y in x[i]], k[i]) for i in range(70)], "id long, vector array<double>, k int")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    scores = []
+    for i in range(70):
+        if k[i] is None or k.count(k[i]) == 1:
+            scores.append(0.0)
+            continue
+        mean = {c: d[i, [j for j in range(70) if k[j] == c]].sum() for c in set(k) - {None}}
+        a = mean[k[i]] / (k.count(k[i]) - 1)
+        b = min(mean[c] / k.count(c) for c in mean if c != k[i])
+        scores.append((b - a) / max(a, b))
+    out = models.silhouette(df, "vector", "k")
+    assert abs(out.first()[0] - np.mean(scores)) < 1e-9
+    near = mapping.max_similarity(df.filter("id % 7 = 0"), df)
+    for plan in (out, near):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in text and "NestedLoop" not in text
+    u = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=x.any(1)[:, None])
+    dots = u @ u[::7].T
+    dots[np.arange(0, 70, 7), np.arange(10)] = -2
+    assert {r.id: round(r.max_similarity, 9) for r in near.collect()} == {i: round(float(m), 9) for i, m in enumerate(dots.max(1))}
