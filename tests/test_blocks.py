@@ -105,3 +105,19 @@ def test_silhouette_and_nearest_query_compare_in_blocks(spark, monkeypatch):
     dots = u @ u[::7].T
     dots[np.arange(0, 70, 7), np.arange(10)] = -2
     assert {r.id: round(r.max_similarity, 9) for r in near.collect()} == {i: round(float(m), 9) for i, m in enumerate(dots.max(1))}
+
+
+@pytest.mark.parametrize("days", (7.0, None))
+def test_mappings_give_the_reasons_of_all_pairs_and_shuffle_none(spark, monkeypatch, days):
+    from test_mapping_index import sides
+
+    monkeypatch.setattr(mapping, "MET", 10)
+    d, r = (t.drop("vector") for t in sides(spark))
+    plain = mapping.with_hybrid_score(mapping.with_rule_score(mapping.candidates(d, r, days))).filter("confidence_score >= 0.25")
+    columns = ("defect_id", "result_id", "confidence_score", "match_reason", "date_diff_days")
+    out = mapping.mappings(d, r, None, days)
+    got = sorted(map(repr, out.select(*columns[:4]).collect()))
+    assert got == sorted(map(repr, plain.select(*columns[:4]).collect())) and len(got) > 100
+    out.collect()
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert shuffles_above_pairs(out) == 0
