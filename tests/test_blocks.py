@@ -121,3 +121,12 @@ def test_mappings_give_the_reasons_of_all_pairs_and_shuffle_none(spark, monkeypa
     out.collect()
     assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
     assert shuffles_above_pairs(out) == 0
+
+
+def test_scores_do_not_need_the_reasons(spark):
+    from test_mapping_index import sides
+
+    d, r = sides(spark)
+    columns = ("mapping_id", "confidence_score", "email_match", "confirmed")
+    bare, full = (sorted(map(repr, mapping.mappings(d, r, "qa@example.com", reasons=x).select(*columns).collect())) for x in (False, True))
+    assert bare == full and len(bare) > 100
