@@ -92,13 +92,10 @@ def duration_series(results: DataFrame, test_name: str, least: int = 2) -> DataF
 # --- features ---------------------------------------------------------------
 
 
-def flakiness_features(results: DataFrame, keys: tuple[str, ...] = GROUP, labelled: bool = True) -> DataFrame:
+def flakiness_rows(results: DataFrame, keys: tuple[str, ...] = GROUP) -> DataFrame:
     """One row per run from the eleventh of a test on, from the window of up to
-    20 runs that ends there; ``target`` says whether the next run fails. With
-    ``labelled=False`` only each test's last run, whose target is open.
-
-    Missing mean durations take the median of all rows, a missing gap 1 day.
-    """
+    20 runs that ends there; ``target`` says whether the next run fails, ``latest``
+    whether there is none. A missing gap is 1 day; mean durations may be missing."""
     w = _order(keys)
     window = w.rowsBetween(1 - WINDOW, 0)
     t = results.withColumns({"bad": _fail(), "rn": F.row_number().over(w), "previous": F.lag("status").over(w), "next_bad": F.lead(_fail()).over(w)})
@@ -125,8 +122,7 @@ def flakiness_features(results: DataFrame, keys: tuple[str, ...] = GROUP, labell
             "last": F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("rn"))),
         }
     )
-    chosen = (F.col("rn") > HISTORY) & (F.col("next_bad").isNotNull() if labelled else F.col("last") == 1)
-    t = t.filter(chosen).select(
+    return t.filter(F.col("rn") > HISTORY).select(
         *keys,
         "run_id",
         F.coalesce("next_build", F.col("build_no") + 1).alias("build_no_target"),
@@ -139,10 +135,26 @@ def flakiness_features(results: DataFrame, keys: tuple[str, ...] = GROUP, labell
         *(["run_pass_rate"] if "run_pass_rate" in results.columns else []),
         text.tag_at("tags", 1).alias("feature_tag"), text.tag_at("tags", 2).alias("priority_tag"),
         F.col("next_bad").alias("target"),
+        (F.col("last") == 1).alias("latest"),
     )
-    medians = F.broadcast(stats.quantiles(t, "avg_dur_pass_5", {"mp": 0.5}).crossJoin(stats.quantiles(t, "avg_dur_fail_5", {"mf": 0.5})))
+
+
+def typical_durations(rows: DataFrame) -> DataFrame:
+    """One row: the medians (mp, mf) that missing mean durations take. Each passes
+    over the rows twice."""
+    return stats.quantiles(rows, "avg_dur_pass_5", {"mp": 0.5}).crossJoin(stats.quantiles(rows, "avg_dur_fail_5", {"mf": 0.5}))
+
+
+def with_durations(rows: DataFrame, typical: DataFrame) -> DataFrame:
     filled = {"avg_dur_pass_5": F.coalesce("avg_dur_pass_5", "mp"), "avg_dur_fail_5": F.coalesce("avg_dur_fail_5", "mf")}
-    return t.crossJoin(medians).withColumns(filled).drop("mp", "mf")  # medians are one row
+    return rows.crossJoin(F.broadcast(typical)).withColumns(filled).drop("mp", "mf")  # one row
+
+
+def flakiness_features(results: DataFrame, keys: tuple[str, ...] = GROUP, labelled: bool = True) -> DataFrame:
+    """:func:`flakiness_rows` whose target is known, or with ``labelled=False`` each
+    test's last run; missing mean durations take the median of all these rows."""
+    t = flakiness_rows(results, keys).filter("target is not null" if labelled else "latest").drop("latest")
+    return with_durations(t, typical_durations(t))
 
 
 def regression_features(results: DataFrame) -> DataFrame:
