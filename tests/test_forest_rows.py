@@ -8,7 +8,7 @@ from pulsegrid.operators import models, tests
 from pulsegrid.sources import adapter
 
 
-@pytest.mark.parametrize("report", ["feature_importances"])
+@pytest.mark.parametrize("report", ["feature_importances", "flakiness_predictions"])
 def test_the_fit_reads_stored_rows(spark, sf, monkeypatch, report):
     results = adapter.frames(spark, sf).results
     plain = tests.flakiness_features(results)
