@@ -1,34 +1,38 @@
 """Joins of texts whose sets of word n-grams are alike, without losing a link.
 
 Two texts link when their distinct n-grams have a Jaccard similarity of at least
-NUM / DEN. Equal sets are one node. Linked sets share one of the first n-grams
-(the prefix) of an order in which common n-grams come last, so links are sought
-among the sets that share a prefix n-gram. What meets there is compared in
-size-banded tiles: the sets of a tile have sizes within a factor that allows the
-similarity; hashed bitmaps (parities of n-grams by bit) are as wide as their sets
-need, the bits in which two of them differ bound the overlap from above, and only
-pairs within the bound are decided by the intersection of the sorted arrays.
-
-Groups of many like sets would meet under every n-gram they share. So a first
+NUM / DEN. Equal sets are one node. The hash space is cut into more parts than
+linked sets of a size can differ in n-grams, so linked sets hold the same n-grams
+in one part at least, and links are sought among the sets of a size band that
+share such a part, which unlike sets with a passage in common do not. What
+meets there is compared in tiles: the sets of a tile have sizes within a factor
+that allows the similarity or little more; hashed bitmaps (parities of n-grams by
+bit) are as wide as their sets need, the bits in which two of them differ bound
+the overlap from above, and only pairs within the bound are decided by the
+intersection of the sorted arrays.
+
+Groups of many like sets would meet under every part they share. So a first
 pass links each set with the first one under each of a few bands of min-hashes,
-exactly and in linear time; after it, an n-gram or tile whose sets all hang
-together already is passed over, and inside a tile only sets of different
+exactly and in linear time; after it, a tile whose sets all hang together already
+is passed over, and inside a tile only sets of different
 components are compared. All links between components are among these, so the
 components are those of all links.
 
 Tiles of any size are dealt to cells of bounded size, of which those among the
 sets of the tile's largest component are left out. A cell names the sets that the
-bitmaps leave a partner, never their pairs; a pair that shares several n-grams
-counts in the tile of the least of them. The arrays of the named sets then meet
+bitmaps leave a partner, never their pairs; a pair that shares several tiles
+counts in the least of them. The arrays of the named sets then meet
 in the cell, and it emits a spanning forest of the links that join components. In
-the first pass, pairs are decided by hubs: the array of one set stands in a task
-before the arrays of its partners, a hub with many partners in several tasks.
+the first pass, pairs are decided by hubs: the bitmap of one set stands in a task
+before the bitmaps of its partners, a hub with many partners in several tasks, and
+for the pairs that this leaves so do the arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
+import math
+from collections.abc import Callable, Iterator
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import batches, columns_only, hash_bitmap, join_counted, keep, ship
+from .shared import batches, columns_only, hash_bitmap, join_counted, keep, release, ship
 from .words import distinct, mixed, shingled
 
 WORDS = 3
 #: Sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 90, 100
-#: An n-gram is common when more than one text in COMMON holds it; there are at
-#: most COMMON times as many as a text holds on average.
-COMMON = 1000
-#: N-grams that a task counts at a time, and the cells it counts them in first.
-COUNTED, COUNT_CELLS = 1 << 22, 1 << 20
+#: Part hashes that meet in one task, and that a task deals out at a time.
+MEET, DEALT = 1 << 20, 1 << 20
 #: Min-hash bands of the first pass, and min-hashes of a band.
 BANDS, ROWS = 4, 2
 #: Sets, and n-grams of them, of a tile's part that meets another in one task, and
@@ -55,7 +56,7 @@ BANDS, ROWS = 4, 2
 CELL, CELL_ITEMS, PARTNERS = 1024, 1 << 22, 256
 #: Factor between the sizes of neighbouring bands; it is above DEN / NUM, so that
 #: sets that link lie in one band or in neighbouring ones.
-BAND = 1.12
+BAND = 1.5
 _SEEDS = np.array([xxhash.xxh64_intdigest(f"band {k}", 42) | 1 for k in range(BANDS * ROWS)], np.uint64)
 
 
@@ -64,8 +65,67 @@ def least_overlap(size: np.ndarray) -> np.ndarray:
     return -(-NUM * size // (NUM + DEN))
 
 
-def prefix_length(size: int) -> int:
-    return size - -(-NUM * size // DEN) + 1
+def apart_at_most(size: int) -> int:
+    """The n-grams, of one set only, by which a set of ``size`` and a linked one of
+    no smaller size can differ."""
+    return (size + size * DEN // NUM) * (DEN - NUM) // (DEN + NUM)
+
+
+@cache
+def parts_of(band: int) -> tuple[int, int, np.ndarray]:
+    """(least, spare, starts) of a band of sizes: its least size, the parts that may
+    be empty in both sets besides those in which they differ, and where the
+    parts of the hash space start, with numbers for each band and part."""
+    least, most = band_start(band), band_start(band + 1) - 1
+    low, spare = least * NUM // DEN, 1
+    for _ in range(3):
+        n = apart_at_most(most) + 1 + spare
+        empty = (apart_at_most(low) + 1 + spare) * math.exp(-low / n)
+        spare = 1 + int(empty + 2 * math.sqrt(empty))
+    n = apart_at_most(most) + 1 + spare
+    return least, spare, np.array([(p << 64) // n for p in range(n)], np.uint64)
+
+
+def band_start(band: int) -> int:
+    return math.ceil(BAND**band)
+
+
+def band_of(size: int) -> int:
+    band = int(math.log(size) / math.log(BAND))
+    while band_start(band) > size:
+        band -= 1
+    while band_start(band + 1) <= size:
+        band += 1
+    return band
+
+
+def part_hashes(own: np.ndarray) -> np.ndarray:
+    """Hashes of the first parts of a sorted set, in its band and, where sets that
+    link with it reach into it, the next one; two sets that link have one in common.
+
+    Of the first d + 1 + spare parts, d being the n-grams by which the smaller set
+    and a linked one can differ, 1 + spare hold the same in both. An empty part
+    has no hash, unless the set has more than ``spare`` of them: of two sets, either
+    one has no more, and a part that is not empty is the same, or both have."""
+    size, out = len(own), []
+    if not apart_at_most(size):
+        return np.zeros(0, np.uint64)  # no other set is alike enough
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(own * _SEEDS[0]))])
+        home = band_of(size)
+        for band in (home, home + 1):
+            least, spare, starts = parts_of(band)
+            if band > home and size * DEN // NUM < least:
+                break
+            n = apart_at_most(size) + 1 + spare
+            edge = np.searchsorted(own, starts[: n + 1])
+            if n == len(starts):
+                edge = np.append(edge, size)
+            number = np.arange(1, n + 1, dtype=np.uint64) * _SEEDS[1] + np.uint64(band) * _SEEDS[2]
+            h = mixed(mixed(sums[edge[1:]] - sums[edge[:-1]]) + number)
+            empty = edge[1:] == edge[:-1]
+            out.append(h if empty.sum() > spare else h[~empty])
+    return np.concatenate(out)
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
@@ -99,41 +159,7 @@ def node_of(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 42)).view(np.int64))
 
 
-def _common_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, n) of n-grams that may be common, by what this task has read. An n-gram
-    of fewer occurrences than its cell has never been common."""
-
-    def counted(held: list[np.ndarray], rows: int) -> pa.RecordBatch:
-        h, least = np.concatenate(held), max(2, -(-rows // COMMON))
-        cell = (h & np.uint64(COUNT_CELLS - 1)).astype(np.int64)
-        h = np.sort(h[(np.bincount(cell, minlength=COUNT_CELLS) >= least)[cell]])
-        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        n = np.diff(np.concatenate([at, [len(h)]]))
-        ok = n >= least
-        return pa.RecordBatch.from_arrays([pa.array(h[at[ok]].view(np.int64)), pa.array(n[ok])], ["h", "n"])
-
-    held, size, rows = [], 0, 0
-    for b in it:
-        h, _ = shingled(b.column(0), WORDS)
-        held.append(h)
-        size, rows = size + len(h), rows + b.num_rows
-        if size >= COUNTED:
-            yield counted(held, rows)
-            held, size, rows = [], 0, 0
-    if held:
-        yield counted(held, rows)
-
-
-def common_ngrams(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the common n-grams. They only set an order, on which results
-    do not depend; an n-gram that is common in no task may be missing."""
-    texts = columns_only(docs, "text").filter("text is not null")
-    found = texts.mapInArrow(_common_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    held = found.filter(F.col("n") > F.lit(texts.count() / COMMON)).select("h").toArrow().column(0).to_numpy()
-    return np.sort(held.astype(np.int64).view(np.uint64))
-
-
-_SEEN = "doc_id long, hash long, node long, size int, bits binary, bands array<long>, prefix array<long>"
+_SEEN = "doc_id long, hash long, node long, size int, bits binary, bands array<long>, parts array<long>"
 
 
 def _longs(parts: list[np.ndarray]) -> pa.Array:
@@ -142,31 +168,21 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def _described(common: np.ndarray, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = np.zeros(0, np.uint64)
     for b in it:
         h, bounds = shingled(b.column(2), WORDS)
-        node, size, bits, bands, prefix = [], [], [], [], []
+        node, size, bits, bands, parts = [], [], [], [], []
         for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             own = distinct(h[a:z])
             node.append(node_of(own))
             size.append(len(own))
-            if not len(own):
-                bits.append(b"")
-                bands.append(none)
-                prefix.append(none)
-                continue
-            bits.append(bitmap(own).tobytes())
-            bands.append(band_keys(own))
-            k = prefix_length(len(own))
-            last = np.zeros(len(own), bool)
-            if len(common):
-                last = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
-            rare = own[~last]
-            prefix.append(rare[:k] if len(rare) >= k else np.concatenate([rare, own[last][: k - len(rare)]]))
+            bits.append(bitmap(own).tobytes() if len(own) else b"")
+            bands.append(band_keys(own) if len(own) else none)
+            parts.append(part_hashes(own) if len(own) else none)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0).cast(pa.int64()), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), _longs(bands), _longs(prefix)],
-            ["doc_id", "hash", "node", "size", "bits", "bands", "prefix"],
+            [b.column(0).cast(pa.int64()), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), _longs(bands), _longs(parts)],
+            ["doc_id", "hash", "node", "size", "bits", "bands", "parts"],
         )
 
 
@@ -204,38 +220,45 @@ def arrays_of(docs: DataFrame, seen: DataFrame, nodes: DataFrame) -> DataFrame:
     return keep(found.dropDuplicates(["node"]), "arrays")
 
 
-def _decided(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, part, kind, node, items) sorted so that a hub's own array is in
-    front of those of its partners: the links."""
-    hub, mine, held = None, None, None
+Held = tuple[int, np.ndarray]
+
+
+def _may_link(a: Held, b: Held) -> bool:
+    """Whether sizes and bitmaps let two sets link."""
+    total, width = a[0] + b[0], min(len(a[1]), len(b[1]))
+    least = -(-NUM * total // (NUM + DEN))
+    if min(a[0], b[0]) < least:
+        return False
+    return total - int(np.bitwise_count(folded(a[1], width) ^ folded(b[1], width)).sum()) >= 2 * least
+
+
+def _link(a: Held, b: Held) -> bool:
+    least = -(-NUM * (a[0] + b[0]) // (NUM + DEN))
+    return min(a[0], b[0]) >= least and len(np.intersect1d(a[1], b[1], assume_unique=True)) >= least
+
+
+def _decided(links: Callable[[Held, Held], bool], it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hub, part, kind, node, size, held) sorted so that what a hub holds is in
+    front of what its partners hold: the pairs for which ``links`` is true."""
+    hub, mine = None, (0, np.zeros(0, np.uint64))
     for b in it:
         left, right = [], []
-        for at, kind, node, items in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
-            own = np.frombuffer(items, "<u8")
+        for at, kind, node, size, held in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
+            own = (size, np.frombuffer(held, "<u8"))
             if kind == 0:
-                hub, mine, held = at, own, bitmap(own)
-                continue
-            if hub != at or mine is None:
-                continue
-            total = len(own) + len(mine)
-            least = -(-NUM * total // (NUM + DEN))
-            theirs = bitmap(own)
-            width = min(len(held), len(theirs))
-            apart = int(np.bitwise_count(folded(held, width) ^ folded(theirs, width)).sum())
-            if min(len(own), len(mine)) < least or total - apart < 2 * least:
-                continue
-            if len(np.intersect1d(own, mine, assume_unique=True)) >= least:
+                hub, mine = at, own
+            elif hub == at and links(mine, own):
                 left.append(hub)
                 right.append(node)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-def decided(docs: DataFrame, seen: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Scratch table (a, b): those of ``pairs`` (a scratch table of nodes a, b) that
-    link. The end with more partners is the hub."""
+def at_hubs(pairs: DataFrame, held: DataFrame, links: Callable[[Held, Held], bool]) -> DataFrame:
+    """Scratch table (a, b): those of ``pairs`` (a scratch table of nodes a, b) for
+    which ``links`` is true of what ``held`` (node, size, held) has of them. The
+    end with more partners is the hub."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     degree = keep(ends.groupBy("node").agg(F.count("*").alias("n")), "degree")
-    items = arrays_of(docs, seen, degree.select("node"))
     of_a, of_b = (degree.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("n").alias(f"m_{c}")) for c in ("a", "b"))
     both = join_counted(keep(join_counted(pairs, of_a, "a", "m_a", "inner"), "pairs"), of_b, "b", "m_b", "inner")
     swap = (F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
@@ -244,9 +267,18 @@ def decided(docs: DataFrame, seen: DataFrame, pairs: DataFrame) -> DataFrame:
     parts = keep(met.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"), F.count("*").alias("m")), "hubs")
     rows = join_counted(met, parts, "hub", "m", "inner").select("hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "node")
     own = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("hub").alias("node"))
-    dealt = rows.unionByName(own).join(items, "node").select("hub", "part", "kind", "node", "items")
+    dealt = rows.unionByName(own).join(held, "node").select("hub", "part", "kind", "node", "size", "held")
     dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
-    return keep(dealt.mapInArrow(_decided, "a long, b long"), "links")
+    return keep(dealt.mapInArrow(partial(_decided, links), "a long, b long"), "links")
+
+
+def decided(docs: DataFrame, seen: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Scratch table (a, b): those of ``pairs`` (a scratch table of nodes a, b) that
+    link. Arrays are fetched for those only that the bitmaps let link."""
+    likely = at_hubs(pairs, texts.select("node", "size", F.col("bits").alias("held")), _may_link)
+    nodes = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+    items = arrays_of(docs, seen, nodes)
+    return at_hubs(likely, items.select("node", (F.octet_length("items") / 8).cast("int").alias("size"), F.col("items").alias("held")), _link)
 
 
 def starred(texts: DataFrame) -> DataFrame:
@@ -266,36 +298,77 @@ def _several(rows: DataFrame, key: str, *more) -> DataFrame:
 _PARTS = 1 << 31
 
 
-def _rows_under(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """(node, root, size, key) of prefix n-grams that may be among ``keys``: a bitmap
-    of fixed size spares the shuffle most of the others."""
-    wanted = hash_bitmap(keys, "key")
+def _dealt(buckets: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, parts) to rows (bucket, low, node) with the part hashes of many
+    sets: the bucket comes from a hash's upper half, ``low`` are lower halves."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            prefix = b.column(3)
-            key = prefix.flatten().to_numpy()
-            low = key.view(np.uint64) & np.uint64(len(wanted) * 32 - 1)
-            hit = (wanted[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
-            row = pa.array(np.repeat(np.arange(len(prefix)), prefix.value_lengths().to_numpy())[hit])
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in range(3)), pa.array(key[hit])], ["node", "root", "size", "key"])
-
-    return texts.select("node", "root", "size", "prefix").mapInArrow(run, "node long, root long, size int, key long")
-
-
-def tiles(texts: DataFrame) -> DataFrame:
-    """(cell, key, node, root, home, main) of the tiles in which sets of several
-    components share a prefix n-gram. ``texts`` is a scratch table of node, root,
-    size, prefix. A tile holds the sets of a band (home) and of the band below."""
-    several = _several(texts.select("root", F.explode("prefix").alias("key")), "key")
-    met = keep(join_counted(_rows_under(texts, several), several, "key", "n", "inner"), "shared")
-    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(BAND)))
-    both = met.withColumn("band", band).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
-    both = both.select(F.xxhash64("key", F.col("band") + F.col("up")).alias("tile"), "key", "node", "root", "size", (F.col("up") == 0).alias("home"))
-    # tiles of the same sets do the same work: the one of the least n-gram stays
-    same = [F.bit_xor(F.xxhash64(*c)).alias(f"same{k}") for k, c in enumerate((("node", "home"), ("home", "node")))]
-    found = _several(both, "tile", F.max("home").alias("any"), F.sum("size").alias("items"), F.min("key").alias("key"), *same).filter("any")
-    found = found.groupBy("same0", "same1", "n").agg(F.min(F.struct("key", "tile", "items")).alias("t")).select("t.tile", "n", "t.items")
+    def packed(node: list[np.ndarray], h: list[np.ndarray]) -> pa.RecordBatch:
+        n, x = np.concatenate(node), np.concatenate(h)
+        bucket = ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, n, low = bucket[order], n[order], x[order].astype(np.uint32)
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+        ends = [*at[1:].tolist(), len(bucket)]
+        lows, nodes = ([v[a:z].tobytes() for a, z in zip(at.tolist(), ends)] for v in (low, n))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(lows, pa.binary()), pa.array(nodes, pa.binary())], ["bucket", "low", "node"])
+
+    node, h, size = [], [], 0
+    for b in it:
+        parts = b.column(1)
+        node.append(np.repeat(b.column(0).to_numpy(), parts.value_lengths().to_numpy()))
+        h.append(parts.flatten().to_numpy().view(np.uint64))
+        size += len(h[-1])
+        if size >= DEALT:
+            yield packed(node, h)
+            node, h, size = [], [], 0
+    if size:
+        yield packed(node, h)
+
+
+def _meeting(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of :func:`_dealt` by bucket: (tile, node) of part hashes that several sets
+    have. A tile is a bucket and a lower half."""
+
+    def met(bucket: int, lows: list[bytes], nodes: list[bytes]) -> pa.RecordBatch:
+        low, node = np.frombuffer(b"".join(lows), np.uint32), np.frombuffer(b"".join(nodes), np.int64)
+        order = np.argsort(low, kind="stable")
+        low, node = low[order], node[order]
+        same = low[1:] == low[:-1]
+        ok = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        return pa.RecordBatch.from_arrays([pa.array((bucket << 32) + low[ok].astype(np.int64)), pa.array(node[ok])], ["tile", "node"])
+
+    at, lows, nodes = None, [], []
+    for b in it:
+        for bucket, low, node in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            if bucket != at and lows:
+                yield met(at, lows, nodes)
+                lows, nodes = [], []
+            at = bucket
+            lows.append(low)
+            nodes.append(node)
+    if lows:
+        yield met(at, lows, nodes)
+
+
+def meetings(texts: DataFrame) -> DataFrame:
+    """(tile, node): the sets of each tile of two or more. ``texts`` is a scratch table
+    of node, parts."""
+    total = texts.agg(F.sum(F.size("parts"))).first()[0] or 0
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // MEET))
+    dealt = texts.select("node", "parts").mapInArrow(partial(_dealt, buckets), "bucket long, low binary, node binary")
+    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_meeting, "tile long, node long")
+
+
+def tiles(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """(cell, key, node, root, main) of the tiles in which sets of several components
+    meet. ``texts`` is a scratch table of node, parts, ``placed`` of node, root, size.
+    A key stands for a tile."""
+    both = keep(meetings(texts).join(placed, "node"), "shared")
+    # tiles of the same sets do the same work: the least one stays
+    same = [F.bit_xor(F.xxhash64(*c)).alias(f"same{k}") for k, c in enumerate((("node",), ("size", "node")))]
+    found = _several(both, "tile", F.sum("size").alias("items"), *same)
+    found = found.groupBy("same0", "same1", "n").agg(F.min(F.struct("tile", "items")).alias("t")).select("t.tile", "n", "t.items")
     found = keep(found, "found")
 
     def parts(n, items):
@@ -303,7 +376,7 @@ def tiles(texts: DataFrame) -> DataFrame:
 
     held = keep(join_counted(both, found.withColumn("all", F.col("n")), "tile", "n", "inner"), "tiles")
     small = parts(F.col("all"), F.col("items")) == 1
-    plain = held.filter(small).select(F.col("tile").alias("cell"), "key", "node", "root", "home", F.lit(False).alias("main"))
+    plain = held.filter(small).select(F.col("tile").alias("cell"), F.col("tile").alias("key"), "node", "root", F.lit(False).alias("main"))
     large = held.filter(~small)
     if large.isEmpty():
         return plain
@@ -321,7 +394,7 @@ def tiles(texts: DataFrame) -> DataFrame:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1)).alias("other")
 
     def cells(some: DataFrame, cell) -> DataFrame:
-        return some.select(F.xxhash64("tile", cell).alias("cell"), "key", "node", "root", "home", "main")
+        return some.select(F.xxhash64("tile", cell).alias("cell"), F.col("tile").alias("key"), "node", "root", "main")
 
     rest, main = dealt.filter("not main"), dealt.filter("main")
     among = cells(rest.select("*", numbers("others")), F.least("part", "other") * _PARTS + F.greatest("part", "other"))
@@ -330,7 +403,7 @@ def tiles(texts: DataFrame) -> DataFrame:
     return plain.unionByName(among).unionByName(ours).unionByName(theirs)
 
 
-def _allowed(size: np.ndarray, bits: list[np.ndarray], root: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _allowed(size: np.ndarray, bits: list[np.ndarray], root: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(i, js) of sets sorted by size: the larger ones of another root that sizes
     and bitmaps let link with i."""
     width = min(map(len, bits))
@@ -338,7 +411,7 @@ def _allowed(size: np.ndarray, bits: list[np.ndarray], root: np.ndarray, home: n
     upto = np.searchsorted(size, size * DEN // NUM, "right")
     for i in range(len(size)):
         j = np.arange(i + 1, upto[i])
-        j = j[(root[j] != root[i]) & (home[j] | home[i])]
+        j = j[root[j] != root[i]]
         if len(j):
             total = size[j] + size[i]
             apart = np.bitwise_count(held[j] ^ held[i]).sum(axis=1, dtype=np.int64)
@@ -367,13 +440,13 @@ def _narrowed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         held = [np.frombuffer(x, "<u8") for x in b.column(2).to_pylist()]
         bits = [folded(x, max(1, len(x) // 4)).tobytes() for x in held]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary()), b.column(3)], ["node", "size", "bits", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary())], ["node", "size", "bits"])
 
 
 def _named(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, key, node, root, home, size, bits, keys) by cell: those (cell,
-    node, root) that have a partner whose least common key is the cell's. ``keys``
-    are a set's lesser n-grams that stand for tiles."""
+    """Rows (cell, node, root, size, bits, keys) by cell: those (cell, node, root) that
+    have a partner whose least common key is the cell's. ``keys`` are a set's
+    lesser tiles."""
     out: list[list] = [[], [], []]
 
     def batch() -> pa.RecordBatch:
@@ -385,11 +458,11 @@ def _named(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _cells(it):
         if len(t) < 2:
             continue
-        size = t.column(5).to_numpy().astype(np.int64)
+        size = t.column(3).to_numpy().astype(np.int64)
         order = np.argsort(size, kind="stable")
-        node, root, home = (t.column(k).to_numpy()[order] for k in (2, 3, 4))
-        bits = t.column(6).to_pylist()
-        keys = t.column(7)
+        node, root = (t.column(k).to_numpy()[order] for k in (1, 2))
+        bits = t.column(4).to_pylist()
+        keys = t.column(5)
         below: dict[int, set[int]] = {}
 
         def before(k: int) -> set[int]:
@@ -398,7 +471,7 @@ def _named(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return below[k]
 
         partnered = np.zeros(len(size), bool)
-        for i, js in _allowed(size[order], [np.frombuffer(bits[k], "<u8") for k in order.tolist()], root, home):
+        for i, js in _allowed(size[order], [np.frombuffer(bits[k], "<u8") for k in order.tolist()], root):
             for j in js.tolist():
                 if not (partnered[i] and partnered[j]) and before(i).isdisjoint(before(j)):
                     partnered[[i, j]] = True
@@ -420,7 +493,7 @@ def _joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, size, node = [own[k] for k in order.tolist()], size[order], t.column(1).to_numpy()[order]
         _, label = np.unique(t.column(2).to_numpy()[order], return_inverse=True)
         left, right = [], []
-        for i, js in _allowed(size, [bitmap(x) for x in own], label.copy(), np.ones(len(size), bool)):
+        for i, js in _allowed(size, [bitmap(x) for x in own], label.copy()):
             for j in js.tolist():
                 if label[i] != label[j] and len(np.intersect1d(own[i], own[j], assume_unique=True)) >= least_overlap(size[i] + size[j]):
                     label[label == label[j]] = label[i]
@@ -432,12 +505,12 @@ def _joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def joined(docs: DataFrame, seen: DataFrame, texts: DataFrame, placed: DataFrame) -> DataFrame:
     """Scratch table (a, b): links that, with those behind ``placed`` (node, root,
-    size, prefix), connect all that any link connects."""
-    dealt = keep(tiles(placed), "cells")
-    keys = dealt.select("node", "key").distinct().groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than a prefix
-    known = texts.select("node", "size", "bits").join(keys, "node").mapInArrow(_narrowed, "node long, size int, bits binary, keys array<long>")
+    size), connect all that any link connects."""
+    dealt = keep(tiles(texts, placed), "cells")
+    keys = dealt.select("node", "key").distinct().groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than a set's parts
+    known = texts.select("node", "size", "bits").mapInArrow(_narrowed, "node long, size int, bits binary").join(keys, "node")
     before = F.filter("keys", lambda k: k < F.col("key")).alias("keys")
-    met = dealt.join(known, "node").select("cell", "key", "node", "root", "home", "size", "bits", before)
+    met = dealt.join(known, "node").select("cell", "node", "root", "size", "bits", before)
     met = met.repartition("cell").sortWithinPartitions("cell")
     named = keep(met.mapInArrow(_named, "cell long, node long, root long"), "named")
     items = arrays_of(docs, seen, named.select("node").distinct())
@@ -445,6 +518,22 @@ def joined(docs: DataFrame, seen: DataFrame, texts: DataFrame, placed: DataFrame
     return keep(met.mapInArrow(_joined, "a long, b long"), "joined")
 
 
+def distinct_sets(filled: DataFrame) -> DataFrame:
+    """Scratch table: one row of each node. Rows that are surely alone, by a bitmap of
+    fixed size, are not shuffled."""
+    names = ["node", "size", "bits", "bands", "parts"]
+    several = hash_bitmap(filled.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node")
+
+    def run(wanted: bool, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            low = b.column(0).to_numpy().view(np.uint64) & np.uint64(len(several) * 32 - 1)
+            hit = (several[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
+            yield b.filter(pa.array(hit == wanted))
+
+    alone, rest = (filled.select(*names).mapInArrow(partial(run, x), "node long, size int, bits binary, bands array<long>, parts array<long>") for x in (False, True))
+    return keep(alone.unionByName(rest.groupBy("node").agg(F.first(F.struct(*names[1:])).alias("d")).select("node", "d.*")), "texts")
+
+
 def similar_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
@@ -456,14 +545,14 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     gives an empty result; other columns are ignored.
     """
     ship(docs.sparkSession)
-    common = common_ngrams(docs)
-    seen = keep(_hashed(docs).mapInArrow(partial(_described, common), _SEEN), "seen")
+    whole = keep(_hashed(docs).mapInArrow(_described, _SEEN), "whole")
+    texts = distinct_sets(whole.filter("size > 0"))
+    seen = keep(whole.select("doc_id", "hash", "node", "size"), "seen")
+    release(whole)
     filled = seen.filter("size > 0")
-    first = F.first(F.struct("size", "bits", "bands", "prefix"))
-    texts = keep(filled.groupBy("node").agg(first.alias("d")).select("node", "d.*"), "texts")
-    links = decided(docs, filled.select("node", "hash"), starred(texts))
+    links = decided(docs, filled.select("node", "hash"), texts, starred(texts))
     roots = keep(connected_components(links), "roots")
-    placed = keep(texts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix"), "placed")
+    placed = keep(texts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size"), "placed")
     links = links.unionByName(joined(docs, filled.select("node", "hash"), texts, placed))
     roots = keep(connected_components(links), "roots")
     nodes = keep(filled.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")

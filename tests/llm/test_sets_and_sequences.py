@@ -159,6 +159,49 @@ def test_bitmaps_bound_the_overlap():
         assert 2 * len(np.intersect1d(a, b)) <= len(a) + len(b) - apart
 
 
+def test_linked_sets_share_a_part():
+    """However the n-grams in which two sets differ, and empty parts, are spread."""
+    rng = np.random.default_rng(7)
+    least = 0
+    for n in [*range(9, 140), 500, 1499, 1700, 6000]:
+        for spread in (64, 64, 61, 58, 40):  # bits of the hashes: below 64, they leave most parts empty
+            a = words.distinct(rng.integers(0, (1 << spread) - 1, n, np.uint64))
+            for share in (0.0, 0.5, 1.0):
+                gone = int(set_join.apart_at_most(len(a)) * share)
+                kept = np.delete(a, np.linspace(0, len(a) - 1, gone).astype(int)) if gone else a
+                more = 0
+                while 10 * len(kept) >= 9 * (len(a) + more + 1):
+                    more += 1
+                b = words.distinct(np.concatenate([kept, np.linspace(a[0], a[-1], more + 2)[1:-1].astype(np.uint64) + np.uint64(1)]))
+                both = len(np.intersect1d(a, b))
+                if len(a) + len(b) == 2 * both or 10 * both < 9 * (len(a) + len(b) - both):
+                    continue
+                least += 1
+                assert len(np.intersect1d(set_join.part_hashes(a), set_join.part_hashes(b))), (n, spread, share)
+    assert least > 1000
+    for n in range(1, 3000):
+        assert set_join.band_start(set_join.band_of(n)) <= n < set_join.band_start(set_join.band_of(n) + 1)
+
+
+def test_unlike_sets_with_a_passage_in_common_do_not_meet(spark, monkeypatch):
+    """What is dealt to cells follows the sets that are alike, not shared n-grams."""
+    rng, cells, keep = random.Random(4), [], set_join.keep
+
+    def kept(df, name="t", codec="zstd"):
+        out = keep(df, name, codec)
+        if name == "cells":
+            cells.append(out.count())
+        return out
+
+    monkeypatch.setattr(set_join, "keep", kept)
+    rows = []
+    for _ in range(1500):
+        passage = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(len(rows) + k, " ".join([f"w{rng.randrange(10**6)}" for _ in range(140)] + passage)) for k in range(2)]
+    assert set_join.similar_sets(docs_of(spark, rows)).filter("component_id <> doc_id").count() == 0
+    assert len(cells) == 1 and cells[0] < 100
+
+
 # --- 12 importance resampling -------------------------------------------------
 
 
